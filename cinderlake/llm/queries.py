@@ -4,15 +4,16 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import exact_dedup, mixing
+    from . import exact_dedup, mixing, ngram_join
 
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, mixing
+    from . import exact_dedup, mixing, ngram_join
 
-    return {"op2_mixing": mixing.OP2_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
