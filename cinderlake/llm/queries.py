@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import exact_dedup, mixing, ngram_join
+    from . import exact_dedup, mixing, ngram_join, packing, toxicity
 
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_packing": packing.op3_packing,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }

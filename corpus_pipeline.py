@@ -1,10 +1,62 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
+kept; its result is written as Parquet and read again as the next one's ``docs``.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinderlake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from cinderlake.llm.common import staged, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold stay."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id stays."""
+    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id stays."""
+    dropped = staged(ngram_join.ngram_join(docs).where("component_id <> doc_id").select("doc_id"), "near-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places in sequences of 2048 tokens."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: The trained classifier and the packing are no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{i + 1}")
+    return docs
