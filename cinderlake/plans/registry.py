@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ["text_queries"]
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(importlib.import_module(f"{__package__}.{m}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
