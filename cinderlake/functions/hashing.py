@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .jsontree import _load, canonical
+from .jsontree import TEXT, _load, canonical
 
 _BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
@@ -38,7 +38,7 @@ def fnv1a_many(items: list[bytes]) -> list[str]:
     return hexes
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def fnv1a_hex(texts: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, of the UTF-8 bytes, as 16 hex digits."""
     known = [(i, t.encode() if isinstance(t, str) else bytes(t)) for i, t in enumerate(texts) if t is not None]
@@ -48,7 +48,7 @@ def fnv1a_hex(texts: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def manifest_fingerprint(tools: pd.Series) -> pd.Series:
     """Of a JSON array of tools: sorted by name, canonical, hashed."""
     out = []

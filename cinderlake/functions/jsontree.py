@@ -11,9 +11,19 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NODE = "array<struct<ord:int,key:string,kind:string,value:string,size:int,above:array<string>>>"
-SERVER = "array<struct<name:string,spec:string,pairs:array<struct<key:string,value:string>>>>"
+# Types as objects: workers import this module, and only the driver can parse type strings.
+TEXT = T.StringType()
+TEXTS = T.ArrayType(TEXT)
+
+
+def rows_type(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+
+
+NODE = rows_type(ord=T.IntegerType(), key=TEXT, kind=TEXT, value=TEXT, size=T.IntegerType(), above=TEXTS)
+SERVER = rows_type(name=TEXT, spec=TEXT, pairs=rows_type(key=TEXT, value=TEXT))
 
 
 def _load(text):
@@ -53,7 +63,7 @@ def _each(texts: pd.Series, f) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def canonical_json(texts: pd.Series) -> pd.Series:
     """One text for all spellings of a value: keys sorted, no white space, numbers as written."""
     return _each(texts, canonical)
@@ -75,7 +85,7 @@ def nodes(texts: pd.Series) -> pd.Series:
     return _each(texts, f)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(TEXTS)
 def string_values(texts: pd.Series) -> pd.Series:
     """Every string value, in the order of a depth-first walk."""
 
@@ -91,7 +101,7 @@ def string_values(texts: pd.Series) -> pd.Series:
     return _each(texts, f)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(TEXTS)
 def property_names(texts: pd.Series) -> pd.Series:
     """Keys of every object named ``properties``, at any depth."""
     return _each(texts, lambda v: [n for k, x, _ in _walk(v) if k == "properties" and isinstance(x, dict) for n in sorted(x)])

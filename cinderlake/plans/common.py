@@ -48,7 +48,7 @@ def quoted(s: str) -> str:
 
 
 def values(items: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(items)) + ") AS p(ord, needle)"
+    return "(VALUES " + ", ".join(f"({i}, {quoted(x)})" for i, x in enumerate(items)) + ") AS p(p_ord, needle)"
 
 
 def any_sql(text: str, items: list[str]) -> str:
@@ -96,7 +96,7 @@ def text_findings_sql(source: str, keys: str = "doc_id", text: str = "text", lab
     ):
         parts.append(
             f"SELECT {keys}, {tool} AS tool, '{sev}' AS severity, '{cat}' AS category, '{what}: \"' || needle || '\"' AS message, "
-            f"{snippet_sql(basis, 'needle')} AS evidence, {check} AS check_ord, ord AS phrase_ord FROM {source}, {values(items)} WHERE contains(lower({basis}), needle)"
+            f"{snippet_sql(basis, 'needle')} AS evidence, {check} AS check_ord, p_ord AS phrase_ord FROM {source}, {values(items)} WHERE contains(lower({basis}), needle)"
         )
     char = f"regexp_extract({named}, '({hidden})', 1)"
     parts += [
