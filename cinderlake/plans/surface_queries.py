@@ -126,9 +126,8 @@ def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_fresh_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     rows = ev.select(F.lit("GET").alias("method"), F.col("user_id").cast("string").alias("url"), F.lit("").alias("body_match"), F.expr("CASE event_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END").alias("status"), F.col("event_id").cast("string").alias("body"), F.expr("ts + make_dt_interval(0, 0, 0, event_id / 1000000.0)").alias("fetched_at"))
-    now = ev.agg(F.max("ts").alias("m"))
-    ranked = rows.crossJoin(F.broadcast(now))  # one row
-    return feeds.fresh(ranked, F.col("m"), 7 * 86_400).select("url", "status", "body")
+    now = ev.agg(F.max("ts")).first()[0]
+    return feeds.fresh(rows, F.lit(now), 7 * 86_400).select("url", "status", "body")
 
 
 NPM_BODY = """concat('{"dist-tags":{"latest":"2.', CAST(p_size AS VARCHAR(9)), '"},"versions":{"1.0":{"dist":{"attestations":{"url":"u"}}},"2.', CAST(p_size AS VARCHAR(9)), '":{"repository":{"url":"git+https://g/', CAST(p_partkey AS VARCHAR(20)), '"},"dist":{"signatures":[{}]}}},"time":{"created":', CASE WHEN p_partkey % 3 = 0 THEN '{}' ELSE '"2020-01-01T00:00:00Z"' END, ',"unpublished":{}}}')"""
