@@ -145,34 +145,42 @@ def verdict_counts(reports: DataFrame, *keys: str) -> DataFrame:
 
 # Install commands
 
-def resolve_command(spec: Column) -> Column:
-    """``struct<ecosystem, package, note>`` of an install command.
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.
+
+    Spark would otherwise copy each expression into every later one that reads it;
+    it doesn't look through ``inline``.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def resolve_commands(commands: DataFrame, spec: str = "spec") -> DataFrame:
+    """Adds ``ecosystem, package, note`` of an install command.
 
     ``note``: ``unverifiable`` for scripts, paths and URLs; ``error`` for an empty
     command or a runner without a package.
     """
-    tokens = F.filter(F.split(T.trimmed(spec), r"\s+"), lambda x: x != "")
-    first = F.get(tokens, F.lit(0))
-    rest = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    c, at = F.col, lambda a, i: F.get(a, i.cast("int"))
+    df = _once(commands, _tokens=F.filter(F.split(F.coalesce(T.trimmed(c(spec)), F.lit("")), r"\s+"), lambda x: x != ""))
+    df = _once(df, _first=F.get("_tokens", F.lit(0)), _rest=F.slice("_tokens", 2, F.greatest(F.size("_tokens") - 1, F.lit(0))), _m=F.array_position("_tokens", "-m"))
     runner = F
     for eco, cmds in corpora.RUNNERS.items():
-        runner = runner.when(first.isin(cmds), eco)
-    # The first token that is a package flag, or neither a flag nor a subcommand.
-    kinds = F.transform(rest, lambda t: F.when(t.isin(corpora.PACKAGE_FLAGS), 2).when(F.startswith(t, F.lit("-")) | t.isin(corpora.SUBCOMMANDS), 0).otherwise(1))
-    place = F.array_position(F.transform(kinds, lambda k: k > 0), True)
-    picked = F.when(place > 0, F.when(F.get(kinds, (place - 1).cast("int")) == 2, F.get(rest, place.cast("int"))).otherwise(F.get(rest, (place - 1).cast("int"))))
-    module = F.get(tokens, F.array_position(tokens, "-m").cast("int"))
-    python = first.isin("python", "python3")
-    named = F.when(runner.isNotNull(), picked).otherwise(first)
-    elsewhere = F.contains(named, F.lit("://")) | F.startswith(named, F.lit("git+")) | F.startswith(named, F.lit("./")) | F.startswith(named, F.lit("../")) | F.startswith(named, F.lit("/"))
-    elsewhere = elsewhere | (F.contains(named, F.lit("/")) & ~F.startswith(named, F.lit("@")))
-    has_module = python & F.array_contains(tokens, "-m") & module.isNotNull()
+        runner = runner.when(c("_first").isin(cmds), eco)
+    # The first token that is a package flag (2), or neither a flag nor a subcommand (1).
+    kinds = F.transform("_rest", lambda t: F.when(t.isin(corpora.PACKAGE_FLAGS), 2).when(F.startswith(t, F.lit("-")) | t.isin(corpora.SUBCOMMANDS), 0).otherwise(1))
+    df = _once(df, _runner=runner, _kinds=kinds, _module=F.when(c("_first").isin("python", "python3") & (c("_m") > 0), at(c("_tokens"), c("_m"))))
+    df = _once(df, _place=F.array_position(F.transform("_kinds", lambda k: k > 0), True))
+    picked = F.when(c("_place") > 0, F.when(at(c("_kinds"), c("_place") - 1) == 2, at(c("_rest"), c("_place"))).otherwise(at(c("_rest"), c("_place") - 1)))
+    df = _once(df, _named=F.when(c("_runner").isNotNull(), picked).otherwise(c("_first")))
+    elsewhere = F.contains("_named", F.lit("://")) | c("_named").rlike(r"^(git\+|\./|\.\./|/)") | (F.contains("_named", F.lit("/")) & ~F.startswith("_named", F.lit("@")))
     note = (
-        F.when(F.coalesce(F.size(tokens), F.lit(0)) == 0, "error").when(first.isin("node", "deno"), "unverifiable").when(has_module, None).when(python, "unverifiable")
-        .when(named.isNull(), "error").when(elsewhere, "unverifiable")
+        F.when(F.size("_tokens") == 0, "error").when(c("_first").isin("node", "deno"), "unverifiable").when(c("_module").isNotNull(), None)
+        .when(c("_first").isin("python", "python3"), "unverifiable").when(c("_named").isNull(), "error").when(elsewhere, "unverifiable")
     )
-    package = F.when(note.isNull(), F.when(has_module, module).otherwise(named))
-    return F.struct(F.when(note.isNull(), F.when(has_module, "pypi").otherwise(F.coalesce(runner, F.lit("npm")))).alias("ecosystem"), package.alias("package"), note.alias("note"))
+    df = _once(df, note=note)
+    found = c("note").isNull()
+    ecosystem = F.when(found, F.when(c("_module").isNotNull(), "pypi").otherwise(F.coalesce("_runner", F.lit("npm"))))
+    return df.select(*commands.columns, ecosystem.alias("ecosystem"), F.when(found, F.coalesce("_module", "_named")).alias("package"), "note")
 
 
 def inspect_trust(verdict: Column, worst_rank: Column, resolved: Column) -> Column:
@@ -184,7 +192,7 @@ def inspect_trust(verdict: Column, worst_rank: Column, resolved: Column) -> Colu
 
 def inspect(commands: DataFrame, feeds: dict[str, DataFrame], now: Column, findings: DataFrame | None = None) -> DataFrame:
     """``commands``: ``spec``.  ``findings``: ``spec, severity_rank`` of their manifests."""
-    c = commands.select("spec", resolve_command(F.col("spec")).alias("r")).select("spec", "r.*")
+    c = resolve_commands(commands.select("spec"))
     pins = c.where("package is not null").select("ecosystem", names.spec_name(F.col("package")).alias("name"), names.spec_version(F.col("package")).alias("version")).distinct()
     reports = verify(pins, now=now, **feeds).select(
         F.col("ecosystem").alias("_e"), names.display_name(F.col("name"), F.col("version")).alias("_p"), "verdict", "reason"

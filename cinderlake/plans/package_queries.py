@@ -86,8 +86,8 @@ COMMANDS = """CASE p_partkey % 14 WHEN 0 THEN concat('npx -y ', p_brand, '@1.0')
 
 
 def command_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", packages.resolve_command(F.expr(COMMANDS)).alias("r"))
-    return rows.select("p_partkey", "r.ecosystem", "r.package", "r.note")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(COMMANDS).alias("spec"))
+    return packages.resolve_commands(rows).drop("spec")
 
 
 SPECS = "CASE o_orderkey % 6 WHEN 0 THEN 'left-pad' WHEN 1 THEN '@scope/x' WHEN 2 THEN concat('@scope/x@', CAST(o_custkey AS VARCHAR(20))) WHEN 3 THEN 'a@1@2' WHEN 4 THEN 'bad@' ELSE concat('p', CAST(o_custkey AS VARCHAR(20)), '@^1.0') END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "manifest_queries", "package_queries", "dependency_queries", "surface_queries"]
+MODULES = ["text_queries", "manifest_queries", "package_queries", "dependency_queries", "surface_queries", "composite_queries"]
 
 
 def _all(name: str) -> dict:

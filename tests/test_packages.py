@@ -79,7 +79,8 @@ def test_specs(spark):
     ],
 )
 def test_commands(spark, spec, want):
-    assert tuple(column(spark, packages.resolve_command, spec)[0]) == want
+    r = packages.resolve_commands(spark.createDataFrame([(spec,)], "spec string")).first()
+    assert (r.ecosystem, r.package, r.note) == want
 
 
 def test_verify_end_to_end(spark):
