@@ -11,7 +11,7 @@ near zero, are left out.
 Training reads at most ``max_rows`` labelled rows, chosen by a hash of their id
 from all that are allowed; a table of that many ids and labels is what is
 broadcast.  Counting for the ratios and the scaled features runs in tasks; the
-driver gets 16 MB of counters and the few features left of each training row.
+driver gets 8 MB of counters and the few features left of each training row.
 Scoring is one pass without a shuffle, with 4 MB of weights, over whole texts.
 
 Defined results: null and empty texts get the intercept's score, like any text
@@ -36,6 +36,7 @@ from .common import staged, table
 ORDERS = (3, 4, 5)
 BITS = 20
 MAX_ROWS = 12_000
+TRAIN_TASKS = 12
 THRESHOLD = 0.7
 LEAST_ROWS = 5
 LEAST_RATIO = 0.7
@@ -108,6 +109,14 @@ def _nb_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([block], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], ["toxic", "block", "counts"])
 
 
+def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << BITS) // 64, np.int64)
+    for batch in batches:
+        for x in batch.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<i4")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.astype("<i4").tobytes()], pa.binary())], ["toxic", "block", "counts"])
+
+
 def _features(ratios):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.frombuffer(ratios.value, "<f4")
@@ -152,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id"), "toxic-rows")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id")
+    rows = staged(rows.repartition(TRAIN_TASKS), "toxic-rows")  # few tasks, as each counts in a table of its own
     number = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     size = 1 << BITS
     if len(number) < 2:
@@ -160,8 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
         share = min(max(share, 1e-6), 0.5)
         return np.zeros(size, "<f4").tobytes(), float(np.log(share / (1 - share)))
     counts = np.zeros((2, 64, size // 64), np.int64)
-    for r in rows.mapInArrow(_nb_counts, "toxic int, block int, counts binary").toLocalIterator():
-        counts[r["toxic"], r["block"]] += np.frombuffer(r["counts"], "<i4")
+    blocks = rows.mapInArrow(_nb_counts, "toxic int, block int, counts binary").groupBy("toxic", "block")
+    for r in blocks.applyInArrow(_sum_counts, "toxic int, block int, counts binary").collect():
+        counts[r["toxic"], r["block"]] = np.frombuffer(r["counts"], "<i4")
     neg, pos = counts.reshape(2, size)
     ratios = np.log((pos + 1) / (number[1] + 2)) - np.log((neg + 1) / (number[0] + 2))
     ratios[(pos + neg < LEAST_ROWS) | (np.abs(ratios) < LEAST_RATIO)] = 0
