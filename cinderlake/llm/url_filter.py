@@ -1,7 +1,7 @@
 """URL filters: allow and block rules, and a classifier for what no rule decides.
 
 The classifier is a logistic regression on hashed character 3- to 5-grams of host
-and path , fitted on the driver from a small labelled URL table.
+and path, fitted on the driver from a small labelled URL table.
 Rules fit a host and its subdomains and a path by prefix; the longest rule wins.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
