@@ -2,18 +2,21 @@
 
 A tokenizer that drops white space encodes the parts between white space one by
 one, so each distinct part is encoded once and kept; text is then a matter of
-splitting and joining.  Parts that are new in a batch are encoded together.
+splitting and joining.  Most new parts are a run of letters, perhaps with a comma
+or stop after it: where the file's rules make such a run one lower-cased word, it
+goes to the model directly.  All others are encoded together, in the full way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Distinct parts that a worker keeps before it begins anew.
-KEEP = 400_000
+KEEP = 1_000_000
 #: Separators for str.split that are no white space to the tokenizer's own rule.
 _ODD = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, SpacedTokens] = {}
@@ -25,6 +28,20 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class SpacedTokens:
     """Little-endian unsigned 32-bit ids as bytes, for a tokenizer that drops white space."""
 
@@ -33,7 +50,25 @@ class SpacedTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.word_is_lower_run = self._lower_runs(json.load(f))
+        self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _lower_runs(rules: dict) -> bool:
+        """Whether a run of letters is one word of its lower-cased bytes."""
+        steps = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+            and "|[\\p{L}]+|" in parts[0]["pattern"].get("Regex", "")
+            and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
+            and rules["model"]["type"] == "BPE"
+            and not rules["post_processor"]
+        )
 
     @classmethod
     def at(cls, path: str) -> SpacedTokens:
@@ -42,20 +77,37 @@ class SpacedTokens:
         return _loaded[path]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """A lower-cased run of letters below U+0130, which no normal form changes."""
+        found = self.words.get(word)
+        if found is None:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        kept, rest = self.kept, []
+        marks = {m: kept.get(m) or self._encode([m])[0] for m in ",."}
+        for part in new:
+            if self.word_is_lower_run:
+                mark = part[-1] if part[-1] in ",." else ""
+                run = part[:-1] if mark else part
+                if run.isalpha() and max(run) < "İ":
+                    ids = self._word(run.lower())
+                    kept[part] = ids + marks[mark] if mark else ids
+                    continue
+            rest.append(part)
+        kept.update(zip(rest, self._encode(rest)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > KEEP:
             self.kept.clear()
-        kept = self.kept
+            self.words.clear()
         split = [None if _ODD.search(t) else t.split() for t in texts]
-        new = set().union(*(s for s in split if s)) - kept.keys()
+        new = set().union(*(s for s in split if s)) - self.kept.keys()
         if new:
-            # A letter run and a comma or stop after it are tokens apart.
-            bases = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ",." and p[-2].isalpha()}
-            single = list((new - bases.keys()) | (set(bases.values()) - kept.keys()) | ({",", "."} - kept.keys()))
-            kept.update(zip(single, self._encode(single)))
-            for p, base in bases.items():
-                kept[p] = kept[base] + kept[p[-1]]
-        get = kept.__getitem__
+            self._learn(new)
+        get = self.kept.__getitem__
         return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
