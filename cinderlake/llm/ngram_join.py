@@ -17,11 +17,14 @@ The steps as Spark jobs:
    any corpus size; any consistent order keeps the filter exact, the counts only
    make it rare-first.
 2. A second pass emits the prefixes, once per class and task.  They are shuffled
-   by shingle, and sorted by shingle and set size within partitions.
+   by shingle, and sorted by shingle, length class and place within partitions.
 3. Lists are read as sorted streams, in constant memory.  Each row is paired with
    the first row of its list in the same length class (sets within a ratio of t)
-   and with its predecessor: two pairs a row, however long the list.
-4. These pairs are verified, and their links joined to components.
+   and with its predecessor: two pairs a row, however long the list.  First is the
+   set in whose order the shingle comes earliest.  In a group of near copies that
+   is the text that the others were made from, which has the fewest rare shingles.
+4. Of these, each class keeps the pair that the most lists share, so at most one
+   pair a class is verified, and the links are joined to components.
 5. Lists that still hold several components are joined again, but only pairs of
    different components are made, and one side leaves out the list's largest
    component, so that a group of copies costs its size, not its square.  Pairs
@@ -66,6 +69,19 @@ def prefix_length(n, num: int, den: int):
     return n - (num * n + den - 1) // den + 1
 
 
+LEVEL, PLACE = 56, 32
+
+
+def packed(n: int, places: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length class, place in the set's order, and size of the set, in the order that lists are sorted by.
+
+    Sets of one length class are within a ratio of num / den.  Places stop at
+    2 ** 24 - 1, which makes the positional filter pass more, never less.
+    """
+    level = int(math.floor(math.log(n) / math.log(den / num) + 1e-9)) if num < den else min(n, 127)
+    return (level << LEVEL) + (np.minimum(places, (1 << 24) - 1) << PLACE) + n
+
+
 def _counted(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int64), set()
@@ -131,7 +147,7 @@ def _prefixes(k: int, num: int, den: int, counts):
                 p = prefix_length(n, num, den)
                 f = freq[(s >> np.uint64(44)).astype(np.int64)]
                 first = np.argsort(f, kind="stable")[:p]  # s is sorted: ties go by hash
-                parts.append((s[first], np.full(p, c, np.int64), (n << 32) + np.arange(p, dtype=np.int64)))
+                parts.append((s[first], np.full(p, c, np.int64), packed(n, np.arange(p, dtype=np.int64), num, den)))
                 held += p
                 if held > 100_000:
                     yield out(parts)
@@ -143,13 +159,12 @@ def _prefixes(k: int, num: int, den: int, counts):
 
 
 def _lists(num: int, den: int):
-    """Sorted lists to pairs (kind 0: x, y classes, z sizes) and rows of lists of several classes (kind 1: x shingle, y class, z size and place)."""
-    base = math.log(den / num)
+    """Sorted lists to pairs (kind 0: x, y classes, z how often) and rows of lists of several classes (kind 1: x shingle, y class, z size and place)."""
 
     def passes(z1, z2):
-        n1, n2 = z1 >> 32, z2 >> 32
+        n1, n2 = z1 & 0xFFFFFFFF, z2 & 0xFFFFFFFF
         a = alpha(n1, n2, num, den)
-        return (n1 - (z1 & 0xFFFFFFFF) >= a) & (n2 - (z2 & 0xFFFFFFFF) >= a)
+        return (n1 - (z1 >> PLACE & 0xFFFFFF) >= a) & (n2 - (z2 >> PLACE & 0xFFFFFF) >= a)
 
     def batch_of(kind, x, y, z):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(z)], ["kind", "x", "y", "z"])
@@ -169,7 +184,7 @@ def _lists(num: int, den: int):
             h, c, z = h[fresh], c[fresh], z[fresh]
             same = np.zeros(len(h), bool)
             same[1:] = h[1:] == h[:-1]
-            level = np.floor(np.log((z >> 32).astype(np.float64)) / base + 1e-9)
+            level = z >> LEVEL
             start = ~same
             start[1:] |= level[1:] != level[:-1]
             at = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
@@ -186,15 +201,13 @@ def _lists(num: int, den: int):
             zx, zy = np.concatenate((pz[star], z[chain - 1])), np.concatenate((z[star], z[chain]))
             ok = passes(zx, zy) & (x != y)
             if ok.any():
-                x, y, zx, zy = x[ok], y[ok], zx[ok] >> 32, zy[ok] >> 32
-                turn = (zx > zy) | (zx == zy) & (x > y)
-                x, y = np.where(turn, y, x), np.where(turn, x, y)
-                sizes = (np.minimum(zx, zy) << 32) + np.maximum(zx, zy)
+                x, y = x[ok], y[ok]
                 order = np.lexsort((y, x))
-                x, y, sizes = x[order], y[order], sizes[order]
+                x, y = x[order], y[order]
                 new = np.ones(len(x), bool)
                 new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                yield batch_of(0, x[new], y[new], sizes[new])
+                at = np.flatnonzero(new)
+                yield batch_of(0, x[at], y[at], np.diff(np.append(at, len(x))))
             several = same.copy()
             several[:-1] |= same[1:]
             several[-1] = False
@@ -237,51 +250,53 @@ def _verified(num: int, den: int):
 
 def _wanted(k: int, bits, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = np.frombuffer(bits.value, np.uint8), set()
+        bitmap = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for s in shingle_sets(batch.column(0), k):
+            keys, sets, held = [], [], 0
+            docs = batch.column(0).to_pylist()
+            for doc, s in zip(docs, shingle_sets(batch.column(1), k)):
                 if not len(s):
                     continue
-                c = fingerprint(s)
-                at = c & (width - 1)
-                if not bitmap[at >> 3] >> (at & 7) & 1 or c in seen:
+                key = fingerprint(s) if doc is None else doc
+                at = key & (width - 1)
+                if not bitmap[at >> 3] >> (at & 7) & 1:
                     continue
-                if len(seen) < SEEN:
-                    seen.add(c)
-                ids.append(c)
+                keys.append(key)
                 sets.append(s.astype("<u8").tobytes())
                 held += len(s)
                 if held > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "set"])
+                    keys, sets, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "set"])
 
     return run
 
 
-def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
-    """The links among ``pairs`` (``a, b``: classes).  Sets are made anew, for classes in pairs only.
+def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
+    """The links among ``pairs`` (``a, b``: classes).
 
-    A bitmap of classes in pairs (at most 128 MB, and 8 bits a class below that)
-    keeps the sets of most other classes from being shuffled; it passes every
-    class that is wanted, so the join after it stays exact.
+    Sets are made anew, for one document of each class in a pair (``classes``:
+    ``cls, key``).  A bitmap of these documents (at most 128 MB, and 32 bits a
+    pair below that) keeps most other sets from being shuffled; it passes every
+    document that is wanted, so the joins after it stay exact.
     """
-    spark = texts.sparkSession
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    width = 1 << min(30, max(16, (8 * pairs.count()).bit_length()))
-    bit = F.col("cls").bitwiseAND(F.lit(width - 1)) + 1  # Spark's buckets count from 1, and hold 32,768 positions
-    rows = ends.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    spark = rows.sparkSession
+    pairs = pairs.join(classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a")
+    pairs = staged(pairs.join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select("a", "b", "key_a", "key_b"), f"{tag}-keyed")
+    width = 1 << min(30, max(16, (32 * pairs.count()).bit_length()))
+    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"))
+    bit = F.col("key").bitwiseAND(F.lit(width - 1)) + 1  # Spark's buckets count from 1, and hold 32,768 positions
+    parts = ends.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
     bitmap = np.zeros(width // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in parts.coalesce(8).toLocalIterator():
         part = np.frombuffer(r["bits"], np.uint8)
         bitmap[(r["bucket"] - 1) * 4096 :][: len(part)] = part
     bits = spark.sparkContext.broadcast(bitmap.tobytes())
-    sets = staged(texts.mapInArrow(_wanted(k, bits, width), "cls long, set binary").dropDuplicates(["cls"]), f"{tag}-sets")
-    a, b = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    return staged(rows.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
+    sets = staged(rows.mapInArrow(_wanted(k, bits, width), "key long, set binary"), f"{tag}-sets")
+    a, b = sets.select(F.col("key").alias("key_a"), F.col("set").alias("set_a")), sets.select(F.col("key").alias("key_b"), F.col("set").alias("set_b"))
+    both = pairs.join(a, "key_a").join(b, "key_b").select("a", "b", "set_a", "set_b")
+    return staged(both.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,17 +309,23 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
 
     first = staged(rows.mapInArrow(_counted(k), "doc_id long, n long, cls long, block int, counts binary"), "join-first")
     members = first.where("block is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    classes = members.where("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", "cls")).alias("key"), F.count("*").alias("n")
+    )
+    classes = staged(classes, "join-classes")
     counts = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), "<u4")
     blocks = first.where("block is not null").select("block", "counts")
-    for r in blocks.groupBy("block").applyInArrow(_sum_counts, "block int, counts binary").toLocalIterator():
+    for r in blocks.groupBy("block").applyInArrow(_sum_counts, "block int, counts binary").collect():
         counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
     shared = spark.sparkContext.broadcast(counts.tobytes())
 
     prefixes = texts.mapInArrow(_prefixes(k, num, den, shared), "h long, cls long, np long")
     by_shingle = prefixes.repartition(tasks_for(prefixes), "h").sortWithinPartitions("h", "np", "cls")
     lists = staged(by_shingle.mapInArrow(_lists(num, den), "kind int, x long, y long, z long"), "join-lists")
-    pairs = staged(lists.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "join-pairs")
-    links = verify(texts, pairs, k, num, den, "join-1")
+    # Of a class's pairs with smaller ones, the pair that the most lists share.
+    shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
+    pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), "join-pairs")
+    links = verify(rows, classes, pairs, k, num, den, "join-1")
     comp = components(links, "join-comp")
 
     # Lists in which several components meet.
@@ -319,21 +340,20 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
     open_posts = staged(posts.join(mixed, "h"), "join-open")
     left = open_posts.where("comp <> largest").select("h", F.col("cls").alias("c1"), F.col("comp").alias("k1"), F.col("np").alias("z1"))
     right = open_posts.select("h", F.col("cls").alias("c2"), F.col("comp").alias("k2"), F.col("np").alias("z2"))
-    n1, n2 = F.shiftright("z1", 32), F.shiftright("z2", 32)
+    n1, n2 = (F.col(z).bitwiseAND(F.lit(0xFFFFFFFF)) for z in ("z1", "z2"))
+    place1, place2 = (F.shiftright(z, PLACE).bitwiseAND(F.lit(0xFFFFFF)) for z in ("z1", "z2"))
     least = F.floor((num * (n1 + n2) + (num + den - 1)) / F.lit(num + den)).cast("long")
-    low = F.lit(0xFFFFFFFF)
-    fits = (n1 - F.col("z1").bitwiseAND(low) >= least) & (n2 - F.col("z2").bitwiseAND(low) >= least)
+    fits = (n1 - place1 >= least) & (n2 - place2 >= least)
     met = left.join(right, (left.h == right.h) & (F.col("k1") != F.col("k2")) & fits)
     more = met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(done, ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
-        fresh = verify(texts, more, k, num, den, "join-2")
+        fresh = verify(rows, classes, more, k, num, den, "join-2")
         if not fresh.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(fresh.select("a", "b")), "join-comp-2")
 
     # Back to the documents: only classes of several documents or of a component need a row.
-    classes = staged(members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "join-classes")
     classes = classes.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").where("n > 1 or comp is not null")
     classes = staged(classes.withColumn("comp", F.coalesce("comp", "cls")), "join-grouped")
     heads = staged(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "join-heads")
