@@ -16,8 +16,8 @@ the rows: Spark broadcasts a table whose measured size allows it, and otherwise
 splits the partitions of a hot length, prefix or text.
 
 Defined results: a null text counts as the empty text; equal texts keep the row
-with the largest id; an empty table gives an empty result; repeated rows with one
-id are one row's copies (each returned, and each counted in ``group_size``); a
+with the largest id; an empty table gives an empty result; repeated rows of one id
+are each returned, each counted in ``group_size``, and kept or dropped together; a
 null id sorts below all others; extra columns are ignored.
 """
 
@@ -37,14 +37,8 @@ def exact_dedup(
     """One row per document: ``doc_id, keep_id, group_size, kept``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = staged(
-        src.select(
-            "doc_id",
-            F.octet_length("text").alias("len"),
-            F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("prefix"),
-        ),
-        "dedup-rows",
-    )
+    length, prefix = F.octet_length("text").alias("len"), F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("prefix")
+    rows = staged(src.select("doc_id", length, prefix), "dedup-rows")
     lengths = staged(rows.groupBy("len").count().where("count > 1").select("len"), "dedup-lengths")
     again = rows.join(lengths, "len", "left_semi")
     prefixes = staged(
@@ -53,7 +47,7 @@ def exact_dedup(
     alike = staged(again.join(prefixes, ["len", "prefix"], "left_semi").select("doc_id").distinct(), "dedup-alike")
     full = staged(
         src.join(alike.withColumnRenamed("doc_id", "alike_id"), F.col("doc_id").eqNullSafe(F.col("alike_id")), "left_semi").select(
-            "doc_id", F.octet_length("text").alias("len"), F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest")
+            "doc_id", length, prefix, F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest")
         ),
         "dedup-full",
     )
@@ -63,16 +57,16 @@ def exact_dedup(
         .where("group_size > 1"),
         "dedup-groups",
     )
-    copies = full.join(groups, ["len", "digest"]).select(
-        F.col("doc_id").alias("copy_id"), "keep_id", "group_size"
-    )
-    # One row for each id, for ids that are repeated.
-    copies = copies.groupBy("copy_id").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    return rows.join(copies, rows.doc_id.eqNullSafe(copies.copy_id), "left").select(
+    copies = full.join(groups, ["len", "digest"]).select(F.col("doc_id").alias("copy_id"), "len", "prefix", "keep_id", "group_size")
+    # One row for each, where rows are repeated.
+    copies = copies.groupBy("copy_id", "len", "prefix").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    c = copies.withColumnsRenamed({"len": "copy_len", "prefix": "copy_prefix"})
+    same = rows.doc_id.eqNullSafe(c.copy_id) & (rows.len == c.copy_len) & (rows.prefix == c.copy_prefix)
+    return rows.join(c, same, "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep_id").eqNullSafe(F.col("doc_id")) | F.col("copy_id").isNull() & F.col("keep_id").isNull(), F.lit(True)).alias("kept"),
+        (F.col("copy_len").isNull() | F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
     )
 
 

@@ -20,7 +20,7 @@ ends.  A hot source is thus dealt over its slots, and no task ever sorts a sourc
 
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; sources of size 0 have target 0; documents of one id tie and are
-ordered by size; an empty table gives an empty result; extra columns stay.
+ordered by size; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -66,7 +66,11 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` has ``doc_id, source, size``.  Adds ``source_size, target, taken`` (words)."""
+    """``docs`` has ``doc_id, source, size``.  Adds ``source_size, target, taken`` (words).
+
+    Columns of these names in ``docs`` are replaced, other columns stay.
+    """
+    docs = docs.drop("source_size", "target", "taken", "slot_size")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.withColumn("_key", key).withColumn(
         "_slot", (F.conv(F.substring("_key", 1, SLOT_HEX), 16, 10).cast("int") % 1024)
@@ -110,14 +114,14 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     A repetition that is taken in part holds the words that are taken, with the
     white space between them.
     """
-    names = docs.columns
-    picked = mix(docs.withColumn("size", words(F.col("text"))), **options).where("taken > 0")
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct("*").alias("_row"))
+    picked = mix(rows, **options).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     part = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, part.cast("int")), "")
-    text = F.when(part < F.col("size"), head).otherwise(F.col("text"))
-    cols = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
+    head = F.array_join(F.slice(F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, part.cast("int")), "")
+    text = F.when(part < F.col("size"), head).otherwise(F.col("_row.text"))
+    cols = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.select(*cols)
 
 

@@ -217,4 +217,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, in their own columns."""
     score = scorer(docs.sparkSession, train(docs, learnable(labels)))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") < threshold).drop("_score")
+    return docs.where(score("text") < threshold)

@@ -85,6 +85,13 @@ def test_mix_reaches_targets_with_whole_and_fractional_repetitions(spark):
     assert out.where("n_chars <> length(text)").isEmpty()
 
 
+def test_mix_keeps_columns_of_clashing_names(spark):
+    rows = [(i, "a b c", "s", 7, 8, 9, 10) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int, taken int, slot_size int")
+    out = mixed_rows(df)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {(7, 8, 9, 10)}
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixed_rows(empty).collect() == []
