@@ -37,7 +37,8 @@ Defined results: null, empty and blank texts have no shingles, link with nothing
 and are components of their own; a text of 1 to 4 words has one shingle, its
 whole word sequence; ties and repeated rows are copies of one class; null ids are
 kept; an empty table gives an empty result; extra columns are ignored.  Sets are
-held as 64-bit hashes of shingles, classes as 64-bit fingerprints of sets.
+held as 64-bit hashes of shingles (48 bits where they are verified), classes as
+64-bit fingerprints of sets.
 """
 
 from __future__ import annotations
@@ -231,12 +232,26 @@ def _hamming(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return _hamming(a[:i], b[:j], depth - 1) + _hamming(a[i + hit :], b[j + 1 :], depth - 1) + (not hit)
 
 
+#: Sets are shipped as the upper 48 bits of each hash.
+SHIPPED = 6
+
+
+def shipped(s: np.ndarray) -> bytes:
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SHIPPED :]).tobytes()
+
+
+def received(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHIPPED, 8), np.uint8)
+    out[:, :SHIPPED] = np.frombuffer(data, np.uint8).reshape(-1, SHIPPED)
+    return out.view("<u8").reshape(-1)
+
+
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                p, q = received(p.as_buffer()), received(q.as_buffer())
                 least = alpha(len(p), len(q), num, den)
                 if min(len(p), len(q)) < least or _hamming(p, q, 3) > len(p) + len(q) - 2 * least:
                     continue
@@ -248,53 +263,65 @@ def _verified(num: int, den: int):
     return run
 
 
-def _wanted(k: int, bits, width: int):
+def _wanted(k: int, bitmaps, width: int):
+    names = ["key", "as_a", "as_b", "set"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(bits.value, np.uint8)
+        first, second = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
+
+        def out(rows):
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
-            keys, sets, held = [], [], 0
+            rows, held = [], 0
             docs = batch.column(0).to_pylist()
             for doc, s in zip(docs, shingle_sets(batch.column(1), k)):
                 if not len(s):
                     continue
                 key = fingerprint(s) if doc is None else doc
                 at = key & (width - 1)
-                if not bitmap[at >> 3] >> (at & 7) & 1:
+                as_a, as_b = (bool(x[at >> 3] >> (at & 7) & 1) for x in (first, second))
+                if not (as_a or as_b):
                     continue
-                keys.append(key)
-                sets.append(s.astype("<u8").tobytes())
+                rows.append((key, as_a, as_b, shipped(s)))
                 held += len(s)
                 if held > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "set"])
-                    keys, sets, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "set"])
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
     return run
 
 
+def _bitmap(keys: DataFrame, width: int) -> bytes:
+    """Bits of the keys' low parts."""
+    bit = F.col("key").bitwiseAND(F.lit(width - 1)) + 1  # Spark's buckets count from 1, and hold 32,768 positions
+    parts = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    out = np.zeros(width // 8, np.uint8)
+    for r in parts.coalesce(8).toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[(r["bucket"] - 1) * 4096 :][: len(part)] = part
+    return out.tobytes()
+
+
 def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
     """The links among ``pairs`` (``a, b``: classes).
 
     Sets are made anew, for one document of each class in a pair (``classes``:
-    ``cls, key``).  A bitmap of these documents (at most 128 MB, and 32 bits a
-    pair below that) keeps most other sets from being shuffled; it passes every
-    document that is wanted, so the joins after it stay exact.
+    ``cls, key``).  A bitmap of these documents for either side (at most 64 MB
+    each, and 32 bits a pair below that) keeps most other sets from being shuffled;
+    it passes every document that is wanted, so the joins after it stay exact.
     """
     spark = rows.sparkSession
     pairs = pairs.join(classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a")
     pairs = staged(pairs.join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select("a", "b", "key_a", "key_b"), f"{tag}-keyed")
-    width = 1 << min(30, max(16, (32 * pairs.count()).bit_length()))
-    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key"))
-    bit = F.col("key").bitwiseAND(F.lit(width - 1)) + 1  # Spark's buckets count from 1, and hold 32,768 positions
-    parts = ends.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    bitmap = np.zeros(width // 8, np.uint8)
-    for r in parts.coalesce(8).toLocalIterator():
-        part = np.frombuffer(r["bits"], np.uint8)
-        bitmap[(r["bucket"] - 1) * 4096 :][: len(part)] = part
-    bits = spark.sparkContext.broadcast(bitmap.tobytes())
-    sets = staged(rows.mapInArrow(_wanted(k, bits, width), "key long, set binary"), f"{tag}-sets")
-    a, b = sets.select(F.col("key").alias("key_a"), F.col("set").alias("set_a")), sets.select(F.col("key").alias("key_b"), F.col("set").alias("set_b"))
+    width = 1 << min(29, max(16, (32 * pairs.count()).bit_length()))
+    bitmaps = spark.sparkContext.broadcast(tuple(_bitmap(pairs.select(F.col(c).alias("key")), width) for c in ("key_a", "key_b")))
+    sets = staged(rows.mapInArrow(_wanted(k, bitmaps, width), "key long, as_a boolean, as_b boolean, set binary"), f"{tag}-sets")
+    a = sets.where("as_a").select(F.col("key").alias("key_a"), F.col("set").alias("set_a"))
+    b = sets.where("as_b").select(F.col("key").alias("key_b"), F.col("set").alias("set_b"))
     both = pairs.join(a, "key_a").join(b, "key_b").select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
 

@@ -2,9 +2,9 @@
 
 A tokenizer that drops white space encodes the parts between white space one by
 one, so each distinct part is encoded once and kept; text is then a matter of
-splitting and joining.  Most new parts are a run of letters, perhaps with a comma
-or stop after it: where the file's rules make such a run one lower-cased word, it
-goes to the model directly.  All others are encoded together, in the full way.
+splitting and joining.  Where the file's rules are the usual ones (lower case, one
+pattern that cuts words, byte letters), a new part of Latin letters is cut by that
+pattern and its words go to the file's model; any other part is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import re
 import sys
 from array import array
 
+import regex
+
 #: Distinct parts that a worker keeps before it begins anew.
 KEEP = 1_000_000
 #: Separators for str.split that are no white space to the tokenizer's own rule.
@@ -42,8 +44,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class SpacedTokens:
-    """Little-endian unsigned 32-bit ids as bytes, for a tokenizer that drops white space."""
+class SpacedTokens(dict):
+    """Parts to ids, for a tokenizer that drops white space.  Ids are little-endian unsigned 32-bit, as bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,24 +53,28 @@ class SpacedTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.word_is_lower_run = self._lower_runs(json.load(f))
+            rules = json.load(f)
+        self.cut = self._pattern(rules)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = [t["content"] for t in rules["added_tokens"]]
         self.letters = _byte_letters()
-        self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     @staticmethod
-    def _lower_runs(rules: dict) -> bool:
-        """Whether a run of letters is one word of its lower-cased bytes."""
+    def _pattern(rules: dict):
+        """What cuts lower-cased text into words, or None for a file of other rules."""
         steps = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
         parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        return (
+        usual = (
             steps == ["NFC", "Replace", "Lowercase"]
             and [p["type"] for p in parts] == ["Split", "ByteLevel"]
-            and "|[\\p{L}]+|" in parts[0]["pattern"].get("Regex", "")
+            and (parts[0]["behavior"], parts[0]["invert"]) == ("Removed", True)
             and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"])
             and rules["model"]["type"] == "BPE"
             and not rules["post_processor"]
+            and not any(t["content"].isalpha() for t in rules["added_tokens"])
         )
+        return regex.compile(parts[0]["pattern"]["Regex"]) if usual else None
 
     @classmethod
     def at(cls, path: str) -> SpacedTokens:
@@ -76,38 +82,35 @@ class SpacedTokens:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """A lower-cased run of letters below U+0130, which no normal form changes."""
         found = self.words.get(word)
         if found is None:
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
+            spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = _packed([t.id for t in self.tokenize(spelt)])
         return found
 
-    def _learn(self, new: set[str]) -> None:
-        kept, rest = self.kept, []
-        marks = {m: kept.get(m) or self._encode([m])[0] for m in ",."}
-        for part in new:
-            if self.word_is_lower_run:
-                mark = part[-1] if part[-1] in ",." else ""
-                run = part[:-1] if mark else part
-                if run.isalpha() and max(run) < "İ":
-                    ids = self._word(run.lower())
-                    kept[part] = ids + marks[mark] if mark else ids
-                    continue
-            rest.append(part)
-        kept.update(zip(rest, self._encode(rest)))
+    def __missing__(self, part: str) -> bytes:
+        # Below U+0130 no normal form changes a letter, and each has one lower-case form.
+        low = part.lower()
+        if self.cut is None or max(part) >= "İ":
+            ids = self.whole(part)
+        elif low.isalpha():
+            ids = self.words.get(low) or self._word(low)
+        elif any(m in part for m in self.marks):
+            ids = self.whole(part)
+        else:
+            ids = b"".join(map(self._word, self.cut.findall(low)))
+        self[part] = ids
+        return ids
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEEP:
-            self.kept.clear()
-            self.words.clear()
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        new = set().union(*(s for s in split if s)) - self.kept.keys()
-        if new:
-            self._learn(new)
-        get = self.kept.__getitem__
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        out, get = [], self.__getitem__
+        for t in texts:
+            if len(self) > KEEP:
+                self.clear()
+                self.words.clear()
+            out.append(self.whole(t) if _ODD.search(t) else b"".join(map(get, t.split())))
+        return out
