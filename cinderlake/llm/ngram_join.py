@@ -5,8 +5,9 @@ shingle first.  Two sets of a and b shingles that meet the threshold t share at
 least ``alpha = ceil(t / (1 + t) * (a + b))`` of them, so they share one among
 the first ``n - ceil(t * n) + 1`` of each, and the first one that they share lies
 early enough in both to leave ``alpha`` (the positional filter, which includes
-the length filter).  Candidates pass a suffix filter, a lower bound of the
-Hamming distance by splitting both sets around common pivots, and are verified
+the length filter).  Candidates pass two suffix filters, which bound the overlap by
+splitting both sets: around fixed pivots, from counts of n / 4 to n / 2 bytes that
+are shuffled instead of the sets, then around common pivots.  The rest are verified
 once, on whole sets.
 
 The steps as Spark jobs:
@@ -59,6 +60,7 @@ COUNTERS = 1 << 20
 COUNTER_BLOCKS = 64
 #: Classes that a task remembers, so as to emit each once.
 SEEN = 1 << 20
+FIRST = ["doc_id", "n", "cls", "sketch", "block", "counts"]
 
 
 def alpha(a, b, num: int, den: int):
@@ -83,15 +85,39 @@ def packed(n: int, places: np.ndarray, num: int, den: int) -> np.ndarray:
     return (level << LEVEL) + (np.minimum(places, (1 << 24) - 1) << PLACE) + n
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements lie in each of 2 ** floor(log2(n)) equal ranges of hashes, two counts a byte; empty if a count passes 15."""
+    bits = max(1, len(s).bit_length() - 1)
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    if counts.max() > 15:
+        return b""
+    counts = counts.astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def may_link(p: bytes, q: bytes, num: int, den: int) -> bool:
+    """The suffix filter at fixed pivots: whether the sums of smaller counts leave enough overlap.  An empty sketch passes."""
+    if not len(p) or not len(q):
+        return True
+    p, q = (np.stack((x & 15, x >> 4), 1).reshape(-1) for x in (np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)))
+    least = alpha(int(p.sum()), int(q.sum()), num, den)
+    if len(p) > len(q):
+        p = p.reshape(len(q), -1).sum(1)
+    elif len(q) > len(p):
+        q = q.reshape(len(p), -1).sum(1)
+    return int(np.minimum(p, q).sum()) >= least
+
+
 def _counted(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int64), set()
         for batch in batches:
-            sizes, classes, fresh, held = [], [], [], 0
+            sizes, classes, sketches, fresh, held = [], [], [], [], 0
             for s in shingle_sets(batch.column(1), k):
                 c = fingerprint(s) if len(s) else 0
                 sizes.append(len(s))
                 classes.append(c)
+                sketches.append(sketch(s) if len(s) else None)
                 if len(s) and c not in seen:
                     if len(seen) < SEEN:
                         seen.add(c)
@@ -104,15 +130,15 @@ def _counted(k: int):
                 counts += np.bincount(np.concatenate(fresh), minlength=COUNTERS)
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                ["doc_id", "n", "cls", "block", "counts"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                FIRST,
             )
         if counts.any():
             parts = counts.astype("<u4").reshape(COUNTER_BLOCKS, -1)
             m = COUNTER_BLOCKS
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                ["doc_id", "n", "cls", "block", "counts"],
+                [*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                FIRST,
             )
 
     return run
@@ -232,6 +258,8 @@ def _hamming(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return _hamming(a[:i], b[:j], depth - 1) + _hamming(a[i + hit :], b[j + 1 :], depth - 1) + (not hit)
 
 
+#: Columns of pairs: two classes and the documents that stand for them.
+PAIR = ["a", "b", "key_a", "key_b"]
 #: Sets are shipped as the upper 48 bits of each hash.
 SHIPPED = 6
 
@@ -263,28 +291,43 @@ def _verified(num: int, den: int):
     return run
 
 
-def _wanted(k: int, bitmaps, width: int):
-    names = ["key", "as_a", "as_b", "set"]
+def _on_bitmaps(bitmaps, width: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys either bitmap holds."""
+    at = keys & (width - 1)
+    return tuple((np.frombuffer(x, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool) for x in bitmaps.value)
+
 
+def _wanted_sketches(bitmaps, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
+        for batch in batches:
+            as_a, as_b = _on_bitmaps(bitmaps, width, batch.column(0).to_numpy())
+            keep = pa.array(as_a | as_b)
+            columns = [batch.column(1), pa.array(as_a), pa.array(as_b), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["cls", "as_a", "as_b", "sketch"])
 
+    return run
+
+
+def _wanted_sets(k: int, bitmaps, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
             kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["cls", "as_a", "as_b", "set"])
 
         for batch in batches:
             rows, held = [], 0
-            docs = batch.column(0).to_pylist()
-            for doc, s in zip(docs, shingle_sets(batch.column(1), k)):
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            sides = [x | ~known for x in _on_bitmaps(bitmaps, width, batch.column(0).fill_null(0).to_numpy())]
+            at = np.flatnonzero(sides[0] | sides[1])
+            for i, s in zip(at, shingle_sets(batch.column(1).take(pa.array(at)), k)):
                 if not len(s):
                     continue
-                key = fingerprint(s) if doc is None else doc
-                at = key & (width - 1)
-                as_a, as_b = (bool(x[at >> 3] >> (at & 7) & 1) for x in (first, second))
-                if not (as_a or as_b):
-                    continue
-                rows.append((key, as_a, as_b, shipped(s)))
+                c, as_a, as_b = fingerprint(s), bool(sides[0][i]), bool(sides[1][i])
+                if not known[i]:  # a row without an id goes by its class
+                    as_a, as_b = (bool(x[0]) for x in _on_bitmaps(bitmaps, width, np.asarray([c], np.int64)))
+                    if not (as_a or as_b):
+                        continue
+                rows.append((c, as_a, as_b, shipped(s)))
                 held += len(s)
                 if held > 1 << 19:
                     yield out(rows)
@@ -295,6 +338,15 @@ def _wanted(k: int, bitmaps, width: int):
     return run
 
 
+def _near(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([may_link(p.as_buffer(), q.as_buffer(), num, den) for p, q in zip(batch.column("sketch_a"), batch.column("sketch_b"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in PAIR], PAIR)
+
+    return run
+
+
 def _bitmap(keys: DataFrame, width: int) -> bytes:
     """Bits of the keys' low parts."""
     bit = F.col("key").bitwiseAND(F.lit(width - 1)) + 1  # Spark's buckets count from 1, and hold 32,768 positions
@@ -306,23 +358,36 @@ def _bitmap(keys: DataFrame, width: int) -> bytes:
     return out.tobytes()
 
 
-def verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
+def _bitmaps(pairs: DataFrame):
+    """A bitmap of the documents that stand for classes, for either side of the pairs: at most 64 MB each, and 32 bits a pair below that."""
+    width = 1 << min(29, max(16, (32 * pairs.count()).bit_length()))
+    return pairs.sparkSession.sparkContext.broadcast(tuple(_bitmap(pairs.select(F.col(c).alias("key")), width) for c in ("key_a", "key_b"))), width
+
+
+def _with_both(pairs: DataFrame, sides: DataFrame, what: str) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(sides.where(f"as_{x}").select(F.col("cls").alias(x), F.col(what).alias(f"{what}_{x}")), x)
+    return pairs
+
+
+def verify(rows: DataFrame, first: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
     """The links among ``pairs`` (``a, b``: classes).
 
-    Sets are made anew, for one document of each class in a pair (``classes``:
-    ``cls, key``).  A bitmap of these documents for either side (at most 64 MB
-    each, and 32 bits a pair below that) keeps most other sets from being shuffled;
-    it passes every document that is wanted, so the joins after it stay exact.
+    Sketches are compared first, then sets, which are made anew for one document of
+    each class in a pair that is left (``classes``: ``cls, key``).  Bitmaps of these
+    documents keep most other sketches and sets from being shuffled; they pass every
+    document that is wanted, so the joins after them stay exact.
     """
-    spark = rows.sparkSession
     pairs = pairs.join(classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a")
-    pairs = staged(pairs.join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select("a", "b", "key_a", "key_b"), f"{tag}-keyed")
-    width = 1 << min(29, max(16, (32 * pairs.count()).bit_length()))
-    bitmaps = spark.sparkContext.broadcast(tuple(_bitmap(pairs.select(F.col(c).alias("key")), width) for c in ("key_a", "key_b")))
-    sets = staged(rows.mapInArrow(_wanted(k, bitmaps, width), "key long, as_a boolean, as_b boolean, set binary"), f"{tag}-sets")
-    a = sets.where("as_a").select(F.col("key").alias("key_a"), F.col("set").alias("set_a"))
-    b = sets.where("as_b").select(F.col("key").alias("key_b"), F.col("set").alias("set_b"))
-    both = pairs.join(a, "key_a").join(b, "key_b").select("a", "b", "set_a", "set_b")
+    pairs = staged(pairs.join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select(*PAIR), f"{tag}-keyed")
+    bitmaps, width = _bitmaps(pairs)
+    held = first.where("sketch is not null").select(F.coalesce("doc_id", "cls").alias("key"), "cls", "sketch")
+    sketches = staged(held.mapInArrow(_wanted_sketches(bitmaps, width), "cls long, as_a boolean, as_b boolean, sketch binary"), f"{tag}-sketches")
+    both = _with_both(pairs, sketches, "sketch").select(*PAIR, "sketch_a", "sketch_b")
+    near = staged(both.mapInArrow(_near(num, den), "a long, b long, key_a long, key_b long").distinct(), f"{tag}-near")
+    bitmaps, width = _bitmaps(near)
+    sets = staged(rows.mapInArrow(_wanted_sets(k, bitmaps, width), "cls long, as_a boolean, as_b boolean, set binary"), f"{tag}-sets")
+    both = _with_both(near, sets, "set").select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
 
 
@@ -334,7 +399,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
 
-    first = staged(rows.mapInArrow(_counted(k), "doc_id long, n long, cls long, block int, counts binary"), "join-first")
+    first = staged(rows.mapInArrow(_counted(k), "doc_id long, n long, cls long, sketch binary, block int, counts binary"), "join-first")
     members = first.where("block is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     classes = members.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", "cls")).alias("key"), F.count("*").alias("n")
@@ -352,7 +417,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
     # Of a class's pairs with smaller ones, the pair that the most lists share.
     shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
     pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), "join-pairs")
-    links = verify(rows, classes, pairs, k, num, den, "join-1")
+    links = verify(rows, first, classes, pairs, k, num, den, "join-1")
     comp = components(links, "join-comp")
 
     # Lists in which several components meet.
@@ -376,7 +441,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(done, ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
-        fresh = verify(rows, classes, more, k, num, den, "join-2")
+        fresh = verify(rows, first, classes, more, k, num, den, "join-2")
         if not fresh.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(fresh.select("a", "b")), "join-comp-2")
 

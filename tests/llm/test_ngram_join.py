@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from cinderlake.llm.graph import components
-from cinderlake.llm.ngram_join import ngram_join
+from cinderlake.llm.ngram_join import may_link, ngram_join, sketch
 from cinderlake.llm.shingles import shingle_sets
 
 
@@ -104,3 +105,30 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_sketches_pass_every_link():
+    rng = np.random.default_rng(5)
+    kept = lost = 0
+    for n in [1, 2, 3, 7, 8, 63, 64, 65, 300, 2000] * 20:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        m = len(a) if rng.random() < 0.3 else rng.integers(0, len(a) + 1)
+        b = np.unique(np.concatenate((a[rng.permutation(len(a))[:m]], rng.integers(0, 2**64, rng.integers(0, n // 2 + 1), np.uint64))))
+        if not len(b):
+            continue
+        common = len(np.intersect1d(a, b))
+        link = 4 * common >= 3 * (len(a) + len(b) - common)
+        passed = may_link(sketch(a), sketch(b), 3, 4)
+        assert passed or not link
+        kept, lost = kept + passed, lost + (not passed)
+    assert kept and lost
+    crowded = np.arange(40, dtype=np.uint64)
+    assert sketch(crowded) == b"" and may_link(sketch(crowded), sketch(a), 3, 4)
+
+
+def test_an_id_with_two_texts(spark):
+    """Sets go by class, so a row that shares an id with another lends it no links."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, two + " more"), (3, one + " more"), (4, " ".join(f"c{i}" for i in range(60)))]
+    got = {(r.doc_id, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
