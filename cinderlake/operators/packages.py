@@ -264,8 +264,10 @@ def predicted_names(existing: DataFrame, limit: int | None = None) -> DataFrame:
     variants = seeds.join(affix, "ecosystem").select("ecosystem", F.lower(F.concat("prefix", "seed", "suffix")).alias("predicted"), F.struct("at", "affix_ord").alias("at"))
     taken = existing.select("ecosystem", F.lower("name").alias("predicted")).distinct()
     fresh = variants.join(taken, ["ecosystem", "predicted"], "left_anti").groupBy("ecosystem", "predicted").agg(F.min("at").alias("at"))
-    out = fresh.withColumn("ord", F.row_number().over(Window.partitionBy("ecosystem").orderBy("at", "predicted")) - 1).select("ecosystem", "predicted", "ord")
-    return out if limit is None else out.where(F.col("ord") < limit)
+    ranked = fresh.withColumn("_rank", F.row_number().over(Window.partitionBy("ecosystem").orderBy("at", "predicted")))
+    # A bound on the rank itself lets Spark cut each partition to it before the shuffle.
+    kept = ranked if limit is None else ranked.where(F.col("_rank") <= limit)
+    return kept.select("ecosystem", "predicted", (F.col("_rank") - 1).alias("ord"))
 
 
 def fresh_squat(created: Column, downloads: Column, now: Column) -> Column:

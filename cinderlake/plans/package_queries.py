@@ -116,8 +116,7 @@ def provenance_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 60")
-    return p.select(F.expr(ECO).alias("ecosystem"), F.expr(PKG).alias("name"), F.col("p_partkey").alias("ord"))
+    return table(spark, sf_dir, "part").select(F.expr(ECO).alias("ecosystem"), F.expr(PKG).alias("name"), F.col("p_partkey").alias("ord"))
 
 
 def foresee_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import hashing, jsontree, names
 from cinderlake.operators import allowlist, packages
+from cinderlake.plans import package_queries
 from cinderlake.sources import feeds
 
 def now():
@@ -107,6 +108,15 @@ def test_predicted_names(spark):
     assert packages.predicted_names(own, 3).count() == 3
 
 
+def test_predicted_names_of_a_query_know_every_part(spark, tmp_path):
+    spark.range(1, 201).selectExpr("id AS p_partkey", "concat('p ', id) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    existing = package_queries._existing(spark, str(tmp_path))
+    assert existing.count() == 200
+    got = package_queries.foresee_candidates(spark, str(tmp_path))
+    assert {r["count"] for r in got.groupBy("ecosystem").count().collect()} == {80}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fnv(spark):
     assert hashing.fnv1a(b"") == "cbf29ce484222325" and hashing.fnv1a(b"a") == "af63dc4c8601ec8c"
     texts = ["", "a", "foobar", "é" * 40, "x" * 1000]
