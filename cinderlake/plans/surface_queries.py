@@ -45,8 +45,9 @@ def server_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that the documents hold, classified by the own rule."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", 'token = "([^"]*)"', 1).alias("value")).where("value <> ''")
+    """Every token that the documents hold, classified by the own rule."""
+    values = F.regexp_extract_all("text", F.lit('token = "([^"]*)"'), F.lit(1))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(values).alias("value")).where("value <> ''")
     kind = surface.secret_kind(F.lit("token"), F.col("value"))
     return found.select("doc_id", kind.alias("kind"), surface.redacted(F.col("value")).alias("redacted"), F.round(surface.entropy(F.col("value")), 6).alias("entropy"))
 

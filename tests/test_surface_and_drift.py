@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from cinderlake.operators import cards, dependencies, drift, manifest, surface, text_rules
+from cinderlake.plans import surface_queries
 from cinderlake.sources import files, sinks
 from cinderlake.streaming import requests
 
@@ -109,3 +110,11 @@ def test_request_stream_equals_batch(spark, tmp_path):
     codes = [json.loads(x).get("error", {}).get("code") for x in batch]
     assert sorted(c for c in codes if c) == [-32700, -32600]
     assert requests.catalogue(spark).count() == 14
+
+
+def test_config_secret_returns_every_token(spark, tmp_path):
+    a, b = "ghp_abcdEFGH1234ijkl", "zq8Lm2Xv7Rt4Kp9WbN"
+    texts = [f'x token = "{a}"\ny token = "{b}" token = "short"', f'token = "" token = "{a}"', "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.redacted, r.kind) for r in surface_queries.config_secret(spark, str(tmp_path)).collect())
+    assert got == [(0, "ghp_…", "prefixed"), (0, "shor…", None), (0, "zq8L…", "keyed"), (1, "ghp_…", "prefixed")]
