@@ -281,7 +281,7 @@ def classify_predicted(reports: DataFrame, now: Column) -> DataFrame:
     v = F.col("verdict")
     planted = v.isin("MALICIOUS", "LOOKALIKE")
     trap = planted | (~v.isin("MISSING", "MALICIOUS", "LOOKALIKE") & fresh_squat(F.col("created"), F.col("downloads"), now))
-    return reports.withColumn("trap", trap).withColumn("guard", v.isin("MISSING", "MALICIOUS", "LOOKALIKE"))
+    return reports.withColumn("trap", trap).withColumn("guard", (v == "MISSING") | trap)
 
 
 def severity_of_trust(trust: Column) -> Column:

@@ -117,6 +117,14 @@ def test_predicted_names_of_a_query_know_every_part(spark, tmp_path):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fresh_squats_are_guarded(spark):
+    new, old = "2024-05-01T00:00:00Z", "2020-01-01T00:00:00Z"
+    rows = [("m", "MISSING", None, None), ("x", "MALICIOUS", old, 9), ("l", "LOOKALIKE", old, 9), ("s", "SUSPICIOUS", new, 5), ("v", "VULNERABLE", new, None), ("o", "OK", new, None), ("u", "OK", new, 50), ("a", "SUSPICIOUS", old, 5)]
+    df = spark.createDataFrame(rows, "name string, verdict string, created string, downloads long")
+    got = {r.name: (r.guard, r.trap) for r in packages.classify_predicted(df, now()).collect()}
+    assert got == {"m": (True, False), **dict.fromkeys("xlsvo", (True, True)), "u": (False, False), "a": (False, False)}
+
+
 def test_fnv(spark):
     assert hashing.fnv1a(b"") == "cbf29ce484222325" and hashing.fnv1a(b"a") == "af63dc4c8601ec8c"
     texts = ["", "a", "foobar", "é" * 40, "x" * 1000]
