@@ -14,8 +14,8 @@ Of records with equal payloads of at least ``least_bytes``, the one with the
 smallest id carries the payload; the others are revisits that refer to it.
 
 Defined results: a null page is the empty payload; payloads below ``least_bytes``
-are all responses; rows that repeat the smallest id are responses as well; a null
-id goes to the first shard; an empty table gives no files; extra columns are
+are all responses; rows that repeat the smallest id are responses as well; pages of
+one id are each a record, by their own payload; a null id goes to the first shard; an empty table gives no files; extra columns are
 ignored.
 """
 
@@ -169,14 +169,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``page_id, refers_to`` of records whose payload an earlier one has.  Keys only are shuffled."""
+    """``page_id, digest, refers_to`` of records whose payload an earlier one has.  Keys only are shuffled."""
     keys = staged(
         pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.unhex(F.sha2("html", 256)).alias("digest")), "warc-keys"
     )
     first = staged(
         keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to"), "warc-first"
     )
-    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_cuts(pages: DataFrame, shards: int) -> list[int]:
@@ -194,10 +194,12 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     def shard_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.fillna(np.iinfo(np.int64).min).astype(np.int64), side="right"))
 
-    again = staged(revisits(pages, least_bytes), "warc-revisits").select(F.col("page_id").alias("again_id"), "refers_to")
+    again = staged(revisits(pages, least_bytes), "warc-revisits").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     is_again = F.col("refers_to").isNotNull() & (F.col("size") >= least_bytes)
-    rows = rows.join(again, F.col("page_id") == F.col("again_id"), "left").select(
+    # An id may occur with several pages.
+    same = (F.col("page_id") == F.col("again_id")) & (F.unhex("digest") == F.col("again_digest"))
+    rows = rows.join(again, same, "left").select(
         shard_of("page_id").alias("shard"), "page_id", "url", "digest", "size", F.when(is_again, F.col("refers_to")).alias("refers_to"), F.when(~is_again, F.col("html")).alias("html")
     )
     dealt = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")

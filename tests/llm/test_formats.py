@@ -106,6 +106,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(empty, new_path(spark, "warc"))).collect() == []
 
 
+def test_warc_tells_pages_of_one_id_apart(spark):
+    a, b = "a" * 150, "b" * 150
+    rows = [(3, "u", a), (5, "u", a), (5, "v", b), (4, "w", b), (9, "x", b), (6, "y", a), (6, "z", "c" * 150), (None, "n", a)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.read_warc(warc.write_warc(df, new_path(spark, "warc"))).collect()
+    want = {("u", a): 3, ("v", b): 4, ("x", b): 4, ("y", a): 3}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    refs = sorted(((i, u, sha(t), want.get((u, t)) if i != 3 else None) for i, u, t in rows), key=repr)
+    assert sorted(((r.page_id, r.url, r.payload_digest, r.refers_to) for r in got), key=repr) == refs
+
+
 # Chat
 
 def test_escape_is_reversible():
