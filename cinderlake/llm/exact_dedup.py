@@ -32,54 +32,54 @@ PREFIX_CHARS = 64
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, with_digest: bool = False
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept``."""
+    """One row per document: ``doc_id, keep_id, group_size, kept``; ``text_sha256`` on demand, which hashes every text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     length, prefix = F.octet_length("text").alias("len"), F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("prefix")
-    rows = staged(src.select("doc_id", length, prefix), "dedup-rows")
+    digest = F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest")
+    rows = staged(src.select("doc_id", length, prefix, *([digest] if with_digest else [])), "dedup-rows")
     lengths = staged(rows.groupBy("len").count().where("count > 1").select("len"), "dedup-lengths")
     again = rows.join(lengths, "len", "left_semi")
     prefixes = staged(
         again.groupBy("len", "prefix").count().where("count > 1").select("len", "prefix"), "dedup-prefixes"
     )
-    alike = staged(again.join(prefixes, ["len", "prefix"], "left_semi").select("doc_id").distinct(), "dedup-alike")
-    full = staged(
-        src.join(alike.withColumnRenamed("doc_id", "alike_id"), F.col("doc_id").eqNullSafe(F.col("alike_id")), "left_semi").select(
-            "doc_id", length, prefix, F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest")
-        ),
-        "dedup-full",
-    )
+    if with_digest:
+        full = staged(again.join(prefixes, ["len", "prefix"], "left_semi"), "dedup-full")
+    else:
+        alike = staged(again.join(prefixes, ["len", "prefix"], "left_semi").select("doc_id").distinct(), "dedup-alike")
+        full = staged(
+            src.join(alike.withColumnRenamed("doc_id", "alike_id"), F.col("doc_id").eqNullSafe(F.col("alike_id")), "left_semi").select(
+                "doc_id", length, prefix, digest
+            ),
+            "dedup-full",
+        )
+        # Other rows of these ids were read as well.
+        full = full.join(prefixes, ["len", "prefix"], "left_semi")
     groups = staged(
         full.groupBy("len", "digest")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1"),
         "dedup-groups",
     )
-    copies = full.join(groups, ["len", "digest"]).select(F.col("doc_id").alias("copy_id"), "len", "prefix", "keep_id", "group_size")
-    # One row for each, where rows are repeated.
-    copies = copies.groupBy("copy_id", "len", "prefix").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    c = copies.withColumnsRenamed({"len": "copy_len", "prefix": "copy_prefix"})
-    same = rows.doc_id.eqNullSafe(c.copy_id) & (rows.len == c.copy_len) & (rows.prefix == c.copy_prefix)
-    return rows.join(c, same, "left").select(
+    sha = [F.lower(F.hex("digest")).alias("text_sha256")] if with_digest else []
+    alone = rows.join(prefixes, ["len", "prefix"], "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *sha
+    )
+    is_alone = F.col("group_size").isNull()
+    grouped = full.join(groups, ["len", "digest"], "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
+        F.when(is_alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("copy_len").isNull() | F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+        (is_alone | F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+        *sha,
     )
+    return alone.unionByName(grouped)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    verdict = exact_dedup(docs)
-    digests = docs.select(
-        F.col("doc_id").alias("digest_id"),
-        F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"),
-    )
-    return verdict.join(digests, F.col("doc_id") == F.col("digest_id")).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
-    )
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_digest=True)
 
 
 OP10_SQL = r"""

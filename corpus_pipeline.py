@@ -19,16 +19,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells rows apart: the id, or a staged row number where ids repeat or are null."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if repeated.isEmpty():
+        return docs, "doc_id"
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+
+
+def _without(docs: DataFrame, rows: DataFrame, row: str, groups: DataFrame, best) -> DataFrame:
+    """Of each group (``row_id, group_id``) the row that ``best`` picks from ids and row numbers stays."""
+    ids = rows.select(F.col("doc_id").alias("id"), F.col(row).alias("row_id"))
+    groups = staged(groups.join(ids, "row_id"), "grouped")
+    keep = staged(groups.groupBy("group_id").agg(best.alias("best")).select(F.col("best.row_id").alias("row_id")), "keep")
+    dropped = staged(groups.select("row_id").join(keep, "row_id", "left_anti"), "dropped")
+    return rows.join(dropped, rows[row] == dropped["row_id"], "left_anti").select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts, one row with the largest id stays; a null id sorts below all others."""
+    rows, row = _rows(docs)
+    verdict = exact_dedup.exact_dedup(rows, id_col=row)
+    if row == "doc_id":
+        return docs.join(verdict.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    groups = verdict.where("group_size > 1").select(F.col("doc_id").alias("row_id"), F.col("keep_id").alias("group_id"))
+    return _without(docs, rows, row, groups, F.max(F.struct("id", "row_id")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest id stays."""
-    dropped = staged(ngram_join.ngram_join(docs).where("component_id <> doc_id").select("doc_id"), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links connect, one row with the smallest id stays; a null id sorts above all others."""
+    rows, row = _rows(docs)
+    found = ngram_join.ngram_join(rows, id_col=row)
+    if row == "doc_id":
+        dropped = staged(found.where("component_id <> doc_id").select("doc_id"), "near-dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    groups = found.select(F.col("doc_id").alias("row_id"), F.col("component_id").alias("group_id"))
+    return _without(docs, rows, row, groups, F.min(F.struct(F.col("id").isNull(), "id", "row_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from cinderlake.llm.exact_dedup import exact_dedup
+from cinderlake.llm.exact_dedup import exact_dedup, op10_exact_dedup
 from cinderlake.llm.mixing import mix, mixed_rows, water_fill, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +36,17 @@ def test_exact_dedup_of_nothing_and_of_repeated_rows(spark):
     assert got == [(3, 3, 2, True), (None, 3, 2, False), (None, None, 1, True)]
 
 
+def test_op10_gives_a_verdict_for_each_row(spark, tmp_path):
+    head = "x" * 64
+    rows = [(5, head + "a"), (5, head + "b"), (9, head + "B"), (None, "q"), (None, "Q"), (None, "alone"), (5, "other"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(lower(t).encode()).hexdigest()
+    want = [(5, 5, 1, True, sha(head + "a")), (5, 9, 2, False, sha(head + "b")), (9, 9, 2, True, sha(head + "b")), (None, None, 2, True, sha("q")), (None, None, 2, True, sha("q")), (None, None, 1, True, sha("alone")), (5, 5, 1, True, sha("other")), (7, 7, 1, True, sha(""))]
+    assert sorted(map(tuple, op10_exact_dedup(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup(docs).collect()), key=repr) == sorted((w[:4] for w in want), key=repr)
+
+
 def plain_targets(sizes, weights, cap):
     total, open_, out = sum(sizes.values()), dict(weights), {}
     while True:

@@ -36,3 +36,17 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert ids[2] & {2, 300, 301, 302, 303, 304} == {2}
     assert docs.select(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     assert {r[0] for r in p.run(spark, str(tmp_path)).select("doc_id").collect()} == ids[4]
+
+
+def test_rows_of_one_id_are_dropped_one_by_one(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (9, b.upper()), (None, c), (None, c), (7, "same"), (7, "same"), (8, "own")]
+    df = lambda xs: spark.createDataFrame([(*x, "en", "s", 1) for x in xs], DOCS)
+    pairs = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    got = p.drop_copies(spark, df(rows), "")
+    assert got.columns == df(rows).columns
+    assert pairs(got) == sorted([(5, a), (9, b.upper()), (None, c), (7, "same"), (8, "own")], key=repr)
+    rows = [(5, a), (5, b), (3, a + " end"), (None, c + " end"), (None, c), (4, c), (7, "same"), (7, "same")]
+    assert pairs(p.drop_near_copies(spark, df(rows), "")) == sorted([(5, b), (3, a + " end"), (4, c), (7, "same")], key=repr)
