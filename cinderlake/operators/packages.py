@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import corpora, names
 from ..functions import text as T
 from ..schemas import rank
-from . import text_rules
+from . import allowlist, text_rules
 from .text_rules import finding
 
 MIN_AGE_DAYS, MIN_DOWNLOADS = 30, 100
@@ -190,14 +190,25 @@ def inspect_trust(verdict: Column, worst_rank: Column, resolved: Column) -> Colu
     return F.when(F.coalesce(avoid, F.lit(False)), "AVOID").when(F.coalesce(review, F.lit(False)), "REVIEW").otherwise("GREEN")
 
 
-def inspect(commands: DataFrame, feeds: dict[str, DataFrame], now: Column, findings: DataFrame | None = None) -> DataFrame:
-    """``commands``: ``spec``.  ``findings``: ``spec, severity_rank`` of their manifests."""
+def inspect(
+    commands: DataFrame, feeds: dict[str, DataFrame], now: Column, findings: DataFrame | None = None, allowed: DataFrame | None = None, fingerprints: DataFrame | None = None
+) -> DataFrame:
+    """``commands``: ``spec``.  ``findings``: ``spec, severity_rank`` of their manifests.
+
+    ``allowed``: ``ecosystem, name, version``, pins that are OK.  ``fingerprints``: ``kind,
+    fingerprint``; findings, which then have a ``fingerprint``, of a cleared manifest don't count.
+    """
     c = resolve_commands(commands.select("spec"))
     pins = c.where("package is not null").select("ecosystem", names.spec_name(F.col("package")).alias("name"), names.spec_version(F.col("package")).alias("version")).distinct()
-    reports = verify(pins, now=now, **feeds).select(
+    reports = verify(pins, now=now, **feeds)
+    if allowed is not None:
+        reports = apply_allowlist(reports, allowed)
+    reports = reports.select(
         F.col("ecosystem").alias("_e"), names.display_name(F.col("name"), F.col("version")).alias("_p"), "verdict", "reason"
     )
     out = c.join(reports, (F.col("ecosystem") == F.col("_e")) & (F.col("package") == F.col("_p")), "left").drop("_e", "_p")
+    if findings is not None and fingerprints is not None:
+        findings = allowlist.split_trusted(findings, fingerprints, "manifest")[1]
     if findings is None:
         out = out.withColumn("worst", F.lit(None).cast("int"))
     else:
@@ -284,5 +295,17 @@ def classify_predicted(reports: DataFrame, now: Column) -> DataFrame:
     return reports.withColumn("trap", trap).withColumn("guard", (v == "MISSING") | trap)
 
 
+def foresee(existing: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame, now: Column, limit: int = 80) -> DataFrame:
+    """Reports of the predicted names with ``guard`` and ``trap``; at most ``limit`` an ecosystem.
+
+    ``existing``: ``ecosystem, name, ord``.  ``allowed``: ``ecosystem, name, version``; a
+    name that is allowed at its latest version is left out, whatever its verdict.
+    """
+    asked = predicted_names(existing, limit).select("ecosystem", F.col("predicted").alias("name"), "ord", F.lit(None).cast("string").alias("version"))
+    cleared = allowed.select("ecosystem", "name", F.col("version").alias("latest_version"))
+    reports = verify(asked, now=now, **feeds).join(cleared, ["ecosystem", "name", "latest_version"], "left_anti")
+    return classify_predicted(reports, now)
+
+
 def severity_of_trust(trust: Column) -> Column:
     return rank(trust, corpora.TRUSTS)

@@ -125,6 +125,34 @@ def test_fresh_squats_are_guarded(spark):
     assert got == {"m": (True, False), **dict.fromkeys("xlsvo", (True, True)), "u": (False, False), "a": (False, False)}
 
 
+def small_feeds(spark, meta):
+    return {
+        "metadata": spark.createDataFrame([("crates", n, v, c, ["1"]) for n, v, c in meta], "ecosystem string, name string, latest_version string, created string, versions array<string>"),
+        "advisories": spark.createDataFrame([("crates", "mine-helper", "MAL-1", None, None, None, None)], "ecosystem string, name string, id string, summary string, severity string, withdrawn string, affected array<string>"),
+        "reputation": spark.createDataFrame([], "ecosystem string, name string, created string, latest_version string, downloads long, downloads_window string"),
+    }
+
+
+def test_foresee_verifies_predicted_names(spark):
+    new, old = "2024-05-01T00:00:00Z", "2020-01-01T00:00:00Z"
+    f = small_feeds(spark, [("mine-utils", "1", new), ("mine-helper", "1", old), ("mine-client", "1", new), ("mine-sdk", "2", new), ("mine-core", "1", old)])
+    own = spark.createDataFrame([("crates", "mine", 0)], "ecosystem string, name string, ord int")
+    allowed = spark.createDataFrame([("crates", "mine-client", "1"), ("crates", "mine-sdk", "1")], "ecosystem string, name string, version string")
+    got = {r.name: (r.guard, r.trap) for r in packages.foresee(own, f, allowed, now(), 6).collect()}
+    assert got == {"mine-utils": (True, True), "mine-helper": (True, True), "mine-sdk": (True, True), "mine-core": (False, False), "mine-async": (True, False)}
+
+
+def test_inspect_with_an_allowlist(spark):
+    f = small_feeds(spark, [("mine-helper", "1", None), ("fine", "1", None)])
+    commands = spark.createDataFrame([("cargo install mine-helper",), ("cargo install fine",), ("cargo install gone",)], "spec string")
+    findings = spark.createDataFrame([("cargo install fine", 0, "ff"), ("cargo install gone", 0, None)], "spec string, severity_rank int, fingerprint string")
+    allowed = spark.createDataFrame([("crates", "mine-helper", "1")], "ecosystem string, name string, version string")
+    cleared = spark.createDataFrame([("manifest", "ff")], "kind string, fingerprint string")
+    trust = lambda *a: [r.trust for r in packages.inspect(commands, f, now(), findings, *a).orderBy(F.desc("spec")).collect()]
+    assert trust() == ["AVOID", "AVOID", "AVOID"]
+    assert trust(allowed, cleared) == ["GREEN", "AVOID", "GREEN"]
+
+
 def test_fnv(spark):
     assert hashing.fnv1a(b"") == "cbf29ce484222325" and hashing.fnv1a(b"a") == "af63dc4c8601ec8c"
     texts = ["", "a", "foobar", "é" * 40, "x" * 1000]
