@@ -26,13 +26,23 @@ The steps as Spark jobs:
    is the text that the others were made from, which has the fewest rare shingles.
 4. Of these, each class keeps the pair that the most lists share, so at most one
    pair a class is verified, and the links are joined to components.
-5. Lists that still hold several components are joined again, but only pairs of
-   different components are made, and one side leaves out the list's largest
-   component, so that a group of copies costs its size, not its square.  Pairs
-   within a component add no reachability.  The new pairs are verified as well.
+5. Lists that still hold several components are open.  While all pairs of their
+   components would be many more than a few pairs a row, a round deals each open
+   list in a seeded order, pairs every row with the next rows of other components
+   (twice as many each round), verifies these pairs once and contracts what they
+   link.  Pairs within a component add no reachability, so they are never made: a
+   group of near copies costs its size a round, not its square, even where the text
+   that they were made from is absent.
+6. What is open after that is joined exactly: all pairs of different components
+   that pass the filters, one side without the list's largest component, and without
+   pairs that were verified before.
 
 No link between components is lost: both ends of a link share a prefix shingle,
-and either step 4 joined them or step 5 verifies the pair.
+and either a round joined their components or step 6 verifies the pair.  The rounds
+end when they would cost as much as step 6, so they never change the result.
+
+Shingles that occur far more often than the average counter are dealt over salts in
+step 3, so no task reads such a list alone; all its rows take part in steps 5 and 6.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing
 and are components of their own; a text of 1 to 4 words has one shingle, its
@@ -45,7 +55,8 @@ held as 64-bit hashes of shingles (48 bits where they are verified), classes as
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +69,12 @@ from .shingles import fingerprint, shingle_sets
 
 COUNTERS = 1 << 20
 COUNTER_BLOCKS = 64
-#: Classes that a task remembers, so as to emit each once.
-SEEN = 1 << 20
+#: Places for classes that a task has met lately, so as to emit most of them once.
+SEEN = 1 << 18
+#: Rows of a hot list that one task reads, about.
+LIST_ROWS = 1 << 16
+#: Rows that the first round pairs each row of an open list with.
+WIDTH = 4
 FIRST = ["doc_id", "n", "cls", "sketch", "block", "counts"]
 
 
@@ -73,15 +88,18 @@ def prefix_length(n, num: int, den: int):
 
 
 LEVEL, PLACE = 56, 32
+#: Length classes fit 7 bits for sizes up to 2 ** 32.
+LEAST_STEP = 32 * math.log(2) / 126
 
 
 def packed(n: int, places: np.ndarray, num: int, den: int) -> np.ndarray:
     """Length class, place in the set's order, and size of the set, in the order that lists are sorted by.
 
-    Sets of one length class are within a ratio of num / den.  Places stop at
-    2 ** 24 - 1, which makes the positional filter pass more, never less.
+    Sets of one length class are within a ratio of num / den, or 0.84 if that is
+    less.  Places stop at 2 ** 24 - 1, which makes the positional filter pass more,
+    never less.
     """
-    level = int(math.floor(math.log(n) / math.log(den / num) + 1e-9)) if num < den else min(n, 127)
+    level = int(math.log(n) / max(LEAST_STEP, math.log(den / num)) + 1e-9)
     return (level << LEVEL) + (np.minimum(places, (1 << 24) - 1) << PLACE) + n
 
 
@@ -108,9 +126,22 @@ def may_link(p: bytes, q: bytes, num: int, den: int) -> bool:
     return int(np.minimum(p, q).sum()) >= least
 
 
+def _met() -> Callable[[int], bool]:
+    """Tells whether a class was met lately.  Of two classes that share a place the later one stays; one met again is emitted again, which costs little."""
+    last = array("q", [1]) + array("q", bytes(8 * SEEN - 8))  # no class is at its own place yet
+
+    def met(c: int) -> bool:
+        at = c & (SEEN - 1)
+        again = last[at] == c
+        last[at] = c
+        return again
+
+    return met
+
+
 def _counted(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(COUNTERS, np.int64), set()
+        counts, met = np.zeros(COUNTERS, np.int64), _met()
         for batch in batches:
             sizes, classes, sketches, fresh, held = [], [], [], [], 0
             for s in shingle_sets(batch.column(1), k):
@@ -118,9 +149,7 @@ def _counted(k: int):
                 sizes.append(len(s))
                 classes.append(c)
                 sketches.append(sketch(s) if len(s) else None)
-                if len(s) and c not in seen:
-                    if len(seen) < SEEN:
-                        seen.add(c)
+                if len(s) and not met(c):
                     fresh.append((s >> np.uint64(44)).astype(np.int32))
                     held += len(s)
                     if held > 1 << 20:
@@ -153,13 +182,16 @@ def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
-def _prefixes(k: int, num: int, den: int, counts):
+def _prefixes(k: int, num: int, den: int, counts, usual: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq, seen = np.frombuffer(counts.value, "<u4"), set()
+        freq, met = np.frombuffer(counts.value, "<u4"), _met()
 
         def out(parts):
-            h, c, z = (np.concatenate(x) for x in zip(*parts))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(z)], ["h", "cls", "np"])
+            h, f, c, z = (np.concatenate(x) for x in zip(*parts))
+            # Above the usual count, LIST_ROWS rows a salt; the list's number of salts hangs on its counter alone.
+            salts = np.maximum(f.astype(np.int64) - usual, 0) // LIST_ROWS
+            salt = np.where(salts > 0, (c >> 18) % (salts + 1) + 1, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(c), pa.array(z)], ["h", "salt", "cls", "np"])
 
         for batch in batches:
             parts, held = [], 0
@@ -167,14 +199,12 @@ def _prefixes(k: int, num: int, den: int, counts):
                 if not len(s):
                     continue
                 c, n = fingerprint(s), len(s)
-                if c in seen:
+                if met(c):
                     continue
-                if len(seen) < SEEN:
-                    seen.add(c)
                 p = prefix_length(n, num, den)
                 f = freq[(s >> np.uint64(44)).astype(np.int64)]
                 first = np.argsort(f, kind="stable")[:p]  # s is sorted: ties go by hash
-                parts.append((s[first], np.full(p, c, np.int64), packed(n, np.arange(p, dtype=np.int64), num, den)))
+                parts.append((s[first], f[first], np.full(p, c, np.int64), packed(n, np.arange(p, dtype=np.int64), num, den)))
                 held += p
                 if held > 100_000:
                     yield out(parts)
@@ -185,32 +215,34 @@ def _prefixes(k: int, num: int, den: int, counts):
     return run
 
 
+def _passes(z1: np.ndarray, z2: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The positional filter, for a shingle at these places of these sets."""
+    n1, n2 = z1 & 0xFFFFFFFF, z2 & 0xFFFFFFFF
+    a = alpha(n1, n2, num, den)
+    return (n1 - (z1 >> PLACE & 0xFFFFFF) >= a) & (n2 - (z2 >> PLACE & 0xFFFFFF) >= a)
+
+
 def _lists(num: int, den: int):
     """Sorted lists to pairs (kind 0: x, y classes, z how often) and rows of lists of several classes (kind 1: x shingle, y class, z size and place)."""
 
-    def passes(z1, z2):
-        n1, n2 = z1 & 0xFFFFFFFF, z2 & 0xFFFFFFFF
-        a = alpha(n1, n2, num, den)
-        return (n1 - (z1 >> PLACE & 0xFFFFFF) >= a) & (n2 - (z2 >> PLACE & 0xFFFFFF) >= a)
-
     def batch_of(kind, x, y, z):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(z)], ["kind", "x", "y", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row held back: h, c, z, whether it continues a list, its pivot's c and z
+        last = None  # the row held back: h, salt, c, z, whether it continues a list, its pivot's c and z
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, c, z = (batch.column(i).to_numpy() for i in range(3))
+            h, salt, c, z = (batch.column(i).to_numpy() for i in range(4))
             went_on, pc0, pz0 = False, 0, 0
             if last is not None:
-                h, c, z = (np.concatenate(([np.int64(v)], x)) for v, x in zip(last[:3], (h, c, z)))
-                went_on, pc0, pz0 = last[3:]
+                h, salt, c, z = (np.concatenate((np.asarray([v], x.dtype), x)) for v, x in zip(last[:4], (h, salt, c, z)))
+                went_on, pc0, pz0 = last[4:]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            h, c, z = h[fresh], c[fresh], z[fresh]
+            h, salt, c, z = h[fresh], salt[fresh], c[fresh], z[fresh]
             same = np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
+            same[1:] = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
             level = z >> LEVEL
             start = ~same
             start[1:] |= level[1:] != level[:-1]
@@ -226,7 +258,7 @@ def _lists(num: int, den: int):
             x = np.concatenate((pc[star], c[chain - 1]))
             y = np.concatenate((c[star], c[chain]))
             zx, zy = np.concatenate((pz[star], z[chain - 1])), np.concatenate((z[star], z[chain]))
-            ok = passes(zx, zy) & (x != y)
+            ok = _passes(zx, zy, num, den) & (x != y)
             if ok.any():
                 x, y = x[ok], y[ok]
                 order = np.lexsort((y, x))
@@ -235,14 +267,45 @@ def _lists(num: int, den: int):
                 new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
                 at = np.flatnonzero(new)
                 yield batch_of(0, x[at], y[at], np.diff(np.append(at, len(x))))
-            several = same.copy()
+            several = same | (salt > 0)
             several[:-1] |= same[1:]
             several[-1] = False
             if several.any():
                 yield batch_of(1, h[several], c[several], z[several])
-            last = (h[-1], c[-1], z[-1], bool(same[-1]), pc[-1], pz[-1])
-        if last is not None and last[3]:
-            yield batch_of(1, *(np.asarray([v], np.int64) for v in last[:3]))
+            last = (h[-1], salt[-1], c[-1], z[-1], bool(same[-1]), pc[-1], pz[-1])
+        if last is not None and (last[4] or last[1]):
+            yield batch_of(1, *(np.asarray([v], np.int64) for v in (last[0], last[2], last[3])))
+
+    return run
+
+
+def _next_rows(width: int, num: int, den: int):
+    """Open lists in their order (h, salt, c, comp, z) to pairs of each row with the next ``width`` rows of its part, where components differ and the filters pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            h, salt, c, comp, z = cols
+            found = []
+            for step in range(1, min(width, len(h) - 1) + 1):
+                i = np.arange(max(0, old - step), len(h) - step)
+                j = i + step
+                ok = (h[i] == h[j]) & (salt[i] == salt[j]) & (comp[i] != comp[j])
+                i, j = i[ok], j[ok]
+                ok = _passes(z[i], z[j], num, den)
+                found.append(np.stack((np.minimum(c[i], c[j])[ok], np.maximum(c[i], c[j])[ok])))
+            pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+            if pairs.size:
+                a, b = np.unique(pairs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = [x[-width:] for x in cols]
 
     return run
 
@@ -391,6 +454,55 @@ def verify(rows: DataFrame, first: DataFrame, classes: DataFrame, pairs: DataFra
     return staged(both.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
 
 
+def _contracted(comp: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """``comp`` (``node, comp``) after components that ``links`` (``a, b``: nodes) connect are joined.  Nodes without a row are components of their own."""
+    if links.isEmpty():
+        return comp
+    ends = links
+    for x in "ab":
+        ends = ends.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left")
+    ends = staged(ends.select("a", "b", F.coalesce("comp_a", "a").alias("top_a"), F.coalesce("comp_b", "b").alias("top_b")), f"{tag}-ends")
+    tops = components(ends.select(F.col("top_a").alias("a"), F.col("top_b").alias("b")), tag).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    lone = ends.select(F.col("a").alias("node"), F.col("top_a").alias("comp")).unionByName(ends.select(F.col("b").alias("node"), F.col("top_b").alias("comp")))
+    nodes = comp.unionByName(lone.where("node = comp").distinct().join(comp.select("node"), "node", "left_anti"))
+    return staged(nodes.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{tag}-joined")
+
+
+def _open_lists(posts: DataFrame, comp: DataFrame, tag: str) -> tuple[DataFrame, int, int]:
+    """Rows of lists in which several components meet (with ``comp``, and ``rows`` and ``largest`` of the list), their number, and the number of their pairs of different components."""
+    posts = posts.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    posts = staged(posts, f"{tag}-posts")
+    sizes = posts.groupBy("h", "comp").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("h").agg(
+        F.count("*").alias("comps"), F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.max_by("comp", F.struct("n", "comp")).alias("largest")
+    )
+    lists = staged(lists.where("comps > 1"), f"{tag}-mixed")
+    total = lists.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")).first()
+    if not total["rows"]:
+        return posts.limit(0), 0, 0
+    return staged(posts.join(lists.select("h", "rows", "largest"), "h"), f"{tag}-open"), total["rows"], int(total["pairs"])
+
+
+def _round(posts: DataFrame, seed: int, width: int, num: int, den: int) -> DataFrame:
+    """Pairs of each row of open lists with the next rows of other components, in an order by length class and seeded hash."""
+    salt = F.when(F.col("rows") > LIST_ROWS, F.pmod(F.xxhash64(F.lit(2 * seed), "cls"), F.ceil(F.col("rows") / LIST_ROWS))).otherwise(0).cast("int")
+    dealt = posts.select("h", salt.alias("salt"), "cls", "comp", "np", F.shiftright("np", LEVEL).alias("level"), F.xxhash64(F.lit(2 * seed + 1), "cls").alias("place"))
+    dealt = dealt.repartition(tasks_for(dealt), "h", "salt").sortWithinPartitions("h", "salt", "level", "place").select("h", "salt", "cls", "comp", "np")
+    return dealt.mapInArrow(_next_rows(width, num, den), "a long, b long").distinct()
+
+
+def _all_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of rows of different components of a list that pass the filters; one side leaves out the list's largest component."""
+    left = posts.where("comp <> largest").select("h", F.col("cls").alias("c1"), F.col("comp").alias("k1"), F.col("np").alias("z1"))
+    right = posts.select("h", F.col("cls").alias("c2"), F.col("comp").alias("k2"), F.col("np").alias("z2"))
+    n1, n2 = (F.col(z).bitwiseAND(F.lit(0xFFFFFFFF)) for z in ("z1", "z2"))
+    place1, place2 = (F.shiftright(z, PLACE).bitwiseAND(F.lit(0xFFFFFF)) for z in ("z1", "z2"))
+    least = F.floor((num * (n1 + n2) + (num + den - 1)) / F.lit(num + den)).cast("long")
+    fits = (n1 - place1 >= least) & (n2 - place2 >= least)
+    met = left.join(right, (left.h == right.h) & (F.col("k1") != F.col("k2")) & fits)
+    return met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
@@ -411,39 +523,30 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
         counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
     shared = spark.sparkContext.broadcast(counts.tobytes())
 
-    prefixes = texts.mapInArrow(_prefixes(k, num, den, shared), "h long, cls long, np long")
-    by_shingle = prefixes.repartition(tasks_for(prefixes), "h").sortWithinPartitions("h", "np", "cls")
+    prefixes = texts.mapInArrow(_prefixes(k, num, den, shared, 2 * int(counts.mean())), "h long, salt int, cls long, np long")
+    by_shingle = prefixes.repartition(tasks_for(prefixes), "h", "salt").sortWithinPartitions("h", "salt", "np", "cls")
     lists = staged(by_shingle.mapInArrow(_lists(num, den), "kind int, x long, y long, z long"), "join-lists")
     # Of a class's pairs with smaller ones, the pair that the most lists share.
     shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
     pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), "join-pairs")
-    links = verify(rows, first, classes, pairs, k, num, den, "join-1")
-    comp = components(links, "join-comp")
+    comp = components(verify(rows, first, classes, pairs, k, num, den, "join-0"), "join-comp")
 
-    # Lists in which several components meet.
     posts = lists.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("z").alias("np"))
-    posts = posts.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    posts = staged(posts, "join-posts")
-    sizes = posts.groupBy("h", "comp").agg(F.count("*").alias("n"))
-    mixed = staged(
-        sizes.groupBy("h").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).where("comps > 1").select("h", "largest"),
-        "join-mixed",
-    )
-    open_posts = staged(posts.join(mixed, "h"), "join-open")
-    left = open_posts.where("comp <> largest").select("h", F.col("cls").alias("c1"), F.col("comp").alias("k1"), F.col("np").alias("z1"))
-    right = open_posts.select("h", F.col("cls").alias("c2"), F.col("comp").alias("k2"), F.col("np").alias("z2"))
-    n1, n2 = (F.col(z).bitwiseAND(F.lit(0xFFFFFFFF)) for z in ("z1", "z2"))
-    place1, place2 = (F.shiftright(z, PLACE).bitwiseAND(F.lit(0xFFFFFF)) for z in ("z1", "z2"))
-    least = F.floor((num * (n1 + n2) + (num + den - 1)) / F.lit(num + den)).cast("long")
-    fits = (n1 - place1 >= least) & (n2 - place2 >= least)
-    met = left.join(right, (left.h == right.h) & (F.col("k1") != F.col("k2")) & fits)
-    more = met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(more.join(done, ["a", "b"], "left_anti"), "join-more")
-    if not more.isEmpty():
-        fresh = verify(rows, first, classes, more, k, num, den, "join-2")
-        if not fresh.isEmpty():
-            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(fresh.select("a", "b")), "join-comp-2")
+    number, width, last = 0, WIDTH, False
+    while not last:
+        number += 1
+        tag = f"join-{number}"
+        open_posts, n_rows, n_pairs = _open_lists(posts, comp, tag)
+        if not n_rows:
+            break
+        last = n_pairs <= 4 * width * n_rows
+        more = _all_pairs(open_posts, num, den) if last else _round(open_posts, number, width, num, den)
+        more = staged(more.join(done, ["a", "b"], "left_anti"), f"{tag}-more")
+        if not more.isEmpty():
+            comp = _contracted(comp, verify(rows, first, classes, more, k, num, den, tag), f"{tag}-comp")
+            done = done.unionByName(more)
+        posts, width = open_posts.select("h", "cls", "np"), 2 * width
 
     # Back to the documents: only classes of several documents or of a component need a row.
     classes = classes.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").where("n > 1 or comp is not null")

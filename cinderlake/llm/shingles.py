@@ -33,7 +33,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 8 * BLOCK:
+        if size == BLOCK + 1:  # those of a longer text aren't kept
             _powers[base] = have
     return have[:n]
 

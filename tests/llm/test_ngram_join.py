@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from cinderlake.llm import ngram_join as ngram_join_module
 from cinderlake.llm.graph import components
-from cinderlake.llm.ngram_join import may_link, ngram_join, sketch
+from cinderlake.llm.ngram_join import may_link, ngram_join, packed, sketch
 from cinderlake.llm.shingles import shingle_sets
 
 
@@ -17,7 +19,7 @@ def shingles(text):
     return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def plain(rows):
+def plain(rows, percent=75):
     sets = {i: shingles(t) for i, t in rows}
     comp = {i: i for i in sets}
 
@@ -30,7 +32,7 @@ def plain(rows):
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 p, q = sorted((root(a), root(b)))
                 comp[q] = p
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -83,6 +85,49 @@ def test_chain_and_hot_groups(spark):
     assert got == plain(rows)
 
 
+def one_word_changed(n):
+    """Near copies of a text that is absent."""
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(60)]
+    return [(i, " ".join(edited(rng, base, 1))) for i in range(n)]
+
+
+def test_near_copies_of_an_absent_text_cost_their_number(spark, monkeypatch):
+    made = []
+    verify = ngram_join_module.verify
+    monkeypatch.setattr(ngram_join_module, "verify", lambda rows, first, classes, pairs, *rest: made.append(pairs.count()) or verify(rows, first, classes, pairs, *rest))
+    rows = one_word_changed(400)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain(rows)
+    assert sum(made) < 30 * len(rows)  # all pairs are 79,800
+
+
+def test_hot_lists_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join_module, "LIST_ROWS", 8)
+    rows = one_word_changed(90) + [(i + 90, t) for i, t in corpus(4, 60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain(rows)
+
+
+@pytest.mark.parametrize("percent", [90, 99])
+def test_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    rows = corpus(percent, 60)
+    for n in (200, 1500):
+        base = [f"t{n}-{i}" for i in range(n)]
+        rows += [(len(rows) + i, " ".join(edited(rng, base, i % 3))) for i in range(8)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == plain(rows, percent)
+
+
+def test_length_classes_fit_their_bits():
+    for percent in (50, 75, 90, 95, 99, 100):
+        g = np.gcd(percent, 100)
+        for n in (1, 2, 100, 10**6, 2**32 - 1):
+            z = packed(n, np.arange(3), percent // g, 100 // g)
+            assert (z > 0).all() and (z & 0xFFFFFFFF == n).all()
+
+
 def test_edge_cases(spark):
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "a b"), (4, "A\x0bB"), (5, "a b c d e"), (6, "a  b c d E"), (7, "a b c d"), (8, "a\x1cb"), (9, "é É"), (10, "É É"), (11, "w " * 30_000)]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n string, cls int")
