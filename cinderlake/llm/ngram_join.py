@@ -73,6 +73,8 @@ COUNTER_BLOCKS = 64
 SEEN = 1 << 18
 #: Rows of a hot list that one task reads, about.
 LIST_ROWS = 1 << 16
+#: Rows of an open list that a round deals to one task, about, or more where it pairs each with many.
+PART_ROWS = 1 << 10
 #: Rows that the first round pairs each row of an open list with.
 WIDTH = 4
 FIRST = ["doc_id", "n", "cls", "sketch", "block", "counts"]
@@ -485,7 +487,8 @@ def _open_lists(posts: DataFrame, comp: DataFrame, tag: str) -> tuple[DataFrame,
 
 def _round(posts: DataFrame, seed: int, width: int, num: int, den: int) -> DataFrame:
     """Pairs of each row of open lists with the next rows of other components, in an order by length class and seeded hash."""
-    salt = F.when(F.col("rows") > LIST_ROWS, F.pmod(F.xxhash64(F.lit(2 * seed), "cls"), F.ceil(F.col("rows") / LIST_ROWS))).otherwise(0).cast("int")
+    part = max(PART_ROWS, 16 * width)
+    salt = F.pmod(F.xxhash64(F.lit(2 * seed), "cls"), F.ceil(F.col("rows") / part)).cast("int")
     dealt = posts.select("h", salt.alias("salt"), "cls", "comp", "np", F.shiftright("np", LEVEL).alias("level"), F.xxhash64(F.lit(2 * seed + 1), "cls").alias("place"))
     dealt = dealt.repartition(tasks_for(dealt), "h", "salt").sortWithinPartitions("h", "salt", "level", "place").select("h", "salt", "cls", "comp", "np")
     return dealt.mapInArrow(_next_rows(width, num, den), "a long, b long").distinct()

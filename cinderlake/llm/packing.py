@@ -16,12 +16,13 @@ under 40 rows a length at any corpus size.
 
 A piece finds its place from its rank among pieces of its length, by binary
 search in the plan.  Ranks come from counts by (length, salt), so a hot length is
-dealt over ``SALTS`` sorts.
+dealt over as many sorts as its count needs, ``SALT_ROWS`` pieces each.
 
 Defined results: null and empty texts are one piece, the separator; pieces of one
 length are ranked by salt, then id, piece and content, so reruns agree; repeated
 rows are packed each; an empty table gives an empty result; extra columns are
-ignored.
+ignored.  A text of any length is tokenised whole, by one task, which holds its ids
+(4 bytes each); its pieces are dealt like any others.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ from .tokens import SpacedTokens, default_path
 
 CAPACITY = 2048
 SEPARATOR = 0
-SALTS = 64
+SALT_ROWS = 1 << 14  # pieces of one length that are ranked together, about
+SLICE = 256  # texts that are held as Python strings at once
 
 
 class OpenBins:
@@ -129,10 +131,11 @@ def _pieces(path: str, capacity: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = SpacedTokens.at(path)
         for batch in batches:
-            docs, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            docs = batch.column(0)
             rows, piece, start, length, crc = [], [], [], [], []
-            for lo in range(0, len(texts), 256):
-                for i, ids in enumerate(tokens.batch(texts[lo : lo + 256]), lo):
+            for lo in range(0, batch.num_rows, SLICE):
+                texts = [t or "" for t in batch.column(1).slice(lo, SLICE).to_pylist()]
+                for i, ids in enumerate(map(tokens.ids, texts), lo):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -170,9 +173,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id, offset`` to staged ``pieces`` (``doc_id, piece, start, length, ids_crc32``)."""
     spark = pieces.sparkSession
     names = pieces.columns
-    rows = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    lengths = staged(pieces.groupBy("length").agg(F.count("*").alias("n")), "pack-lengths")  # ``capacity`` rows at most
+    by_length = {r["length"]: r["n"] for r in lengths.collect()}
+    salts = F.broadcast(lengths.select("length", F.ceil(F.col("n") / SALT_ROWS).alias("_salts")))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_salts")).cast("int")
+    rows = pieces.join(salts, "length").select(*names, salt.alias("_salt"))
     counts = staged(rows.groupBy("length", "_salt").agg(F.count("*").alias("n")), "pack-counts")
-    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(by_length, capacity))
     upto = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "_salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _M = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_M, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)

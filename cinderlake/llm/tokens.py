@@ -1,8 +1,10 @@
 """Token ids of whole texts from public tokenizer files, in tasks.
 
 A tokenizer that drops white space encodes the parts between white space one by
-one, so each distinct part is encoded once and kept; text is then a matter of
-splitting and joining.  Where the file's rules are the usual ones (lower case, one
+one, so a distinct part is encoded once and kept; text is then a matter of
+splitting and joining.  What a worker keeps is bounded in bytes: at the bound what it
+used lately becomes the older half, which is asked before a part is encoded anew and
+then dropped; long parts are never kept.  Where the file's rules are the usual ones (lower case, one
 pattern that cuts words, byte letters), a new part of Latin letters is cut by that
 pattern and its words go to the file's model; any other part is encoded as a whole.
 """
@@ -17,8 +19,12 @@ from array import array
 
 import regex
 
-#: Distinct parts that a worker keeps before it begins anew.
-KEEP = 1_000_000
+#: Bytes of parts and ids, about, that either half of a worker's store holds.
+KEEP = 80 << 20
+#: Longer parts, in characters, aren't kept.
+LONG = 256
+#: Bytes that a kept part takes beside its characters and ids, about.
+_ENTRY = 220
 #: Separators for str.split that are no white space to the tokenizer's own rule.
 _ODD = re.compile("[\x1c-\x1f]")
 _loaded: dict[str, SpacedTokens] = {}
@@ -59,6 +65,8 @@ class SpacedTokens(dict):
         self.marks = [t["content"] for t in rules["added_tokens"]]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
+        self.held = 0
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     @staticmethod
     def _pattern(rules: dict):
@@ -85,32 +93,52 @@ class SpacedTokens(dict):
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _keep(self, where: dict[str, bytes], part: str, ids: bytes) -> None:
+        if len(part) > LONG:
+            return
+        self.held += _ENTRY + len(part) + len(ids)
+        if self.held > KEEP:
+            self.older = (dict(self), dict(self.words))
+            self.clear()
+            self.words.clear()
+            self.held = 0
+        where[part] = ids
+
+    def _encoded(self, word: str) -> bytes:
+        """What the model makes of one word of the pattern."""
+        spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.tokenize(spelt)])
+
     def _word(self, word: str) -> bytes:
+        """Words of other characters than letters, which as parts may have other rules."""
         found = self.words.get(word)
         if found is None:
-            spelt = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = _packed([t.id for t in self.tokenize(spelt)])
+            found = self.older[1].get(word)
+            if found is None:
+                found = self._encoded(word)
+            self._keep(self.words, word, found)
         return found
 
     def __missing__(self, part: str) -> bytes:
+        ids = self.older[0].get(part)
+        if ids is not None:
+            self._keep(self, part, ids)
+            return ids
         # Below U+0130 no normal form changes a letter, and each has one lower-case form.
         low = part.lower()
         if self.cut is None or max(part) >= "İ":
             ids = self.whole(part)
         elif low.isalpha():
-            ids = self.words.get(low) or self._word(low)
+            ids = self._encoded(low) if low == part else self[low]
         elif any(m in part for m in self.marks):
             ids = self.whole(part)
         else:
-            ids = b"".join(map(self._word, self.cut.findall(low)))
-        self[part] = ids
+            ids = b"".join([self[w] if w.isalpha() else self._word(w) for w in self.cut.findall(low)])
+        self._keep(self, part, ids)
         return ids
 
+    def ids(self, text: str) -> bytes:
+        return self.whole(text) if _ODD.search(text) else b"".join(map(self.__getitem__, text.split()))
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        out, get = [], self.__getitem__
-        for t in texts:
-            if len(self) > KEEP:
-                self.clear()
-                self.words.clear()
-            out.append(self.whole(t) if _ODD.search(t) else b"".join(map(get, t.split())))
-        return out
+        return [self.ids(t) for t in texts]

@@ -8,17 +8,21 @@ regression is fitted on the products (L2, momentum gradient descent, toxic rows
 weighted threefold).  N-grams in fewer than five training rows, or with a ratio
 near zero, are left out.
 
-Training reads at most ``max_rows`` labelled rows, chosen by a hash of their id
-from all that are allowed; a table of that many ids and labels is what is
-broadcast.  Counting for the ratios and the scaled features runs in tasks; the
-driver gets 8 MB of counters and the few features left of each training row.
-Scoring is one pass without a shuffle, with 4 MB of weights, over whole texts.
+Training reads at most ``max_rows`` labelled rows of at most ``max_chars``
+characters together, in the order of a hash of their id, from all that are allowed; a
+table of that many ids and labels is what is broadcast.  Counting for the ratios and
+the scaled features runs in tasks; the driver gets 8 MB of counters and the few
+features left of each training row, which the two bounds bound.  Scoring is one pass
+without a shuffle, with 4 MB of weights, over whole texts; a long text goes through
+in blocks of ``BLOCK`` characters that overlap by four, so its features cost no more
+memory than the block's.
 
 Defined results: null and empty texts get the intercept's score, like any text
 too short for an n-gram; equal texts get equal scores; several labels of one id
 count as toxic if any is; without labels of both kinds every score is the share
 of toxic labels (0.5 without labels), at most 0.5; an empty table gives an empty
-result; extra columns are ignored.
+result; repeated rows are scored each; extra columns are ignored; texts of any length
+are scored whole.
 """
 
 from __future__ import annotations
@@ -26,9 +30,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -36,6 +39,7 @@ from .common import staged, table
 ORDERS = (3, 4, 5)
 BITS = 20
 MAX_ROWS = 12_000
+MAX_CHARS = 1 << 26
 TRAIN_TASKS = 12
 THRESHOLD = 0.7
 LEAST_ROWS = 5
@@ -43,13 +47,22 @@ LEAST_RATIO = 0.7
 TOXIC_WEIGHT = 3.0
 L2 = 1e-6
 ROUNDS = 150
-BLOCK = 1 << 19  # characters that are worked on at once
+BLOCK = 1 << 17  # characters that are worked on at once
+SLICE = 256  # texts that are held as Python strings at once
 _MULT = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _chars(text: str) -> np.ndarray:
-    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _blocks(text: str) -> Iterator[np.ndarray]:
+    """The characters of a text between two spaces, lower-cased, in blocks that share the characters of n-grams across their ends."""
+    step, more = BLOCK, max(ORDERS) - 1
+    whole = f" {text} "
+    for lo in range(0, max(1, len(whole) - min(ORDERS) + 1), step):
+        yield _chars(whole[lo : lo + step + more])
 
 
 def places(chars: np.ndarray) -> Iterator[np.ndarray]:
@@ -63,12 +76,35 @@ def places(chars: np.ndarray) -> Iterator[np.ndarray]:
                 yield (((g + np.uint64(n)) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _starting(chars: np.ndarray) -> Iterator[np.ndarray]:
+    """Of a block's n-grams, those that begin before its shared end."""
+    for x in places(chars):
+        yield x[:BLOCK]
+
+
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Places of a text, their counts, and the number of its n-grams."""
-    every = list(places(_chars(text)))
-    x = np.concatenate(every) if every else np.zeros(0, np.int64)
-    at, n = np.unique(x, return_counts=True)
-    return at, n, len(x)
+    if len(text) + 2 <= BLOCK:
+        x = np.concatenate(list(places(_chars(f" {text} "))))
+        at, n = np.unique(x, return_counts=True)
+        return at, n, len(x)
+    n, number = np.zeros(1 << BITS, np.int64), 0
+    for block in _blocks(text):
+        for x in _starting(block):
+            n += np.bincount(x, minlength=1 << BITS)
+            number += len(x)
+    at = np.flatnonzero(n)
+    return at, n[at], number
+
+
+def _density(text: str, weights: np.ndarray) -> float:
+    """``densities`` of one long text."""
+    total, number = 0.0, 0
+    for block in _blocks(text):
+        for x in _starting(block):
+            total += weights[x].sum(dtype=np.float64)
+            number += len(x)
+    return total / max(number, 1)
 
 
 def densities(texts: list[str], weights: np.ndarray) -> np.ndarray:
@@ -76,9 +112,13 @@ def densities(texts: list[str], weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(texts))
     i = 0
     while i < len(texts):
+        if len(texts[i]) + 2 > BLOCK:
+            out[i] = _density(texts[i], weights)
+            i += 1
+            continue
         parts, held, j = [], 0, i
-        while j < len(texts) and (j == i or held < BLOCK):
-            parts.append(_chars(texts[j]))
+        while j < len(texts) and held < BLOCK and len(texts[j]) + 2 <= BLOCK:
+            parts.append(_chars(f" {texts[j]} "))
             held += len(parts[-1])
             j += 1
         ends = np.cumsum([len(p) for p in parts])
@@ -156,13 +196,18 @@ def _logistic(rows: list, size: int) -> tuple[np.ndarray, float]:
     return out, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[bytes, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[bytes, float]:
     """``labels``: ``doc_id, toxic``, the rows that may be learned from.  Returns float32 weights by place, and the intercept."""
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id")
     rows = staged(rows.repartition(TRAIN_TASKS), "toxic-rows")  # few tasks, as each counts in a table of its own
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of the sample's ids only
+        upto = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).withColumn("upto", F.sum("n").over(order))
+        rows = staged(rows.join(F.broadcast(upto.where(F.col("upto") <= max_chars).select("doc_id")), "doc_id").select("text", "toxic", "doc_id"), "toxic-rows")
     number = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     size = 1 << BITS
     if len(number) < 2:
@@ -189,12 +234,14 @@ def scorer(spark: SparkSession, model: tuple[bytes, float]):
     """A column function: text to score."""
     shared, intercept = spark.sparkContext.broadcast(model[0]), model[1]
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = np.frombuffer(shared.value, "<f4")
         for texts in batches:
-            z = densities([t or "" for t in texts], weights) + intercept
-            yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9))
+            z = np.full(len(texts), intercept)
+            for lo in range(0, len(texts), SLICE):
+                z[lo : lo + SLICE] += densities([t or "" for t in texts.slice(lo, SLICE).to_pylist()], weights)
+            yield pa.array(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9))
 
     return score
 
