@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import corpora
@@ -17,6 +17,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\r"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.
+
+    Spark would otherwise copy each expression into every later one that reads it;
+    it doesn't look through ``inline``.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -64,19 +73,20 @@ def encoded_run(text: Column) -> Column:
 
 
 def image_url(text: Column) -> Column:
-    """The target of the first markdown image that is an http(s) URL, at most 120 characters."""
-    parts = F.split(text, r"!\[")
-
-    def target(i: Column) -> Column:
-        tail = F.concat(F.lit("!["), F.array_join(F.slice(parts, i + 1, F.size(parts)), "!["))
-        opened = F.locate("](", tail)
-        rest = F.substr(tail, opened + 2)
-        url = trimmed(F.substring_index(rest, ")", 1))
-        return F.when((opened > 0) & F.contains(rest, F.lit(")")) & url.rlike("^https?://"), F.substr(url, F.lit(1), F.lit(120)))
-
+    """The target of the first markdown image that is an http(s) URL, at most 120 characters.
+
+    An image's target begins at the first ``](`` after its ``![``, and ends at the next
+    ``)``, so the text is cut at ``](`` once and each cut is looked at with the piece
+    before it.
+    """
+    parts = F.split(text, r"\]\(")
+    beside = F.arrays_zip(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("before"), F.slice(parts, F.lit(2), F.size(parts) - 1).alias("after"))
+    opens = F.transform(beside, lambda x, i: F.when(F.contains(x["before"], F.lit("![")) & F.ltrim(x["after"], F.lit(SPACE)).rlike("^https?://"), i))
+    first = F.get(F.array_compact(opens), F.lit(0))
+    rest = F.array_join(F.slice(parts, first + 2, F.size(parts)), "](")
+    url = F.when(F.contains(rest, F.lit(")")), F.substr(trimmed(F.substring_index(rest, ")", 1)), F.lit(1), F.lit(120)))
     some = F.contains(text, F.lit("![")) & F.contains(text, F.lit("]("))
-    urls = F.array_compact(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), target))
-    return F.when(some, F.get(urls, F.lit(0)))
+    return F.when(some, F.when(first.isNotNull(), url))
 
 
 def fold_fullwidth(c: Column) -> Column:

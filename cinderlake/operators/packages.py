@@ -145,15 +145,6 @@ def verdict_counts(reports: DataFrame, *keys: str) -> DataFrame:
 
 # Install commands
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once a row.
-
-    Spark would otherwise copy each expression into every later one that reads it;
-    it doesn't look through ``inline``.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def resolve_commands(commands: DataFrame, spec: str = "spec") -> DataFrame:
     """Adds ``ecosystem, package, note`` of an install command.
 
@@ -161,23 +152,23 @@ def resolve_commands(commands: DataFrame, spec: str = "spec") -> DataFrame:
     command or a runner without a package.
     """
     c, at = F.col, lambda a, i: F.get(a, i.cast("int"))
-    df = _once(commands, _tokens=F.filter(F.split(F.coalesce(T.trimmed(c(spec)), F.lit("")), r"\s+"), lambda x: x != ""))
-    df = _once(df, _first=F.get("_tokens", F.lit(0)), _rest=F.slice("_tokens", 2, F.greatest(F.size("_tokens") - 1, F.lit(0))), _m=F.array_position("_tokens", "-m"))
+    df = T.once(commands, _tokens=F.filter(F.split(F.coalesce(T.trimmed(c(spec)), F.lit("")), r"\s+"), lambda x: x != ""))
+    df = T.once(df, _first=F.get("_tokens", F.lit(0)), _rest=F.slice("_tokens", 2, F.greatest(F.size("_tokens") - 1, F.lit(0))), _m=F.array_position("_tokens", "-m"))
     runner = F
     for eco, cmds in corpora.RUNNERS.items():
         runner = runner.when(c("_first").isin(cmds), eco)
     # The first token that is a package flag (2), or neither a flag nor a subcommand (1).
     kinds = F.transform("_rest", lambda t: F.when(t.isin(corpora.PACKAGE_FLAGS), 2).when(F.startswith(t, F.lit("-")) | t.isin(corpora.SUBCOMMANDS), 0).otherwise(1))
-    df = _once(df, _runner=runner, _kinds=kinds, _module=F.when(c("_first").isin("python", "python3") & (c("_m") > 0), at(c("_tokens"), c("_m"))))
-    df = _once(df, _place=F.array_position(F.transform("_kinds", lambda k: k > 0), True))
+    df = T.once(df, _runner=runner, _kinds=kinds, _module=F.when(c("_first").isin("python", "python3") & (c("_m") > 0), at(c("_tokens"), c("_m"))))
+    df = T.once(df, _place=F.array_position(F.transform("_kinds", lambda k: k > 0), True))
     picked = F.when(c("_place") > 0, F.when(at(c("_kinds"), c("_place") - 1) == 2, at(c("_rest"), c("_place"))).otherwise(at(c("_rest"), c("_place") - 1)))
-    df = _once(df, _named=F.when(c("_runner").isNotNull(), picked).otherwise(c("_first")))
+    df = T.once(df, _named=F.when(c("_runner").isNotNull(), picked).otherwise(c("_first")))
     elsewhere = F.contains("_named", F.lit("://")) | c("_named").rlike(r"^(git\+|\./|\.\./|/)") | (F.contains("_named", F.lit("/")) & ~F.startswith("_named", F.lit("@")))
     note = (
         F.when(F.size("_tokens") == 0, "error").when(c("_first").isin("node", "deno"), "unverifiable").when(c("_module").isNotNull(), None)
         .when(c("_first").isin("python", "python3"), "unverifiable").when(c("_named").isNull(), "error").when(elsewhere, "unverifiable")
     )
-    df = _once(df, note=note)
+    df = T.once(df, note=note)
     found = c("note").isNull()
     ecosystem = F.when(found, F.when(c("_module").isNotNull(), "pypi").otherwise(F.coalesce("_runner", F.lit("npm"))))
     return df.select(*commands.columns, ecosystem.alias("ecosystem"), F.when(found, F.coalesce("_module", "_named")).alias("package"), "note")

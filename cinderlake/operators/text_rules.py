@@ -41,8 +41,7 @@ def phrase_rules(low: Column, basis: Column) -> list[Column]:
     return out
 
 
-def hidden_rules(named: Column) -> list[Column]:
-    char = T.hidden_char(named)
+def hidden_rules(named: Column, char: Column) -> list[Column]:
     return [
         F.when(char.isNotNull(), finding("HIGH", "hidden-unicode", F.concat(F.lit("invisible character U+"), T.code_point(char)), None, 2)),
         F.when(named.rlike(corpora.TERMINAL), finding("HIGH", "ansi-escape", "terminal control sequence", None, 3)),
@@ -63,22 +62,17 @@ def capability_rule(hits: Column) -> Column:
 
 def with_findings(df: DataFrame, text: str = "text", label: str = "label", extra: list[Column] | None = None) -> DataFrame:
     """Adds ``findings``, the array of a text's findings in check order."""
-    df = df.withColumn("_desc", F.coalesce(F.col(text), F.lit(""))).withColumn("_name", F.coalesce(F.col(label), F.lit("")))
-    df = df.withColumns(
-        {
-            "_basis": F.concat_ws(" ", "_desc", F.translate("_name", "_-.", "   ")),
-            "_named": F.concat_ws(" ", "_name", "_desc"),
-            "_desc_low": F.lower("_desc"),
-            "_image": T.image_url(F.col("_desc")),
-            "_blob": T.encoded_run(F.col("_desc")),
-        }
-    )
-    df = df.withColumns({"_low": F.lower("_basis"), "_caps": T.matched(F.col("_desc_low"), corpora.CAPABILITY)})
+    columns = df.columns
     c = F.col
-    rules = phrase_rules(c("_low"), c("_basis")) + hidden_rules(c("_named")) + exfil_rules(c("_desc"), c("_desc_low"), c("_image"), c("_blob"))
+    df = T.once(df, _desc=F.coalesce(F.col(text), F.lit("")), _name=F.coalesce(F.col(label), F.lit("")))
+    df = T.once(df, _basis=F.concat_ws(" ", "_desc", F.translate("_name", "_-.", "   ")), _named=F.concat_ws(" ", "_name", "_desc"), _desc_low=F.lower("_desc"))
+    df = T.once(
+        df, _low=F.lower("_basis"), _char=T.hidden_char(c("_named")), _image=T.image_url(c("_desc")), _blob=T.encoded_run(c("_desc")),
+        _caps=T.matched(c("_desc_low"), corpora.CAPABILITY),
+    )
+    rules = phrase_rules(c("_low"), c("_basis")) + hidden_rules(c("_named"), c("_char")) + exfil_rules(c("_desc"), c("_desc_low"), c("_image"), c("_blob"))
     rules += [capability_rule(c("_caps")), *(extra or [])]
-    df = df.withColumn("findings", F.array_compact(F.array(*rules)))
-    return df.drop("_desc", "_name", "_basis", "_named", "_desc_low", "_image", "_blob", "_low", "_caps")
+    return T.once(df, findings=F.array_compact(F.array(*rules))).select(*columns, "findings")
 
 
 def rows_of(df: DataFrame, keys: list[str], tool: Column) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -135,3 +136,30 @@ def test_skill_files(spark):
     paths = [".claude/skills/a/SKILL.md", ".claude/skills/a/x/run.py", ".claude/skills/a/1/2/3/4/5/6/7/deep.sh", ".claude/commands/c.md", "other.txt"]
     got = {r.path: r.kind for r in surface.skill_files(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
     assert got == {paths[0]: "skill", paths[1]: "script", paths[3]: "command", paths[4]: "other"}
+
+
+def test_image_url_against_a_plain_search(spark):
+    def plain(t):
+        for i in range(len(t)):
+            if t.startswith("![", i):
+                at = t.find("](", i)
+                end = t.find(")", at + 2) if at >= 0 else -1
+                url = t[at + 2 : end].strip(" \t\n\r") if end >= 0 else ""
+                if url.startswith(("http://", "https://")):
+                    return url[:120]
+        return None
+
+    rng = random.Random(3)
+    parts = ["![", "](", ")", "http://x", " https://y ", "a", " ", "[", "!", "]", "("]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(400)]
+    rows.append((1000, "![" * 1_000_000 + "](http://z)"))
+    rows.append((1001, "![a](b" * 400_000))
+    got = {r.i: r.u for r in spark.createDataFrame(rows, "i int, t string").select("i", T.image_url(F.col("t")).alias("u")).collect()}
+    assert {i: got[i] for i in range(400)} == {i: plain(t) for i, t in rows[:400]}
+    assert (got[1000], got[1001]) == ("http://z", None)
+
+
+def test_each_text_is_computed_once(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, text string, label string")
+    plan = text_rules.scan_text(df, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 2 and plan.count("![") < 10 and len(plan) < 60_000
