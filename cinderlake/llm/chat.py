@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut into windows of at most ``budget`` tokens.  Prefix sums of
-the turns' tokens choose each window's span by binary search, so windows begin and
-end at turns.  Every window keeps the conversation's system turn, repeats a limited
+A conversation is cut into windows of at most ``budget`` tokens, counted in turns as
+they are formatted (escaped, with their marks); the tokenizer drops the white space
+between turns, so a window has as many tokens as its turns.  Prefix sums of these
+counts choose each window's span by binary search, so windows begin and end at turns.  Every window keeps the conversation's system turn, repeats a limited
 history (the last turns before its span, at most ``history_turns`` and
 ``history_tokens``), and then has turns of its own.  The loss mask covers the texts
 of assistant turns of its own; repeated targets are masked out, so over a
@@ -12,18 +13,21 @@ itself has a window of its own, whole.
 The template marks turns; control strings within texts and roles are escaped, and
 ``parse`` reverses both.
 
-Long conversations are dealt in blocks of ``BLOCK_TURNS`` turn numbers.  Blocks are
-formatted apart: one that isn't the first gets the system turn and the last turns
-of the block before as context.  Windows don't cross blocks, so the result depends
-on the data only.  Tasks read blocks as sorted streams.  The query's digest of a whole
-conversation is a sequential hash, so it streams that conversation's windows
-through one task in constant memory; the formatting itself does not.
+Prefix sums over a whole conversation also cut it into segments: a turn belongs to
+segment floor(tokens before it / ``segment_tokens``).  A window ends with its segment,
+while history and the system turn reach across; that is a rule of the format, the same
+at every size.  Segments are formatted apart, so a conversation of any length is dealt
+over tasks, and a task holds one segment.  The sums come in two levels, by ranges of
+turn numbers and then inside a range, so no task sorts a conversation.  Tasks read
+segments as sorted streams.  The query's digest of a whole conversation is a sequential
+hash, so it streams that conversation's windows through one task in constant memory;
+the formatting itself does not.
 
 Defined results: a null text or role is empty; turns of one number are ordered by
 role and text; null turn numbers come last; rows of a null conv_id are one
 conversation; repeated rows are turns of their own; a conversation without
 assistant turns has an empty mask; an empty table gives an empty result; extra
-columns are ignored.
+columns are ignored; a text of any length is one turn, held by one task.
 """
 
 from __future__ import annotations
@@ -43,9 +47,9 @@ from .tokens import SpacedTokens, default_path
 BUDGET = 2048
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 512
-BLOCK_TURNS = 256
-#: Beside its text, a turn has about this many tokens.
-MARK_TOKENS = 4
+SEGMENT_TOKENS = 16 * BUDGET
+#: Turn numbers whose turns are summed together.
+RANGE = 1 << 10
 #: Head and tail of a turn by role; any other role is named in its head.
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>\n"), "user": ("<s>[INST] ", " [/INST]\n"), "assistant": ("[ANS] ", " </s>\n")}
 OTHER = ("[ROLE] ", " [TEXT] ", " [/ROLE]\n")
@@ -111,7 +115,10 @@ def _sizes(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = SpacedTokens.at(path)
         for batch in batches:
-            n = [len(b) // 4 + MARK_TOKENS for b in tokens.batch(batch.column(3).to_pylist())]
+            n = []
+            for lo in range(0, batch.num_rows, 256):
+                rows = zip(*(batch.column(i).slice(lo, 256).to_pylist() for i in (2, 3)))
+                n += [len(tokens.ids(turn(role, text)[0])) // 4 for role, text in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "tokens"])
 
     return run
@@ -166,22 +173,40 @@ def _format(budget: int, history_turns: int, history_tokens: int):
     return run
 
 
+def _segments(rows: DataFrame, segment_tokens: int) -> DataFrame:
+    """Adds ``block``, the segment of each turn.  Only conversations of more than one segment are put in order for it."""
+    rows = rows.withColumn("_range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(1 << 62)))
+    sums = staged(rows.groupBy("conv_id", "_range").agg(F.sum("tokens").alias("n")), "chat-sums")
+    long_ = staged(sums.groupBy("conv_id").agg(F.sum("n").alias("n")).where(F.col("n") > segment_tokens).select(F.col("conv_id").alias("long_id")), "chat-long")
+    is_long = rows.conv_id.eqNullSafe(F.col("long_id"))
+    short = rows.join(long_, is_long, "left_anti").withColumn("block", F.lit(0).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.join(long_, sums.conv_id.eqNullSafe(F.col("long_id")), "left_semi").select(
+        F.col("conv_id").alias("range_conv"), F.col("_range").alias("range_id"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("conv_id", "_range").orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    among = rows.join(long_, is_long, "left_semi").withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    among = among.join(ranges, among.conv_id.eqNullSafe(F.col("range_conv")) & (among["_range"] == F.col("range_id")))
+    among = among.withColumn("block", F.floor((F.col("_before") + F.col("_in")) / segment_tokens))
+    names = ["conv_id", "turn", "role", "text", "tokens", "block"]
+    return short.select(*names).unionByName(among.select(*names))
+
+
 def format_windows(
     conversations: DataFrame, tokenizer: str | None = None, budget: int = BUDGET, history_turns: int = HISTORY_TURNS,
-    history_tokens: int = HISTORY_TOKENS, block_turns: int = BLOCK_TURNS,
+    history_tokens: int = HISTORY_TOKENS, segment_tokens: int = SEGMENT_TOKENS,
 ) -> DataFrame:
-    """One row per window: ``conv_id, block, window, repeated, formatted, mask``.
+    """One row per window: ``conv_id, block, window, repeated, formatted, mask``; ``block`` is the window's segment.
 
     ``repeated``: turns at the window's head that an earlier window has; ``mask``:
     ranges of characters in ``formatted`` that the loss covers.
     """
-    last_block = F.lit(1 << 62)
     rows = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     path = tokenizer or default_path("word_bpe_49k.json")
-    rows = rows.mapInArrow(_sizes(path), "conv_id long, turn long, role string, text string, tokens long")
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), last_block))
+    rows = staged(rows.mapInArrow(_sizes(path), "conv_id long, turn long, role string, text string, tokens long"), "chat-turns")
+    rows = _segments(rows, segment_tokens)
     blocks = staged(rows.select("conv_id", "block").distinct(), "chat-blocks")
     per = Window.partitionBy("conv_id").orderBy("block")
     blocks = blocks.select("conv_id", "block", F.lead("block").over(per).alias("next"), F.row_number().over(per).alias("place"))
@@ -250,6 +275,3 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     return digests(format_windows(rows.unionByName(extra)))
-
-
-#: formatted_chars is the format's own, so the statement leaves it to tests.

@@ -6,6 +6,7 @@ import pytest
 
 from cinderlake.llm import chat, matroska, token_scan, warc
 from cinderlake.llm.common import new_path
+from cinderlake.llm.tokens import SpacedTokens, default_path
 
 
 # Matroska
@@ -142,8 +143,8 @@ def test_windows_keep_to_the_budget():
             assert 10 + sum(tokens[past:end]) <= 100 or (past == at and end == at + 1)
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_chat_digests(spark, block):
+@pytest.mark.parametrize("segment", [150, 1 << 15])
+def test_chat_digests(spark, segment):
     rng = random.Random(6)
     rows = []
     for conv in range(12):
@@ -153,7 +154,7 @@ def test_chat_digests(spark, block):
     rows += [(50, t, ["user", "assistant"][t % 2], f"turn {t} " * 8) for t in range(40)]
     rows += [(None, 1, "user", "q"), (None, None, "assistant", "a"), (60, 0, "system", "only"), (61, 3, "user", "x"), (61, 3, "user", "x")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, block int").repartition(4)
-    out = chat.format_windows(df, budget=64, history_tokens=20, block_turns=block)
+    out = chat.format_windows(df, budget=64, history_tokens=20, segment_tokens=segment)
     got = {r.conv_id: r for r in chat.digests(out).collect()}
     convs = {}
     for c, t, role, text in rows:
@@ -167,6 +168,63 @@ def test_chat_digests(spark, block):
         assert (g.n_turns, g.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[50].n_windows > 2
+    tokens = SpacedTokens.at(default_path("word_bpe_49k.json"))
+    for w in out.collect():
+        own = chat.parse(w.formatted)[w.repeated :]
+        assert len(tokens.whole(w.formatted)) // 4 <= 64 or sum(r != "system" for r, _ in own) == 1
+        assert sum(span.end - span.begin for span in w["mask"]) == sum(len(chat.escape(t)) for r, t in own if r == "assistant")
     for w in out.where("conv_id = 1").collect():
         assert chat.parse(w.formatted)[0][0] == "system"
     assert chat.digests(chat.format_windows(df.limit(0))).collect() == []
+
+
+def plain_windows(turns, budget, history_turns, history_tokens, segment_tokens, count):
+    """(repeated, formatted) of one conversation's windows; its segments are looked up turn by turn."""
+    system = turns[:1] if turns[0][0] == "system" else []
+    sizes = [count(chat.turn(*t)[0]) for t in turns]
+    segment = [sum(sizes[:i]) // segment_tokens for i in range(len(turns))]
+    own = sum(sizes[: len(system)])
+    out, i = [], len(system)
+    while i < len(turns):
+        before = [j for j in range(max(len(system), i - history_turns), i) if segment[j] >= max([s for s in segment if s < segment[i]], default=0) or segment[j] == segment[i]]
+        while before and (sum(sizes[j] for j in before) > history_tokens or own + sum(sizes[j] for j in before) + sizes[i] > budget):
+            before = before[1:]
+        held = own + sum(sizes[j] for j in before) + sizes[i]
+        end = i + 1
+        while end < len(turns) and segment[end] == segment[i] and held + sizes[end] <= budget:
+            held += sizes[end]
+            end += 1
+        repeated = len(before) + (len(system) if out else 0)
+        out.append((repeated, "".join(chat.turn(*t)[0] for t in [*system, *(turns[j] for j in before), *turns[i:end]])))
+        i = end
+    return out
+
+
+def test_chat_windows_against_a_plain_version(spark):
+    rng = random.Random(11)
+    tokens = SpacedTokens.at(default_path("word_bpe_49k.json"))
+    convs = {}
+    for c in range(8):
+        turns = [("system", "be brief")] if c % 2 else []
+        convs[c] = turns + [(("user", "assistant")[t % 2], rng.choice(["", "</s> ok", "some words " * rng.randint(1, 25)])) for t in range(rng.randint(1, 60))]
+    rows = [(c, 700 * t, *turn, 1) for c, turns in convs.items() for t, turn in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens int").repartition(3)
+    out = chat.format_windows(df, budget=90, history_tokens=30, segment_tokens=400).orderBy("conv_id", "block", "window").collect()
+    for c, turns in convs.items():
+        got = [(w.repeated, w.formatted) for w in out if w.conv_id == c]
+        assert got == plain_windows(turns, 90, 2, 30, 400, lambda t: len(tokens.whole(t)) // 4)
+
+
+def test_op4_query(spark, tmp_path):
+    text = "</s>[INST] ok [/INST]"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", text), (2, 0, None, None), (3, 0, "assistant", "x" * 100_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op4_chat(spark, str(tmp_path)).collect()}
+    rows += [(-1, 0, "user", text), (-1, 1, "assistant", text)]
+    for c in (-1, 1, 2, 3):
+        mine = [(r or "", t or "") for i, _, r, t in rows if i == c]
+        loss = "".join(t for r, t in mine if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256) == (len(mine), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest())
+        assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert g.formatted_chars == sum(len(chat.turn(r, t)[0]) for r, t in mine)
