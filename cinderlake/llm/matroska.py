@@ -10,8 +10,8 @@ Both work on one file at a time in a task; the input is dealt by row, and the
 memory that a task needs is that of one Arrow batch and the largest file in it.
 
 Defined results: null and empty texts are the empty payload, padded to 64 zero
-bytes; equal texts give equal files; a file that ends within an element raises
-``ValueError``; null media give no packets; an empty table gives an empty result;
+bytes; equal texts give equal files; a file that ends within an element, or a block
+that ends within its head, raises ``ValueError``; null media give no packets; an empty table gives an empty result;
 repeated rows are done each; extra columns are ignored.
 """
 
@@ -108,7 +108,7 @@ def mux(samples: bytes) -> bytes:
 
 def _size_at(data: bytes, at: int) -> tuple[int, int, bool]:
     """Value, end and whether all its bits are set, of the variable-length integer at ``at``."""
-    first = data[at]
+    first = data[at] if at < len(data) else 0
     width = 9 - first.bit_length()
     if width > 8 or at + width > len(data):
         raise ValueError(f"no variable-length integer at byte {at}")
@@ -116,26 +116,40 @@ def _size_at(data: bytes, at: int) -> tuple[int, int, bool]:
     return value, at + width, value == (1 << 7 * width) - 1
 
 
-def elements(data: bytes, at: int, end: int, parents: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
+def _head(data: bytes, at: int) -> tuple[int, int, int | None]:
+    """Id, first byte of the body, and size (None: unknown) of the element at ``at``."""
+    if not data[at]:
+        raise ValueError(f"no element id at byte {at}")
+    width = 9 - data[at].bit_length()
+    ident = int.from_bytes(data[at : at + width], "big")
+    size, body, unknown = _size_at(data, at + width)
+    return ident, body, None if unknown else size
+
+
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size ends: at the next element that can't be within one."""
+    while at < end:
+        ident, body, size = _head(data, at)
+        if ident in (CLUSTER, CUES, INFO, TRACKS):
+            return at
+        if size is None:
+            raise ValueError(f"element {ident:x} at byte {at} has no size")
+        at = body + size
+    return at
+
+
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, first byte, first byte of the body, end) of each element in a range.
 
     An element of unknown size runs to the next element that can follow it: for a
     cluster the next cluster or cues, for a segment the end.
     """
     while at < end:
-        if not data[at]:
-            raise ValueError(f"no element id at byte {at}")
-        width = 9 - data[at].bit_length()
-        ident = int.from_bytes(data[at : at + width], "big")
-        size, body, unknown = _size_at(data, at + width)
-        stop = body + size
-        if unknown:
-            stop = end
-            if ident == CLUSTER:
-                for kind, first, _, _ in elements(data, body, end):
-                    if kind in (CLUSTER, CUES, INFO, TRACKS):
-                        stop = first
-                        break
+        ident, body, size = _head(data, at)
+        if size is not None:
+            stop = body + size
+        else:
+            stop = _cluster_end(data, body, end) if ident == CLUSTER else end
         if stop > end:
             raise ValueError(f"element {ident:x} at byte {at} ends after its parent")
         yield ident, at, body, stop
@@ -147,6 +161,8 @@ def _int(data: bytes, a: int, b: int) -> int:
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"no number of {b - a} bytes at byte {a}")
     return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
 
@@ -162,22 +178,32 @@ class Media:
     clusters: list[int] = field(default_factory=list)
 
 
+def _byte(data: bytes, a: int, b: int) -> int:
+    if a >= b:
+        raise ValueError(f"block ends within its lace's head at byte {a}")
+    return data[a]
+
+
 def _block(data: bytes, a: int, b: int) -> tuple[int, int, int, list[tuple[int, int]]]:
     """Track, relative time, flags and byte ranges of the frames."""
+    if b - a < 4:
+        raise ValueError(f"block of {b - a} bytes at byte {a}")
     track, a, _ = _size_at(data, a)
+    if b - a < 3:
+        raise ValueError(f"block ends within its head at byte {a}")
     time = struct.unpack(">h", data[a : a + 2])[0]
     flags = data[a + 2]
     a += 3
     kind = flags >> 1 & 3
     if not kind:
         return track, time, flags, [(a, b - a)]
-    number = data[a] + 1
+    number = _byte(data, a, b) + 1
     a += 1
     sizes = []
     if kind == XIPH:
         for _ in range(number - 1):
             n = 0
-            while data[a] == 255:
+            while _byte(data, a, b) == 255:
                 n += 255
                 a += 1
             sizes.append(n + data[a])
@@ -186,7 +212,7 @@ def _block(data: bytes, a: int, b: int) -> tuple[int, int, int, list[tuple[int,
         n, a, _ = _size_at(data, a)
         sizes.append(n)
         for _ in range(number - 2):
-            width = 9 - data[a].bit_length()
+            width = 9 - _byte(data, a, b).bit_length()
             d, a, _ = _size_at(data, a)
             n += d - ((1 << 7 * width - 1) - 1)
             sizes.append(n)

@@ -38,6 +38,22 @@ def test_all_lacings_and_groups_and_unknown_sizes():
         matroska.parse(matroska.mux(b"x" * 64)[:-3])
 
 
+def test_streamed_clusters_cost_their_number():
+    block = matroska.element(matroska.SIMPLE, b"\x81\x00\x00\x80abc")
+    cluster = matroska.CLUSTER.to_bytes(4, "big") + b"\xff" + matroska.uint(matroska.TIMESTAMP, 1) + block
+    m = matroska.parse(matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + cluster * 5000)
+    assert len(m.clusters) == len(m.packets) == 5000
+
+
+@pytest.mark.parametrize("body", [b"", b"\x81", b"\x81\x00\x00", b"\x81\x00\x00\x02", b"\x81\x00\x00\x02\x05\xff", b"\x81\x00\x00\x06\x03", b"\x40\x01\x00\x00"])
+def test_short_blocks_are_errors(body):
+    data = matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE, body)))
+    with pytest.raises(ValueError):
+        matroska.parse(data)
+    with pytest.raises(ValueError):
+        matroska.parse(data + b"\x42")
+
+
 def test_vints():
     for n in (0, 1, 126, 127, 128, 16_382, 16_383, 2**21, 2**40):
         v = matroska.vint(n)
@@ -112,6 +128,8 @@ def test_warc_tells_pages_of_one_id_apart(spark):
     rows = [(3, "u", a), (5, "u", a), (5, "v", b), (4, "w", b), (9, "x", b), (6, "y", a), (6, "z", "c" * 150), (None, "n", a)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = warc.read_warc(warc.write_warc(df, new_path(spark, "warc"))).collect()
+    urls = {r.page_id: r.url for r in warc.read_warc(warc.write_warc(spark.createDataFrame([(1, None, "x"), (2, "a b\n", "x"), (2, "a b\n", "x"), (3, "", "x")], "page_id long, url string, html string"), new_path(spark, "warc"))).collect()}
+    assert urls == {1: None, 2: "a%20b%0A", 3: ""}
     want = {("u", a): 3, ("v", b): 4, ("x", b): 4, ("y", a): 3}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     refs = sorted(((i, u, sha(t), want.get((u, t)) if i != 3 else None) for i, u, t in rows), key=repr)
