@@ -1,8 +1,10 @@
 """A deterministic sharded WARC writer, and its reader.
 
 Records are dealt to shards by ranges of their id and sorted within.  The cut
-points are quantiles of a bounded sample (the ``SAMPLE`` ids with the smallest
-hash), so they depend on the table alone, not on partitions or cluster size.  A
+points are quantiles of a bounded sample (about ``SAMPLE`` ids, or ``SAMPLE_EACH`` a
+shard, with the smallest hashes: those under a threshold that the number of rows
+gives), so they depend on the table alone, not on partitions or cluster size.  Tables
+of more than ``MOST_SHARDS`` shards have larger ones.  A
 task writes a shard as a sorted stream: every record is a gzip member of its own,
 and a file is closed once its compressed size reaches ``roll_bytes``.  Headers,
 record ids, payload digests and lengths are made anew from the records.  A file is
@@ -15,8 +17,11 @@ smallest id carries the payload; the others are revisits that refer to it.
 
 Defined results: a null page is the empty payload; payloads below ``least_bytes``
 are all responses; rows that repeat the smallest id are responses as well; pages of
-one id are each a record, by their own payload; a null id goes to the first shard; an empty table gives no files; extra columns are
-ignored.
+one id are each a record, by their own payload; a null id goes to the first shard; a
+null url has no target field and comes back as null; white space and control
+characters in a url are percent-encoded; repeated rows are records of their own; an
+empty table gives no files; extra columns are ignored; a page of any length is one
+record, held by one task.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import new_path, staged, table
 
 SAMPLE = 10_000
+SAMPLE_EACH = 8
+MOST_SHARDS = 100_000
 SHARD_BYTES = 16 << 20  # of payload
 ROLL_BYTES = 8 << 20  # compressed
 LEAST_BYTES = 100
@@ -48,6 +56,11 @@ def _record_id(page) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
 
+def _uri(url: str) -> str:
+    """White space and control characters percent-encoded, so that a head field is one line."""
+    return "".join(quote(c) if c.isspace() or c < " " or c == "\x7f" else c for c in url)
+
+
 def record(page, url: str | None, payload: bytes, digest: str, size: int, refers_to) -> bytes:
     """One WARC record.  The HTTP head of a revisit keeps the full payload's length."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}".encode() + END
@@ -57,7 +70,7 @@ def record(page, url: str | None, payload: bytes, digest: str, size: int, refers
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {_record_id(page)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        *([] if url is None else [f"WARC-Target-URI: {_uri(url)}"]),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {'' if page is None else page}",
     ]
@@ -160,7 +173,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         size, found = len(payload), hashlib.sha256(payload).hexdigest()
                         if found != digest:
                             raise ValueError("payload and WARC-Payload-Digest differ")
-                    rows.append((int(r["x-page-id"]) if r["x-page-id"] else None, r["warc-target-uri"], size, digest, r["warc-type"], int(r["x-refers-to-page-id"]) if "x-refers-to-page-id" in r else None))
+                    rows.append((int(r["x-page-id"]) if r["x-page-id"] else None, r.get("warc-target-uri"), size, digest, r["warc-type"], int(r["x-refers-to-page-id"]) if "x-refers-to-page-id" in r else None))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                         rows = []
@@ -179,16 +192,18 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def shard_cuts(pages: DataFrame, shards: int) -> list[int]:
-    """Ids at which the shards after the first begin: quantiles of the ids with the smallest hashes."""
-    ids = sorted(r[0] for r in pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect())
+def shard_cuts(pages: DataFrame, shards: int, n_rows: int) -> list[int]:
+    """Ids at which the shards after the first begin: quantiles of the ids whose hash is under a threshold."""
+    share = min(1.0, max(SAMPLE, SAMPLE_EACH * shards) / max(1, n_rows))
+    low = F.xxhash64("page_id").bitwiseAND(F.lit(0xFFFFFFFF)) < F.lit(int(share * (1 << 32)))
+    ids = sorted(r[0] for r in pages.where(F.col("page_id").isNotNull() & low).select("page_id").distinct().collect()) if shards > 1 else []
     return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write ``pages`` (``page_id, url, html``).  Returns the manifest: ``file, records, bytes, sha256``."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    cuts = np.asarray(shard_cuts(pages, min(SAMPLE, max(1, -(-total // shard_bytes)))), np.int64)
+    total = pages.agg(F.sum(F.octet_length("html")).alias("size"), F.count("*").alias("n")).first()
+    cuts = np.asarray(shard_cuts(pages, min(MOST_SHARDS, max(1, -(-(total["size"] or 0) // shard_bytes))), total["n"]), np.int64)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
@@ -209,7 +224,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
 def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the files in a manifest, each checked against its digests."""
     files = manifest.select("file")
-    files = files.repartition(max(1, min(1000, files.count())), "file")
+    files = files.repartition(max(1, min(MOST_SHARDS, files.count())), "file")
     return files.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
