@@ -14,7 +14,8 @@ staged manifest names the files that count.
 Defined results: a null text has no ids but its separator (1 token); ids after
 the last separator of a file are one more document, marked unended; an empty
 file has no documents; an empty table gives an empty result; repeated rows are
-documents of their own; extra columns are ignored.
+documents of their own; extra columns are ignored, whatever their names; a text of any
+length is written whole, by one task, which holds its ids, and is scanned in blocks.
 """
 
 from __future__ import annotations
@@ -147,10 +148,14 @@ def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: in
     scanned = staged(blocks.mapInArrow(_scan(separator), "file string, bytes long, block long, n long, last long, found binary"), "flat-blocks")
     order = Window.partitionBy("file").orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    # The prefix scan carries counts only; the separators' places are joined to it by block.
+    places = scanned.select("file", "block", "n", "last")
     placed = (
-        scanned.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        places.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .withColumn("previous", F.coalesce(F.max("last").over(earlier), F.lit(-1)).cast("long"))
         .withColumn("final", F.lead("block").over(order).isNull())
+        .select("file", "block", "before", "previous", "final")
+        .join(scanned.select("file", "block", "bytes", "found"), ["file", "block"])
     )
     return placed.mapInArrow(_stitched, "file string, ordinal long, start long, n_tokens long, ended boolean")
 
