@@ -20,7 +20,8 @@ ends.  A hot source is thus dealt over its slots, and no task ever sorts a sourc
 
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; sources of size 0 have target 0; documents of one id tie and are
-ordered by size; an empty table gives an empty result; other columns stay.
+ordered by size; an empty table gives an empty result; other columns stay.  Texts are
+counted whole by native functions, so a long one costs its own row's memory only.
 """
 
 from __future__ import annotations
@@ -68,9 +69,12 @@ def water_fill(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """``docs`` has ``doc_id, source, size``.  Adds ``source_size, target, taken`` (words).
 
-    Columns of these names in ``docs`` are replaced, other columns stay.
+    Columns of these names in ``docs`` are replaced, other columns stay, whatever
+    their names.
     """
-    docs = docs.drop("source_size", "target", "taken", "slot_size")
+    own = ["doc_id", "source", "size"]
+    others = [c for c in docs.columns if c not in (*own, "source_size", "target", "taken")]
+    docs = docs.select(*own, *([F.struct(*others).alias("_others")] if others else []))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.withColumn("_key", key).withColumn(
         "_slot", (F.conv(F.substring("_key", 1, SLOT_HEX), 16, 10).cast("int") % 1024)
@@ -105,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
     cut = cut.withColumn("_more", F.greatest(F.lit(0), F.least("size", F.col("_slot_rest") - F.col("_ahead")))).drop("_ahead")
     even = out.where(~is_cut).withColumn("_more", F.when(F.col("_slot_rest") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
     both = even.unionByName(cut).withColumn("taken", F.col("_whole") * F.col("size") + F.col("_more"))
-    return both.drop("_key", "_slot", "_none", "_src", "_whole", "_slot_rest", "slot_size", "_more")
+    return both.select(*own, *(["_others.*"] if others else []), "source_size", "target", "taken")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -101,6 +101,9 @@ def test_mix_keeps_columns_of_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target int, taken int, slot_size int")
     out = mixed_rows(df)
     assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {(7, 8, 9, 10)}
+    odd = ["_key", "_slot", "_none", "_src", "slot_size", "n"]
+    df = spark.createDataFrame([(i, "s", 3, *range(6)) for i in range(5)], f"doc_id long, source string, size long, {', '.join(f'{c} int' for c in odd)}")
+    assert {tuple(r) for r in mix(df).select(*odd).collect()} == {tuple(range(6))}
 
 
 def test_mix_of_nothing(spark):
