@@ -51,11 +51,15 @@ def fnv1a_hex(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(TEXT)
 def manifest_fingerprint(tools: pd.Series) -> pd.Series:
     """Of a JSON array of tools: sorted by name, canonical, hashed."""
-    out = []
-    for t in tools:
+    places, data = [], []
+    for i, t in enumerate(tools):
         ok, v = _load(t)
-        rows = sorted(v, key=lambda x: x.get("name") or "") if ok and isinstance(v, list) else None
-        out.append(None if rows is None else fnv1a(canonical(rows).encode()))
+        if ok and isinstance(v, list):
+            places.append(i)
+            data.append(canonical(sorted(v, key=lambda x: x.get("name") or "")).encode())
+    out = [None] * len(tools)
+    for i, h in zip(places, fnv1a_many(data)):
+        out[i] = h
     return pd.Series(out, dtype=object)
 
 

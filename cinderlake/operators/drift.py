@@ -89,6 +89,13 @@ def drift(locked: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumn("severity_rank", rank(F.col("severity"), corpora.SEVERITIES))
 
 
+def documents(changes: DataFrame) -> DataFrame:
+    """One JSON document per source: ``lock, document`` with ``{lock, changes[]}``, worst changes first.  A document is as long as its source has tools."""
+    rows = changes.groupBy(F.col("path").alias("lock")).agg(F.sort_array(F.collect_list(F.struct("severity_rank", "tool", "kind", "severity", "message", "evidence"))).alias("changes"))
+    kept = F.transform("changes", lambda c: F.struct(c["severity"].alias("severity"), c["kind"].alias("kind"), c["tool"].alias("tool"), c["message"].alias("message"), c["evidence"].alias("evidence")))
+    return rows.select("lock", F.to_json(F.struct("lock", kept.alias("changes"))).alias("document"))
+
+
 def snapshot_additions(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """``kind, value`` that the baseline hasn't.  What went isn't reported."""
     return current.select("kind", "value").distinct().join(baseline, ["kind", "value"], "left_anti")

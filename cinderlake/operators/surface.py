@@ -164,3 +164,16 @@ def snapshot(parts: dict[str, DataFrame]) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.distinct()
+
+
+def totals(parts: dict[str, DataFrame], flagged: DataFrame | None = None) -> DataFrame:
+    """One row of an audit's totals.  ``flagged``: the ``spec`` of each server whose package report is flagged."""
+    number = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    counted = {
+        "servers": parts["servers"], "flagged": parts["servers"].limit(0) if flagged is None else parts["servers"].join(flagged.select("spec").distinct(), "spec", "left_semi"),
+        "instruction_findings": parts["texts"], "network_hooks": parts["hooks"].where("network"), "secrets": parts["secrets"], "settings": parts["settings"],
+    }
+    out = None
+    for name, df in counted.items():
+        out = number(df, name) if out is None else out.unionByName(number(df, name))
+    return out.agg(*[F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in counted])

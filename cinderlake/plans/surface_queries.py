@@ -108,6 +108,14 @@ def drift_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.diff_tools(*_versions(spark, sf_dir)).select("path", "tool", "kind", "severity", "evidence")
 
 
+def drift_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, read back."""
+    docs = drift.documents(drift.drift(*_versions(spark, sf_dir)))
+    read = docs.withColumn("d", F.from_json("document", "lock STRING, changes ARRAY<STRUCT<severity: STRING, kind: STRING, tool: STRING, message: STRING, evidence: STRING>>"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("d.changes", lambda c: c["kind"]))), ",")
+    return read.select("d.lock", F.size("d.changes").cast("long").alias("n_changes"), kinds.alias("kinds"), F.get("d.changes", F.lit(0))["severity"].alias("worst"))
+
+
 def drift_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift(*_versions(spark, sf_dir)).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
@@ -213,7 +221,7 @@ _CARD = f"c AS (SELECT s_suppkey, s_name, s_suppkey % 6 AS k, {SERVED} AS h FROM
 QUERIES = {
     "config_tree": config_tree, "config_settings": config_settings, "network_hooks": network_hooks, "server_spec": server_spec, "config_secret": config_secret,
     "card_check": card_check, "card_fields": card_fields, "card_confusable": card_confusable, "card_targets": card_targets,
-    "drift_sources": drift_sources, "drift_tools": drift_tools, "drift_severity": drift_severity, "snapshot_diff": snapshot_diff,
+    "drift_sources": drift_sources, "drift_tools": drift_tools, "drift_severity": drift_severity, "drift_document": drift_document, "snapshot_diff": snapshot_diff,
     "first_seen_distinct": first_seen_distinct, "cache_fresh_latest": cache_fresh_latest,
     "feed_npm": feed_npm, "feed_pypi": feed_pypi, "feed_crates": feed_crates, "feed_advisories": feed_advisories,
     "sarif_rows": sarif_rows, "sarif_rules": sarif_rules, "stream_requests": stream_requests,
@@ -250,6 +258,8 @@ UNION ALL SELECT s_suppkey, 'skills[0].tags[0]', 'a' FROM c WHERE k = 4 UNION AL
  WHEN 2 THEN 'https://u@h.example:1/.well-known/x' END AS urls FROM pages""",
     "drift_sources": f"WITH {_DRIFT} SELECT path, tool, kind, severity FROM d WHERE kind LIKE 'source-%'",
     "drift_tools": f"WITH {_DRIFT} SELECT path, tool, kind, severity, evidence FROM d WHERE kind NOT LIKE 'source-%'",
+    "drift_document": f"""WITH {_DRIFT} SELECT path AS lock, count(*) AS n_changes, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+ CASE min({RANK}) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS worst FROM d GROUP BY path""",
     "drift_severity": f"WITH {_DRIFT} SELECT kind, severity, count(*) AS n FROM d GROUP BY ALL",
     "snapshot_diff": "SELECT DISTINCT event_type AS kind, user_id::VARCHAR AS value FROM events e WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.event_type = e.event_type AND b.user_id = e.user_id)",
     "first_seen_distinct": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",

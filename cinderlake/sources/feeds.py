@@ -69,13 +69,17 @@ def fresh(responses: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFram
     """The latest response of each request that is 0 to ``ttl`` seconds old.  Only successes and 404 are kept."""
     age = F.unix_timestamp(now) - F.unix_timestamp("fetched_at")
     ok = (F.col("status").between(200, 299) | (F.col("status") == 404)) & age.between(0, ttl)
-    place = F.row_number().over(Window.partitionBy("method", "url", "body_match").orderBy(F.col("fetched_at").desc()))
+    place = F.row_number().over(Window.partitionBy("method", "url", "body_match").orderBy(F.col("fetched_at").desc(), "status", "body"))
     return responses.where(ok).withColumn("_p", place).where("_p = 1").drop("_p")
 
 
 def misses(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """Requests that have to be fetched."""
-    return requests.join(cached.select("method", "url").distinct(), ["method", "url"], "left_anti")
+    """Requests (``method, url`` and, for a POST, ``body_match``) that have to be fetched."""
+    body = F.coalesce("body_match", F.lit("")) if "body_match" in requests.columns else F.lit("")
+    have = cached.select(F.col("method").alias("_m"), F.col("url").alias("_u"), F.coalesce("body_match", F.lit("")).alias("_b")).distinct()
+    asked = requests.withColumn("_body", body)
+    on = (F.col("method") == F.col("_m")) & (F.col("url") == F.col("_u")) & (F.col("_body") == F.col("_b"))
+    return asked.join(have, on, "left_anti").drop("_body")
 
 
 def npm_url(name: Column) -> Column:
@@ -160,11 +164,16 @@ def crates_reputation(bodies: DataFrame) -> DataFrame:
 
 
 def advisories(bodies: DataFrame) -> DataFrame:
-    """``ecosystem, name, status, body`` of advisory answers, one row per advisory."""
-    vulns = F.from_json("body", "vulns ARRAY<STRUCT<id: STRING, summary: STRING, withdrawn: STRING, database_specific: STRUCT<severity: STRING>>>")["vulns"]
+    """``ecosystem, name, status, body`` of advisory answers, one row per advisory.
+
+    ``affected``: the versions that an advisory lists; null where it lists none, which
+    stands for all.
+    """
+    vulns = F.from_json("body", "vulns ARRAY<STRUCT<id: STRING, summary: STRING, withdrawn: STRING, database_specific: STRUCT<severity: STRING>, affected: ARRAY<STRUCT<versions: ARRAY<STRING>>>>>")["vulns"]
     rows = bodies.where("status between 200 and 299").select("ecosystem", "name", F.explode(vulns).alias("v"))
+    listed = F.flatten(F.transform("v.affected", lambda a: F.coalesce(a["versions"], F.array().cast("array<string>"))))
     return rows.select(
-        "ecosystem", "name", "v.id", "v.summary", F.upper("v.database_specific.severity").alias("severity"), "v.withdrawn", F.lit(None).cast("array<string>").alias("affected")
+        "ecosystem", "name", "v.id", "v.summary", F.upper("v.database_specific.severity").alias("severity"), "v.withdrawn", F.when(F.size(listed) > 0, listed).alias("affected")
     )
 
 

@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
 kept; its result is written as Parquet and read again as the next one's ``docs``.
 All stages but the last return the columns of ``documents``.
+
+Defined results of every stage: null and empty texts are documents (the toxicity stage
+scores them by its intercept; of several, exact dedup keeps one; they link with nothing;
+they have no words, so the mix takes none of them); a null id is kept apart by its row
+and sorts below all others in exact dedup, above in near dedup; ties and repeated rows
+are copies, of which one row stays; a null source is a source of its own; null labels
+teach nothing, and without labels all documents stay; an empty table goes through as
+an empty one; extra columns of any name stay until packing; texts of any length are
+worked on whole.
 """
 
 from __future__ import annotations
@@ -24,7 +33,10 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     repeated = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if repeated.isEmpty():
         return docs, "doc_id"
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def _without(docs: DataFrame, rows: DataFrame, row: str, groups: DataFrame, best) -> DataFrame:

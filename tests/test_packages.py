@@ -197,6 +197,18 @@ def test_cache(spark):
     assert [(r.url, r.body) for r in cached.collect()] == [("a", "new")]
     asked = spark.createDataFrame([("GET", "a"), ("GET", "c")], "method string, url string")
     assert [r.url for r in feeds.misses(asked, cached).collect()] == ["c"]
+    posts = spark.createDataFrame([("POST", "p", "one", 200, "x", t)], feeds.RESPONSE)
+    asked = spark.createDataFrame([("POST", "p", "one"), ("POST", "p", "two"), ("POST", "p", None)], "method string, url string, body_match string")
+    assert sorted((r.body_match for r in feeds.misses(asked, posts).collect()), key=str) == [None, "two"]
+
+
+def test_advisories_with_affected_versions(spark):
+    body = '{"vulns": [{"id": "A-1", "affected": [{"versions": ["1.0", "1.1"]}, {"versions": ["2.0"]}]}, {"id": "A-2", "affected": [{}]}, {"id": "A-3", "withdrawn": "2024-01-01", "affected": [{"versions": ["3.0"]}]}]}'
+    a = feeds.advisories(spark.createDataFrame([("npm", "x", 200, body)], "ecosystem string, name string, status int, body string"))
+    assert {r.id: r.affected for r in a.collect()} == {"A-1": ["1.0", "1.1", "2.0"], "A-2": None, "A-3": ["3.0"]}
+    asked = spark.createDataFrame([("npm", "x", v, v) for v in ("1.1", "3.0", "9.9")], "ecosystem string, name string, version string, effective string")
+    got = {r.version: [v["id"] for v in r.vulnerabilities] for r in packages.with_advisories(asked, a).collect()}
+    assert got == {"1.1": ["A-1", "A-2"], "3.0": ["A-2"], "9.9": ["A-2"]}
 
 
 def test_http_feed_reports_transport_errors(spark):
