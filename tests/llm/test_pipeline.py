@@ -50,3 +50,33 @@ def test_rows_of_one_id_are_dropped_one_by_one(spark):
     assert pairs(got) == sorted([(5, a), (9, b.upper()), (None, c), (7, "same"), (8, "own")], key=repr)
     rows = [(5, a), (5, b), (3, a + " end"), (None, c + " end"), (None, c), (4, c), (7, "same"), (7, "same")]
     assert pairs(p.drop_near_copies(spark, df(rows), "")) == sorted([(5, b), (3, a + " end"), (4, c), (7, "same")], key=repr)
+
+
+def test_stages_on_odd_rows_and_on_nothing(spark, tmp_path):
+    """Nulls in any column, empty texts, ties, repeated rows, clashing columns."""
+    import corpus_pipeline as p
+
+    kind = DOCS + ", size int, keep_id int, component_id int, _row int, taken int, kept boolean"
+    extra = (1, 2, 3, 4, 5, True)
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n", "en", None, 2), (None, a, "en", "s", 5), (None, a.upper(), "en", None, 5), (4, a + " end", "en", "s", 5), (5, "own words", "de", "t", 9), (5, "own words", "de", "t", 9), (6, "x " * 60_000, "en", "t", None)]
+    for name, part in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(*r, *extra) for r in part], kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None, None), (None, 1, 1), (5, 1, 0)] if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns, ids = docs.columns, []
+        for i, (_, stage) in enumerate(p.STAGES):
+            path = f"{folder}/stage-{i}"
+            stage(spark, docs, folder).write.parquet(path)
+            docs = spark.read.parquet(path)
+            ids.append(sorted((r[0] for r in docs.select("doc_id").collect()), key=str))
+            if i < 4:
+                assert docs.columns == columns and {tuple(r)[5:] for r in docs.collect()} <= {extra}
+        if part:
+            assert ids[0] == [1, 2, 3, 4, 5, 5, 6, None, None]
+            assert ids[1] == [2, 3, 4, 5, 6, None]  # of the empty texts the larger id, of equal rows one
+            assert ids[2] == [2, 3, 4, 5, 6]
+            assert set(ids[3]) <= {4, 5, 6} and set(ids[4]) == set(ids[3])
+        else:
+            assert ids == [[]] * 5
