@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text_rules
+
 PACKAGES = "ecosystem string, name string, version string, note string"
 FINGERPRINTS = "kind string, id string, fingerprint string, note string"
 
@@ -62,6 +64,6 @@ def split_trusted(artifacts: DataFrame, fingerprints: DataFrame, kind: str, colu
     return artifacts.join(allowed, on, "left_semi"), artifacts.join(allowed, on, "left_anti")
 
 
-def trusted_marker(artifacts: DataFrame, keys: list[str]) -> DataFrame:
-    """What a trusted artifact reports instead of findings."""
-    return artifacts.select(*keys, F.lit("INFO").alias("severity"), F.lit("trusted").alias("category"), F.lit("on the allowlist by its fingerprint").alias("message"))
+def trusted_marker(artifacts: DataFrame, keys: list[str], tool: Column) -> DataFrame:
+    """What a trusted artifact reports instead of findings: one row, shaped like them."""
+    return text_rules.scan_rules(artifacts, keys, [text_rules.finding("INFO", "trusted", "on the allowlist by its fingerprint", None, -9)], tool)

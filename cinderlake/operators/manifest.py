@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import corpora, jsontree
+from ..functions import corpora, hashing, jsontree
 from ..functions import text as T
 from ..schemas import TOOL
-from . import text_rules
+from . import allowlist, text_rules
 from .text_rules import finding
 
 
-def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per tool: ``ord, name, description, input_schema, annotations`` (the last two as JSON).
-
-    Accepts an object with ``tools``, one wrapped in ``result``, a bare array, and
-    a single tool.  A text of another shape gives one row with ``error``.
-    """
-    v = F.try_parse_json(F.col(text))
+def tools_array(text: Column) -> Column:
+    """The tools of a manifest as a JSON array: an object with ``tools``, one wrapped in ``result``, a bare array, or a single tool."""
+    v = F.try_parse_json(text)
     at = lambda path: F.try_variant_get(v, path, "variant")
     is_array = lambda x: F.startswith(F.schema_of_variant(x), F.lit("ARRAY"))
-    tools = (
+    return (
         F.when(is_array(at("$.tools")), F.to_json(at("$.tools")))
         .when(is_array(at("$.result.tools")), F.to_json(at("$.result.tools")))
         .when(is_array(at("$.result")), F.to_json(at("$.result")))
         .when(is_array(v), F.to_json(v))
         .when(at("$.name").isNotNull(), F.concat(F.lit("["), F.to_json(v), F.lit("]")))
     )
-    rows = manifests.select(*keys, tools.alias("_tools"))
+
+
+def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per tool: ``ord, name, description, input_schema, annotations`` (the last two as JSON).
+
+    A text without tools gives one row with ``error``.
+    """
+    rows = manifests.select(*keys, tools_array(F.col(text)).alias("_tools"))
     parsed = F.from_json("_tools", f"ARRAY<STRUCT<{TOOL.replace(' STRING', ': STRING')}>>")
     out = rows.select(*keys, F.col("_tools").isNull().alias("error"), F.posexplode_outer(parsed).alias("ord", "tool"))
     return out.select(
@@ -99,5 +102,10 @@ def scan_tools(tools: DataFrame, manifest: str) -> DataFrame:
     return out.unionByName(shadowing(tools, manifest)).unionByName(cross_tool(tools, manifest))
 
 
-def scan_manifests(manifests: DataFrame, manifest: str, text: str = "text") -> DataFrame:
+def scan_manifests(manifests: DataFrame, manifest: str, text: str = "text", fingerprints: DataFrame | None = None) -> DataFrame:
+    """``fingerprints``: ``kind, fingerprint``; a manifest that is allowed as ``manifest`` reports only that."""
+    if fingerprints is not None:
+        known, rest = allowlist.split_trusted(manifests.withColumn("fingerprint", hashing.manifest_fingerprint(tools_array(F.col(text)))), fingerprints, "manifest")
+        marks = allowlist.trusted_marker(known.select(manifest, F.lit(None).cast("int").alias("ord")), [manifest, "ord"], F.col(manifest).cast("string"))
+        return scan_manifests(rest, manifest, text).unionByName(marks)
     return scan_tools(parse_tools(manifests, [manifest], text), manifest)

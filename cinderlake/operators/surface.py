@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import corpora, jsontree
+from ..functions import corpora, hashing, jsontree
 from ..functions import text as T
-from . import text_rules
+from . import allowlist, text_rules
 
 SECRET_KEY = r"(?i)(token|secret|passwo?r?d|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
 SECRET_PREFIX = r"^(sk-|ghp_|gho_|github_pat_|glpat-|xox[abp]-|AKIA|AIza|npm_|pypi-)"
@@ -37,8 +38,15 @@ def memory_records(files: DataFrame, path: str = "path", text: str = "text") ->
     return kept.select("path", F.row_number().over(Window.partitionBy("path").orderBy("_block")).alias("record"), "text")
 
 
-def memcheck(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Findings of every record.  Its label is its number where a file has several, else the path."""
+def memcheck(files: DataFrame, path: str = "path", text: str = "text", fingerprints: DataFrame | None = None) -> DataFrame:
+    """Findings of every record.  Its label is its number where a file has several, else the path.
+
+    ``fingerprints``: ``kind, fingerprint``; a file that is allowed as ``memory`` reports only that.
+    """
+    if fingerprints is not None:
+        known, rest = allowlist.split_trusted(files.withColumn("fingerprint", hashing.fnv1a_hex(F.coalesce(text, F.lit("")))), fingerprints, "memory")
+        marks = allowlist.trusted_marker(known.select(F.col(path).alias("path"), F.lit(None).cast("int").alias("record")), ["path", "record"], F.col("path"))
+        return memcheck(rest, path, text).unionByName(marks)
     records = memory_records(files, path, text)
     n = F.count("*").over(Window.partitionBy("path"))
     records = records.withColumn("label", F.when(n > 1, F.concat(F.lit("record "), F.col("record"))).otherwise(F.col("path")))
@@ -62,8 +70,26 @@ def skill_files(paths: DataFrame, path: str = "path", depth: int = 6) -> DataFra
     return paths.withColumn("kind", kind).where(levels <= depth)
 
 
-def skillscan(files: DataFrame) -> DataFrame:
-    """``files``: ``skill, path, kind, text``.  Findings of front matter, text and scripts."""
+def skill_fingerprints(files: DataFrame) -> DataFrame:
+    """``skill, fingerprint`` of whole trees.  FNV-1a runs over a tree in order, so one tree is one group."""
+    rows = files.select("skill", "path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    kind = files.schema["skill"].dataType.simpleString()
+
+    def of_tree(key, tree):
+        return pd.DataFrame({"skill": [key[0]], "fingerprint": [hashing.tree_fingerprint(tree)]})
+
+    return rows.groupBy("skill").applyInPandas(of_tree, f"skill {kind}, fingerprint string")
+
+
+def skillscan(files: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
+    """``files``: ``skill, path, kind, text``.  Findings of front matter, text and scripts.
+
+    ``fingerprints``: ``kind, fingerprint``; a tree that is allowed as ``skill`` reports only that.
+    """
+    if fingerprints is not None:
+        known, _ = allowlist.split_trusted(skill_fingerprints(files), fingerprints, "skill")
+        marks = allowlist.trusted_marker(known.select("skill", F.lit(None).cast("string").alias("path")), ["skill", "path"], F.col("skill").cast("string"))
+        return skillscan(files.join(known.select("skill"), "skill", "left_anti")).unionByName(marks)
     docs = files.where(F.col("kind").isin("skill", "command"))
     front = T.frontmatter(F.col("text"))
     docs = docs.withColumn("_front", front).withColumn("label", F.when(F.col("kind") == "skill", "SKILL.md").otherwise("body"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import corpora, hashing
 from ..operators import packages, surface, text_rules
 from ..sources import files, sinks
-from ..streaming import requests
+from ..streaming import handlers, requests
 from .common import RANK, TEXTS, any_sql, table, text_findings_sql, texts
 from .package_queries import _BASE, NOW, feeds, reports
 from .surface_queries import CONFIG
@@ -92,6 +92,16 @@ PATH = """CASE o_orderkey % 8 WHEN 0 THEN concat('/home/u', CAST(o_custkey AS VA
  WHEN 4 THEN 'AGENTS.md' WHEN 5 THEN '.claude/skills/s/SKILL.md' WHEN 6 THEN 'xAGENTS.md' ELSE 'a/.vscode/mcp.json' END"""
 
 
+def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a call of a tool that scans content; the answers, read back."""
+    call = F.struct(F.col("doc_id").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit("scan_content").alias("name"), F.struct("text", F.col("label").alias("name")).alias("arguments")).alias("params"))
+    lines = texts(spark, sf_dir).select(F.to_json(call).alias("value"))
+    found = handlers.answer(requests.respond(lines), handlers.TEXT_HANDLERS)
+    answer = F.from_json("value", "id LONG, result STRUCT<content: ARRAY<STRUCT<text: STRING>>, isError: BOOLEAN>")
+    rows = found.select(answer.alias("a")).select(F.col("a.id").alias("doc_id"), F.col("a.result.isError").alias("is_error"), F.from_json(F.col("a.result.content")[0]["text"], "count INT, findings ARRAY<STRUCT<severity: STRING>>").alias("r"))
+    return rows.select("doc_id", "is_error", F.col("r.count").alias("n_findings"), F.get("r.findings", F.lit(0))["severity"].alias("worst"))
+
+
 def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.catalogue(spark).agg(F.count("*").alias("tools"), F.count_if(F.get_json_object("input_schema", "$.required").isNotNull()).alias("with_argument"))
 
@@ -116,7 +126,7 @@ y AS (SELECT *, ((contains(lower(text), 'curl ') OR contains(lower(text), 'wget
 QUERIES = {
     "fnv_fingerprint": fnv_fingerprint, "report_json": report_json, "guardrail_names": guardrail_names, "flat_json_rows": flat_json_rows, "sarif_levels": sarif_levels,
     "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "audit_totals": audit_totals, "inspect_commands": inspect_commands,
-    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue,
+    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers,
 }
 SQL = {
     "fnv_fingerprint": """SELECT c_custkey, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)),
@@ -141,5 +151,7 @@ SELECT count(DISTINCT u) FILTER (k = 0) AS servers, count(DISTINCT u) FILTER (k
     "inspect_commands": f"""WITH {_BASE} SELECT CASE ecosystem WHEN 'npm' THEN 'npx -y ' WHEN 'pypi' THEN 'uvx ' ELSE 'cargo install ' END || name || coalesce('@' || version, '') AS spec, verdict,
  CASE WHEN verdict IN ('MALICIOUS', 'MISSING', 'LOOKALIKE') THEN 'AVOID' WHEN verdict = 'OK' THEN 'GREEN' ELSE 'REVIEW' END AS trust FROM w""",
     "surface_paths": "SELECT o_orderkey, o_orderkey % 8 IN (0, 1, 7) AS config, o_orderkey % 8 IN (2, 4, 5) AS instruction FROM orders",
+    "tool_answers": f"""WITH t AS ({TEXTS}), f AS ({text_findings_sql('t')}), w AS (SELECT doc_id, count(*) AS n, min({RANK}) AS worst FROM f GROUP BY doc_id)
+SELECT t.doc_id, false AS is_error, coalesce(n, 0)::INT AS n_findings, CASE worst WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'INFO' END AS worst FROM t LEFT JOIN w ON w.doc_id = t.doc_id""",
     "tool_catalogue": "SELECT 14 AS tools, 10 AS with_argument",
 }

@@ -6,6 +6,12 @@ snapshot in Parquet; ``HttpFeed`` reads URLs in tasks.  All parsers are native.
 
 from __future__ import annotations
 
+import http.client
+import json
+import time
+import urllib.error
+import urllib.request
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,7 +26,8 @@ RESPONSE = "method string, url string, body_match string, status int, body strin
 class HttpFeed(DataSource):
     """``spark.read.format("http_feed").option("urls", "u1\\nu2").load()``: one row per URL.
 
-    A status is data; only a transport failure is an error, in ``error``.  A body
+    ``option("requests", ...)`` takes JSON lines ``{"method", "url", "body"}`` instead, for POST; a POST sends JSON.
+    ``connect_timeout`` bounds a connection, ``timeout`` the whole request.  A status is data; only a transport failure is an error, in ``error``.  A body
     above the limit is an error, never cut.
     """
 
@@ -29,7 +36,7 @@ class HttpFeed(DataSource):
         return "http_feed"
 
     def schema(self) -> str:
-        return "url string, status int, body string, error string"
+        return "url string, status int, body string, error string, method string, body_match string"
 
     def reader(self, schema) -> DataSourceReader:
         return HttpReader(self.options)
@@ -37,8 +44,9 @@ class HttpFeed(DataSource):
 
 class HttpReader(DataSourceReader):
     def __init__(self, options):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.parts = max(1, min(int(options.get("partitions", "8")), len(self.urls) or 1))
+        lines = [json.loads(x) for x in options.get("requests", "").split("\n") if x.strip()]
+        self.asked = [(r.get("method", "GET"), r["url"], r.get("body")) for r in lines] + [("GET", u, None) for u in options.get("urls", "").split("\n") if u]
+        self.parts = max(1, min(int(options.get("partitions", "8")), len(self.asked) or 1))
         self.connect, self.total = float(options.get("connect_timeout", "10")), float(options.get("timeout", "30"))
         self.limit = int(options.get("max_body", str(MAX_BODY)))
 
@@ -46,19 +54,59 @@ class HttpReader(DataSourceReader):
         return [InputPartition(i) for i in range(self.parts)]
 
     def read(self, partition):
-        import urllib.error
-        import urllib.request
-
-        for url in self.urls[partition.value :: self.parts]:
+        for method, url, body in self.asked[partition.value :: self.parts]:
             try:
-                with urllib.request.urlopen(url, timeout=self.total) as r:
-                    status, body = r.status, r.read(self.limit + 1)
-            except urllib.error.HTTPError as e:
-                status, body = e.code, e.read(self.limit + 1)
-            except (OSError, ValueError) as e:
-                yield (url, None, None, str(e))
-                continue
-            yield (url, None, None, "body above the limit") if len(body) > self.limit else (url, status, body.decode("utf-8", "replace"), None)
+                status, data = fetch(method, url, body, self.connect, self.total, self.limit)
+                error = "body above the limit" if len(data) > self.limit else None
+            except (OSError, ValueError, http.client.HTTPException) as e:
+                status, data, error = None, b"", str(e) or type(e).__name__
+            text = None if error else data.decode("utf-8", "replace")
+            yield (url, None if error else status, text, error, method, body or "")
+
+
+def fetch(method: str, url: str, body: str | None, connect: float, total: float, limit: int) -> tuple[int, bytes]:
+    """Status and at most ``limit + 1`` bytes, within ``total`` seconds in all."""
+    end = time.monotonic() + total
+
+    def left() -> float:
+        rest = end - time.monotonic()
+        if rest <= 0:
+            raise TimeoutError("request timed out")
+        return rest
+
+    def bounded(kind):
+        class Connection(kind):
+            def connect(self):
+                self.timeout = min(connect, left())
+                super().connect()
+                self.sock.settimeout(left())
+
+        return Connection
+
+    class Http(urllib.request.HTTPHandler):
+        def http_open(self, req):
+            return self.do_open(bounded(http.client.HTTPConnection), req)
+
+    class Https(urllib.request.HTTPSHandler):
+        def https_open(self, req):
+            return self.do_open(bounded(http.client.HTTPSConnection), req)
+
+    data = None if body is None else body.encode()
+    request = urllib.request.Request(url, data, {"Content-Type": "application/json"} if data is not None else {}, method=method)
+    try:
+        answer = urllib.request.build_opener(Http, Https).open(request, timeout=left())
+    except urllib.error.HTTPError as e:
+        answer = e
+    with answer:
+        parts, size = [], 0
+        while size <= limit:
+            left()
+            part = answer.read1(min(1 << 16, limit + 1 - size))
+            if not part:
+                break
+            parts.append(part)
+            size += len(part)
+        return answer.status, b"".join(parts)
 
 
 def register(spark: SparkSession) -> None:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import corpora, names
+from ..functions import names
 
 TOOL = "cinderlake"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -79,13 +80,39 @@ def flat_json(results: DataFrame) -> DataFrame:
 
 
 def sarif_log(results: DataFrame, rules: DataFrame, path: str) -> None:
-    """Results as JSON lines in tasks, and the log's head with its rules (a short list) beside them."""
+    """Results as JSON lines and the log's head in folders of their own, for a reader of Spark's; ``write_sarif`` makes SARIF files."""
     result_json(results).write.mode("overwrite").text(f"{path}/results")
     head = [{"id": r.rule_id, "shortDescription": {"text": r.short}} for r in rules.orderBy("rule_index").toLocalIterator()]
     log = {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "rules": head}}, "results": "results/*"}]}
     rules.sparkSession.createDataFrame([(json.dumps(log),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
+def write_sarif(results: DataFrame, rules: DataFrame, path: str, files: int | None = 1) -> None:
+    """Complete SARIF documents: every part file is one, with the rules (a short list) and its results, streamed.
+
+    ``files``: how many; one as default, None for one a partition, where no single file could hold the results.
+    """
+    head = [{"id": r.rule_id, "shortDescription": {"text": r.short}} for r in rules.orderBy("rule_index").toLocalIterator()]
+    run = json.dumps({"tool": {"driver": {"name": TOOL, "rules": head}}})[:-1]
+    first = f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":"2.1.0","runs":[{run},"results":['
+
+    def document(batches):
+        yield pd.DataFrame({"value": [first]})
+        comma = ""
+        for batch in batches:
+            lines = [f",{v}" for v in batch["value"].dropna()]
+            if lines:
+                lines[0] = lines[0] if comma else lines[0][1:]
+                comma = ","
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]}]}"]})
+
+    # A null row, which is no result, makes a document also of an empty table.
+    rows = result_json(results).union(results.sparkSession.createDataFrame([(None,)], "value string"))
+    rows = rows if files is None else rows.repartition(files)
+    rows.mapInPandas(document, "value string").write.mode("overwrite").text(path)
+
+
 def write_lock(tools: DataFrame, path: str) -> None:
     """A lock: version 1, tools by source and name, one JSON line each."""
     ordered = tools.withColumn("version", F.lit(1)).repartitionByRange("path", "name").sortWithinPartitions("path", "name")
@@ -123,6 +150,3 @@ def report_json(reports: DataFrame) -> DataFrame:
 def text_line(findings: DataFrame) -> DataFrame:
     """A line of text per finding."""
     return findings.select(F.concat_ws("  ", F.rpad("severity", 6, " "), F.rpad("category", 20, " "), F.coalesce("tool", F.lit("-")), "message", "evidence").alias("value"))
-
-
-LEVELS = {s: lv for s, lv in zip(corpora.SEVERITIES, ("error", "warning", "note", "note"))}
