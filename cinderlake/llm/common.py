@@ -15,19 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, the
-    warehouse serves on a cluster, and a folder under /tmp only in local mode,
-    where there is one machine.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder
+    under /tmp serves in local mode, where there is one machine; a cluster must set it.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = "file:///tmp/checkpoints"
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/cinderlake/{spark.sparkContext.applicationId}"
 
 
