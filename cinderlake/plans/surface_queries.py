@@ -53,9 +53,9 @@ def config_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_secret_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same tokens with their place in the text, also empty ones, which are of no kind."""
+    """The same tokens with their place in the text, also empty ones, which are of no kind; a document without tokens has one row of nulls."""
     values = F.regexp_extract_all("text", F.lit('token = "([^"]*)"'), F.lit(1))
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(values).alias("place", "value"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(values).alias("place", "value"))
     return found.select("doc_id", "place", surface.secret_kind(F.lit("token"), F.col("value")).alias("kind"), surface.redacted(F.col("value")).alias("redacted"))
 
 
@@ -249,7 +249,8 @@ SELECT doc_id, CASE WHEN length(value) BETWEEN 16 AND 512 AND regexp_matches(val
     "config_secret_places": """WITH l AS (SELECT doc_id, regexp_extract_all(text, 'token = "([^"]*)"', 1) AS vs FROM documents), u AS (SELECT doc_id, generate_subscripts(vs, 1) AS p, vs FROM l),
 v AS (SELECT doc_id, (p - 1)::INT AS place, vs[p] AS value FROM u)
 SELECT doc_id, place, CASE WHEN length(value) BETWEEN 16 AND 512 AND regexp_matches(value, '^(sk-|ghp_|gho_|github_pat_|glpat-|xox[abp]-|AKIA|AIza|npm_|pypi-)') THEN 'prefixed'
- WHEN length(value) BETWEEN 16 AND 512 AND NOT regexp_matches(value, '\\s') AND list_aggregate(string_split(value, ''), 'entropy') >= 3 THEN 'keyed' END AS kind, left(value, 4) || '…' AS redacted FROM v""",
+ WHEN length(value) BETWEEN 16 AND 512 AND NOT regexp_matches(value, '\\s') AND list_aggregate(string_split(value, ''), 'entropy') >= 3 THEN 'keyed' END AS kind, left(value, 4) || '…' AS redacted FROM v
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM l WHERE coalesce(len(vs), 0) = 0""",
     "card_check": f"""WITH {_CARD}
 SELECT s_suppkey, 'INFO' AS severity, 'identity' AS category, CAST(NULL AS VARCHAR) AS tool FROM c WHERE h IS NOT NULL AND k = 0
 UNION ALL SELECT s_suppkey, 'INFO', 'provider', NULL FROM c WHERE k = 0 UNION ALL SELECT s_suppkey, 'INFO', 'signature', NULL FROM c WHERE k = 0
