@@ -2,7 +2,7 @@
 
 A handler takes the distinct lines that call its tool and returns ``line, result,
 is_error``; the operators run over all calls of a batch at once.  Equal lines get
-equal answers.  A call whose argument is missing, and a tool without a handler, are
+equal answers.  A call whose argument is missing or names nothing here, and a tool without a handler, are
 results with ``isError``, not errors of the protocol.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import manifest, packages, text_rules
+from ..operators import cards as card_rules
+from ..operators import dependencies, manifest, packages, surface, text_rules
 from . import requests
 
 Handler = Callable[[DataFrame], DataFrame]
@@ -48,19 +49,108 @@ def scan_manifest(lines: DataFrame) -> DataFrame:
     return _found(rows.select("line"), manifest.scan_manifests(rows, "line"))
 
 
+def _listed(lines: DataFrame) -> DataFrame:
+    """The packages that a line lists (``name`` or ``name@version``) of one ``ecosystem``, npm where none is named."""
+    listed = requests.arguments(F.col("line"), "packages")
+    rows = lines.select("line", F.coalesce(argument("ecosystem"), F.lit("npm")).alias("ecosystem"), F.posexplode(listed).alias("place", "spec"))
+    return rows.withColumns({"name": names.spec_name(F.col("spec")), "version": names.spec_version(F.col("spec"))})
+
+
+def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that name packages, each beside what was ``found`` of it, if anything; a null version is a version of its own."""
+    f = found.withColumnsRenamed({"ecosystem": "_e", "name": "_n", "version": "_v"})
+    on = (F.col("ecosystem") == F.col("_e")) & (F.col("name") == F.col("_n")) & F.col("version").eqNullSafe(F.col("_v"))
+    return rows.join(f, on, "left").drop("_e", "_n", "_v")
+
+
+def _as_lists(rows: DataFrame, item: Column, key: str) -> DataFrame:
+    """One result a line: its items in order."""
+    per = rows.groupBy("line").agg(F.array_sort(F.collect_list(item)).alias(key))
+    return per.select("line", F.to_json(F.struct(key)).alias("result"), F.lit(False).alias("is_error"))
+
+
+def _once_for_all(lines: DataFrame, document: DataFrame) -> DataFrame:
+    """A tool without arguments: its one-row ``result`` goes to every line that asks."""
+    asked = lines.withColumn("_all", F.lit(1))
+    return asked.join(F.broadcast(document.withColumn("_all", F.lit(1))), "_all").select("line", "result", F.lit(False).alias("is_error"))
+
+
+def _summary(findings: DataFrame) -> DataFrame:
+    """Trust and the number of findings by severity and category; the rules bound its size, not the input."""
+    per = findings.groupBy("severity_rank", "severity", "category").agg(F.count("*").alias("count"))
+    all_of = per.agg(F.array_sort(F.collect_list(F.struct("severity_rank", "category", "severity", "count"))).alias("_f"), F.min("severity_rank").alias("_worst"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    items = F.transform("_f", lambda x: F.struct(x["severity"].alias("severity"), x["category"].alias("category"), x["count"].alias("count")))
+    return all_of.select(F.to_json(F.struct(text_rules.trust_of(F.col("_worst")).alias("trust"), "count", items.alias("findings"))).alias("result"))
+
+
 def verify(feeds: dict[str, DataFrame], now: Column) -> Handler:
-    """Reports of ``packages`` (``name`` or ``name@version``) of one ``ecosystem``, npm where none is named."""
+    """Reports of ``packages``."""
 
     def handler(lines: DataFrame) -> DataFrame:
-        listed = requests.arguments(F.col("line"), "packages")
-        rows = lines.select("line", F.coalesce(argument("ecosystem"), F.lit("npm")).alias("ecosystem"), F.posexplode(listed).alias("place", "spec"))
-        rows = rows.withColumns({"name": names.spec_name(F.col("spec")), "version": names.spec_version(F.col("spec"))})
+        rows = _listed(lines)
         reports = packages.verify(rows.select("ecosystem", "name", "version").distinct(), now=now, **feeds)
-        r = reports.select(F.col("ecosystem").alias("_e"), F.col("name").alias("_n"), F.col("version").alias("_v"), "verdict", "reason")
-        met = rows.join(r, (F.col("ecosystem") == F.col("_e")) & (F.col("name") == F.col("_n")) & F.col("version").eqNullSafe(F.col("_v")))
-        item = F.struct("place", "ecosystem", "name", "version", "verdict", "reason")
-        per = met.groupBy("line").agg(F.array_sort(F.collect_list(item)).alias("reports"))
-        return per.select("line", F.to_json(F.struct("reports")).alias("result"), F.lit(False).alias("is_error"))
+        met = _met(rows, reports.select("ecosystem", "name", "version", "verdict", "reason"))
+        return _as_lists(met, F.struct("place", "ecosystem", "name", "version", "verdict", "reason"), "reports")
+
+    return handler
+
+
+def provenance(feeds: dict[str, DataFrame], attested: DataFrame, now: Column) -> Handler:
+    """Provenance findings of ``packages``; ``attested`` as in ``packages.provenance``."""
+
+    def handler(lines: DataFrame) -> DataFrame:
+        rows = _listed(lines)
+        reports = packages.verify(rows.select("ecosystem", "name", "version").distinct(), now=now, **feeds)
+        found = packages.provenance(reports.select("ecosystem", "name", "version", "verdict"), attested, ["ecosystem", "version"])
+        met = _met(rows, found.select("ecosystem", F.col("tool").alias("name"), "version", "severity_rank", "severity", "category", "message"))
+        item = F.struct("place", "severity_rank", "category", "ecosystem", "name", "version", "severity", "message")
+        return _as_lists(met, F.when(F.col("severity").isNotNull(), item), "findings")
+
+    return handler
+
+
+def verify_lockfile(files: DataFrame, feeds: dict[str, DataFrame], now: Column) -> Handler:
+    """Reports of all pins of the lockfile at ``path``; ``files``: ``path, file_name, text``."""
+
+    def handler(lines: DataFrame) -> DataFrame:
+        asked = lines.select("line", argument("path").alias("path")).join(files.select("path").distinct(), "path", "left_semi")
+        pins = dependencies.package_refs(dependencies.read_lockfiles(files.join(asked.select("path").distinct(), "path", "left_semi"), "path"), "path")
+        reports = packages.verify(pins.select("ecosystem", "name", "version").distinct(), now=now, **feeds)
+        met = _met(asked.join(pins, "path", "left"), reports.select("ecosystem", "name", "version", "verdict", "reason"))
+        return _as_lists(met, F.when(F.col("name").isNotNull(), F.struct("ecosystem", "name", "version", "verdict", "reason")), "reports")
+
+    return handler
+
+
+def cardcheck(cards: DataFrame) -> Handler:
+    """Findings of the card of ``target``; ``cards``: ``target, card, served_host``."""
+
+    def handler(lines: DataFrame) -> DataFrame:
+        asked = lines.select("line", argument("target").alias("target")).where("target is not null")
+        known = cards.join(asked.select("target").distinct(), "target", "left_semi").where("card is not null")
+        rows = asked.join(known.select("target").distinct(), "target", "left_semi")
+        return _found(rows.select("line"), rows.join(card_rules.check_cards(known, "target"), "target"))
+
+    return handler
+
+
+def memcheck(files: DataFrame) -> Handler:
+    """Trust of the stored memories; ``files``: ``path, text``."""
+    return lambda lines: _once_for_all(lines, _summary(surface.memcheck(files)))
+
+
+def skillscan(files: DataFrame) -> Handler:
+    """Trust of the skills; ``files``: ``skill, path, kind, text``."""
+    return lambda lines: _once_for_all(lines, _summary(surface.skillscan(files)))
+
+
+def foresee(existing: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame, now: Column, limit: int = 80) -> Handler:
+    """Predicted names with ``guard`` and ``trap``, at most ``limit`` an ecosystem."""
+
+    def handler(lines: DataFrame) -> DataFrame:
+        found = packages.foresee(existing, feeds, allowed, now, limit)
+        item = F.struct("ecosystem", "ord", "name", "verdict", "guard", "trap")
+        return _once_for_all(lines, found.agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("predicted"))).alias("result")))
 
     return handler
 
