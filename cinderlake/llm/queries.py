@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, exact_dedup, matroska, mixing, ngram_join, packing, token_scan, toxicity, url_filter, warc
+    from . import chat, exact_dedup, matroska, mixing, ngram_join, packing, runs, token_scan, toxicity, url_filter, warc
 
     return {
         "op1_matroska": matroska.op1_matroska,
@@ -17,11 +17,18 @@ def queries() -> dict:
         "op8_separator_scan": token_scan.op8_separator_scan,
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can state the result.  Tests hold the others against plain versions."""
-    from . import exact_dedup, mixing, ngram_join, warc
+    from . import exact_dedup, mixing, ngram_join, runs, warc
 
-    return {"op2_mixing": mixing.OP2_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op9_warc": warc.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {
+        "op2_mixing": mixing.OP2_SQL,
+        "op6_ngram_join": ngram_join.OP6_SQL,
+        "op9_warc": warc.OP9_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_periodic_runs": runs.OP11_SQL,
+    }
