@@ -506,6 +506,50 @@ def _all_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
 
 
+def settle(rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
+    """Components (``node, comp``: classes) of all links between classes that share a list.
+
+    ``posts``: rows of lists (``h, cls, np``: list, class, size and place).  ``pairs`` (``a, b``) are verified
+    first; then come rounds over the lists that are still open, and the exact join.
+    """
+    comp = components(verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    number, width, last = 0, WIDTH, False
+    while not last:
+        number += 1
+        step = f"{tag}-{number}"
+        open_posts, n_rows, n_pairs = _open_lists(posts, comp, step)
+        if not n_rows:
+            break
+        last = n_pairs <= 4 * width * n_rows
+        more = _all_pairs(open_posts, num, den) if last else _round(open_posts, number, width, num, den)
+        more = staged(more.join(done, ["a", "b"], "left_anti"), f"{step}-more")
+        if not more.isEmpty():
+            comp = _contracted(comp, verify(rows, first, classes, more, k, num, den, step), f"{step}-comp")
+            done = done.unionByName(more)
+        posts, width = open_posts.select("h", "cls", "np"), 2 * width
+    return comp
+
+
+def classes_of(members: DataFrame, tag: str) -> DataFrame:
+    """``members``: ``doc_id, n, cls`` (null without shingles).  A row for each class: its least id, the document that stands for it, its rows."""
+    classes = members.where("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", "cls")).alias("key"), F.count("*").alias("n")
+    )
+    return staged(classes, f"{tag}-classes")
+
+
+def by_document(members: DataFrame, classes: DataFrame, comp: DataFrame, tag: str) -> DataFrame:
+    """Back to the documents: only classes of several documents or of a component need a row."""
+    classes = classes.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").where("n > 1 or comp is not null")
+    classes = staged(classes.withColumn("comp", F.coalesce("comp", "cls")), f"{tag}-grouped")
+    heads = staged(classes.groupBy("comp").agg(F.min("least").alias("component_id")), f"{tag}-heads")
+    named = staged(classes.join(heads, "comp").select("cls", "component_id"), f"{tag}-named")
+    return members.join(named, "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
@@ -516,10 +560,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
 
     first = staged(rows.mapInArrow(_counted(k), "doc_id long, n long, cls long, sketch binary, block int, counts binary"), "join-first")
     members = first.where("block is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-    classes = members.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", "cls")).alias("key"), F.count("*").alias("n")
-    )
-    classes = staged(classes, "join-classes")
+    classes = classes_of(members, "join")
     counts = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), "<u4")
     blocks = first.where("block is not null").select("block", "counts")
     for r in blocks.groupBy("block").applyInArrow(_sum_counts, "block int, counts binary").collect():
@@ -532,33 +573,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "do
     # Of a class's pairs with smaller ones, the pair that the most lists share.
     shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
     pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), "join-pairs")
-    comp = components(verify(rows, first, classes, pairs, k, num, den, "join-0"), "join-comp")
-
     posts = lists.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("z").alias("np"))
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    number, width, last = 0, WIDTH, False
-    while not last:
-        number += 1
-        tag = f"join-{number}"
-        open_posts, n_rows, n_pairs = _open_lists(posts, comp, tag)
-        if not n_rows:
-            break
-        last = n_pairs <= 4 * width * n_rows
-        more = _all_pairs(open_posts, num, den) if last else _round(open_posts, number, width, num, den)
-        more = staged(more.join(done, ["a", "b"], "left_anti"), f"{tag}-more")
-        if not more.isEmpty():
-            comp = _contracted(comp, verify(rows, first, classes, more, k, num, den, tag), f"{tag}-comp")
-            done = done.unionByName(more)
-        posts, width = open_posts.select("h", "cls", "np"), 2 * width
-
-    # Back to the documents: only classes of several documents or of a component need a row.
-    classes = classes.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").where("n > 1 or comp is not null")
-    classes = staged(classes.withColumn("comp", F.coalesce("comp", "cls")), "join-grouped")
-    heads = staged(classes.groupBy("comp").agg(F.min("least").alias("component_id")), "join-heads")
-    named = staged(classes.join(heads, "comp").select("cls", "component_id"), "join-named")
-    return members.join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return by_document(members, classes, settle(rows, first, classes, posts, pairs, k, num, den, "join"), "join")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, exact_dedup, matroska, mixing, ngram_join, packing, runs, token_scan, toxicity, url_filter, warc
+    from . import chat, exact_dedup, matroska, minhash, mixing, ngram_join, packing, resampling, runs, token_scan, toxicity, url_filter, warc
 
     return {
         "op1_matroska": matroska.op1_matroska,
@@ -18,12 +18,14 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_minmax_dedup": minhash.op13_minmax_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can state the result.  Tests hold the others against plain versions."""
-    from . import exact_dedup, mixing, ngram_join, runs, warc
+    from . import exact_dedup, minhash, mixing, ngram_join, resampling, runs, warc
 
     return {
         "op2_mixing": mixing.OP2_SQL,
@@ -31,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.OP9_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
         "op11_periodic_runs": runs.OP11_SQL,
+        "op12_resampling": resampling.OP12_SQL,
+        "op13_minmax_dedup": minhash.OP13_SQL,
     }
