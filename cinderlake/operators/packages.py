@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import corpora, names
 from ..functions import text as T
 from ..schemas import rank
-from . import allowlist, text_rules
+from ..sources import files
+from . import allowlist, dependencies, text_rules
 from .text_rules import finding
 
 MIN_AGE_DAYS, MIN_DOWNLOADS = 30, 100
@@ -248,28 +249,73 @@ def provenance(reports: DataFrame, attested: DataFrame, keys: list[str]) -> Data
 
 # Predicted names
 
-def predicted_names(existing: DataFrame, limit: int | None = None) -> DataFrame:
-    """``existing``: ``ecosystem, name, ord``.  Names that a model may make up around them: ``ecosystem, predicted, ord``.
+#: Predicted names that are verified, by default.
+PREDICTED = 80
+
+
+def directory() -> Column:
+    """The folder of a ``path``, ``.`` for a bare name."""
+    return F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("."))
+
+
+def projects(project_files: DataFrame) -> DataFrame:
+    """``directory, ecosystem, manifest, name, ord``: the dependencies in each folder's first manifest, by name; a manifest without any has one row without a name.
+
+    ``project_files``: ``path, file_name, text``.
+    """
+    first = files.first_manifest(project_files.withColumn("directory", directory()))
+    heads = first.select("directory", dependencies.ecosystem_of(F.col("file_name")).alias("ecosystem"), F.col("file_name").alias("manifest"))
+    named = dependencies.manifest_names(first, "directory").select("directory", "name").distinct()
+    place = F.row_number().over(Window.partitionBy("directory").orderBy("name")) - 1
+    return heads.join(named.withColumn("ord", place), "directory", "left")
+
+
+def _affixes(spark: SparkSession) -> DataFrame:
+    """At most 22 rows an ecosystem: suffixes, then prefixes."""
+    rows = [(e, i, *x) for e, (s, p) in corpora.AFFIXES.items() for i, x in enumerate([("", y) for y in s] + [(y, "") for y in p])]
+    return F.broadcast(spark.createDataFrame(rows, "ecosystem string, affix_ord int, prefix string, suffix string"))
+
+
+def predicted_names(existing: DataFrame, limit: int | None = None, key: str = "ecosystem") -> DataFrame:
+    """``existing``: ``ecosystem, name, ord`` and the key.  Names that a model may make up around them: key, ``ecosystem, predicted, ord``.
 
     Seeds are the own dependencies in order, then well-known packages; each with
-    every suffix, then every prefix.  The affix table has at most 22 rows an
-    ecosystem, so it is broadcast.
+    every suffix, then every prefix.  With a ``limit``, only the first seeds of a key are
+    expanded, and four times as many where these give too few names: of the existing
+    names, only places and a look-up among the candidates depend on how many there are.
     """
     spark = existing.sparkSession
-    affixes = [(e, i, *x) for e, (s, p) in corpora.AFFIXES.items() for i, x in enumerate([("", y) for y in s] + [(y, "") for y in p])]
-    affix = F.broadcast(spark.createDataFrame(affixes, "ecosystem string, affix_ord int, prefix string, suffix string"))
-    magnets = spark.createDataFrame([(e, n, i) for e, xs in corpora.MAGNETS.items() for i, n in enumerate(xs)], "ecosystem string, seed string, place int")
-    used = existing.select("ecosystem").distinct()
-    own = existing.select("ecosystem", names.base_name(F.col("name")).alias("seed"), F.col("ord").cast("long").alias("place")).where("seed <> ''")
-    seeds = own.withColumn("group", F.lit(0)).unionByName(magnets.join(used, "ecosystem", "left_semi").withColumn("place", F.col("place").cast("long")).withColumn("group", F.lit(1)))
-    seeds = seeds.groupBy("ecosystem", "seed").agg(F.min(F.struct("group", "place")).alias("at"))
-    variants = seeds.join(affix, "ecosystem").select("ecosystem", F.lower(F.concat("prefix", "seed", "suffix")).alias("predicted"), F.struct("at", "affix_ord").alias("at"))
-    taken = existing.select("ecosystem", F.lower("name").alias("predicted")).distinct()
-    fresh = variants.join(taken, ["ecosystem", "predicted"], "left_anti").groupBy("ecosystem", "predicted").agg(F.min("at").alias("at"))
-    ranked = fresh.withColumn("_rank", F.row_number().over(Window.partitionBy("ecosystem").orderBy("at", "predicted")))
-    # A bound on the rank itself lets Spark cut each partition to it before the shuffle.
-    kept = ranked if limit is None else ranked.where(F.col("_rank") <= limit)
-    return kept.select("ecosystem", "predicted", (F.col("_rank") - 1).alias("ord"))
+    keys = list(dict.fromkeys([key, "ecosystem"]))
+    magnets = spark.createDataFrame([(e, n, i) for e, xs in corpora.MAGNETS.items() for i, n in enumerate(xs)], "ecosystem string, seed string, place long")
+    own = existing.select(*keys, names.base_name(F.col("name")).alias("seed"), F.col("ord").cast("long").alias("place")).where("seed <> ''")
+    known = existing.select(*keys).distinct().join(F.broadcast(magnets), "ecosystem").select(*keys, "seed", "place")
+    taken = existing.select(*keys, F.lower("name").alias("predicted"))
+
+    def fresh(own: DataFrame, known: DataFrame) -> DataFrame:
+        """Candidates that aren't taken, at their first place, with their rank."""
+        seeds = own.withColumn("group", F.lit(0)).unionByName(known.withColumn("group", F.lit(1)))
+        seeds = seeds.groupBy(*keys, "seed").agg(F.min(F.struct("group", "place")).alias("at"))
+        variants = seeds.join(_affixes(spark), "ecosystem").select(*keys, F.lower(F.concat("prefix", "seed", "suffix")).alias("predicted"), F.struct("at", "affix_ord").alias("at"))
+        variants = variants.groupBy(*keys, "predicted").agg(F.min("at").alias("at"))
+        sought = variants.select(*keys, "predicted")
+        if limit is not None and key == "ecosystem":
+            sought = F.broadcast(sought)  # three ecosystems, as many seeds as are expanded, 22 affixes
+        met = taken.join(sought, [*keys, "predicted"], "left_semi").distinct()
+        place = F.row_number().over(Window.partitionBy(key).orderBy("at", "predicted"))
+        return variants.join(met, [*keys, "predicted"], "left_anti").withColumn("_rank", place)
+
+    if limit is None:
+        return fresh(own, known).select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
+    seeds = max(limit, 16)
+    while True:
+        order = Window.partitionBy(key).orderBy("place", "seed")
+        first = own.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= seeds + 1)
+        more = first.where(F.col("_r") > seeds).select(key)
+        found = fresh(first.where(F.col("_r") <= seeds).drop("_r"), known.join(more, key, "left_anti")).where(F.col("_rank") <= limit)
+        few = more.join(found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= limit), key, "left_anti")
+        if few.isEmpty():
+            return found.select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
+        seeds *= 4
 
 
 def fresh_squat(created: Column, downloads: Column, now: Column) -> Column:
@@ -286,7 +332,7 @@ def classify_predicted(reports: DataFrame, now: Column) -> DataFrame:
     return reports.withColumn("trap", trap).withColumn("guard", (v == "MISSING") | trap)
 
 
-def foresee(existing: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame, now: Column, limit: int = 80) -> DataFrame:
+def foresee(existing: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame, now: Column, limit: int = PREDICTED) -> DataFrame:
     """Reports of the predicted names with ``guard`` and ``trap``; at most ``limit`` an ecosystem.
 
     ``existing``: ``ecosystem, name, ord``.  ``allowed``: ``ecosystem, name, version``; a
@@ -298,5 +344,17 @@ def foresee(existing: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame
     return classify_predicted(reports, now)
 
 
+def foresee_projects(found: DataFrame, feeds: dict[str, DataFrame], allowed: DataFrame, now: Column, limit: int = PREDICTED) -> DataFrame:
+    """From manifests to guardrails: ``directory``, a report of each predicted name, ``ord, guard, trap``; at most ``limit`` a project.
+
+    ``found``: as ``projects`` gives it.  Each name is verified once, however many projects it is predicted for.
+    """
+    asked = predicted_names(found, limit, "directory")
+    reports = verify(asked.select("ecosystem", F.col("predicted").alias("name")).distinct().withColumn("version", F.lit(None).cast("string")), now=now, **feeds)
+    cleared = allowed.select("ecosystem", "name", F.col("version").alias("latest_version"))
+    reports = classify_predicted(reports.join(cleared, ["ecosystem", "name", "latest_version"], "left_anti"), now)
+    return asked.withColumnRenamed("predicted", "name").join(reports, ["ecosystem", "name"])
+
+
 def severity_of_trust(trust: Column) -> Column:
     return rank(trust, corpora.TRUSTS)

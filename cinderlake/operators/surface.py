@@ -54,6 +54,12 @@ def memcheck(files: DataFrame, path: str = "path", text: str = "text", fingerpri
     return text_rules.rows_of(records, ["path", "record"], F.col("label"))
 
 
+def memory_totals(files: DataFrame) -> DataFrame:
+    """``path, files, records`` of each memory file."""
+    records = memory_records(files).groupBy("path").agg(F.count("*").alias("records"))
+    return files.select("path").distinct().join(records, "path", "left").select("path", F.lit(1).alias("files"), F.coalesce("records", F.lit(0)).alias("records"))
+
+
 # Skills
 
 def skill_files(paths: DataFrame, path: str = "path", depth: int = 6) -> DataFrame:

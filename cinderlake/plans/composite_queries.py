@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import corpora, hashing
 from ..operators import packages, surface, text_rules
-from ..sources import files, sinks
+from ..sources import files, logs, sinks, storage
 from ..streaming import handlers, requests
 from .common import RANK, TEXTS, any_sql, table, text_findings_sql, texts
 from .package_queries import _BASE, NOW, feeds, reports
-from .surface_queries import CONFIG
+from .surface_queries import CONFIG, DRIFT_SQL, NEW, OLD
 from .text_queries import _MEM_SQL, FRONT, MEMORY, SCRIPT
 
 
@@ -92,18 +92,57 @@ PATH = """CASE o_orderkey % 8 WHEN 0 THEN concat('/home/u', CAST(o_custkey AS VA
  WHEN 4 THEN 'AGENTS.md' WHEN 5 THEN '.claude/skills/s/SKILL.md' WHEN 6 THEN 'xAGENTS.md' ELSE 'a/.vscode/mcp.json' END"""
 
 
+def _call(tool: str, arguments: Column, number: Column) -> Column:
+    return F.to_json(F.struct(number.alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit(tool).alias("name"), arguments.alias("arguments")).alias("params")))
+
+
 def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a call of a tool that scans content; the answers, read back."""
-    call = F.struct(F.col("doc_id").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit("scan_content").alias("name"), F.struct("text", F.col("label").alias("name")).alias("arguments")).alias("params"))
-    lines = texts(spark, sf_dir).select(F.to_json(call).alias("value"))
+    lines = texts(spark, sf_dir).select(_call("scan_content", F.struct(F.col("text").alias("content")), F.col("doc_id")).alias("value"))
     found = handlers.answer(requests.respond(lines), handlers.TEXT_HANDLERS)
     answer = F.from_json("value", "id LONG, result STRUCT<content: ARRAY<STRUCT<text: STRING>>, isError: BOOLEAN>")
     rows = found.select(answer.alias("a")).select(F.col("a.id").alias("doc_id"), F.col("a.result.isError").alias("is_error"), F.from_json(F.col("a.result.content")[0]["text"], "count INT, findings ARRAY<STRUCT<severity: STRING>>").alias("r"))
     return rows.select("doc_id", "is_error", F.col("r.count").alias("n_findings"), F.get("r.findings", F.lit(0))["severity"].alias("worst"))
 
 
+ASKS = """CASE turn % 4 WHEN 0 THEN '"tools/list"' WHEN 1 THEN '"initialize","params":{"protocolVersion":"2025-03-26"}' WHEN 2 THEN '"ping"' ELSE '"tools/none"' END"""
+
+
 def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.catalogue(spark).agg(F.count("*").alias("tools"), F.count_if(F.get_json_object("input_schema", "$.required").isNotNull()).alias("with_argument"))
+    """Each turn asks the server for something; the tools of every answer, read back, with the server's name and protocol."""
+    lines = table(spark, sf_dir, "conversations").select(F.concat(F.lit('{"jsonrpc":"2.0","id":"'), F.concat_ws("-", "conv_id", "turn"), F.lit('","method":'), F.expr(ASKS), F.lit("}")).alias("value"))
+    tool = "STRUCT<name: STRING, inputSchema: STRUCT<type: STRING, required: ARRAY<STRING>, properties: MAP<STRING, STRUCT<type: STRING>>>>"
+    answer = F.from_json("value", f"id STRING, error STRUCT<code: INT>, result STRUCT<tools: ARRAY<{tool}>, serverInfo: STRUCT<name: STRING>, protocolVersion: STRING>")
+    rows = requests.answers(requests.respond(lines)).select(answer.alias("a")).select("a.id", F.col("a.error.code").alias("code"), F.col("a.result.serverInfo.name").alias("server"), F.col("a.result.protocolVersion").alias("protocol"), F.explode_outer("a.result.tools").alias("t"))
+    arguments = F.array_join(F.array_sort(F.transform(F.map_entries("t.inputSchema.properties"), lambda e: F.concat_ws(":", e["key"], e["value"]["type"]))), ",")
+    return rows.select("id", "code", "server", "protocol", F.col("t.name").alias("tool"), F.when(F.col("t").isNotNull(), arguments).alias("arguments"), F.array_join("t.inputSchema.required", ",").alias("required"))
+
+
+#: Manifests and locks by ranges of parts, so that none grows with the table.
+SERVED = "concat(p_brand, '-', CAST(p_partkey - p_partkey % 500 AS VARCHAR(20))) AS path"
+
+
+def _manifests(spark: SparkSession, sf_dir: str, tools: str) -> DataFrame:
+    """``lock, path, text``: the parts of a version as manifests."""
+    rows = spark.sql(tools.replace("p_brand AS path", SERVED).replace("{part}", "{p}"), p=table(spark, sf_dir, "part"))
+    tool = F.struct("p_partkey", "name", "description", F.parse_json("input_schema").alias("inputSchema"), F.parse_json("annotations").alias("annotations"))
+    rows = rows.groupBy("path").agg(F.concat(F.lit("lock-"), F.min(F.col("p_partkey") - F.col("p_partkey") % 500)).alias("lock"), F.collect_list(F.to_json(tool)).alias("tools"))
+    return rows.select("lock", "path", F.concat(F.lit('{"tools":['), F.array_join("tools", ","), F.lit("]}")).alias("text"))
+
+
+def served_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of a tool server: all locks are written, then the manifests of the next version are compared with them; the changes, read back from the answers."""
+    old, new = (_manifests(spark, sf_dir, q) for q in (OLD, NEW))
+    call = lambda tool, m: m.groupBy("lock").agg(F.sort_array(F.collect_list("path")).alias("paths")).select(_call(tool, F.struct("paths", "lock"), F.col("lock")).alias("value"))
+    folder = storage.new_folder(spark, "locks")
+    log = logs.Log(spark, f"{folder}/log", handlers.LOCKED)
+    handlers.answer_batch(call("lock", old), 0, f"{folder}/out", handlers.locks(old.select("path", "text"), log))
+    handlers.answer_batch(call("drift", new), 1, f"{folder}/out", handlers.locks(new.select("path", "text"), log))
+    answers = spark.read.text(f"{folder}/out/batch=1")
+    answer = F.from_json("value", "result STRUCT<content: ARRAY<STRUCT<text: STRING>>>")["result"]["content"][0]["text"]
+    changes = "lock STRING, changes ARRAY<STRUCT<severity: STRING, kind: STRING, tool: STRING, source: STRING, evidence: STRING>>"
+    rows = answers.select(F.from_json(answer, changes).alias("a")).select("a.lock", F.inline("a.changes"))
+    return rows.select("lock", F.col("source").alias("path"), "tool", "kind", "severity", "evidence")
 
 
 _SKILL = f"""s AS (SELECT conv_id AS skill, turn, regexp_replace({FRONT} || coalesce(text, ''), '^[ \\t\\n\\f\\r]+', '') AS b, {FRONT} || coalesce(text, '') AS text, 'SKILL.md' AS label FROM conversations WHERE turn = 0),
@@ -126,7 +165,7 @@ y AS (SELECT *, ((contains(lower(text), 'curl ') OR contains(lower(text), 'wget
 QUERIES = {
     "fnv_fingerprint": fnv_fingerprint, "report_json": report_json, "guardrail_names": guardrail_names, "flat_json_rows": flat_json_rows, "sarif_levels": sarif_levels,
     "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "audit_totals": audit_totals, "inspect_commands": inspect_commands,
-    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers,
+    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers, "served_drift": served_drift,
 }
 SQL = {
     "fnv_fingerprint": """SELECT c_custkey, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)),
@@ -151,7 +190,14 @@ SELECT count(DISTINCT u) FILTER (k = 0) AS servers, count(DISTINCT u) FILTER (k
     "inspect_commands": f"""WITH {_BASE} SELECT CASE ecosystem WHEN 'npm' THEN 'npx -y ' WHEN 'pypi' THEN 'uvx ' ELSE 'cargo install ' END || name || coalesce('@' || version, '') AS spec, verdict,
  CASE WHEN verdict IN ('MALICIOUS', 'MISSING', 'LOOKALIKE') THEN 'AVOID' WHEN verdict = 'OK' THEN 'GREEN' ELSE 'REVIEW' END AS trust FROM w""",
     "surface_paths": "SELECT o_orderkey, o_orderkey % 8 IN (0, 1, 7) AS config, o_orderkey % 8 IN (2, 4, 5) AS instruction FROM orders",
-    "tool_answers": f"""WITH t AS ({TEXTS}), f AS ({text_findings_sql('t')}), w AS (SELECT doc_id, count(*) AS n, min({RANK}) AS worst FROM f GROUP BY doc_id)
+    # The label of scanned content is "content", whatever the text is called elsewhere.
+    "tool_answers": f"""WITH t AS (SELECT doc_id, 'content' AS label, text FROM ({TEXTS})), f AS ({text_findings_sql('t')}), w AS (SELECT doc_id, count(*) AS n, min({RANK}) AS worst FROM f GROUP BY doc_id)
 SELECT t.doc_id, false AS is_error, coalesce(n, 0)::INT AS n_findings, CASE worst WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'INFO' END AS worst FROM t LEFT JOIN w ON w.doc_id = t.doc_id""",
-    "tool_catalogue": "SELECT 14 AS tools, 10 AS with_argument",
+    "tool_catalogue": """WITH t(tool, arguments, required) AS (VALUES ('verify', 'ecosystem:string,packages:array', 'packages'), ('warden', 'manifest:string,path:string', NULL), ('inspect', 'server:string', 'server'),
+ ('verify_lockfile', 'path:string', 'path'), ('provenance', 'ecosystem:string,packages:array', 'packages'), ('audit', '', NULL), ('foresee', 'dir:string,limit:integer', NULL), ('skillscan', 'dir:string', NULL), ('memcheck', 'dir:string', NULL),
+ ('cardcheck', 'card:string,target:string', NULL), ('lock', 'lock:string,paths:array', 'paths'), ('drift', 'lock:string,paths:array', 'paths'), ('scan_content', 'content:string', 'content'), ('scan_repo', 'path:string', NULL)),
+c AS (SELECT conv_id || '-' || turn AS id, turn % 4 AS k FROM conversations)
+SELECT id, NULL::INT AS code, NULL AS server, NULL AS protocol, tool, arguments, required FROM c, t WHERE k = 0
+UNION ALL SELECT id, CASE WHEN k = 3 THEN -32601 END, CASE WHEN k = 1 THEN 'cinderlake' END, CASE WHEN k = 1 THEN '2025-03-26' END, NULL, NULL, NULL FROM c WHERE k <> 0""",
+    "served_drift": f"""WITH {DRIFT_SQL.replace('p_brand AS path', SERVED)} SELECT 'lock-' || string_split(path, '-')[2] AS lock, path, tool, kind, severity, evidence FROM d""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import corpora, jsontree, names
 from ..operators import cards, drift, surface, text_rules
-from ..sources import feeds, sinks
+from ..sources import feeds, sinks, storage
 from ..streaming import requests
 from .common import RANK, TEXTS, quoted, rank_sql, table, text_findings_sql, texts
 
@@ -139,13 +139,34 @@ def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.first_seen(ev, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.lit("GET").alias("method"), F.col("user_id").cast("string").alias("url"), F.lit("").alias("body_match"), F.expr("CASE event_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END").alias("status"), F.col("event_id").cast("string").alias("body"), F.expr("ts + make_dt_interval(0, 0, 0, event_id / 1000000.0)").alias("fetched_at"), "event_id", "ts")
+
+
 def cache_fresh_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    rows = ev.select(F.lit("GET").alias("method"), F.col("user_id").cast("string").alias("url"), F.lit("").alias("body_match"), F.expr("CASE event_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END").alias("status"), F.col("event_id").cast("string").alias("body"), F.expr("ts + make_dt_interval(0, 0, 0, event_id / 1000000.0)").alias("fetched_at"))
-    now = ev.agg(F.max("ts")).first()[0]
+    rows = _responses(spark, sf_dir)
+    now = rows.agg(F.max("ts")).first()[0]
     return feeds.fresh(rows, F.lit(now), 7 * 86_400).select("url", "status", "body")
 
 
+def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of three generations, compacted after two; then all users are asked for, and the odd ones whose answers are missing or too old are fetched.
+
+    Rows say what each request is answered with, now and as of the second version, which stays readable.
+    """
+    rows = _responses(spark, sf_dir)
+    now = F.lit(rows.agg(F.max("ts")).first()[0])
+    cache = feeds.ResponseCache(spark, storage.new_folder(spark, "cache"), 86_400)
+    second = [cache.record(rows.where(F.col("event_id") % 3 == g)) for g in (0, 1)][-1]
+    cache.compact()
+    cache.record(rows.where("event_id % 3 = 2"))
+    asked = rows.where("user_id % 2 = 1").select("method", "url", "body_match")
+    status = F.when(F.col("url").cast("long") % 3 == 0, 503).when(F.col("url").cast("long") % 3 == 1, 404).otherwise(200)
+    answered = cache.fetch(asked, now, lambda missing: missing.select("method", "url", "body_match", status.alias("status"), F.lit("fetched").alias("body"), F.lit(None).cast("string").alias("error")))
+    read = lambda df, label: df.select(F.lit(label).alias("what"), "url", "status", "body")
+    return read(answered, "answer").unionByName(read(cache.fresh(now), "kept")).unionByName(read(cache.fresh(now, second), "second version"))
+
+
 NPM_BODY = """concat('{"dist-tags":{"latest":"2.', CAST(p_size AS VARCHAR(9)), '"},"versions":{"1.0":{"dist":{"attestations":{"url":"u"}}},"2.', CAST(p_size AS VARCHAR(9)), '":{"repository":{"url":"git+https://g/', CAST(p_partkey AS VARCHAR(20)), '"},"dist":{"signatures":[{}]}}},"time":{"created":', CASE WHEN p_partkey % 3 = 0 THEN '{}' ELSE '"2020-01-01T00:00:00Z"' END, ',"unpublished":{}}}')"""
 PYPI_BODY = """concat('{"info":{"version":"', CAST(p_size AS VARCHAR(9)), '","home_page":"h","project_urls":{"Bug":"b","Source Code":"s"}},"releases":{"', CAST(p_size AS VARCHAR(9)), '":[{"upload_time_iso_8601":"2021-05-01","provenance":" "},{"upload_time_iso_8601":"2020-0', CAST(1 + p_size % 9 AS VARCHAR(9)), '-01","provenance":', CASE WHEN p_partkey % 2 = 0 THEN '"x"' ELSE 'null' END, '}],"0":[]}}')"""
 
@@ -212,7 +233,7 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CFG = "c AS (SELECT event_id AS source, event_id % 8 AS k FROM events)"
 _FOLD = f"translate(translate(n, '{corpora.NAME_FOLD[0]}', '{corpora.NAME_FOLD[1]}'), {quoted(''.join(map(chr, range(0xFF41, 0xFF5B))) + 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')}, '{'abcdefghijklmnopqrstuvwxyz' * 2}')"
-_DRIFT = f"""o AS ({OLD.format(part='part')}), n AS ({NEW.format(part='part')}), ps AS (SELECT path FROM o INTERSECT SELECT path FROM n),
+DRIFT_SQL = f"""o AS ({OLD.format(part='part')}), n AS ({NEW.format(part='part')}), ps AS (SELECT path FROM o INTERSECT SELECT path FROM n),
 b AS (SELECT coalesce(o.path, n.path) AS path, o.name AS na, n.name AS nb, o.description AS da, n.description AS db, o.annotations AS aa, n.annotations AS ab, coalesce(o.p_partkey, n.p_partkey) AS k
  FROM (SELECT * FROM o WHERE path IN (SELECT path FROM ps)) o FULL JOIN (SELECT * FROM n WHERE path IN (SELECT path FROM ps)) n ON o.path = n.path AND o.name = n.name),
 d AS (SELECT path, '-' AS tool, 'source-removed' AS kind, 'MEDIUM' AS severity, CAST(NULL AS VARCHAR) AS evidence FROM (SELECT DISTINCT path FROM o WHERE path NOT IN (SELECT path FROM n))
@@ -229,7 +250,7 @@ QUERIES = {
     "config_tree": config_tree, "config_settings": config_settings, "network_hooks": network_hooks, "server_spec": server_spec, "config_secret": config_secret, "config_secret_places": config_secret_places,
     "card_check": card_check, "card_fields": card_fields, "card_confusable": card_confusable, "card_targets": card_targets,
     "drift_sources": drift_sources, "drift_tools": drift_tools, "drift_severity": drift_severity, "drift_document": drift_document, "snapshot_diff": snapshot_diff,
-    "first_seen_distinct": first_seen_distinct, "cache_fresh_latest": cache_fresh_latest,
+    "first_seen_distinct": first_seen_distinct, "cache_fresh_latest": cache_fresh_latest, "cache_generations": cache_generations,
     "feed_npm": feed_npm, "feed_pypi": feed_pypi, "feed_crates": feed_crates, "feed_advisories": feed_advisories,
     "sarif_rows": sarif_rows, "sarif_rules": sarif_rules, "stream_requests": stream_requests,
 }
@@ -268,16 +289,23 @@ UNION ALL SELECT s_suppkey, 'skills[0].tags[0]', 'a' FROM c WHERE k = 4 UNION AL
     "card_targets": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://example.com/.well-known/agent-card.json https://example.com/.well-known/agent.json'
  WHEN 1 THEN CASE WHEN url LIKE 'https://%' THEN 'https://' || split_part(split_part(substr(url, 9), '/', 1), ':', 1) || '/.well-known/agent-card.json https://' || split_part(split_part(substr(url, 9), '/', 1), ':', 1) || '/.well-known/agent.json' END
  WHEN 2 THEN 'https://u@h.example:1/.well-known/x' END AS urls FROM pages""",
-    "drift_sources": f"WITH {_DRIFT} SELECT path, tool, kind, severity FROM d WHERE kind LIKE 'source-%'",
-    "drift_tools": f"WITH {_DRIFT} SELECT path, tool, kind, severity, evidence FROM d WHERE kind NOT LIKE 'source-%'",
-    "drift_document": f"""WITH {_DRIFT} SELECT path AS lock, count(*) AS n_changes, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+    "drift_sources": f"WITH {DRIFT_SQL} SELECT path, tool, kind, severity FROM d WHERE kind LIKE 'source-%'",
+    "drift_tools": f"WITH {DRIFT_SQL} SELECT path, tool, kind, severity, evidence FROM d WHERE kind NOT LIKE 'source-%'",
+    "drift_document": f"""WITH {DRIFT_SQL} SELECT path AS lock, count(*) AS n_changes, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
  CASE min({RANK}) WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS worst FROM d GROUP BY path""",
-    "drift_severity": f"WITH {_DRIFT} SELECT kind, severity, count(*) AS n FROM d GROUP BY ALL",
+    "drift_severity": f"WITH {DRIFT_SQL} SELECT kind, severity, count(*) AS n FROM d GROUP BY ALL",
     "snapshot_diff": "SELECT DISTINCT event_type AS kind, user_id::VARCHAR AS value FROM events e WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 3 = 0 AND b.event_type = e.event_type AND b.user_id = e.user_id)",
     "first_seen_distinct": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "cache_fresh_latest": """WITH m AS (SELECT max(ts) AS m FROM events), r AS (SELECT user_id::VARCHAR AS url, CASE event_id % 4 WHEN 1 THEN 404 ELSE 200 END AS status, event_id::VARCHAR AS body, ts, event_id FROM events, m
  WHERE event_id % 4 <> 0 AND floor(epoch(m) ) - floor((epoch_us(ts) + event_id) / 1000000) BETWEEN 0 AND 604800)
 SELECT url, status, body FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY epoch_us(ts) + event_id DESC) = 1""",
+    "cache_generations": """WITH m AS (SELECT max(ts) AS m FROM events), r AS (SELECT user_id::VARCHAR AS url, CASE event_id % 4 WHEN 1 THEN 404 ELSE 200 END AS status, event_id::VARCHAR AS body, event_id, epoch_us(ts) + event_id AS us FROM events, m
+ WHERE event_id % 4 <> 0 AND floor(epoch(m)) - floor((epoch_us(ts) + event_id) / 1000000) BETWEEN 0 AND 86400),
+f AS (SELECT url, status, body FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY us DESC) = 1),
+o AS (SELECT url, status, body FROM r WHERE event_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY us DESC) = 1),
+n AS (SELECT DISTINCT user_id::VARCHAR AS url, CASE user_id % 3 WHEN 0 THEN 503 WHEN 1 THEN 404 ELSE 200 END AS status, 'fetched' AS body FROM events WHERE user_id % 2 = 1 AND user_id::VARCHAR NOT IN (SELECT url FROM f))
+SELECT 'answer' AS what, url, status, body FROM f WHERE url::BIGINT % 2 = 1 UNION ALL SELECT 'answer', url, status, body FROM n
+UNION ALL SELECT 'kept', url, status, body FROM f UNION ALL SELECT 'kept', url, status, body FROM n WHERE status <> 503 UNION ALL SELECT 'second version', url, status, body FROM o""",
     "feed_npm": """SELECT p_partkey::VARCHAR AS name, '2.' || p_size AS latest_version, CASE WHEN p_partkey % 3 <> 0 THEN '2020-01-01T00:00:00Z' END AS created, '1.0,2.' || p_size AS versions, true AS signed,
  'git+https://g/' || p_partkey AS source_repo FROM part WHERE p_partkey % 10 <> 0""",
     "feed_pypi": """SELECT p_partkey::VARCHAR AS name, p_size::VARCHAR AS latest_version, '2020-0' || (1 + p_size % 9) || '-01' AS created, '0,' || p_size AS versions, CASE WHEN p_partkey % 2 = 0 THEN 'WELL_FORMED' ELSE 'ABSENT' END AS presence, 's' AS source_repo

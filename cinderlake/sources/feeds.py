@@ -11,12 +11,16 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import names
+from . import logs
 
 TTL_SECONDS = 21_600
 MAX_BODY = 64 << 20
@@ -130,6 +134,72 @@ def misses(requests: DataFrame, cached: DataFrame) -> DataFrame:
     return asked.join(have, on, "left_anti").drop("_body")
 
 
+KEPT = "status between 200 and 299 or status = 404"
+FETCHED = "method string, url string, body_match string, status int, body string, error string"
+
+
+def fetched(requests: DataFrame, connect: float = 10, total: float = 30, limit: int = MAX_BODY) -> DataFrame:
+    """Answers to requests (``method, url, body_match``), fetched in tasks; a transport failure has no status but an ``error``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for method, url, body in zip(batch["method"], batch["url"], batch["body_match"]):
+                try:
+                    status, data = fetch(method, url, body or None, connect, total, limit)
+                    error = "body above the limit" if len(data) > limit else None
+                except (OSError, ValueError, http.client.HTTPException) as e:
+                    status, data, error = None, b"", str(e) or type(e).__name__
+                rows.append((method, url, body, None if error else status, None if error else data.decode("utf-8", "replace"), error))
+            frame = pd.DataFrame(rows, columns=["method", "url", "body_match", "status", "body", "error"])
+            yield frame.astype({"status": "Int32"})
+
+    return requests.select("method", "url", "body_match").mapInPandas(run, FETCHED)
+
+
+class ResponseCache:
+    """Responses that are fetched once and kept, as a log of generations (``logs.Log``) in ``folder``.
+
+    Only successes and 404 are kept.  A response is served while it is 0 to ``ttl`` seconds old at the time of asking,
+    the newest of its request first; one from the future isn't served.  Every version of the log can be read as of any time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, ttl: int = TTL_SECONDS):
+        self.spark, self.folder, self.ttl = spark, folder, ttl
+        self.log = logs.Log(spark, f"{folder}/log", RESPONSE)
+
+    def record(self, responses: DataFrame) -> int:
+        """A generation of responses; returns its version."""
+        return self.log.append(responses.where(KEPT).withColumn("body_match", F.coalesce("body_match", F.lit(""))))
+
+    def fresh(self, now: Column, version: int | None = None) -> DataFrame:
+        return fresh(self.log.rows(version), now, self.ttl).drop("generation")
+
+    def compact(self) -> int:
+        """Of each request, the newest response stays."""
+        key = ["method", "url", "body_match"]
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("fetched_at").desc(), "status", "body", "generation"))
+        return self.log.compact(lambda rows: rows.withColumn("_p", place).where("_p = 1").drop("_p"))
+
+    def fetch(self, requests: DataFrame, now: Column, fetcher: Callable[[DataFrame], DataFrame] = fetched) -> DataFrame:
+        """``method, url, body_match, status, body, error`` of each distinct request (``method, url, body_match``).
+
+        What the log can't serve is fetched, written down whole, and then kept as the next generation; a crash in
+        between costs the fetches since the last commit, and no response that was kept before.
+        """
+        key = ["method", "url", "body_match"]
+        asked = requests.select("method", "url", F.coalesce("body_match", F.lit("")).alias("body_match")).distinct()
+        served = self.fresh(now)
+        new = fetcher(misses(asked, served))
+        path = f"{self.folder}/fetched/{uuid.uuid4().hex}"
+        new.select(*key, "status", "body", "error", now.cast("timestamp").alias("fetched_at")).write.parquet(path)
+        new = self.spark.read.parquet(path)
+        if not new.where(KEPT).isEmpty():
+            self.record(new)
+        known = served.join(asked, key, "left_semi").select(*key, "status", "body", F.lit(None).cast("string").alias("error"))
+        return known.unionByName(new.select(*known.columns))
+
+
 def npm_url(name: Column) -> Column:
     return F.concat(F.lit("https://registry.npmjs.org/"), names.slash_encoded(name))
 

@@ -7,6 +7,8 @@ join the routed rows with the operators' results.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,36 @@ from ..functions import corpora
 # Error codes of the protocol.
 PARSE_ERROR, INVALID_REQUEST, NO_METHOD, BAD_PARAMS = -32700, -32600, -32601, -32602
 
-#: Tools with their required argument.
+SERVER, VERSION = "cinderlake", "0.3.0"
+_TEXT, _TEXTS, _NUMBER = {"type": "string"}, {"type": "array", "items": {"type": "string"}}, {"type": "integer"}
+_ECOSYSTEM = {"type": "string", "enum": [e[0] for e in corpora.ECOSYSTEMS]}
+
+# Names of the tools and of their arguments, and which arguments a call must have.
 TOOLS = {
-    "verify": "packages", "scan_manifest": "manifest", "inspect": "spec", "verify_lockfile": "path", "provenance": "packages", "audit": None, "foresee": None,
-    "skillscan": None, "memcheck": None, "cardcheck": "target", "lock": "manifests", "drift": "manifests", "scan_content": "text", "scan_repo": "path",
+    "verify": ("Verdicts on packages before they are installed.", {"packages": _TEXTS, "ecosystem": _ECOSYSTEM}, ["packages"]),
+    "warden": ("Findings in a tool manifest, given as text or by path.", {"manifest": _TEXT, "path": _TEXT}, []),
+    "inspect": ("One verdict on a tool server, by package or install command.", {"server": _TEXT}, ["server"]),
+    "verify_lockfile": ("Verdicts on all pins of a lockfile, and entries off the registry or without a hash.", {"path": _TEXT}, ["path"]),
+    "provenance": ("Whether published packages carry attestations, which aren't verified.", {"packages": _TEXTS, "ecosystem": _ECOSYSTEM}, ["packages"]),
+    "audit": ("Servers, secrets, hooks, settings and instruction files of the agent surface.", {}, []),
+    "foresee": ("Names that a model may make up around a project's dependencies, and who registered them.", {"dir": _TEXT, "limit": _NUMBER}, []),
+    "skillscan": ("Findings in skills, commands and their scripts.", {"dir": _TEXT}, []),
+    "memcheck": ("Findings in stored memories.", {"dir": _TEXT}, []),
+    "cardcheck": ("Findings in an agent card, known by its target or given as text.", {"target": _TEXT, "card": _TEXT}, []),
+    "lock": ("Records the tools of manifests in a lock.", {"paths": _TEXTS, "lock": _TEXT}, ["paths"]),
+    "drift": ("Changes of manifests against a lock.", {"paths": _TEXTS, "lock": _TEXT}, ["paths"]),
+    "scan_content": ("Findings in untrusted text.", {"content": _TEXT}, ["content"]),
+    "scan_repo": ("Needs another product's program; this server has no handler for it.", {"path": _TEXT}, []),
 }
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    rows = [(n, '{"type":"object","properties":{' + (f'"{a}":{{}}' if a else "") + "}" + (f',"required":["{a}"]' if a else "") + "}") for n, a in TOOLS.items()]
-    return spark.createDataFrame(rows, "name string, input_schema string")
+def catalogue() -> str:
+    """What ``tools/list`` answers, as JSON."""
+    tools = []
+    for name, (what, arguments, required) in TOOLS.items():
+        schema = {"type": "object", "properties": arguments} | ({"required": required} if required else {})
+        tools.append({"name": name, "description": what, "inputSchema": schema})
+    return json.dumps({"tools": tools})
 
 
 def negotiated(requested: Column) -> Column:
@@ -57,17 +79,17 @@ def respond(lines: DataFrame, line: str = "value") -> DataFrame:
 def answers(responded: DataFrame) -> DataFrame:
     """The answer lines: notifications and routed calls have none here."""
     c = F.col
-    error = F.struct(c("code").alias("code"), F.when(c("code") == PARSE_ERROR, "parse error").when(c("code") == INVALID_REQUEST, "invalid request").when(c("code") == BAD_PARAMS, "unknown tool").otherwise("unknown method").alias("message"))
-    head = F.struct(F.lit("2.0").alias("jsonrpc"), F.parse_json(F.coalesce("id", F.lit("null"))).alias("id"), F.when(c("outcome") == "error", error).alias("error"), F.when(c("outcome") == "result", F.struct(c("protocol").alias("protocolVersion"))).alias("result"))
+    message = F.when(c("code") == PARSE_ERROR, "parse error").when(c("code") == INVALID_REQUEST, "invalid request").when(c("code") == BAD_PARAMS, "unknown tool").otherwise("unknown method")
+    error = F.struct(c("code").alias("code"), message.alias("message"))
+    greeting = F.to_json(F.struct(c("protocol").alias("protocolVersion"), F.parse_json(F.lit('{"tools":{}}')).alias("capabilities"), F.struct(F.lit(SERVER).alias("name"), F.lit(VERSION).alias("version")).alias("serverInfo")))
+    result = F.when(c("method") == "initialize", greeting).when(c("method") == "tools/list", F.lit(catalogue())).otherwise("{}")
+    head = F.struct(
+        F.lit("2.0").alias("jsonrpc"), F.parse_json(F.coalesce("id", F.lit("null"))).alias("id"), F.when(c("outcome") == "error", error).alias("error"),
+        F.when(c("outcome") == "result", F.parse_json(result)).alias("result"),
+    )
     return responded.where(c("outcome").isin("error", "result")).select(F.to_json(head).alias("value"))
 
 
-def arguments(column: Column, key: str) -> Column:
-    """A list of strings among a call's arguments, else null."""
-    raw = F.get_json_object(column, f"$.params.arguments.{key}")
-    return F.when(F.startswith(raw, F.lit("[")), F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull()))
-
-
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Request lines of files as they arrive."""
     return spark.readStream.format("text").load(folder)
