@@ -1,4 +1,4 @@
-"""String functions on whole texts, as native expressions.
+"""String functions on whole texts: native expressions, and a vectorised search for long runs.
 
 No pattern here puts a quantifier on a group: on a long text Java's matcher would
 recurse once per repetition.
@@ -6,10 +6,15 @@ recurse once per repetition.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import corpora
 
@@ -45,9 +50,9 @@ def matched(text: Column, needles: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in needles]))
 
 
-def snippet(text: Column, needle: str) -> Column:
+def snippet(text: Column, needle: Column) -> Column:
     """80 characters from 20 before the needle (found without regard to ASCII case), trimmed; from the start if it isn't there."""
-    at = F.locate(needle, ascii_lower(text))
+    at = F.position(needle, ascii_lower(text))
     return trimmed(F.substr(text, F.greatest(at - 20, F.lit(1)), F.lit(80)))
 
 
@@ -65,11 +70,78 @@ def code_point(char: Column) -> Column:
     return F.lpad(F.hex(F.ascii(char)), 4, "0")
 
 
-def encoded_run(text: Column) -> Column:
+_IN_RUN = np.zeros(256, bool)
+_IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
+_DIGIT = re.compile(rb"[0-9]")
+LEAST_RUN, CUT_RUN = 40, 48
+#: Bytes of text that are searched at once, about.
+SEARCHED = 1 << 22
+
+
+def _runs(b: np.ndarray, o: np.ndarray) -> Iterator[str | None]:
+    """Of each text in a buffer (with offsets), the run that ``encoded_run`` returns."""
+    inside = _IN_RUN[b]
+    # A text's first byte may begin a run, whatever the text before ends with, and its last byte ends one.
+    begins, over = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    over[:-1] &= ~inside[1:]
+    cuts = o[(o > 0) & (o < len(b))]
+    begins[cuts] = inside[cuts]
+    over[cuts - 1] = inside[cuts - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(over) + 1
+    long_ = ends - starts >= LEAST_RUN
+    found: dict[int, str] = {}
+    for start, end, d in zip(starts[long_].tolist(), ends[long_].tolist(), (np.searchsorted(o, starts[long_], side="right") - 1).tolist()):
+        run = b[start:end].tobytes()
+        digit = None if d in found else _DIGIT.search(run)
+        if digit:
+            found[d] = run[: min(CUT_RUN, max(LEAST_RUN, digit.start() + 1))].decode()
+    return (found.get(d) for d in range(len(o) - 1))
+
+
+def buffers(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """UTF-8 bytes and offsets of texts (null: empty), in parts of about ``SEARCHED`` bytes or one longer text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    o = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    b = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        end = min(len(texts), max(at + 1, int(np.searchsorted(o, o[at] + SEARCHED, side="right")) - 1))
+        yield b[o[at] : o[end]], o[at : end + 1] - o[at]
+        at = end
+
+
+@F.arrow_udf(StringType())
+def encoded_run(texts: pa.Array) -> pa.Array:
     """The first run of at least 40 base64 or hex characters that has a digit, cut where it is recognised and at 48."""
-    run = F.get(F.filter(F.regexp_extract_all(text, F.lit(f"({corpora.ENCODED})"), F.lit(1)), lambda r: r.rlike("[0-9]")), F.lit(0))
-    digit = F.length(F.regexp_extract(run, "^([^0-9]*)", 1)) + 1
-    return F.substr(run, F.lit(1), F.least(F.lit(48), F.greatest(F.lit(40), digit)))
+    return pa.array([run for b, o in buffers(texts) for run in _runs(b, o)], pa.string())
+
+
+def holding(b: np.ndarray, o: np.ndarray, chars: dict[int, int]) -> np.ndarray:
+    """Of each text in a buffer, the bits of the characters (by code point) that it holds, or-ed."""
+    leads = np.zeros(256, bool)
+    leads[[chr(c).encode()[0] for c in chars]] = True
+    at = np.flatnonzero(leads[b])
+    masks = np.zeros(len(o) - 1, np.int64)
+    if len(at):
+        padded = np.concatenate((b, np.zeros(3, np.uint8))).astype(np.int32)
+        one, two, three, four = (padded[at + i] for i in range(4))
+        tail = (two & 63) << 6 | three & 63
+        code = np.where(one < 0x80, one, np.where(one < 0xE0, (one & 31) << 6 | two & 63, np.where(one < 0xF0, (one & 15) << 12 | tail, (one & 7) << 18 | tail << 6 | four & 63)))
+        for bit in set(chars.values()):
+            hit = at[np.isin(code, [c for c, x in chars.items() if x == bit])]
+            masks[np.searchsorted(o, hit, side="right") - 1] |= bit
+    return masks
+
+
+def has_image_mark(text: Column) -> Column:
+    return F.contains(text, F.lit("![")) & F.contains(text, F.lit("]("))
+
+
+def has_image_url(text: Column) -> Column:
+    """Whether ``image_url`` finds one."""
+    return F.coalesce(has_image_mark(text) & image_url(text).isNotNull(), F.lit(False))
 
 
 def image_url(text: Column) -> Column:
@@ -85,8 +157,7 @@ def image_url(text: Column) -> Column:
     first = F.get(F.array_compact(opens), F.lit(0))
     rest = F.array_join(F.slice(parts, first + 2, F.size(parts)), "](")
     url = F.when(F.contains(rest, F.lit(")")), F.substr(trimmed(F.substring_index(rest, ")", 1)), F.lit(1), F.lit(120)))
-    some = F.contains(text, F.lit("![")) & F.contains(text, F.lit("]("))
-    return F.when(some, F.when(first.isNotNull(), url))
+    return F.when(has_image_mark(text), F.when(first.isNotNull(), url))
 
 
 def fold_fullwidth(c: Column) -> Column:

@@ -180,12 +180,9 @@ def package_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
         key, "ord", F.coalesce(F.col("e.value.name"), tail).alias("name"), _blank_null(F.col("e.value.version")).alias("version"),
         _blank_null(F.col("e.value.resolved")).alias("resolved"), (F.coalesce(F.col("e.value.integrity"), F.lit("")) != "").alias("has_integrity"),
     )
-    nodes = rows.where("_v3 is null").select(key, F.inline(jsontree.nodes(F.col(text))))
-    old = nodes.where((F.try_element_at("above", F.lit(-1)) == "dependencies") & (F.col("kind") == "object") & F.forall(F.transform("above", lambda x, i: (i % 2 == 1) | (x == "dependencies")), lambda ok: ok))
-    body = F.from_json("value", "version STRING, resolved STRING, integrity STRING")
-    old = old.select(
-        key, "ord", F.col("key").alias("name") if key != "key" else F.col("key"), _blank_null(body["version"]).alias("version"),
-        _blank_null(body["resolved"]).alias("resolved"), (F.coalesce(body["integrity"], F.lit("")) != "").alias("has_integrity"),
+    old = rows.where("_v3 is null").select(key, F.posexplode(jsontree.locked_packages(F.col(text))).alias("ord", "e")).select(
+        key, "ord", F.col("e.name").alias("name"), _blank_null(F.col("e.version")).alias("version"),
+        _blank_null(F.col("e.resolved")).alias("resolved"), (F.coalesce("e.integrity", F.lit("")) != "").alias("has_integrity"),
     )
     return new.unionByName(old)
 

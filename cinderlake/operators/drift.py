@@ -21,9 +21,8 @@ def locked_tools(tools: DataFrame) -> DataFrame:
 
 def signals(text: Column, label: str, df: DataFrame) -> DataFrame:
     """Adds ``_signals``, the distinct (rank, category) of a text's findings."""
-    df = text_rules.with_findings(df.withColumn("_t", text).withColumn("_l", F.lit(label)), "_t", "_l")
-    pairs = F.array_distinct(F.transform("findings", lambda f: F.struct(rank(f["severity"], corpora.SEVERITIES).alias("rank"), f["category"].alias("category"))))
-    return df.withColumn("_signals", pairs).drop("findings", "_t", "_l")
+    marked = text_rules.with_signals(df.withColumns({"_t": text, "_l": F.lit(label)}), "_t", "_l")
+    return marked.withColumnRenamed("signals", "_signals").drop("_t", "_l")
 
 
 def with_escalation(df: DataFrame, old: Column, new: Column) -> DataFrame:

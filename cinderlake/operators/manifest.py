@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +14,14 @@ from .text_rules import finding
 
 
 def tools_array(text: Column) -> Column:
-    """The tools of a manifest as a JSON array: an object with ``tools``, one wrapped in ``result``, a bare array, or a single tool."""
+    """The tools of a manifest as a JSON array: an object with ``tools``, one wrapped in ``result`` (which goes first), a bare array, or a single tool."""
     v = F.try_parse_json(text)
     at = lambda path: F.try_variant_get(v, path, "variant")
     is_array = lambda x: F.startswith(F.schema_of_variant(x), F.lit("ARRAY"))
     return (
-        F.when(is_array(at("$.tools")), F.to_json(at("$.tools")))
-        .when(is_array(at("$.result.tools")), F.to_json(at("$.result.tools")))
+        F.when(is_array(at("$.result.tools")), F.to_json(at("$.result.tools")))
         .when(is_array(at("$.result")), F.to_json(at("$.result")))
+        .when(is_array(at("$.tools")), F.to_json(at("$.tools")))
         .when(is_array(v), F.to_json(v))
         .when(at("$.name").isNotNull(), F.concat(F.lit("["), F.to_json(v), F.lit("]")))
     )
@@ -29,11 +30,14 @@ def tools_array(text: Column) -> Column:
 def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per tool: ``ord, name, description, input_schema, annotations`` (the last two as JSON).
 
-    A text without tools gives one row with ``error``.
+    A text without tools gives one row with ``error``.  Texts that are nested too deeply
+    for native expressions are read by ``jsontree.deep_tools``.
     """
-    rows = manifests.select(*keys, tools_array(F.col(text)).alias("_tools"))
-    parsed = F.from_json("_tools", f"ARRAY<STRUCT<{TOOL.replace(' STRING', ': STRING')}>>")
-    out = rows.select(*keys, F.col("_tools").isNull().alias("error"), F.posexplode_outer(parsed).alias("ord", "tool"))
+    schema = f"ARRAY<STRUCT<{TOOL.replace(' STRING', ': STRING')}>>"
+    native = F.from_json(tools_array(F.col(text)), schema)
+    rows = manifests.select(*keys, native.alias("_native"), F.when(F.try_parse_json(F.col(text)).isNull(), F.col(text)).alias("_deep"))
+    rows = rows.select(*keys, F.coalesce("_native", jsontree.deep_tools(F.col("_deep")).cast(schema)).alias("_tools"))
+    out = rows.select(*keys, F.col("_tools").isNull().alias("error"), F.posexplode_outer("_tools").alias("ord", "tool"))
     return out.select(
         *keys, "error", "ord", F.col("tool.name").alias("name"), F.col("tool.description").alias("description"),
         F.col("tool.inputSchema").alias("input_schema"), F.col("tool.annotations").alias("annotations"),
@@ -67,17 +71,58 @@ def shadowing(tools: DataFrame, manifest: str) -> DataFrame:
     return text_rules.rows_of(t, [manifest, "ord"], F.col("name"))
 
 
+#: Steering texts of a manifest that one task reads, about.
+STEERING_ROWS = 20_000
+
+
+def _first_names(batches):
+    """Rows by manifest, salt and kind: names (kind 0), then steering texts (kind 1).  Of each text, the first tool by place that it names, other than its own.
+
+    The automaton of a manifest's names is built as they come; each text is then read once.
+    """
+    import ahocorasick
+
+    group, names, ready = None, None, False
+    for batch in batches:
+        found = []
+        for m, salt, kind, ord_, name, low, own in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if (m, salt) != group:
+                group, names, ready = (m, salt), ahocorasick.Automaton(), False
+            if kind == 0:
+                names.add_word(name, (ord_, name))
+                continue
+            if not ready:
+                names.make_automaton()
+                ready = True
+            if len(names):
+                best = min((v for _, v in names.iter(low) if v[1] != own), default=None)
+                if best:
+                    found.append((m, ord_, name, best[1]))
+        columns = list(zip(*found)) or [()] * 4
+        kinds = [batch.schema.field(0).type, batch.schema.field(3).type, pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["manifest", "ord", "name", "other"])
+
+
 def cross_tool(tools: DataFrame, manifest: str, text: str = "desc") -> DataFrame:
     """Tools whose text steers to another tool of their manifest: the first such tool in order.
 
-    Only tools that steer are joined, and on the manifest.
+    Names and steering texts of a manifest meet in one sorted stream, so a task holds the
+    names of one manifest and one batch; a manifest with many steering texts is dealt over
+    salts, each with all names.  The cost is the size of texts and names, not their product.
     """
     t = tools.withColumn("_low", F.lower(text)).withColumn("_name", T.ascii_lower(F.col("name")))
-    steering = t.where(T.any_of(F.col("_low"), corpora.CROSS_TOOL_STEER)).select(manifest, "ord", "name", "_low", F.col("_name").alias("_own"))
+    steering = t.where(T.any_of(F.col("_low"), corpora.CROSS_TOOL_STEER)).select(manifest, F.col("ord").cast("int").alias("ord"), "name", "_low", F.col("_name").alias("_own"))
+    parts = steering.groupBy(F.col(manifest).alias("_m")).agg(F.ceil(F.count("*") / STEERING_ROWS).cast("int").alias("_parts"))
     # One row for each name of a manifest, at its first place.
-    others = t.groupBy(F.col(manifest).alias("_m"), F.col("_name").alias("other")).agg(F.min("ord").alias("_at")).where(F.octet_length("other") >= 3)
-    met = steering.join(others, (F.col(manifest) == F.col("_m")) & (F.col("other") != F.col("_own")) & F.contains("_low", F.col("other")))
-    first = met.groupBy(manifest, "ord", "name").agg(F.min_by("other", "_at").alias("other"))
+    others = t.groupBy(F.col(manifest).alias("_m"), F.col("_name").alias("other")).agg(F.min("ord").cast("int").alias("_at")).where(F.octet_length("other") >= 3)
+    none = F.lit(None).cast("string")
+    dealt = others.join(parts, "_m").select(F.col("_m").alias("m"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("_at").alias("ord"), F.col("other").alias("name"), none.alias("low"), none.alias("own"))
+    salt = F.pmod(F.xxhash64("ord", "_low"), F.col("_parts")).cast("int")
+    texts = steering.join(parts, steering[manifest] == parts["_m"]).select(F.col("_m").alias("m"), salt.alias("salt"), F.lit(1).alias("kind"), "ord", "name", F.col("_low").alias("low"), F.col("_own").alias("own"))
+    stream = dealt.unionByName(texts)
+    stream = stream.repartition("m", "salt").sortWithinPartitions("m", "salt", "kind", "ord")
+    kind = tools.schema[manifest].dataType.simpleString()
+    first = stream.mapInArrow(_first_names, f"manifest {kind}, ord int, name string, other string").withColumnRenamed("manifest", manifest)
     rule = finding("MEDIUM", "cross-tool-trigger", F.concat(F.lit("steers to the tool "), F.col("other")), None, -1)
     return text_rules.rows_of(first.withColumn("findings", F.array(rule)), [manifest, "ord"], F.col("name"))
 
@@ -103,9 +148,14 @@ def scan_tools(tools: DataFrame, manifest: str) -> DataFrame:
 
 
 def scan_manifests(manifests: DataFrame, manifest: str, text: str = "text", fingerprints: DataFrame | None = None) -> DataFrame:
-    """``fingerprints``: ``kind, fingerprint``; a manifest that is allowed as ``manifest`` reports only that."""
+    """Findings of manifests; one that holds no tools, or isn't JSON, is a finding itself.
+
+    ``fingerprints``: ``kind, fingerprint``; a manifest that is allowed as ``manifest`` reports only that.
+    """
     if fingerprints is not None:
         known, rest = allowlist.split_trusted(manifests.withColumn("fingerprint", hashing.manifest_fingerprint(tools_array(F.col(text)))), fingerprints, "manifest")
         marks = allowlist.trusted_marker(known.select(manifest, F.lit(None).cast("int").alias("ord")), [manifest, "ord"], F.col(manifest).cast("string"))
         return scan_manifests(rest, manifest, text).unionByName(marks)
-    return scan_tools(parse_tools(manifests, [manifest], text), manifest)
+    tools = parse_tools(manifests, [manifest], text)
+    unread = [F.when(F.col("error"), finding("HIGH", "unreadable-manifest", "no tools can be read from it", None, -9))]
+    return scan_tools(tools, manifest).unionByName(text_rules.scan_rules(tools.where("error"), [manifest, "ord"], unread, F.col(manifest).cast("string")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +76,11 @@ def skill_files(paths: DataFrame, path: str = "path", depth: int = 6) -> DataFra
 
 
 def skill_fingerprints(files: DataFrame) -> DataFrame:
-    """``skill, fingerprint`` of whole trees.  FNV-1a runs over a tree in order, so one tree is one group."""
-    rows = files.select("skill", "path", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    """``skill, fingerprint`` of whole trees.  FNV-1a runs over a tree in order, as a fold over the sorted files of a partition."""
+    rows = files.select("skill", F.coalesce("path", F.lit("")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     kind = files.schema["skill"].dataType.simpleString()
-
-    def of_tree(key, tree):
-        return pd.DataFrame({"skill": [key[0]], "fingerprint": [hashing.tree_fingerprint(tree)]})
-
-    return rows.groupBy("skill").applyInPandas(of_tree, f"skill {kind}, fingerprint string")
+    ordered = rows.repartition("skill").sortWithinPartitions("skill", "path", "content")
+    return ordered.mapInArrow(hashing.tree_fingerprints, f"tree {kind}, fingerprint string").withColumnRenamed("tree", "skill")
 
 
 def skillscan(files: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
@@ -122,7 +118,7 @@ def is_network(command: Column) -> Column:
 
 def hook_commands(nodes: DataFrame) -> DataFrame:
     """Command strings below ``hooks``, and whether they use the network."""
-    hooks = nodes.where((F.col("key") == "command") & (F.col("kind") == "string") & F.array_contains("above", "hooks"))
+    hooks = nodes.where((F.col("key") == "command") & (F.col("kind") == "string") & F.array_contains("under", "hooks"))
     return hooks.select("source", F.col("value").alias("command"), is_network(F.col("value")).alias("network"))
 
 

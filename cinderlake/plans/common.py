@@ -63,6 +63,13 @@ def snippet_sql(text: str, needle: str) -> str:
     return trim_sql(f"substr({text}, greatest(strpos({ALOW.format(text)}, {needle}) - 20, 1), 80)")
 
 
+def fnv_sql(hexes: str, is_hex: bool = False) -> str:
+    """FNV-1a of a text's UTF-8 bytes, or of the bytes that a text of hex digits stands for."""
+    x = hexes if is_hex else f"hex({hexes})"
+    return f"""lower(lpad(to_hex(list_reduce(list_transform(range(1, length({x}), 2), lambda i: ('0x' || substr({x}, i, 2))::HUGEINT),
+ lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT), 16, '0'))"""
+
+
 def rank_sql(column: str, order: list[str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(order)) + " END"
 

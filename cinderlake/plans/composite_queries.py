@@ -9,7 +9,7 @@ from ..functions import corpora, hashing
 from ..operators import packages, surface, text_rules
 from ..sources import files, logs, sinks, storage
 from ..streaming import handlers, requests
-from .common import RANK, TEXTS, any_sql, table, text_findings_sql, texts
+from .common import RANK, TEXTS, any_sql, fnv_sql, table, text_findings_sql, texts
 from .package_queries import _BASE, NOW, feeds, reports
 from .surface_queries import CONFIG, DRIFT_SQL, NEW, OLD
 from .text_queries import _MEM_SQL, FRONT, MEMORY, SCRIPT
@@ -19,6 +19,12 @@ def fnv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", hashing.fnv1a_hex(F.col("c_name")).alias("fingerprint"))
 
 
+def skill_tree_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees of a file a turn."""
+    t = table(spark, sf_dir, "conversations")
+    return surface.skill_fingerprints(t.select(F.col("conv_id").alias("skill"), F.concat(F.lit("turn-"), F.lpad(F.col("turn").cast("string"), 5, "0")).alias("path"), "text"))
+
+
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fields each JSON report has, and two of them read back."""
     rows = sinks.report_json(reports(spark, sf_dir))
@@ -99,7 +105,7 @@ def _call(tool: str, arguments: Column, number: Column) -> Column:
 def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a call of a tool that scans content; the answers, read back."""
     lines = texts(spark, sf_dir).select(_call("scan_content", F.struct(F.col("text").alias("content")), F.col("doc_id")).alias("value"))
-    found = handlers.answer(requests.respond(lines), handlers.TEXT_HANDLERS)
+    found = handlers.answer(requests.respond(lines), handlers.TEXT_HANDLERS, asked_tools={"scan_content"})
     answer = F.from_json("value", "id LONG, result STRUCT<content: ARRAY<STRUCT<text: STRING>>, isError: BOOLEAN>")
     rows = found.select(answer.alias("a")).select(F.col("a.id").alias("doc_id"), F.col("a.result.isError").alias("is_error"), F.from_json(F.col("a.result.content")[0]["text"], "count INT, findings ARRAY<STRUCT<severity: STRING>>").alias("r"))
     return rows.select("doc_id", "is_error", F.col("r.count").alias("n_findings"), F.get("r.findings", F.lit(0))["severity"].alias("worst"))
@@ -132,9 +138,11 @@ def _manifests(spark: SparkSession, sf_dir: str, tools: str) -> DataFrame:
 
 def served_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of a tool server: all locks are written, then the manifests of the next version are compared with them; the changes, read back from the answers."""
-    old, new = (_manifests(spark, sf_dir, q) for q in (OLD, NEW))
-    call = lambda tool, m: m.groupBy("lock").agg(F.sort_array(F.collect_list("path")).alias("paths")).select(_call(tool, F.struct("paths", "lock"), F.col("lock")).alias("value"))
     folder = storage.new_folder(spark, "locks")
+    for name, tools in (("old", OLD), ("new", NEW)):
+        _manifests(spark, sf_dir, tools).write.parquet(f"{folder}/{name}")
+    old, new = (spark.read.parquet(f"{folder}/{name}") for name in ("old", "new"))
+    call = lambda tool, m: m.groupBy("lock").agg(F.sort_array(F.collect_list("path")).alias("paths")).select(_call(tool, F.struct("paths", "lock"), F.col("lock")).alias("value"))
     log = logs.Log(spark, f"{folder}/log", handlers.LOCKED)
     handlers.answer_batch(call("lock", old), 0, f"{folder}/out", handlers.locks(old.select("path", "text"), log))
     handlers.answer_batch(call("drift", new), 1, f"{folder}/out", handlers.locks(new.select("path", "text"), log))
@@ -165,11 +173,16 @@ y AS (SELECT *, ((contains(lower(text), 'curl ') OR contains(lower(text), 'wget
 QUERIES = {
     "fnv_fingerprint": fnv_fingerprint, "report_json": report_json, "guardrail_names": guardrail_names, "flat_json_rows": flat_json_rows, "sarif_levels": sarif_levels,
     "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "audit_totals": audit_totals, "inspect_commands": inspect_commands,
-    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers, "served_drift": served_drift,
+    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers, "served_drift": served_drift, "skill_tree_fingerprints": skill_tree_fingerprints,
 }
 SQL = {
     "fnv_fingerprint": """SELECT c_custkey, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)),
  lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) AS fingerprint FROM customer""",
+    # Bytes of each file in hex: path, zero, length (8 bytes, little-endian; texts are shorter than 2 ** 32 bytes) and content.
+    "skill_tree_fingerprints": f"""WITH f AS (SELECT conv_id, turn, hex('turn-' || lpad(turn::VARCHAR, 5, '0')) || '00' AS p, strlen(coalesce(text, '')) AS n, hex(coalesce(text, '')) AS c FROM conversations),
+b AS (SELECT conv_id, turn, p || printf('%02X%02X%02X%02X', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216) || '00000000' || c AS x FROM f),
+t AS (SELECT conv_id, string_agg(x, '' ORDER BY turn) AS x FROM b GROUP BY conv_id)
+SELECT conv_id AS skill, {fnv_sql('x', True)} AS fingerprint FROM t""",
     "report_json": f"""WITH {_BASE} SELECT name, verdict, array_to_string(list_sort(list_concat(['ecosystem', 'name', 'reason', 'verdict'], list_filter([CASE WHEN version IS NOT NULL THEN 'version' END, CASE WHEN latest IS NOT NULL THEN 'latest_version' END,
  CASE WHEN created IS NOT NULL THEN 'created' END, CASE WHEN downloads IS NOT NULL THEN 'downloads' END, CASE WHEN mal THEN 'malicious_ids' END, CASE WHEN nv > 0 THEN 'vulnerability_ids' END], lambda x: x IS NOT NULL))), ',') AS fields FROM w""",
     "guardrail_names": f"""WITH {_BASE}, g AS (SELECT ecosystem, name, verdict IN ('MISSING', 'MALICIOUS', 'LOOKALIKE') AS guard, verdict IN ('MALICIOUS', 'LOOKALIKE') OR (verdict <> 'MISSING' AND coalesce(age <= 365, false) AND coalesce(downloads < 50, true)) AS trap FROM w)

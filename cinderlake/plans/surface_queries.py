@@ -28,7 +28,7 @@ def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def config_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = surface.config_nodes(_configs(spark, sf_dir))
-    return surface.values_for_key(nodes, "command").select("source", "kind", "value", F.size("above").alias("depth"))
+    return surface.values_for_key(nodes, "command").select("source", "kind", "value", "depth")
 
 
 def config_settings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,13 +37,11 @@ def text_exfil_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_rules.scan_text(texts(spark, sf_dir), ["lang", "doc_id"])
-    return text_rules.severity_counts(found, "lang")
+    return text_rules.text_severities(texts(spark, sf_dir), "lang")
 
 
 def trust_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir)
-    return text_rules.trust_collapse(docs, text_rules.scan_text(docs, ["doc_id"]), "doc_id")
+    return text_rules.text_trust(texts(spark, sf_dir), "doc_id")
 
 
 def actionable_any(spark: SparkSession, sf_dir: str) -> DataFrame:

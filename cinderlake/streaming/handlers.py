@@ -99,9 +99,9 @@ def warden(files: DataFrame | None = None) -> Handler:
         if files is not None:
             named = rows.where("text is null and path is not null").select("call", "path").join(files.select("path", "text"), "path")
             given = given.unionByName(named.select("call", "text"))
-        given = given.withColumn("_tools", manifest.tools_array(F.col("text")))
-        good = given.where("_tools is not null").select("call", "text")
-        bad = given.where("_tools is null").select("call", F.lit("the manifest has no tools, or isn't JSON").alias("result"), F.lit(True).alias("is_error"))
+        unread = manifest.parse_tools(given, ["call"]).where("error").select("call")
+        good = given.join(unread, "call", "left_anti")
+        bad = unread.select("call", F.lit("the manifest has no tools, or isn't JSON").alias("result"), F.lit(True).alias("is_error"))
         return _found(good.select("call"), manifest.scan_manifests(good, "call")).unionByName(bad)
 
     return handler

@@ -1,10 +1,13 @@
 import datetime
+import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cinderlake.functions import hashing, jsontree, names
-from cinderlake.operators import allowlist, packages
+from cinderlake.operators import allowlist, manifest, packages, surface
 from cinderlake.plans import package_queries
 from cinderlake.sources import feeds
 
@@ -171,10 +174,93 @@ def test_json_walks(spark):
     text = '{"b":{"k":"2"},"a":["1",{"k":3}],"c":"4"}'
     assert column(spark, jsontree.string_values, text, "x", '"s"') == [["1", "2", "4"], None, ["s"]]
     deep = '{"a":' * 50 + "1" + "}" * 50
-    assert len(column(spark, jsontree.nodes, deep)[0]) == 50
+    nodes = column(spark, jsontree.nodes, deep)[0]
+    assert [(n.ord, n.parent, n.depth) for n in nodes] == [(i, i - 1, i) for i in range(50)]
+    hooks = column(spark, jsontree.nodes, '{"hooks":[{"a":{"hooks":{"b":[1,{"c":2}]}}}],"d":"x"}')[0]
+    assert [(n.key, n.parent, n.value, list(n.under)) for n in hooks] == [("d", -1, "x", []), ("hooks", -1, "[]", []), ("a", 1, "{}", ["hooks"]), ("hooks", 2, "{}", ["hooks"]), ("b", 3, "[1]", ["hooks"]), ("c", 4, "2", ["hooks"])]
     assert column(spark, lambda x: jsontree.strict_bool(x, "h"), '{"h":true}', '{"h":"true"}', '{"h":1}', "{}", "no") == [True, None, None, None, None]
 
 
+VALUES = [1, -0.5, 1e300, "", "a\u2028\"\\é\n", True, None, [], {}, {"b": [{}, [[]], {"a": 1}], "a": {"c": None}}, [[[1], 2], "x"], {"é": {"": [0]}}]
+
+
+@pytest.mark.parametrize("depth", [0, 300, 1500, 100_000])
+def test_json_of_any_depth_is_read_and_written(depth):
+    for v in VALUES:
+        text = '{"k":[' * depth + json.dumps(v) + "]}" * depth
+        found = jsontree.built(f" {text} ")
+        assert jsontree.canonical(found) == '{"k":[' * depth + json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "]}" * depth
+        for _ in range(depth):
+            found = found["k"][0]
+        assert found == v
+
+
+def test_broken_json_is_refused():
+    for text in ["", " ", "[", "{", "[1,]", "[,1]", '{"a":}', '{"a" 1}', '{"a":1,}', "{1:2}", "1 2", "nul", "01", '"a', "[1}", '{"a":1]', "]", "tru", "+1", '["a\n"]', "'a'"]:
+        with pytest.raises(ValueError):
+            jsontree.built(text)
+        with pytest.raises(ValueError):
+            json.loads(text)
+
+
+def test_deep_manifests_give_findings(spark):
+    """Linear in the depth, and never a lost row."""
+    deep = lambda n: json.dumps([{"name": "t", "inputSchema": 0}])[:-3] + '{"a":' * n + '"ignore previous"' + "}" * n + "}]"
+    rows = spark.createDataFrame([(n, deep(n)) for n in (300, 999, 1500, 100_000)] + [(1, deep(1500)[:-1]), (2, "[" * 200_000)], "m int, text string")
+    got = sorted((r.m, r.category) for r in manifest.scan_manifests(rows, "m").collect())
+    assert got == [(1, "unreadable-manifest"), (2, "unreadable-manifest")] + [(n, "prompt-injection") for n in (300, 999, 1500, 100_000)]
+    sizes = [sum(len(n.value) + len(n.key) + 8 * len(n.under) for n in column(spark, jsontree.nodes, '{"hooks":' * d + "1" + "}" * d)[0]) for d in (400, 4000, 40_000)]
+    assert sizes[1] < 11 * sizes[0] and sizes[2] < 11 * sizes[1] and sizes[2] < 40_000 * 20
+    locked = "{" + '"dependencies":{"a":{"version":"1",' * 2000 + '"x":0' + "}}" * 2000 + "}"
+    assert [p.version for p in column(spark, jsontree.locked_packages, locked)[0]] == ["1"] * 2000
+
+
+def test_cross_tool_triggers_of_a_large_manifest(spark):
+    """100,000 tools that all steer: one pass over names and texts, dealt over several tasks."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("m").alias("manifest"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("Tool_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"),
+        F.concat(F.lit("first call TOOL_"), F.lpad(((F.col("id") + 7) % n).cast("string"), 6, "0"), F.lit(" then tool_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("desc"))
+    began = time.time()
+    got = manifest.cross_tool(rows, "manifest").select("ord", "message").collect()
+    assert len(got) == n and time.time() - began < 90
+    assert all(r.message == f"steers to the tool tool_{(r.ord + 7) % n:06d}" for r in got)
+
+
+def test_fnv_by_vector_steps():
+    def plain(data, h=hashing.BASIS):
+        for b in data:
+            h = (h ^ b) * hashing.PRIME % 2**64
+        return h
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, hashing.SHORT - 1, hashing.SHORT, 5000, hashing.CHUNK + 1):
+        data = rng.integers(0, 256, n, np.uint8).tobytes()
+        assert hashing.folded(hashing.BASIS, data) == plain(data) == hashing.folded(hashing.folded(hashing.BASIS, data[: n // 3]), data[n // 3 :])
+    items = [rng.integers(0, 256, int(n), np.uint8).tobytes() for n in rng.integers(0, 300, 200)] + [b"", b"x" * 400_000, b"y" * 2000]
+    began = time.time()
+    assert hashing.fnv1a_many(items) == [f"{plain(x):016x}" for x in items]
+    long = bytes(15 << 20)
+    began = time.time()
+    hashing.fnv1a_many([long])
+    assert time.time() - began < 5
+
+
+def test_fingerprints_of_large_trees(spark):
+    """Files of trees in one partition, across batches: the same as one hash over the whole tree."""
+    files = [(s, f"{s}/{i:03d}", None if i == 5 else "é" * (i * 40)) for s in ("a", "b", "c") for i in range(60)] + [("d", None, "x")]
+    df = spark.createDataFrame(files, "skill string, path string, text string").repartition(7)
+    want = {}
+    for s, path, text in sorted(files, key=lambda f: (f[0], f[1] or "")):
+        data = (text or "").encode()
+        want[s] = hashing.folded(want.get(s, hashing.BASIS), (path or "").encode() + b"\0" + len(data).to_bytes(8, "little") + data)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.skill: r.fingerprint for r in surface.skill_fingerprints(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {s: f"{h:016x}" for s, h in want.items()}
+
+
 def test_allowlist_store(spark):
     text = '[packages."npm:a"]\necosystem = "npm"\nname = "a"\nversions = ["2", "1", "1"]\n[fingerprints."skill:ff"]\nkind = "skill"\nid = "s"\nfingerprint = "ff"\n'
     p, f = allowlist.parse(spark, text)

@@ -20,7 +20,7 @@ def test_manifest_scan_end_to_end(spark):
     got = {(r.severity, r.category, r.tool) for r in manifest.scan_manifests(rows, "m").collect()}
     assert got == {
         ("HIGH", "tool-shadowing", "Read"), ("MEDIUM", "tool-shadowing", "Read"), ("MEDIUM", "cross-tool-trigger", "Read"), ("HIGH", "prompt-injection", "helper_two"),
-        ("MEDIUM", "sensitive-parameter", "helper_two"), ("MEDIUM", "annotation", "read"),
+        ("MEDIUM", "sensitive-parameter", "helper_two"), ("MEDIUM", "annotation", "read"), ("HIGH", "unreadable-manifest", "bad"),
     }
     assert manifest.parse_tools(rows, ["m"]).where("m = 'bad'").first().error
 
@@ -157,7 +157,7 @@ def test_allowed_artifacts_report_only_that(spark):
     store = spark.createDataFrame([("skill", "s", prints["s"], None), ("memory", "a", prints["a.md"], None), ("manifest", "m", prints["m"], None)], "kind string, id string, fingerprint string, note string")
     assert {(r.skill, r.category) for r in surface.skillscan(skills, store).collect()} == {("s", "trusted"), ("t", "prompt-injection")}
     assert {(r.path, r.category) for r in surface.memcheck(memories, fingerprints=store).collect()} == {("a.md", "trusted"), ("b.md", "prompt-injection")}
-    assert {(r.m, r.category) for r in manifest.scan_manifests(manifests, "m", fingerprints=store).collect()} == {("m", "trusted"), ("n", "prompt-injection")}
+    assert {(r.m, r.category) for r in manifest.scan_manifests(manifests, "m", fingerprints=store).collect()} == {("m", "trusted"), ("n", "prompt-injection"), ("o", "unreadable-manifest")}
 
 
 def test_routed_calls_are_answered(spark, tmp_path):

@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cinderlake.functions import corpora
 from cinderlake.functions import text as T
 from cinderlake.operators import surface, text_rules
 
@@ -162,4 +164,50 @@ def test_image_url_against_a_plain_search(spark):
 def test_each_text_is_computed_once(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id int, text string, label string")
     plan = text_rules.scan_text(df, ["id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("concat_ws(") == 2 and plan.count("![") < 10 and len(plan) < 60_000
+    # The basis, what is scanned, and twice the text that an invisible character is cut from, which is made for set bits only.
+    assert plan.count("concat_ws(") == 4 and plan.count("![") < 10 and plan.count("scanned(") == 1 and len(plan) < 12_000
+
+
+def test_trust_reads_the_mask_alone(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, text string, label string")
+    plan = text_rules.text_trust(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "instruction-injection" not in plan and plan.count("scanned(") == 1
+
+
+def test_counts_and_signals_equal_findings(spark):
+    rng = random.Random(4)
+    parts = corpora.INJECTION + corpora.COERCION + corpora.CAPABILITY + ["xn--", "\x1b", "\x85", "\u200b", "\U000e0041", "\ufeff", "![a](https://x)", "![a](b)", "A1" * 25, "b" * 50, "é”“’", "Σ", "İ", " ", "\U0001f600"]
+    rows = [(i, "".join(rng.choice(parts).upper() if rng.random() < 0.3 else rng.choice(parts) for _ in range(rng.randint(0, 6))), rng.choice(["", "x-previous", "previous.md", "\u2060", "exec", None])) for i in range(600)]
+    rows += [(600, "please ignore", "previous"), (601, None, None), (602, "", "system_prompt"), (603, "ex", "ec"), (604, "\u200c" * 3, "\u200d")]
+    df = spark.createDataFrame(rows, "i int, text string, label string")
+    found = {}
+    for r in text_rules.scan_text(df, ["i"]).collect():
+        found.setdefault(r.i, []).append(r)
+    for r in text_rules.with_counts(df).collect():
+        severities = [f.severity for f in found.get(r.i, [])]
+        assert (r.high, r.medium, r.low) == tuple(severities.count(s) for s in ("HIGH", "MEDIUM", "LOW"))
+    for r in text_rules.with_signals(df).collect():
+        assert {(s.rank, s.category) for s in r.signals} == {(f.severity_rank, f.category) for f in found.get(r.i, [])}
+    by = {(f.i, f.category) for fs in found.values() for f in fs}
+    assert {(600, "prompt-injection"), (602, "prompt-injection"), (604, "hidden-unicode")} <= by and not {601, 603} & found.keys()
+    assert [f.message for f in found[604]] == ["invisible character U+200D"]  # the label goes first
+    for i, text, label in rows[:600]:
+        basis = f"{text} {(label or '').translate(str.maketrans('_-.', '   '))}".lower()
+        assert sum(f.check_ord < 2 for f in found.get(i, [])) == sum(p in basis for p in corpora.INJECTION + corpora.COERCION)
+
+
+def test_long_runs_across_texts_and_parts(monkeypatch):
+    rng = random.Random(1)
+    run = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
+
+    def plain(t):
+        for m in run.finditer(t or ""):
+            digit = re.search("[0-9]", m[0])
+            if digit:
+                return m[0][: min(48, max(40, digit.start() + 1))]
+
+    for _ in range(200):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(["a" * rng.randint(1, 60), "9", " ", "é", "_", "A" * 38, ""]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 12))]
+        monkeypatch.setattr(T, "SEARCHED", rng.choice([1, 50, 1 << 20]))
+        k = rng.randint(0, len(texts))
+        assert T.encoded_run.func(pa.array(texts, pa.string()).slice(k)).to_pylist() == [plain(t) for t in texts[k:]]
