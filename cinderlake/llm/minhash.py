@@ -13,10 +13,14 @@ from different permutations, minima and maxima mixed, so they agree independentl
 3. The class that meets the most others in its lists comes first: among near copies it
    is the text that they were made from.  Each row of a list is paired with the list's
    first class, and each class keeps the pair that the most lists share.
-4. These pairs are verified on whole sets and joined to components.  Lists in which
-   several components are left go on as those of the n-gram join do (``ngram_join.settle``):
-   rounds that contract, then an exact join of all pairs of different components that
-   pass the length filter.  No list is capped, and each pair is verified once.
+4. These pairs are verified on whole sets and joined to components.
+5. Lists in which several components are left are open: mostly texts that are alike, but
+   less than the threshold asks for.  Pairing all rows of such a list would cost its
+   square.  Instead its classes are put in lists by their rarest shingles (the prefixes
+   of the n-gram join, whose shingles are counted among these classes alone), which every
+   link between two of them shares, and what a group of unlike texts doesn't share.
+   These lists are joined as there (``ngram_join.settle``).  No list is capped, and each
+   pair is verified once.
 
 Two documents that link are missed only if no band agrees.  With 32 bands of 5 values
 (80 permutations) that has a probability of (1 - 0.85 ** 5) ** 32, below 8 in 10 ** 9 at
@@ -42,7 +46,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .ngram_join import _met, by_document, classes_of, packed, settle, sketch
+from .graph import components
+from .ngram_join import _chosen_counts, _met, bitmap_of, by_document, classes_of, packed, prefix_lists, settle, sketch, verify
 from .shingles import fingerprint, mix64, shingle_sets
 
 BANDS, ROWS = 32, 5
@@ -161,7 +166,16 @@ def minmax_dedup(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BA
     lists = staged(posts.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"), "minmax-lists")
     posts = staged(posts.join(lists, "h"), "minmax-posts")
     pairs = first_pairs(posts)
-    comp = settle(rows, first, classes, posts.select("h", "cls", "np"), pairs, k, num, den, "minmax")
+    comp = components(verify(rows, first, classes, pairs, k, num, den, "minmax-0"), "minmax-comp")
+    found = posts.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = found.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("h")
+    left = staged(posts.join(mixed, "h", "left_semi").select("cls").distinct().join(classes.select("cls", "key"), "cls"), "minmax-left")
+    if not left.isEmpty():
+        wanted = bitmap_of(left.select("key"))
+        blocks = rows.mapInArrow(_chosen_counts(k, wanted), "block int, counts binary")
+        posts, more = prefix_lists(rows, blocks, k, num, den, "minmax", wanted)
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        comp = settle(rows, first, classes, posts, more, k, num, den, "minmax", (comp, done))
     return by_document(members, classes, comp, "minmax").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -165,12 +165,42 @@ def _counted(k: int):
                 FIRST,
             )
         if counts.any():
-            parts = counts.astype("<u4").reshape(COUNTER_BLOCKS, -1)
             m = COUNTER_BLOCKS
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                FIRST,
-            )
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), *_blocks(counts)], FIRST)
+
+    return run
+
+
+def _blocks(counts: np.ndarray) -> list[pa.Array]:
+    parts = counts.astype("<u4").reshape(COUNTER_BLOCKS, -1)
+    return [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+
+
+def _chosen_sets(batch: pa.RecordBatch, k: int, wanted) -> Iterator[np.ndarray]:
+    """The sets of a batch (``doc_id, text``); ``wanted``: only of documents whose id, or class where they have none, is on a bitmap."""
+    if wanted is None:
+        yield from shingle_sets(batch.column(1), k)
+        return
+    bitmaps, width = wanted
+    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    (on,) = _on_bitmaps(bitmaps, width, batch.column(0).fill_null(0).to_numpy())
+    at = np.flatnonzero(on | ~known)
+    for i, s in zip(at, shingle_sets(batch.column(1).take(pa.array(at)), k)):
+        if known[i] or len(s) and _on_bitmaps(bitmaps, width, np.asarray([fingerprint(s)], np.int64))[0][0]:
+            yield s
+
+
+def _chosen_counts(k: int, wanted):
+    """Counters of the shingles of wanted documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, met = np.zeros(COUNTERS, np.int64), _met()
+        for batch in batches:
+            for s in _chosen_sets(batch, k, wanted):
+                if len(s) and not met(fingerprint(s)):
+                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays(_blocks(counts), ["block", "counts"])
 
     return run
 
@@ -184,7 +214,7 @@ def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
-def _prefixes(k: int, num: int, den: int, counts, usual: int):
+def _prefixes(k: int, num: int, den: int, counts, usual: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, met = np.frombuffer(counts.value, "<u4"), _met()
 
@@ -197,7 +227,7 @@ def _prefixes(k: int, num: int, den: int, counts, usual: int):
 
         for batch in batches:
             parts, held = [], 0
-            for s in shingle_sets(batch.column(0), k):
+            for s in _chosen_sets(batch, k, wanted):
                 if not len(s):
                     continue
                 c, n = fingerprint(s), len(s)
@@ -429,6 +459,12 @@ def _bitmaps(pairs: DataFrame):
     return pairs.sparkSession.sparkContext.broadcast(tuple(_bitmap(pairs.select(F.col(c).alias("key")), width) for c in ("key_a", "key_b"))), width
 
 
+def bitmap_of(keys: DataFrame):
+    """A broadcast bitmap of ``key``, as ``_bitmaps`` makes them."""
+    width = 1 << min(29, max(16, (32 * keys.count()).bit_length()))
+    return keys.sparkSession.sparkContext.broadcast((_bitmap(keys, width),)), width
+
+
 def _with_both(pairs: DataFrame, sides: DataFrame, what: str) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(sides.where(f"as_{x}").select(F.col("cls").alias(x), F.col(what).alias(f"{what}_{x}")), x)
@@ -506,14 +542,43 @@ def _all_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
 
 
-def settle(rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
+def prefix_lists(rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int, tag: str, wanted=None) -> tuple[DataFrame, DataFrame]:
+    """Lists of the classes that share a shingle among their rarest, as posts for ``settle``, and first pairs (``a, b``): a class's pair with a smaller one that the most lists share.
+
+    ``blocks``: ``block, counts``, the counters by task.  ``wanted``: a bitmap of the documents that take part.
+    """
+    counts = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), "<u4")
+    for r in blocks.groupBy("block").applyInArrow(_sum_counts, "block int, counts binary").collect():
+        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    shared = rows.sparkSession.sparkContext.broadcast(counts.tobytes())
+    prefixes = rows.mapInArrow(_prefixes(k, num, den, shared, 2 * int(counts.mean()), wanted), "h long, salt int, cls long, np long")
+    by_shingle = prefixes.repartition(tasks_for(prefixes), "h", "salt").sortWithinPartitions("h", "salt", "np", "cls")
+    lists = staged(by_shingle.mapInArrow(_lists(num, den), "kind int, x long, y long, z long"), f"{tag}-lists")
+    shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
+    pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), f"{tag}-pairs")
+    return lists.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("z").alias("np")), pairs
+
+
+def settle(
+    rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str, joined: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Components (``node, comp``: classes) of all links between classes that share a list.
 
     ``posts``: rows of lists (``h, cls, np``: list, class, size and place).  ``pairs`` (``a, b``) are verified
-    first; then come rounds over the lists that are still open, and the exact join.
+    first; then come rounds over the lists that are still open, and the exact join.  ``joined``: components
+    and verified pairs that are there already.
     """
-    comp = components(verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if joined is None:
+        comp = components(verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        comp, done = joined
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(done, ["a", "b"], "left_anti")
+        for x in "ab":  # pairs within a component add nothing
+            pairs = pairs.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left")
+        pairs = staged(pairs.where(~F.col("comp_a").eqNullSafe(F.col("comp_b")) | F.col("comp_a").isNull()).select("a", "b"), f"{tag}-fresh")
+        comp = _contracted(comp, verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
+        done = done.unionByName(pairs)
     number, width, last = 0, WIDTH, False
     while not last:
         number += 1
@@ -552,28 +617,13 @@ def by_document(members: DataFrame, classes: DataFrame, comp: DataFrame, tag: st
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    spark = docs.sparkSession
     g = math.gcd(percent, 100)
     num, den = percent // g, 100 // g
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = rows.select("text")
-
     first = staged(rows.mapInArrow(_counted(k), "doc_id long, n long, cls long, sketch binary, block int, counts binary"), "join-first")
     members = first.where("block is null").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     classes = classes_of(members, "join")
-    counts = np.zeros((COUNTER_BLOCKS, COUNTERS // COUNTER_BLOCKS), "<u4")
-    blocks = first.where("block is not null").select("block", "counts")
-    for r in blocks.groupBy("block").applyInArrow(_sum_counts, "block int, counts binary").collect():
-        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
-    shared = spark.sparkContext.broadcast(counts.tobytes())
-
-    prefixes = texts.mapInArrow(_prefixes(k, num, den, shared, 2 * int(counts.mean())), "h long, salt int, cls long, np long")
-    by_shingle = prefixes.repartition(tasks_for(prefixes), "h", "salt").sortWithinPartitions("h", "salt", "np", "cls")
-    lists = staged(by_shingle.mapInArrow(_lists(num, den), "kind int, x long, y long, z long"), "join-lists")
-    # Of a class's pairs with smaller ones, the pair that the most lists share.
-    shared_by = lists.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("n"))
-    pairs = staged(shared_by.groupBy(F.col("y").alias("b")).agg(F.max_by("x", F.struct("n", "x")).alias("a")).select("a", "b"), "join-pairs")
-    posts = lists.where("kind = 1").select(F.col("x").alias("h"), F.col("y").alias("cls"), F.col("z").alias("np"))
+    posts, pairs = prefix_lists(rows.select(F.lit(None).cast("long").alias("doc_id"), "text"), first.where("block is not null").select("block", "counts"), k, num, den, "join")
     return by_document(members, classes, settle(rows, first, classes, posts, pairs, k, num, den, "join"), "join")
 
 
