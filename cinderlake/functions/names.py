@@ -118,6 +118,63 @@ def card_urls(target: Column) -> Column:
     return F.when((t == "") | F.startswith(t, F.lit("http://")), None).when(F.contains(t, F.lit("/.well-known/")), F.array(t)).when(host.isNotNull(), two)
 
 
+def _padded(digits: Column) -> Column:
+    """A number as text that sorts by value: how many digits it has, then the digits."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 3, "0"), plain)
+
+
+def semver_key(version: Column) -> Column:
+    """A text that sorts as the version does by SemVer's rules of precedence; null for what is none.
+
+    Missing minor and patch numbers are 0, a leading ``v`` and build data don't count.  Parts of a
+    pre-release sort numbers first; a release sorts after all its pre-releases.
+    """
+    v = F.trim(version)
+    pattern = r"^[vV=]?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+    number = lambda i: _padded(F.coalesce(F.nullif(F.regexp_extract(v, pattern, i), F.lit("")), F.lit("0")))
+    pre = F.regexp_extract(v, pattern, 4)
+    parts = F.transform(F.split(pre, r"\."), lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), _padded(p))).otherwise(F.concat(F.lit("1"), p)))
+    # The mark between parts sorts below every character of a part, so fewer parts sort first.
+    return F.when(v.rlike(pattern), F.concat(F.concat_ws(".", number(1), number(2), number(3)), F.when(pre == "", "~").otherwise(F.concat(F.lit("!"), F.array_join(parts, "!")))))
+
+
+# Other spellings of the parts of a version.
+_STAGES = {"alpha": "a", "beta": "b", "c": "rc", "pre": "rc", "preview": "rc"}
+
+
+def pep440_key(version: Column) -> Column:
+    """A text that sorts as the version does by the rules of PEP 440; null for what is none.
+
+    Epoch, release without zeros at its end, then pre-releases (a development release without one
+    sorts below them), post-releases and local parts.
+    """
+    v = F.lower(F.trim(version))
+    pattern = (
+        r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[._-]?(alpha|a|beta|b|preview|pre|c|rc)[._-]?(\d*))?"
+        r"(?:-(\d+)|[._-]?(post|rev|r)[._-]?(\d*))?(?:[._-]?(dev)[._-]?(\d*))?(?:\+([a-z0-9]+(?:[._-][a-z0-9]+)*))?$"
+    )
+    part = lambda i: F.regexp_extract(v, pattern, i)
+    number = lambda i: _padded(F.when(part(i) == "", "0").otherwise(part(i)))
+    release = F.regexp_replace(part(2), r"(\.0+)+$", "")
+    numbers = F.array_join(F.transform(F.split(release, r"\."), lambda x: F.concat(F.lit("."), _padded(x))), "")
+    stage = part(3)
+    for spelled, short in _STAGES.items():
+        stage = F.when(part(3) == spelled, short).otherwise(stage)
+    has_post, has_dev = (part(5) != "") | (part(6) != ""), part(8) != ""
+    pre = F.when(part(3) != "", F.concat(F.lit("1"), F.rpad(stage, 2, " "), number(4))).when(~has_post & has_dev, "0").otherwise("2")
+    post = F.when(has_post, F.concat(F.lit("1"), F.when(part(5) != "", _padded(part(5))).otherwise(number(7)))).otherwise("0")
+    dev = F.when(has_dev, F.concat(F.lit("0"), number(9))).otherwise("1")
+    locals_ = F.transform(F.split(part(10), "[._-]"), lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("1"), _padded(p))).otherwise(F.concat(F.lit("0"), p)))
+    local = F.when(part(10) == "", "").otherwise(F.concat(F.lit("!"), F.array_join(locals_, "!")))
+    return F.when(v.rlike(pattern), F.concat(number(1), numbers, F.lit("!"), pre, post, dev, local))
+
+
+def version_key(ecosystem: Column, version: Column) -> Column:
+    """A text that sorts as the ecosystem orders its versions."""
+    return F.when(ecosystem == "pypi", pep440_key(version)).otherwise(semver_key(version))
+
+
 def age_days(created: Column, now: Column) -> Column:
     """Whole days, cut toward zero; null if the text is no time."""
     then = F.try_to_timestamp(created)

@@ -11,7 +11,7 @@ from pyspark.sql import types
 
 from ..functions import corpora, jsontree, names
 from ..functions import text as T
-from . import text_rules
+from . import lines, text_rules
 
 PEP508 = "^([A-Za-z0-9._-]*)"
 
@@ -193,10 +193,9 @@ def _lines(files: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(~F.col("line").rlike(r"^[ \t]*(#|$)"))
 
 
-def _blocks(lines: DataFrame, key: str, head: Column) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, head: Column) -> DataFrame:
     """The number of the block that a line belongs to: heads count up, lines before any are in block 0."""
-    per = Window.partitionBy(key).orderBy("pos")
-    return lines.withColumn("head", head).withColumn("ord", F.sum(F.col("head").cast("int")).over(per)).where("ord > 0")
+    return lines.running(rows.withColumn("head", head), key, sums={"ord": F.col("head").cast("int")}).where("ord > 0")
 
 
 def _unquoted(c: Column) -> Column:
@@ -223,12 +222,9 @@ def yarn_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
 def pnpm_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The ``packages:`` section, keys at an indent of two."""
     line = F.col("line")
-    lines = _lines(files, key, text)
     top = ~F.startswith(line, F.lit(" "))
-    per = Window.partitionBy(key).orderBy("pos")
-    section = F.last(F.when(top, F.regexp_replace(line, ":+$", "")), ignorenulls=True).over(per)
-    lines = lines.withColumn("_section", section).where((F.col("_section") == "packages") & ~top)
-    rows = _blocks(lines, key, line.rlike("^  [^ ]") & F.endswith(line, F.lit(":")))
+    inside = lines.running(_lines(files, key, text), key, lasts={"section": F.when(top, F.regexp_replace(line, ":+$", ""))})
+    rows = _blocks(inside.where((F.col("section") == "packages") & ~top).drop("section"), key, line.rlike("^  [^ ]") & F.endswith(line, F.lit(":")))
     body = F.trim(line)
     head_key = F.regexp_replace(_unquoted(F.regexp_replace(F.regexp_replace(body, ":+$", ""), "^/+", "")), r"\(.*$", "")
     inline = F.when(body.rlike(r"^resolution:\s*\{"), body)

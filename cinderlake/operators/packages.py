@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import corpora, names
 from ..functions import text as T
 from ..schemas import rank
+from ..sources import feeds as feed_tables
 from ..sources import files
 from . import allowlist, dependencies, text_rules
 from .text_rules import finding
@@ -25,24 +26,40 @@ def popular(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ecosystem string, ord int, top string")
 
 
+def _near_keys(name: Column) -> Column:
+    """A name and what is left of it without one of its characters.  Names one edit or one swap of neighbours apart share one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(name), F.transform(places, lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))))
+
+
+def lookalike_candidates(packages: DataFrame) -> DataFrame:
+    """``ecosystem, name, _low, _skel, ord, top``: names that aren't popular, beside the popular ones that share a key with them.
+
+    The index holds the keys of 203 names, about 2,000 rows, so it is broadcast; a name meets the few popular ones that
+    it may be an edit of, not all of its ecosystem.
+    """
+    top = popular(packages.sparkSession)
+    known = F.broadcast(top.select("ecosystem", F.col("top").alias("name")))
+    fresh = packages.select("ecosystem", "name").distinct().join(known, ["ecosystem", "name"], "left_anti")
+    fresh = fresh.withColumn("_low", F.lower("name")).withColumn("_skel", names.package_skeleton(F.col("name")))
+    same = lambda c: F.array(F.concat(F.lit("="), c))
+    edits = lambda c: F.when(F.length(c) >= 4, _near_keys(c)).otherwise(F.array().cast("array<string>"))
+    index = F.broadcast(top.select(F.col("ecosystem").alias("_e"), "ord", "top", F.explode(F.concat(same(F.col("top")), edits(F.col("top")))).alias("_k")))
+    keyed = fresh.withColumn("_key", F.explode(F.concat(same(F.col("_skel")), edits(F.col("_low")))))
+    met = keyed.join(index, (F.col("ecosystem") == F.col("_e")) & (F.col("_key") == F.col("_k")))
+    return met.select("ecosystem", "name", "_low", "_skel", "ord", "top").distinct()
+
+
 def lookalikes(packages: DataFrame) -> DataFrame:
     """``ecosystem, name, lookalike``: the popular package that a name mimics.
 
-    Equal skeletons first, then one edit; the first in list order.  The list has 203
-    rows, so it is broadcast; names of other lengths don't get to the edit test.
+    Equal skeletons first, then one edit; the first in list order.
     """
-    spark = packages.sparkSession
-    top = popular(spark)
-    pkgs = packages.select("ecosystem", "name").distinct()
-    known = F.broadcast(top.select("ecosystem", F.col("top").alias("name")))
-    fresh = pkgs.join(known, ["ecosystem", "name"], "left_anti").withColumn("_low", F.lower("name")).withColumn("_skel", names.package_skeleton(F.col("name")))
-    p = F.broadcast(top.select(F.col("ecosystem").alias("_e"), "ord", "top"))
     near = F.abs(F.length("_low") - F.length("top")) <= 1
     same = F.col("_skel") == F.col("top")
-    edit = near & (F.length("_low") >= 4) & (F.length("top") >= 4) & names.one_edit(F.col("_low"), F.col("top"))
-    met = fresh.join(p, (F.col("ecosystem") == F.col("_e")) & near & (same | edit))
+    edit = (F.length("_low") >= 4) & (F.length("top") >= 4) & names.one_edit(F.col("_low"), F.col("top"))
     order = F.struct(F.when(same, 0).otherwise(1).alias("phase"), "ord")
-    return met.groupBy("ecosystem", "name").agg(F.min_by("top", order).alias("lookalike"))
+    return lookalike_candidates(packages).where(near & (same | edit)).groupBy("ecosystem", "name").agg(F.min_by("top", order).alias("lookalike"))
 
 
 def advisory_ids(ids: Column) -> Column:
@@ -68,11 +85,18 @@ def with_metadata(packages: DataFrame, metadata: DataFrame) -> DataFrame:
 def with_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories at the effective version; without one, of any version.  Malicious reports are kept apart.
 
-    ``advisories``: ``ecosystem, name, id, summary, severity, withdrawn, affected`` (versions; null: all).
+    ``advisories``: ``ecosystem, name, id, summary, severity, withdrawn, affected`` and, if there is one,
+    ``ranges`` (as ``feeds.advisories`` gives them).  A version is affected if it is listed, if its key lies in an
+    interval, or if the advisory has neither list nor ranges; one that has no key lies in none.
     """
-    a = advisories.where("withdrawn is null").select("ecosystem", "name", "id", "summary", F.upper("severity").alias("severity"), "affected")
-    asked = packages.select("ecosystem", "name", "version", "effective").distinct()
-    hit = asked.join(a, ["ecosystem", "name"]).where(F.col("effective").isNull() | F.col("affected").isNull() | F.array_contains("affected", F.col("effective")))
+    ranges = F.col("ranges") if "ranges" in advisories.columns else F.lit(None).cast(feed_tables.RANGES)
+    a = advisories.where("withdrawn is null").select("ecosystem", "name", "id", "summary", F.upper("severity").alias("severity"), "affected", ranges.alias("ranges"))
+    asked = packages.select("ecosystem", "name", "version", "effective").distinct().withColumn("_key", names.version_key(F.col("ecosystem"), F.col("effective")))
+    below = lambda r: r["high"].isNull() | (F.col("_key") < r["high"]) | (r["closed"] & (F.col("_key") == r["high"]))
+    inside = F.coalesce(F.exists("ranges", lambda r: (F.col("_key") >= r["low"]) & below(r)), F.lit(False))
+    listed = F.coalesce(F.array_contains("affected", F.col("effective")), F.lit(False))
+    everything = F.col("effective").isNull() | (F.col("affected").isNull() & F.col("ranges").isNull())
+    hit = asked.join(a, ["ecosystem", "name"]).where(everything | listed | inside)
     mal = F.startswith("id", F.lit("MAL-"))
     per = hit.groupBy("ecosystem", "name", "version").agg(
         F.array_sort(F.collect_set(F.when(mal, F.col("id")))).alias("malicious_ids"),

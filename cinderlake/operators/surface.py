@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import corpora, hashing, jsontree
 from ..functions import text as T
-from . import allowlist, text_rules
+from . import allowlist, lines, text_rules
 
 SECRET_KEY = r"(?i)(token|secret|passwo?r?d|api[_-]?key|access[_-]?key|private[_-]?key|credential)"
 SECRET_PREFIX = r"^(sk-|ghp_|gho_|github_pat_|glpat-|xox[abp]-|AKIA|AIza|npm_|pypi-)"
@@ -17,24 +17,22 @@ PLACEHOLDER = r"(?i)^(\$\{[^}]*\}|<[^>]*>|\*+|x+|change-?me|example.*|your[-_ ].
 # Memory
 
 def memory_records(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """``path, record, text``: each line of a .jsonl file; elsewhere parts that begin at ``# ``, ``## `` or ``- ``.
+    """``path, record, text``: each solid line of a .jsonl file; elsewhere parts that begin at ``# ``, ``## `` or ``- ``.
 
-    A file without a record is one record as a whole.
+    Another file without a solid line is one record as a whole.  A file's lines are spread over tasks.
     """
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n\z", "")
-    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(body, r"\r?\n")).alias("pos", "line"))
-    jsonl = F.endswith(F.lower(F.col("path")), F.lit(".jsonl"))
-    per = Window.partitionBy("path").orderBy("pos")
-    solid = F.col("line").rlike(r"[^ \t\r]")
-    lines = lines.withColumn("_before", F.coalesce(F.max(solid).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    starts = F.when(jsonl, F.lit(True)).otherwise(F.col("line").rlike("^(# |## |- )") & F.col("_before"))
-    lines = lines.withColumn("_block", F.sum(starts.cast("int")).over(per))
-    parts = lines.groupBy("path", "_block").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rows"))
-    parts = parts.select("path", "_block", F.array_join(F.col("rows.line"), "\n").alias("text"))
-    whole = Window.partitionBy("path")
-    parts = parts.withColumn("_blank", ~F.col("text").rlike(r"[^ \t\r\n]")).withColumn("_any", F.max(~F.col("_blank")).over(whole))
-    kept = parts.where(~F.col("_blank") | (~F.col("_any") & (F.col("_block") == 0)))
-    return kept.select("path", F.row_number().over(Window.partitionBy("path").orderBy("_block")).alias("record"), "text")
+    every = files.select(F.col(path).alias("path"), F.posexplode(F.split(body, r"\r?\n")).alias("pos", "line"))
+    solid, jsonl = F.col("line").rlike(r"[^ \t\r]"), F.endswith(F.lower(F.col("path")), F.lit(".jsonl"))
+    # Each solid line of a .jsonl file is a record.
+    single = lines.running(every.where(jsonl & solid), "path", sums={"record": F.lit(1)}).select("path", F.col("record").cast("int").alias("record"), F.col("line").alias("text"))
+    # Elsewhere a record begins at a mark that has a solid line before it.
+    marked = lines.running(every.where(~jsonl), "path", sums={"solid": solid.cast("int")})
+    starts = F.col("line").rlike("^(# |## |- )") & (F.col("solid") > 1)
+    parts = lines.running(marked, "path", sums={"block": starts.cast("int")}).groupBy("path", "block").agg(F.max("solid").alias("solid"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    blocks = parts.where("solid > 0").select("path", (F.col("block") + 1).cast("int").alias("record"), F.array_join("rows.line", "\n").alias("text"))
+    blank = files.select(F.col(path).alias("path"), F.regexp_replace(body, r"\r\n", "\n").alias("text")).where(~jsonl & ~F.col("text").rlike(r"[^ \t\r\n]"))
+    return single.unionByName(blocks).unionByName(blank.select("path", F.lit(1).alias("record"), "text"))
 
 
 def memcheck(files: DataFrame, path: str = "path", text: str = "text", fingerprints: DataFrame | None = None) -> DataFrame:

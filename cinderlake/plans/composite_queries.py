@@ -10,7 +10,7 @@ from ..operators import packages, surface, text_rules
 from ..sources import files, logs, sinks, storage
 from ..streaming import handlers, requests
 from .common import RANK, TEXTS, any_sql, fnv_sql, table, text_findings_sql, texts
-from .package_queries import _BASE, NOW, feeds, reports
+from .package_queries import _BASE, GUARD, NOW, SQUAT_BASE, SQUATS, feeds, reports
 from .surface_queries import CONFIG, DRIFT_SQL, NEW, OLD
 from .text_queries import _MEM_SQL, FRONT, MEMORY, SCRIPT
 
@@ -33,10 +33,12 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guardrail_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the guardrail documents, read back."""
-    docs = sinks.guardrail(packages.classify_predicted(reports(spark, sf_dir), F.lit(NOW).cast("timestamp")))
-    doc = F.from_json("value", "do_not_install ARRAY<STRING>, planted_traps ARRAY<STRING>")
-    return docs.select("ecosystem", F.size(doc["do_not_install"]).alias("n_guard"), F.size(doc["planted_traps"]).alias("n_trap"), F.element_at(doc["do_not_install"], 1).alias("first_guard"))
+    """Names in the guardrail lines, read back."""
+    lines = sinks.guardrail_lines(packages.classify_predicted(reports(spark, sf_dir, SQUATS), F.lit(NOW).cast("timestamp")))
+    line = F.from_json("value", "ecosystem STRING, list STRING, name STRING")
+    names = lines.select(line.alias("l")).select("l.*")
+    guard, trap = F.col("list") == "do_not_install", F.col("list") == "planted_traps"
+    return names.groupBy("ecosystem").agg(F.count_if(guard).alias("n_guard"), F.count_if(trap).alias("n_trap"), F.min(F.when(guard, F.col("name"))).alias("first_guard"))
 
 
 def flat_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +187,7 @@ t AS (SELECT conv_id, string_agg(x, '' ORDER BY turn) AS x FROM b GROUP BY conv_
 SELECT conv_id AS skill, {fnv_sql('x', True)} AS fingerprint FROM t""",
     "report_json": f"""WITH {_BASE} SELECT name, verdict, array_to_string(list_sort(list_concat(['ecosystem', 'name', 'reason', 'verdict'], list_filter([CASE WHEN version IS NOT NULL THEN 'version' END, CASE WHEN latest IS NOT NULL THEN 'latest_version' END,
  CASE WHEN created IS NOT NULL THEN 'created' END, CASE WHEN downloads IS NOT NULL THEN 'downloads' END, CASE WHEN mal THEN 'malicious_ids' END, CASE WHEN nv > 0 THEN 'vulnerability_ids' END], lambda x: x IS NOT NULL))), ',') AS fields FROM w""",
-    "guardrail_names": f"""WITH {_BASE}, g AS (SELECT ecosystem, name, verdict IN ('MISSING', 'MALICIOUS', 'LOOKALIKE') AS guard, verdict IN ('MALICIOUS', 'LOOKALIKE') OR (verdict <> 'MISSING' AND coalesce(age <= 365, false) AND coalesce(downloads < 50, true)) AS trap FROM w)
-SELECT ecosystem, count(*) FILTER (guard) AS n_guard, count(*) FILTER (trap) AS n_trap, min(name) FILTER (guard) AS first_guard FROM g GROUP BY ecosystem""",
+    "guardrail_names": f"WITH {SQUAT_BASE}, {GUARD} SELECT ecosystem, count(*) FILTER (guard) AS n_guard, count(*) FILTER (trap) AS n_trap, min(name) FILTER (guard) AS first_guard FROM g GROUP BY ecosystem HAVING count(*) FILTER (guard) > 0",
     "flat_json_rows": f"""WITH t AS ({TEXTS}), f AS ({text_findings_sql('t')}) SELECT 'cinderlake/text/' || category AS rule, CASE severity WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, count(*) AS n, 0 AS with_file FROM f GROUP BY ALL""",
     "sarif_levels": f"""WITH {_BASE} SELECT DISTINCT verdict, CASE WHEN verdict IN ('MALICIOUS', 'MISSING', 'LOOKALIKE') THEN 'error' WHEN verdict = 'OK' THEN 'note' ELSE 'warning' END AS level,
  CASE WHEN verdict IN ('MALICIOUS', 'MISSING', 'LOOKALIKE') THEN 'error' WHEN verdict = 'OK' THEN 'note' ELSE 'warning' END AS trust_level FROM w""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import corpora, names
 from ..operators import allowlist, packages
+from ..sources import feeds as source_feeds
 from .common import quoted, table
 
 NOW = "1998-12-01 00:00:00"
@@ -24,7 +27,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "p_size", F.coalesce("n", F.lit(0)).alias("n"), F.date_format("d", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first_day"), F.expr(ECO).alias("ecosystem"), F.expr(PKG).alias("name"))
 
 
-def feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+#: Downloads of every other part, for fresh squats.
+SQUATS = "CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE n * 4 END"
+
+
+def feeds(spark: SparkSession, sf_dir: str, downloads: str = "n * 4") -> tuple[DataFrame, dict[str, DataFrame]]:
     p = _parts(spark, sf_dir)
     key = ["ecosystem", "name"]
     latest = F.when(F.col("ecosystem") != "crates", F.lit("1.1.0"))
@@ -39,7 +46,7 @@ def feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFr
     )
     reputation = p.where("ecosystem <> 'pypi'").select(
         *key, F.when(F.col("ecosystem") == "crates", F.expr(CREATED)).alias("created"), F.when(F.col("ecosystem") == "crates", F.lit("1.1.0")).alias("latest_version"),
-        (F.col("n") * 4).alias("downloads"), F.expr(WINDOW).alias("downloads_window"),
+        F.expr(downloads).cast("long").alias("downloads"), F.expr(WINDOW).alias("downloads_window"),
     )
     asked = p.select("p_partkey", *key, F.expr(ASKED).alias("version"))
     return asked, {"metadata": metadata, "advisories": advisories, "reputation": reputation}
@@ -49,8 +56,8 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, f = feeds(spark, sf_dir)
+def reports(spark: SparkSession, sf_dir: str, downloads: str = "n * 4") -> DataFrame:
+    asked, f = feeds(spark, sf_dir, downloads)
     return packages.verify(asked, now=_now(), **f)
 
 
@@ -124,7 +131,7 @@ def foresee_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def foresee_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = packages.classify_predicted(reports(spark, sf_dir), _now())
+    r = packages.classify_predicted(reports(spark, sf_dir, SQUATS), _now())
     return r.select("p_partkey", "guard", "trap")
 
 
@@ -183,8 +190,61 @@ _FORE = _FORE.format(
     magnets=", ".join(f"('{e}', '{n}', {i})" for e, xs in corpora.MAGNETS.items() for i, n in enumerate(xs)),
 )
 
+#: The same packages with the downloads of fresh squats.
+SQUAT_BASE = _BASE.replace("CASE WHEN need THEN n * 4 END", f"CASE WHEN need THEN {SQUATS} END")
+#: What isn't there, and every trap, is on the do-not-install list.
+GUARD = """t AS (SELECT *, verdict IN ('MALICIOUS', 'LOOKALIKE') OR (verdict <> 'MISSING' AND coalesce(age <= 365, false) AND coalesce(downloads < 50, true)) AS trap FROM w),
+g AS (SELECT *, verdict = 'MISSING' OR trap AS guard FROM t)"""
+
+# Versions of parts with pre-releases and post-releases, and advisories with ranges.
+VERSION = """CASE WHEN p_partkey % 11 = 0 THEN 'latest' ELSE concat(CAST(p_size % 4 AS VARCHAR(9)), '.', CAST(p_partkey % 3 AS VARCHAR(9)), CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.0' END,
+ CASE WHEN p_partkey % 3 <> 1 AND p_partkey % 5 = 0 THEN concat('-rc.', CAST(p_partkey % 12 AS VARCHAR(9))) WHEN p_partkey % 3 <> 1 AND p_partkey % 5 = 1 THEN '-rc.x+b7' WHEN p_partkey % 3 = 1 AND p_partkey % 5 = 0 THEN concat('RC', CAST(p_partkey % 12 AS VARCHAR(9)))
+ WHEN p_partkey % 3 = 1 AND p_partkey % 5 = 1 THEN '.dev3' WHEN p_partkey % 3 = 1 AND p_partkey % 5 = 2 THEN '.post1' ELSE '' END) END"""
+#: Introduced, fixed and last affected versions, by the id of the advisory, for npm and crates, then for PyPI.
+EVENTS = {
+    "ADV-A": (("0", "2.1.0", None), ("0", "2.1", None)),
+    "ADV-B": (("1.0.0", None, "1.2.0"), ("1.0", None, "1.2")),
+    "ADV-C": (("3.0.0", None, None), ("3", None, None)),
+    "ADV-D": (("2.0.0-rc.3", "2.0.0", None), ("2.0rc3", "2.0", None)),
+    "ADV-E": (("1.1.0-rc.10", None, "2.2.0-rc.x"), ("1.1.dev4", None, "2.2rc11")),
+}
+
+
+def _advisory_body(kind: int) -> str:
+    event = lambda k, v: [] if v is None else [{k: v}]
+    vulns = [{"id": i, "affected": [{"ranges": [{"type": "GIT", "events": [{"introduced": "0"}]}, {"type": "ECOSYSTEM" if kind else "SEMVER", "events": event("fixed", e[kind][1]) + event("last_affected", e[kind][2]) + event("introduced", e[kind][0])}]}]} for i, e in EVENTS.items()]
+    vulns += [{"id": "ADV-F", "affected": [{"versions": ["latest"]}, {"ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "9"}]}]}]}, {"id": "ADV-G", "withdrawn": "2020", "affected": [{"versions": ["latest"]}]}, {"id": "ADV-H"}]
+    return json.dumps({"vulns": vulns})
+
+
+def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which advisories each part's version is affected by."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(ECO).alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.expr(VERSION).alias("version"))
+    bodies = p.select("ecosystem", "name", F.lit(200).alias("status"), F.when(F.col("ecosystem") == "pypi", _advisory_body(1)).otherwise(_advisory_body(0)).alias("body"))
+    found = packages.with_advisories(p.withColumn("effective", F.col("version")), source_feeds.advisories(bodies))
+    return found.select("p_partkey", "version", F.array_join(F.transform("vulnerabilities", lambda v: v["id"]), ",").alias("ids"))
+
+
+def lookalike_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a part's name and a popular one that the index of edits gives."""
+    p = table(spark, sf_dir, "part").select(F.expr(ECO).alias("ecosystem"), F.lower(F.expr(PKG)).alias("name"))
+    return packages.lookalike_candidates(p).select("ecosystem", "name", "top")
+
+
+#: A version as a row of numbers: major, minor, stage (development, pre-release, release, post-release), kind and number of the stage.
+_V = """v AS (SELECT p_partkey, p_partkey % 3 = 1 AS py, p_partkey % 11 = 0 AS odd, [p_size % 4, p_partkey % 3, CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 5 = 1 THEN CASE WHEN p_partkey % 3 = 1 THEN 0 ELSE 1 END WHEN p_partkey % 5 = 2 AND p_partkey % 3 = 1 THEN 3 ELSE 2 END,
+ CASE WHEN p_partkey % 5 = 1 AND p_partkey % 3 <> 1 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 12 WHEN p_partkey % 5 = 1 AND p_partkey % 3 = 1 THEN 3 ELSE 0 END] AS k FROM part)"""
+ADVISORY_SQL = f"""WITH {_V}, h AS (SELECT p_partkey, py, odd, k FROM v)
+SELECT p_partkey, {VERSION} AS version, array_to_string(list_filter([
+ CASE WHEN NOT odd AND k < [2, 1, 2, 0, 0] THEN 'ADV-A' END, CASE WHEN NOT odd AND k >= [1, 0, 2, 0, 0] AND k <= [1, 2, 2, 0, 0] THEN 'ADV-B' END, CASE WHEN NOT odd AND k >= [3, 0, 2, 0, 0] THEN 'ADV-C' END,
+ CASE WHEN NOT odd AND k >= [2, 0, 1, 0, 3] AND k < [2, 0, 2, 0, 0] THEN 'ADV-D' END,
+ CASE WHEN NOT odd AND NOT py AND k >= [1, 1, 1, 0, 10] AND k <= [2, 2, 1, 1, 0] OR NOT odd AND py AND k >= [1, 1, 0, 0, 4] AND k <= [2, 2, 1, 0, 11] THEN 'ADV-E' END,
+ CASE WHEN odd THEN 'ADV-F' END, 'ADV-H'], lambda x: x IS NOT NULL), ',') AS ids FROM h JOIN part USING (p_partkey)"""
+
 QUERIES = {
     "verify_ladder": verify_ladder,
+    "advisory_ranges": advisory_ranges,
+    "lookalike_candidates": lookalike_candidates,
     "verify_summary": verify_summary,
     "verify_flagged": verify_flagged,
     "lookalike": lookalike,
@@ -219,8 +279,12 @@ UNION ALL SELECT p_partkey, 'MEDIUM', 'provenance', 'attestation malformed' FROM
 UNION ALL SELECT p_partkey, 'LOW', 'provenance', 'no attestation' FROM t WHERE ecosystem <> 'crates' AND pr = 'A' AND verdict = 'OK'
 UNION ALL SELECT p_partkey, 'LOW', 'source-repo', 'repository doesn''t name the package' FROM t WHERE repo IS NOT NULL AND NOT contains(lower(repo), {_BARE}) AND NOT (name LIKE '@%/%' AND contains(lower(repo), lower(regexp_extract(name, '^@([^/]+)/', 1))))""",
     "foresee_candidates": f"WITH {_FORE} SELECT ecosystem, predicted, ord FROM o WHERE ord < 80",
-    "foresee_traps": f"""WITH {_BASE} SELECT p_partkey, verdict IN ('MISSING', 'MALICIOUS', 'LOOKALIKE') AS guard,
- verdict IN ('MALICIOUS', 'LOOKALIKE') OR (verdict <> 'MISSING' AND coalesce(age <= 365, false) AND coalesce(downloads < 50, true)) AS trap FROM w""",
+    "foresee_traps": f"WITH {SQUAT_BASE}, {GUARD} SELECT p_partkey, guard, trap FROM g",
+    "advisory_ranges": ADVISORY_SQL,
+    "lookalike_candidates": f"""WITH {_POP}, names AS (SELECT DISTINCT {ECO} AS ecosystem, lower({PKG}) AS name FROM part),
+t AS (SELECT ecosystem, top, unnest(list_append(list_transform(range(1, length(top) + 1), lambda i: substr(top, 1, i - 1) || substr(top, i + 1)), top)) AS k FROM pop WHERE length(top) >= 4),
+n AS (SELECT ecosystem, name, unnest(list_append(list_transform(range(1, length(name) + 1), lambda i: substr(name, 1, i - 1) || substr(name, i + 1)), name)) AS k FROM names WHERE length(name) >= 4)
+SELECT DISTINCT n.ecosystem, n.name, t.top FROM n JOIN t USING (ecosystem, k) WHERE NOT EXISTS (SELECT 1 FROM pop WHERE pop.ecosystem = n.ecosystem AND pop.top = n.name)""",
     "allowlist_override": f"""WITH {_BASE}, z AS (SELECT *, p_partkey % 4 = 1 AND coalesce(version, latest) IS NOT NULL AS ok FROM w)
 SELECT p_partkey, CASE WHEN ok THEN 'OK' ELSE verdict END AS verdict, NOT ok AND verdict <> 'OK' AS flagged FROM z""",
     "fingerprint_skip": """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS f FROM documents)

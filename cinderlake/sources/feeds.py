@@ -281,17 +281,41 @@ def crates_reputation(bodies: DataFrame) -> DataFrame:
     )
 
 
+RANGES = "array<struct<low:string,high:string,closed:boolean>>"
+
+
+def version_ranges(ecosystem: Column, events: Column) -> Column:
+    """Intervals of version keys from an advisory's events, each with ``introduced``, ``fixed`` or ``last_affected``.
+
+    An interval begins at a version that is introduced (``0``: the lowest of all) and ends below the next one
+    that is fixed, or with the next one that is the last affected; without either it is open.
+    """
+    key = lambda v: F.when(v == "0", "").otherwise(names.version_key(ecosystem, v))
+    ends = F.transform(events, lambda e: F.struct(key(F.coalesce(e["fixed"], e["last_affected"])).alias("high"), e["fixed"].isNull().alias("closed")))
+    ends = F.filter(ends, lambda e: e["high"].isNotNull())
+    starts = F.filter(F.transform(events, lambda e: key(e["introduced"])), lambda low: low.isNotNull())
+
+    def interval(low: Column) -> Column:
+        end = F.array_min(F.filter(ends, lambda e: e["high"] >= low))  # one that is fixed where it was introduced is empty
+        return F.struct(low.alias("low"), end["high"].alias("high"), F.coalesce(end["closed"], F.lit(False)).alias("closed"))
+
+    return F.transform(starts, interval).cast(RANGES)
+
+
 def advisories(bodies: DataFrame) -> DataFrame:
     """``ecosystem, name, status, body`` of advisory answers, one row per advisory.
 
-    ``affected``: the versions that an advisory lists; null where it lists none, which
-    stands for all.
+    ``affected``: the versions that an advisory lists, null where it lists none; ``ranges``: its
+    intervals of version keys, null where it has none.  An advisory with neither stands for all versions.
     """
-    vulns = F.from_json("body", "vulns ARRAY<STRUCT<id: STRING, summary: STRING, withdrawn: STRING, database_specific: STRUCT<severity: STRING>, affected: ARRAY<STRUCT<versions: ARRAY<STRING>>>>>")["vulns"]
+    event = "events: ARRAY<STRUCT<introduced: STRING, fixed: STRING, last_affected: STRING>>"
+    vulns = F.from_json("body", f"vulns ARRAY<STRUCT<id: STRING, summary: STRING, withdrawn: STRING, database_specific: STRUCT<severity: STRING>, affected: ARRAY<STRUCT<versions: ARRAY<STRING>, ranges: ARRAY<STRUCT<type: STRING, {event}>>>>>>")["vulns"]
     rows = bodies.where("status between 200 and 299").select("ecosystem", "name", F.explode(vulns).alias("v"))
     listed = F.flatten(F.transform("v.affected", lambda a: F.coalesce(a["versions"], F.array().cast("array<string>"))))
+    given = F.filter(F.flatten(F.transform("v.affected", lambda a: F.coalesce(a["ranges"], F.array().cast("array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")))), lambda r: r["type"].isin("SEMVER", "ECOSYSTEM"))
+    ranges = F.flatten(F.transform(given, lambda r: version_ranges(F.col("ecosystem"), r["events"])))
     return rows.select(
-        "ecosystem", "name", "v.id", "v.summary", F.upper("v.database_specific.severity").alias("severity"), "v.withdrawn", F.when(F.size(listed) > 0, listed).alias("affected")
+        "ecosystem", "name", "v.id", "v.summary", F.upper("v.database_specific.severity").alias("severity"), "v.withdrawn", F.when(F.size(listed) > 0, listed).alias("affected"), F.when(F.size(given) > 0, ranges).alias("ranges")
     )
 
 

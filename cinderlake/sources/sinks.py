@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from . import storage
 
 TOOL = "cinderlake"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -58,6 +59,14 @@ def drift_results(changes: DataFrame) -> DataFrame:
     )
 
 
+def foresee_results(classified: DataFrame, manifest: Column) -> DataFrame:
+    """A result for each planted trap, at the ``manifest`` whose names were predicted."""
+    message = F.concat(F.lit("the predicted name "), "name", F.lit(" is registered, "), F.lower("verdict"), F.lit(": "), "reason")
+    return classified.where("trap").select(
+        F.lit(f"{TOOL}/foresee/trap").alias("rule_id"), verdict_level(F.col("verdict")).alias("level"), message.alias("message"), manifest.alias("file"), F.col("name").alias("logical")
+    )
+
+
 def first_seen_rules(results: DataFrame, order: list[str]) -> DataFrame:
     """Distinct rule ids in the order in which they first occur."""
     first = results.groupBy("rule_id").agg(F.min(F.struct(*order)).alias("_at"))
@@ -79,38 +88,52 @@ def flat_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def sarif_log(results: DataFrame, rules: DataFrame, path: str) -> None:
-    """Results as JSON lines and the log's head in folders of their own, for a reader of Spark's; ``write_sarif`` makes SARIF files."""
-    result_json(results).write.mode("overwrite").text(f"{path}/results")
-    head = [{"id": r.rule_id, "shortDescription": {"text": r.short}} for r in rules.orderBy("rule_index").toLocalIterator()]
-    log = {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": TOOL, "rules": head}}, "results": "results/*"}]}
-    rules.sparkSession.createDataFrame([(json.dumps(log),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+def _head(rules: DataFrame) -> str:
+    """A document up to its results; rules are a short list."""
+    listed = [{"id": r.rule_id, "shortDescription": {"text": r.short}} for r in rules.orderBy("rule_index").toLocalIterator()]
+    run = json.dumps({"tool": {"driver": {"name": TOOL, "rules": listed}}})[:-1]
+    return f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":"2.1.0","runs":[{run},"results":['
+
+
+def _separated(batches):
+    """Lines with a comma before each but the first of a partition."""
+    comma = ""
+    for batch in batches:
+        lines = [f",{v}" for v in batch["value"]]
+        if lines:
+            lines[0] = lines[0] if comma else lines[0][1:]
+            comma = ","
+            yield pd.DataFrame({"value": lines})
 
 
-def write_sarif(results: DataFrame, rules: DataFrame, path: str, files: int | None = 1) -> None:
-    """Complete SARIF documents: every part file is one, with the rules (a short list) and its results, streamed.
+def write_sarif(results: DataFrame, rules: DataFrame, path: str) -> str:
+    """One SARIF document, ``results.sarif`` in ``path``, from many tasks.
 
-    ``files``: how many; one as default, None for one a partition, where no single file could hold the results.
+    Each partition writes its results as a part without head and tail, in the order in which it has them; the document is
+    the parts joined in order, as streams, and renamed into place when it is whole.  No task, and not the driver, holds
+    all results.
     """
-    head = [{"id": r.rule_id, "shortDescription": {"text": r.short}} for r in rules.orderBy("rule_index").toLocalIterator()]
-    run = json.dumps({"tool": {"driver": {"name": TOOL, "rules": head}}})[:-1]
-    first = f'{{"$schema":{json.dumps(SARIF_SCHEMA)},"version":"2.1.0","runs":[{run},"results":['
+    spark, parts = results.sparkSession, f"{path}/parts"
+    result_json(results).mapInPandas(_separated, "value string").write.mode("overwrite").text(parts)
+    pieces: list = [_head(rules)]
+    for name in storage.names(spark, parts):
+        if name.startswith("part-") and storage.size(spark, f"{parts}/{name}"):
+            pieces += ["," if len(pieces) > 1 else "", (f"{parts}/{name}",)]
+    storage.concatenated(spark, f"{path}/results.sarif", [*pieces, "]}]}"])
+    storage.remove(spark, parts)
+    return f"{path}/results.sarif"
+
+
+def write_sarif_parts(results: DataFrame, rules: DataFrame, path: str) -> None:
+    """A complete SARIF document a partition, where a reader takes many files."""
+    first = _head(rules)
 
     def document(batches):
         yield pd.DataFrame({"value": [first]})
-        comma = ""
-        for batch in batches:
-            lines = [f",{v}" for v in batch["value"].dropna()]
-            if lines:
-                lines[0] = lines[0] if comma else lines[0][1:]
-                comma = ","
-                yield pd.DataFrame({"value": lines})
+        yield from _separated(batches)
         yield pd.DataFrame({"value": ["]}]}"]})
 
-    # A null row, which is no result, makes a document also of an empty table.
-    rows = result_json(results).union(results.sparkSession.createDataFrame([(None,)], "value string"))
-    rows = rows if files is None else rows.repartition(files)
-    rows.mapInPandas(document, "value string").write.mode("overwrite").text(path)
+    result_json(results).mapInPandas(document, "value string").write.mode("overwrite").text(path)
 
 
 def write_lock(tools: DataFrame, path: str) -> None:
@@ -131,12 +154,19 @@ def read_baseline(spark, path: str) -> DataFrame:
     return spark.read.schema("kind string, value string").json(path)
 
 
-def guardrail(classified: DataFrame) -> DataFrame:
-    """One JSON document per ecosystem: names not to install and planted traps.  Names are a limited list."""
+def guardrail_lines(classified: DataFrame) -> DataFrame:
+    """A JSON line for each name not to install and each planted trap, in order, of any number of reports."""
+    lists = F.array_compact(F.array(F.when(F.col("guard"), F.lit("do_not_install")), F.when(F.col("trap"), F.lit("planted_traps"))))
+    rows = classified.select("ecosystem", F.explode(lists).alias("list"), "name").distinct()
+    return rows.repartitionByRange("ecosystem", "list", "name").sortWithinPartitions("ecosystem", "list", "name").select(F.to_json(F.struct("ecosystem", "list", "name")).alias("value"))
+
+
+def guardrail(classified: DataFrame, key: str = "ecosystem") -> DataFrame:
+    """One JSON document a key: names not to install and planted traps.  For predicted names, of which a key has at most 80; ``guardrail_lines`` takes any number."""
     pick = lambda c: F.array_sort(F.array_compact(F.collect_list(F.when(F.col(c), F.col("name")))))
-    per = classified.groupBy("ecosystem").agg(pick("guard").alias("do_not_install"), pick("trap").alias("planted_traps"))
+    per = classified.groupBy(*dict.fromkeys([key, "ecosystem"])).agg(pick("guard").alias("do_not_install"), pick("trap").alias("planted_traps"))
     note = F.lit("names that a model may make up; don't install them")
-    return per.select("ecosystem", F.to_json(F.struct(note.alias("note"), "ecosystem", "do_not_install", "planted_traps")).alias("value"))
+    return per.select(key, F.to_json(F.struct(note.alias("note"), "ecosystem", "do_not_install", "planted_traps")).alias("value"))
 
 
 def report_json(reports: DataFrame) -> DataFrame:

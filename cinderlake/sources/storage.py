@@ -32,6 +32,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _at(spark, path)
     stream = fs.open(p)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cinderlake.functions import hashing
 from cinderlake.operators import cards, dependencies, drift, manifest, surface, text_rules
 from cinderlake.plans import surface_queries
-from cinderlake.sources import feeds, files, logs, sinks
+from cinderlake.sources import feeds, files, logs, sinks, storage
 from cinderlake.streaming import handlers, requests
 
 
@@ -95,8 +95,7 @@ def test_sarif(spark, tmp_path):
     results = sinks.finding_results(found, "text", F.lit("-"))
     assert {(r.rule_id, r.level, r.file) for r in results.collect()} == {("cinderlake/text/prompt-injection", "error", None), ("cinderlake/text/capability", "note", None)}
     rules = sinks.first_seen_rules(found.withColumn("rule_id", F.concat(F.lit("cinderlake/text/"), "category")), ["severity_rank", "id"])
-    sinks.sarif_log(results, rules, f"{tmp_path}/log")
-    head = json.loads(spark.read.text(f"{tmp_path}/log/head").first()[0])
+    head = json.loads(storage.read_text(spark, sinks.write_sarif(results, rules, f"file://{tmp_path}/log")))
     assert [r["id"] for r in head["runs"][0]["tool"]["driver"]["rules"]] == ["cinderlake/text/prompt-injection", "cinderlake/text/capability"]
     assert json.loads(sinks.flat_json(results).first()[0])["file"] is None
 
@@ -127,12 +126,18 @@ def test_sarif_files_are_whole_documents(spark, tmp_path):
     found = text_rules.scan_text(df, ["id"])
     results = sinks.finding_results(found, "text", F.concat(F.lit("doc-"), "id"))
     rules = sinks.first_seen_rules(results.withColumn("at", F.col("file")), ["at"])
-    for rows, files_, n in ((results, 1, 7), (results, 3, 7), (results.limit(0), 1, 0)):
-        path = tmp_path / f"sarif-{files_}-{n}"
-        sinks.write_sarif(rows, rules, str(path), files_)
-        docs = [json.loads(p.read_text()) for p in path.glob("part-*")]
-        assert len(docs) == files_ and sum(len(d["runs"][0]["results"]) for d in docs) == n
-        assert all(d["version"] == "2.1.0" and d["runs"][0]["tool"]["driver"]["rules"][0]["id"] == "cinderlake/text/prompt-injection" for d in docs)
+    whole = lambda d: d["version"] == "2.1.0" and d["runs"][0]["tool"]["driver"]["rules"][0]["id"] == "cinderlake/text/prompt-injection"
+    for rows, n in ((results.repartition(5), 7), (results.coalesce(1), 7), (results.repartitionByRange(3, "file").sortWithinPartitions("file"), 7), (results.limit(0), 0)):
+        for _ in range(2):  # a document that is there is replaced
+            doc = json.loads(storage.read_text(spark, sinks.write_sarif(rows, rules, f"file://{tmp_path}/sarif")))
+        found = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in doc["runs"][0]["results"]]
+        assert whole(doc) and sorted(found) == [f"doc-{i}" for i in range(n)] and storage.names(spark, f"file://{tmp_path}/sarif") == ["results.sarif"]
+    in_order = results.repartitionByRange(4, "file").sortWithinPartitions("file")
+    doc = json.loads(storage.read_text(spark, sinks.write_sarif(in_order, rules, f"file://{tmp_path}/sarif")))
+    assert [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in doc["runs"][0]["results"]] == [f"doc-{i}" for i in range(7)]
+    sinks.write_sarif_parts(results.repartition(3), rules, f"{tmp_path}/parts")
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "parts").glob("part-*")]
+    assert len(docs) == 3 and sum(len(d["runs"][0]["results"]) for d in docs) == 7 and all(map(whole, docs))
 
 
 def test_results_of_verdicts_trust_and_drift(spark):
@@ -140,6 +145,13 @@ def test_results_of_verdicts_trust_and_drift(spark):
     assert [tuple(r) for r in sinks.verdict_results(reports).collect()] == [("cinderlake/verify/missing", "error", "b (npm): gone", None, "b")]
     trust = spark.createDataFrame([("s", "AVOID"), ("t", "GREEN")], "skill string, trust string")
     assert [tuple(r) for r in sinks.trust_results(trust, "skillscan", F.col("skill")).collect()] == [("cinderlake/skillscan/avoid", "error", "s is avoid", None, "s")]
+    traps = spark.createDataFrame([("npm", "a-utils", "SUSPICIOUS", "new", True, True), ("npm", "b-utils", "MISSING", "gone", True, False), ("pypi", "c", "OK", "fine", False, False), ("npm", "d", "MALICIOUS", "bad", True, True)], "ecosystem string, name string, verdict string, reason string, guard boolean, trap boolean")
+    got = [tuple(r) for r in sinks.foresee_results(traps, F.lit("package.json")).orderBy("logical").collect()]
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [("cinderlake/foresee/trap", "warning", "package.json", "a-utils"), ("cinderlake/foresee/trap", "error", "package.json", "d")]
+    lines = [tuple(json.loads(r[0]).values()) for r in sinks.guardrail_lines(traps).collect()]
+    assert lines == [("npm", "do_not_install", n) for n in ("a-utils", "b-utils", "d")] + [("npm", "planted_traps", n) for n in ("a-utils", "d")]
+    (doc,) = [json.loads(r.value) for r in sinks.guardrail(traps.where("ecosystem = 'npm'")).collect()]
+    assert (doc["do_not_install"], doc["planted_traps"]) == (["a-utils", "b-utils", "d"], ["a-utils", "d"])
     changes = spark.createDataFrame([("p", "x", "tool-added", "MEDIUM", "new tool")], "path string, tool string, kind string, severity string, message string")
     assert [tuple(r) for r in sinks.drift_results(changes).collect()] == [("cinderlake/drift/tool-added", "warning", "new tool", "p", "x")]
 
