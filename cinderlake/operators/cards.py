@@ -83,3 +83,9 @@ def check_cards(cards: DataFrame, key: str) -> DataFrame:
     own = text_rules.scan_rules(rows, [key], rules)
     fields = text_fields(rows, [key]).withColumn("label", F.col("path"))
     return own.unionByName(text_rules.scan_text(fields, [key]))
+
+
+def in_order(findings: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``, from 1: a card's findings by severity, then category; of one category, as they were found."""
+    order = Window.partitionBy(key).orderBy("severity_rank", "category", "check_ord", "tool", "phrase_ord", "message")
+    return findings.withColumn("place", F.row_number().over(order))

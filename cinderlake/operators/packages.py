@@ -337,7 +337,7 @@ def predicted_names(existing: DataFrame, limit: int | None = None, key: str = "e
         more = first.where(F.col("_r") > seeds).select(key)
         found = fresh(first.where(F.col("_r") <= seeds).drop("_r"), known.join(more, key, "left_anti")).where(F.col("_rank") <= limit)
         few = more.join(found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= limit), key, "left_anti")
-        if few.isEmpty():
+        if more.isEmpty() or few.isEmpty():
             return found.select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
         seeds *= 4
 

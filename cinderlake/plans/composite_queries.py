@@ -10,7 +10,7 @@ from ..operators import packages, surface, text_rules
 from ..sources import files, logs, sinks, storage
 from ..streaming import handlers, requests
 from .common import RANK, TEXTS, any_sql, fnv_sql, table, text_findings_sql, texts
-from .package_queries import _BASE, GUARD, NOW, SQUAT_BASE, SQUATS, feeds, reports
+from .package_queries import _BASE, AFFIX_SQL, GUARD, NOW, SQUAT_BASE, SQUATS, feeds, reports
 from .surface_queries import CONFIG, DRIFT_SQL, NEW, OLD
 from .text_queries import _MEM_SQL, FRONT, MEMORY, SCRIPT
 
@@ -138,8 +138,8 @@ def _manifests(spark: SparkSession, sf_dir: str, tools: str) -> DataFrame:
     return rows.select("lock", "path", F.concat(F.lit('{"tools":['), F.array_join("tools", ","), F.lit("]}")).alias("text"))
 
 
-def served_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches of a tool server: all locks are written, then the manifests of the next version are compared with them; the changes, read back from the answers."""
+def _served(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a tool server's answers to two batches: all locks are written, then the manifests of the next version are compared with them."""
     folder = storage.new_folder(spark, "locks")
     for name, tools in (("old", OLD), ("new", NEW)):
         _manifests(spark, sf_dir, tools).write.parquet(f"{folder}/{name}")
@@ -148,13 +148,61 @@ def served_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = logs.Log(spark, f"{folder}/log", handlers.LOCKED)
     handlers.answer_batch(call("lock", old), 0, f"{folder}/out", handlers.locks(old.select("path", "text"), log))
     handlers.answer_batch(call("drift", new), 1, f"{folder}/out", handlers.locks(new.select("path", "text"), log))
-    answers = spark.read.text(f"{folder}/out/batch=1")
-    answer = F.from_json("value", "result STRUCT<content: ARRAY<STRUCT<text: STRING>>>")["result"]["content"][0]["text"]
+    return f"{folder}/out"
+
+
+def _answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    text = F.from_json("value", "result STRUCT<content: ARRAY<STRUCT<text: STRING>>>")["result"]["content"][0]["text"]
+    return spark.read.text(path).select(F.from_json(text, schema).alias("a"))
+
+
+def served_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes in the answers to the second batch."""
     changes = "lock STRING, changes ARRAY<STRUCT<severity: STRING, kind: STRING, tool: STRING, source: STRING, evidence: STRING>>"
-    rows = answers.select(F.from_json(answer, changes).alias("a")).select("a.lock", F.inline("a.changes"))
+    rows = _answers(spark, f"{_served(spark, sf_dir)}/batch=1", changes).select("a.lock", F.inline("a.changes"))
     return rows.select("lock", F.col("source").alias("path"), "tool", "kind", "severity", "evidence")
 
 
+def served_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals in the answers to the first batch."""
+    return _answers(spark, f"{_served(spark, sf_dir)}/batch=0", "lock STRING, sources LONG, tools LONG").select("a.*")
+
+
+def memory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and records by conversation, whose turns are files."""
+    t = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.expr(MEMORY)).alias("text"))
+    totals = surface.memory_totals(t).groupBy(F.split("path", "-")[1].cast("long").alias("conv_id"))
+    return totals.agg(F.sum("files").alias("files"), F.sum("records").alias("records"))
+
+
+#: Customers as projects: a manifest each, and one that comes after it.
+PROJECT = """CASE c_custkey % 3 WHEN 0 THEN concat('{"dependencies":{"react":"1","@acme/Widget":"^2"},"devDependencies":{"x-', CAST(c_custkey % 7 AS VARCHAR(9)), '":"1","local":"file:.."}}')
+ WHEN 1 THEN concat('requests==1', chr(10), 'Flask>=2  # web', chr(10), '-r other.txt', chr(10), 'lib', CAST(c_custkey % 5 AS VARCHAR(9)), chr(10)) ELSE concat('[dependencies]', chr(10), 'serde = "1"', chr(10), 'own = { path = "x" }', chr(10)) END"""
+FORESEEN = 45
+#: Predicted names that are registered: created, downloads and whether they are reported as malicious.
+REGISTERED = [
+    ("npm", "widget-cli", "1998-11-20T05:00:00Z", 3, False), ("npm", "widget-pro", "1990-01-01T00:00:00Z", 90_000, False), ("npm", "react-helper", "1998-11-20T05:00:00Z", 10, False), ("npm", "use-widget", "1998-06-01T00:00:00Z", 20, False),
+    ("npm", "react-sdk", "1998-11-20T05:00:00Z", 3, False), ("pypi", "flask-utils", "1995-01-01T00:00:00Z", None, True), ("pypi", "py-flask", "1998-10-01T00:00:00Z", None, False), ("crates", "serde-sdk", "1997-01-01T00:00:00Z", 40, False),
+]
+
+
+def foresee_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each project's manifest to its guardrail and traps; react-sdk is allowed at its latest version."""
+    c = table(spark, sf_dir, "customer")
+    name = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' ELSE 'Cargo.toml' END")
+    manifests = c.select(F.concat(F.lit("p/"), "c_custkey", F.lit("/"), name).alias("path"), name.alias("file_name"), F.expr(PROJECT).alias("text"))
+    later = c.where("c_custkey % 3 < 2").select(F.concat(F.lit("p/"), "c_custkey", F.lit("/Cargo.toml")).alias("path"), F.lit("Cargo.toml").alias("file_name"), F.lit('[dependencies]\nlater = "1"\n').alias("text"))
+    known = spark.createDataFrame(REGISTERED, "ecosystem string, name string, created string, downloads long, malicious boolean")
+    f = {
+        "metadata": known.select("ecosystem", "name", F.lit("1.0").alias("latest_version"), "created", F.array(F.lit("1.0")).alias("versions")),
+        "advisories": known.where("malicious").select("ecosystem", "name", F.lit("MAL-1").alias("id"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("withdrawn"), F.lit(None).cast("array<string>").alias("affected")),
+        "reputation": known.where("downloads is not null").select("ecosystem", "name", "created", F.lit("1.0").alias("latest_version"), "downloads", F.lit("weekly").alias("downloads_window")),
+    }
+    allowed = spark.createDataFrame([("npm", "react-sdk", "1.0")], "ecosystem string, name string, version string")
+    found = packages.foresee_projects(packages.projects(manifests.unionByName(later)), f, allowed, F.lit(NOW).cast("timestamp"), FORESEEN)
+    return found.select(F.regexp_extract("directory", "([0-9]+)$", 1).cast("long").alias("c_custkey"), "ecosystem", "ord", "name", "verdict", "guard", "trap")
+
+
 _SKILL = f"""s AS (SELECT conv_id AS skill, turn, regexp_replace({FRONT} || coalesce(text, ''), '^[ \\t\\n\\f\\r]+', '') AS b, {FRONT} || coalesce(text, '') AS text, 'SKILL.md' AS label FROM conversations WHERE turn = 0),
 m AS (SELECT skill, lower(CASE WHEN starts_with(b, '---') AND strpos(substr(b, 4), chr(10) || '---') > 0 THEN substr(b, 4, strpos(substr(b, 4), chr(10) || '---') - 1) ELSE '' END) AS l FROM s),
 x AS (SELECT conv_id AS skill, lower(coalesce(text, '') || {SCRIPT}) AS l FROM conversations WHERE turn <> 0),
@@ -175,7 +223,7 @@ y AS (SELECT *, ((contains(lower(text), 'curl ') OR contains(lower(text), 'wget
 QUERIES = {
     "fnv_fingerprint": fnv_fingerprint, "report_json": report_json, "guardrail_names": guardrail_names, "flat_json_rows": flat_json_rows, "sarif_levels": sarif_levels,
     "skillscan_trust": skillscan_trust, "memcheck_findings": memcheck_findings, "audit_snapshot": audit_snapshot, "audit_totals": audit_totals, "inspect_commands": inspect_commands,
-    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers, "served_drift": served_drift, "skill_tree_fingerprints": skill_tree_fingerprints,
+    "surface_paths": surface_paths, "tool_catalogue": tool_catalogue, "tool_answers": tool_answers, "served_drift": served_drift, "served_locks": served_locks, "memory_totals": memory_totals, "foresee_projects": foresee_projects, "skill_tree_fingerprints": skill_tree_fingerprints,
 }
 SQL = {
     "fnv_fingerprint": """SELECT c_custkey, lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)),
@@ -213,5 +261,15 @@ SELECT t.doc_id, false AS is_error, coalesce(n, 0)::INT AS n_findings, CASE wors
 c AS (SELECT conv_id || '-' || turn AS id, turn % 4 AS k FROM conversations)
 SELECT id, NULL::INT AS code, NULL AS server, NULL AS protocol, tool, arguments, required FROM c, t WHERE k = 0
 UNION ALL SELECT id, CASE WHEN k = 3 THEN -32601 END, CASE WHEN k = 1 THEN 'cinderlake' END, CASE WHEN k = 1 THEN '2025-03-26' END, NULL, NULL, NULL FROM c WHERE k <> 0""",
+    "served_locks": f"""WITH o AS ({OLD.format(part='part').replace('p_brand AS path', SERVED)}) SELECT 'lock-' || string_split(path, '-')[2] AS lock, count(DISTINCT path) AS sources, count(*) AS tools FROM o GROUP BY 1""",
+    "memory_totals": f"""WITH {_MEM_SQL} SELECT conv_id, count(DISTINCT turn)::BIGINT AS files, count(*)::BIGINT AS records FROM rec GROUP BY conv_id""",
+    "foresee_projects": f"""WITH {AFFIX_SQL}, c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END AS ecosystem, CASE c_custkey % 3 WHEN 0 THEN ['@acme/Widget', 'react', 'x-' || (c_custkey % 7)]
+  WHEN 1 THEN ['Flask', 'lib' || (c_custkey % 5), 'requests'] ELSE ['serde'] END AS deps FROM customer),
+e AS (SELECT c_custkey, ecosystem, unnest(deps) AS name, generate_subscripts(deps, 1) AS place FROM c),
+sd AS (SELECT c_custkey, ecosystem, seed, min(g * 1000 + place) AS place FROM (SELECT c_custkey, ecosystem, lower(regexp_replace(name, '^@[^/]*/', '')) AS seed, 0 AS g, place FROM e UNION ALL SELECT c_custkey, ecosystem, seed, 1, place FROM c JOIN mg USING (ecosystem)) GROUP BY ALL),
+vr AS (SELECT c_custkey, ecosystem, lower(pre || seed || suf) AS name, min(place * 1000 + affix_ord) AS spot FROM sd JOIN af USING (ecosystem) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY spot) - 1 AS ord FROM vr WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.c_custkey = vr.c_custkey AND lower(e.name) = vr.name)),
+k(ecosystem, name, verdict, trap) AS (VALUES ('npm', 'widget-cli', 'SUSPICIOUS', true), ('npm', 'widget-pro', 'OK', false), ('npm', 'react-helper', 'SUSPICIOUS', true), ('npm', 'use-widget', 'SUSPICIOUS', true), ('pypi', 'flask-utils', 'MALICIOUS', true), ('pypi', 'py-flask', 'OK', true), ('crates', 'serde-sdk', 'SUSPICIOUS', false))
+SELECT c_custkey, ecosystem, ord, name, coalesce(verdict, 'MISSING') AS verdict, coalesce(trap, true) AS guard, coalesce(trap, false) AS trap FROM o LEFT JOIN k USING (ecosystem, name) WHERE ord < {FORESEEN} AND name <> 'react-sdk'""",
     "served_drift": f"""WITH {DRIFT_SQL.replace('p_brand AS path', SERVED)} SELECT 'lock-' || string_split(path, '-')[2] AS lock, path, tool, kind, severity, evidence FROM d""",
 }

@@ -180,15 +180,15 @@ _REASON = """CASE verdict WHEN 'MALICIOUS' THEN 'reported as malicious (MAL-' ||
 _PROV = f"""t AS (SELECT w.*, CASE p_partkey % 5 WHEN 0 THEN 'W' WHEN 1 THEN 'M' WHEN 2 THEN 'M' ELSE 'A' END AS pr, {REPO.replace('NM', 'name')} AS repo FROM w)"""
 _BARE = "lower(regexp_replace(name, '^@[^/]*/', ''))"
 _FORE = """e AS (SELECT {eco} AS ecosystem, {pkg} AS name, p_partkey AS ord FROM part),
-af(ecosystem, affix_ord, pre, suf) AS (VALUES {affixes}), mg(ecosystem, seed, place) AS (VALUES {magnets}),
+{tables},
 sd AS (SELECT ecosystem, seed, min(g * 1000000000000 + place) AS place FROM (SELECT ecosystem, lower(regexp_replace(name, '^@[^/]*/', '')) AS seed, 0 AS g, ord AS place FROM e UNION ALL SELECT ecosystem, seed, 1, place FROM mg) GROUP BY 1, 2),
 vr AS (SELECT sd.ecosystem, lower(pre || seed || suf) AS predicted, min(sd.place * 1000 + affix_ord) AS spot FROM sd JOIN af ON af.ecosystem = sd.ecosystem GROUP BY 1, 2),
 o AS (SELECT ecosystem, predicted, row_number() OVER (PARTITION BY ecosystem ORDER BY spot) - 1 AS ord FROM vr WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ecosystem = vr.ecosystem AND lower(e.name) = predicted))"""
-_FORE = _FORE.format(
-    eco=ECO, pkg=PKG,
+AFFIX_SQL = "af(ecosystem, affix_ord, pre, suf) AS (VALUES {affixes}), mg(ecosystem, seed, place) AS (VALUES {magnets})".format(
     affixes=", ".join(f"('{e}', {i}, '{a}', '{b}')" for e, (s, p) in corpora.AFFIXES.items() for i, (a, b) in enumerate([("", y) for y in s] + [(y, "") for y in p])),
     magnets=", ".join(f"('{e}', '{n}', {i})" for e, xs in corpora.MAGNETS.items() for i, n in enumerate(xs)),
 )
+_FORE = _FORE.format(eco=ECO, pkg=PKG, tables=AFFIX_SQL)
 
 #: The same packages with the downloads of fresh squats.
 SQUAT_BASE = _BASE.replace("CASE WHEN need THEN n * 4 END", f"CASE WHEN need THEN {SQUATS} END")

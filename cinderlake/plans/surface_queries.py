@@ -76,6 +76,10 @@ def card_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.check_cards(_cards(spark, sf_dir), "s_suppkey").select("s_suppkey", "severity", "category", "tool")
 
 
+def card_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.in_order(cards.check_cards(_cards(spark, sf_dir), "s_suppkey"), "s_suppkey").select("s_suppkey", "place", "severity", "category")
+
+
 def card_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.text_fields(_cards(spark, sf_dir).where("card is not null"), ["s_suppkey"])
 
@@ -248,7 +252,7 @@ _CARD = f"c AS (SELECT s_suppkey, s_name, s_suppkey % 6 AS k, {SERVED} AS h FROM
 
 QUERIES = {
     "config_tree": config_tree, "config_settings": config_settings, "network_hooks": network_hooks, "server_spec": server_spec, "config_secret": config_secret, "config_secret_places": config_secret_places,
-    "card_check": card_check, "card_fields": card_fields, "card_confusable": card_confusable, "card_targets": card_targets,
+    "card_check": card_check, "card_order": card_order, "card_fields": card_fields, "card_confusable": card_confusable, "card_targets": card_targets,
     "drift_sources": drift_sources, "drift_tools": drift_tools, "drift_severity": drift_severity, "drift_document": drift_document, "snapshot_diff": snapshot_diff,
     "first_seen_distinct": first_seen_distinct, "cache_fresh_latest": cache_fresh_latest, "cache_generations": cache_generations,
     "feed_npm": feed_npm, "feed_pypi": feed_pypi, "feed_crates": feed_crates, "feed_advisories": feed_advisories,
@@ -324,3 +328,4 @@ SELECT (row_number() OVER (ORDER BY min(spot)) - 1) AS rule_index, rule_id, repl
  CASE conv_id % 12 WHEN 1 THEN -32700 WHEN 3 THEN -32600 WHEN 10 THEN -32600 WHEN 5 THEN -32601 WHEN 7 THEN -32602 END AS code,
  CASE conv_id % 12 WHEN 8 THEN '2025-06-18' WHEN 9 THEN '2024-11-05' END AS protocol FROM conversations WHERE conv_id % 12 <> 2""",
 }
+SQL["card_order"] = f"WITH x AS ({SQL['card_check']}) SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY {RANK}, category) AS place, severity, category FROM x"
