@@ -22,8 +22,8 @@ from different permutations, minima and maxima mixed, so they agree independentl
    These lists are joined as there (``ngram_join.settle``).  No list is capped, and each
    pair is verified once.
 
-Two documents that link are missed only if no band agrees.  With 32 bands of 5 values
-(80 permutations) that has a probability of (1 - 0.85 ** 5) ** 32, below 8 in 10 ** 9 at
+Two documents that link are missed only if no band agrees.  With 24 bands of 4 values
+(48 permutations) that has a probability of (1 - 0.85 ** 4) ** 24, about 2 in 10 ** 8 at
 the threshold, and less above it; a longer way round through other links also counts.
 A pair under the threshold never links.
 
@@ -50,7 +50,9 @@ from .graph import components
 from .ngram_join import _chosen_counts, _met, bitmap_of, by_document, classes_of, packed, prefix_lists, settle, sketch, verify
 from .shingles import fingerprint, mix64, shingle_sets
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 4
+#: Rows of an open list that the first round pairs each row with.  At a high threshold the filters leave few of these pairs.
+WIDTH = 64
 #: Shingles that a task signs at once, about; a longer text is signed in parts of as many.
 BATCH = 1 << 16
 SEED = 13
@@ -175,7 +177,7 @@ def minmax_dedup(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BA
         blocks = rows.mapInArrow(_chosen_counts(k, wanted), "block int, counts binary")
         posts, more = prefix_lists(rows, blocks, k, num, den, "minmax", wanted)
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        comp = settle(rows, first, classes, posts, more, k, num, den, "minmax", (comp, done))
+        comp = settle(rows, first, classes, posts, more, k, num, den, "minmax", (comp, done), WIDTH)
     return by_document(members, classes, comp, "minmax").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

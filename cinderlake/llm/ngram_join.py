@@ -55,6 +55,7 @@ held as 64-bit hashes of shingles (48 bits where they are verified), classes as
 from __future__ import annotations
 
 import math
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -172,8 +173,9 @@ def _counted(k: int):
 
 
 def _blocks(counts: np.ndarray) -> list[pa.Array]:
+    """Counters by block, compressed: those of a few texts are mostly zero."""
     parts = counts.astype("<u4").reshape(COUNTER_BLOCKS, -1)
-    return [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+    return [pa.array(range(COUNTER_BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())]
 
 
 def _chosen_sets(batch: pa.RecordBatch, k: int, wanted) -> Iterator[np.ndarray]:
@@ -209,7 +211,7 @@ def _sum_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     total = np.zeros(COUNTERS // COUNTER_BLOCKS, np.int64)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_buffer(), "<u4")
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), "<u4")
     total = np.minimum(total, 2**32 - 1).astype("<u4")
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
@@ -560,13 +562,13 @@ def prefix_lists(rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
 
 
 def settle(
-    rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str, joined: tuple[DataFrame, DataFrame] | None = None
+    rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str, joined: tuple[DataFrame, DataFrame] | None = None, width: int = WIDTH
 ) -> DataFrame:
     """Components (``node, comp``: classes) of all links between classes that share a list.
 
     ``posts``: rows of lists (``h, cls, np``: list, class, size and place).  ``pairs`` (``a, b``) are verified
     first; then come rounds over the lists that are still open, and the exact join.  ``joined``: components
-    and verified pairs that are there already.
+    and verified pairs that are there already.  ``width``: rows that the first round pairs each row with.
     """
     if joined is None:
         comp = components(verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
@@ -579,7 +581,7 @@ def settle(
         pairs = staged(pairs.where(~F.col("comp_a").eqNullSafe(F.col("comp_b")) | F.col("comp_a").isNull()).select("a", "b"), f"{tag}-fresh")
         comp = _contracted(comp, verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
         done = done.unionByName(pairs)
-    number, width, last = 0, WIDTH, False
+    number, last = 0, False
     while not last:
         number += 1
         step = f"{tag}-{number}"

@@ -70,13 +70,28 @@ def test_near_copies_of_an_absent_text(spark, monkeypatch):
     from cinderlake.llm import ngram_join
 
     made, verify = [], ngram_join.verify
-    monkeypatch.setattr(ngram_join, "verify", lambda rows, first, classes, pairs, *rest: made.append(pairs.count()) or verify(rows, first, classes, pairs, *rest))
+    for owner in (ngram_join, module):
+        monkeypatch.setattr(owner, "verify", lambda rows, first, classes, pairs, *rest: made.append(pairs.count()) or verify(rows, first, classes, pairs, *rest))
     rng, base = random.Random(5), [f"b{i}" for i in range(60)]
     rows = [(i, " ".join(edited(rng, base, 1))) for i in range(300)]
     assert set(found(spark, rows)) == plain(rows)
     assert 0 < sum(made) < 30 * len(rows)
 
 
+def test_groups_under_the_threshold_are_not_paired(spark, monkeypatch):
+    """Texts that share most of their bands but don't link: their rarest shingles keep them apart."""
+    from cinderlake.llm import ngram_join
+
+    made, verify = [], ngram_join.verify
+    for owner in (ngram_join, module):
+        monkeypatch.setattr(owner, "verify", lambda rows, first, classes, pairs, *rest: made.append(pairs.count()) or verify(rows, first, classes, pairs, *rest))
+    rng, base = random.Random(6), [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, base, 4))) for i in range(240)]
+    rows += [(240 + i, rows[i][1] + " end") for i in range(20)]
+    assert set(found(spark, rows)) == plain(rows)
+    assert sum(made) < 4 * len(rows)  # all pairs are 33,670
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "a b"), (4, "A\x0bB"), (5, "a b c"), (6, "a  B c"), (7, "a\x1cb"), (8, "w " * 30_000), (9, "é É x"), (10, "É É x"), (11, "x " * 7), (11, "y z q")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, bands string, kept int")
