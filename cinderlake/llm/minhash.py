@@ -19,8 +19,8 @@ from different permutations, minima and maxima mixed, so they agree independentl
    square.  Instead its classes are put in lists by their rarest shingles (the prefixes
    of the n-gram join, whose shingles are counted among these classes alone), which every
    link between two of them shares, and what a group of unlike texts doesn't share.
-   These lists are joined as there (``ngram_join.settle``).  No list is capped, and each
-   pair is verified once.
+   These lists are joined as there (``ngram_join.settle``), with one more filter, on 256
+   parities of each set.  No list is capped, and each pair is verified once.
 
 Two documents that link are missed only if no band agrees.  With 24 bands of 4 values
 (48 permutations) that has a probability of (1 - 0.85 ** 4) ** 24, about 2 in 10 ** 8 at
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 from .graph import components
-from .ngram_join import _chosen_counts, _met, bitmap_of, by_document, classes_of, packed, prefix_lists, settle, sketch, verify
+from .ngram_join import _chosen_counts, _met, bitmap_of, by_document, classes_of, packed, parity, prefix_lists, settle, sketch, verify
 from .shingles import fingerprint, mix64, shingle_sets
 
 BANDS, ROWS = 24, 4
@@ -118,28 +118,28 @@ def _signed(k: int, num: int, den: int, bands: int, rows: int):
             whole = np.concatenate((np.minimum.reduceat(signed[:n], starts, axis=1), np.maximum.reduceat(signed[n:], starts, axis=1)))
             return list(band_hashes(whole, bands, rows).view(np.int64))
 
-        def out(ids, sizes, classes, places, sketches, fresh):
+        def out(ids, sizes, classes, places, sketches, bits, fresh):
             found = [None] * len(sizes)
             if fresh:
                 for i, h in zip(fresh, hashes(list(fresh.values()))):
                     found[i] = h
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(places, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "np", "sketch", "bands"])
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(places, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "np", "sketch", "bits", "bands"])
 
         none = np.zeros(1, np.int64)
         for batch in batches:
-            rows_held: tuple[list, list, list, list] = ([], [], [], [])
+            rows_held: tuple[list, ...] = ([], [], [], [], [])
             fresh, held, at = {}, 0, 0
             for i, s in enumerate(shingle_sets(batch.column(1), k)):
                 c = fingerprint(s) if len(s) else None
-                for x, v in zip(rows_held, (len(s), c, int(packed(len(s), none, num, den)[0]) if len(s) else None, sketch(s) if len(s) else None)):
+                for x, v in zip(rows_held, (len(s), c, int(packed(len(s), none, num, den)[0]) if len(s) else None, sketch(s) if len(s) else None, parity(s) if len(s) else None)):
                     x.append(v)
                 if len(s) and not met(c):
                     fresh[i - at] = s
                     held += len(s)
                 if held > BATCH:
                     yield out(batch.column(0).slice(at, i + 1 - at), *rows_held, fresh)
-                    rows_held, fresh, held, at = ([], [], [], []), {}, 0, i + 1
+                    rows_held, fresh, held, at = ([], [], [], [], []), {}, 0, i + 1
             if rows_held[0]:
                 yield out(batch.column(0).slice(at, len(rows_held[0])), *rows_held, fresh)
 
@@ -160,10 +160,10 @@ def minmax_dedup(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BA
     g = math.gcd(percent, 100)
     num, den = percent // g, 100 // g
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = staged(rows.mapInArrow(_signed(k, num, den, bands, rows_a_band), "doc_id long, n long, cls long, np long, sketch binary, bands array<long>"), "minmax-first")
+    first = staged(rows.mapInArrow(_signed(k, num, den, bands, rows_a_band), "doc_id long, n long, cls long, np long, sketch binary, bits array<long>, bands array<long>"), "minmax-first")
     members = first.select("doc_id", "n", "cls")
     classes = classes_of(members, "minmax")
-    signed = staged(first.where("bands is not null").groupBy("cls").agg(F.first("np").alias("np"), F.first("bands").alias("bands")), "minmax-signed")
+    signed = staged(first.where("bands is not null").groupBy("cls").agg(F.first("np").alias("np"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "minmax-signed")
     posts = signed.select(F.explode("bands").alias("h"), "cls", "np")
     lists = staged(posts.groupBy("h").agg(F.count("*").alias("met")).where("met > 1"), "minmax-lists")
     posts = staged(posts.join(lists, "h"), "minmax-posts")
@@ -177,7 +177,7 @@ def minmax_dedup(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BA
         blocks = rows.mapInArrow(_chosen_counts(k, wanted), "block int, counts binary")
         posts, more = prefix_lists(rows, blocks, k, num, den, "minmax", wanted)
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        comp = settle(rows, first, classes, posts, more, k, num, den, "minmax", (comp, done), WIDTH)
+        comp = settle(rows, first, classes, posts, more, k, num, den, "minmax", (comp, done), WIDTH, signed.select("cls", "bits"))
     return by_document(members, classes, comp, "minmax").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

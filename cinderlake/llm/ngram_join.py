@@ -532,15 +532,38 @@ def _round(posts: DataFrame, seed: int, width: int, num: int, den: int) -> DataF
     return dealt.mapInArrow(_next_rows(width, num, den), "a long, b long").distinct()
 
 
-def _all_pairs(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of rows of different components of a list that pass the filters; one side leaves out the list's largest component."""
-    left = posts.where("comp <> largest").select("h", F.col("cls").alias("c1"), F.col("comp").alias("k1"), F.col("np").alias("z1"))
-    right = posts.select("h", F.col("cls").alias("c2"), F.col("comp").alias("k2"), F.col("np").alias("z2"))
+#: Words of parities of a set.
+PARITIES = 4
+
+
+def parity(s: np.ndarray) -> list[int]:
+    """Of a set, 256 bits as four signed integers: whether it has an odd number of elements in each of 256 classes of hashes.
+
+    Bits in which two sets differ are at most as many as the elements that only one of them has.
+    """
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _all_pairs(posts: DataFrame, num: int, den: int, parities: DataFrame | None = None) -> DataFrame:
+    """All pairs of rows of different components of a list that pass the filters; one side leaves out the list's largest component.
+
+    ``parities``: ``cls, bits``, for a filter on how many elements only one set has.
+    """
+    alike = F.lit(True)
+    if parities is not None:
+        posts = staged(posts.join(parities, "cls"), "join-parities")
+        both = (F.col("z1").bitwiseAND(F.lit(0xFFFFFFFF)) + F.col("z2").bitwiseAND(F.lit(0xFFFFFFFF))) * (den - num)
+        differ = [F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(PARITIES)]
+        alike = sum(differ[1:], differ[0]) * (num + den) <= both
+    bits = ["bits"] if parities is not None else []
+    left = posts.where("comp <> largest").select("h", F.col("cls").alias("c1"), F.col("comp").alias("k1"), F.col("np").alias("z1"), *[F.col(b).alias("bits1") for b in bits])
+    right = posts.select("h", F.col("cls").alias("c2"), F.col("comp").alias("k2"), F.col("np").alias("z2"), *[F.col(b).alias("bits2") for b in bits])
     n1, n2 = (F.col(z).bitwiseAND(F.lit(0xFFFFFFFF)) for z in ("z1", "z2"))
     place1, place2 = (F.shiftright(z, PLACE).bitwiseAND(F.lit(0xFFFFFF)) for z in ("z1", "z2"))
     least = F.floor((num * (n1 + n2) + (num + den - 1)) / F.lit(num + den)).cast("long")
     fits = (n1 - place1 >= least) & (n2 - place2 >= least)
-    met = left.join(right, (left.h == right.h) & (F.col("k1") != F.col("k2")) & fits)
+    met = left.join(right, (left.h == right.h) & (F.col("k1") != F.col("k2")) & fits & alike)
     return met.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
 
 
@@ -562,13 +585,14 @@ def prefix_lists(rows: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
 
 
 def settle(
-    rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str, joined: tuple[DataFrame, DataFrame] | None = None, width: int = WIDTH
+    rows: DataFrame, first: DataFrame, classes: DataFrame, posts: DataFrame, pairs: DataFrame, k: int, num: int, den: int, tag: str, joined: tuple[DataFrame, DataFrame] | None = None, width: int = WIDTH, parities: DataFrame | None = None
 ) -> DataFrame:
     """Components (``node, comp``: classes) of all links between classes that share a list.
 
     ``posts``: rows of lists (``h, cls, np``: list, class, size and place).  ``pairs`` (``a, b``) are verified
     first; then come rounds over the lists that are still open, and the exact join.  ``joined``: components
     and verified pairs that are there already.  ``width``: rows that the first round pairs each row with.
+    ``parities``: ``cls, bits``, one more filter for the exact join.
     """
     if joined is None:
         comp = components(verify(rows, first, classes, pairs, k, num, den, f"{tag}-0"), f"{tag}-comp")
@@ -589,7 +613,7 @@ def settle(
         if not n_rows:
             break
         last = n_pairs <= 4 * width * n_rows
-        more = _all_pairs(open_posts, num, den) if last else _round(open_posts, number, width, num, den)
+        more = _all_pairs(open_posts, num, den, parities) if last else _round(open_posts, number, width, num, den)
         more = staged(more.join(done, ["a", "b"], "left_anti"), f"{step}-more")
         if not more.isEmpty():
             comp = _contracted(comp, verify(rows, first, classes, more, k, num, den, step), f"{step}-comp")

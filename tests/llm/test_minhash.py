@@ -5,6 +5,7 @@ import pytest
 
 from cinderlake.llm import minhash as module
 from cinderlake.llm.minhash import band_hashes, minmax_dedup, op13_minmax_dedup, signatures
+from cinderlake.llm.ngram_join import parity
 
 from .test_ngram_join import corpus, edited
 
@@ -136,6 +137,18 @@ def test_bands_hold_one_value_of_a_permutation():
         assert one.shape == (2, bands) and (one[0] == one[1]).all() and len(set(one[0].tolist())) == bands
 
 
+def test_parities_bound_the_elements_of_one_set_only():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 400):
+        for _ in range(40):
+            x = rng.integers(0, 2**64, n + 20, np.uint64)
+            a, b = x[: n + rng.integers(0, 20)], x[rng.integers(0, min(n, 12)) :]
+            differ = len(np.setxor1d(a, b))
+            bits = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(parity(a), parity(b)))
+            assert bits <= differ and (bits - differ) % 2 == 0
+    assert parity(x) == parity(rng.permutation(x))
+
+
 def test_long_texts_are_signed_in_parts(spark, monkeypatch):
     rows = groups(6)
     whole = sorted(found(spark, rows))
