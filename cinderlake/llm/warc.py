@@ -17,7 +17,8 @@ smallest id carries the payload; the others are revisits that refer to it.
 
 Defined results: a null page is the empty payload; payloads below ``least_bytes``
 are all responses; rows that repeat the smallest id are responses as well; pages of
-one id are each a record, by their own payload; a null id goes to the first shard; a
+one id are each a record, by their own payload; a null id goes to the first shard, and
+revisits the page with the smallest id of its payload (pages without any are responses); a
 null url has no target field and comes back as null; white space and control
 characters in a url are percent-encoded; repeated rows are records of their own; an
 empty table gives no files; extra columns are ignored; a page of any length is one
@@ -189,7 +190,7 @@ def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     first = staged(
         keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to"), "warc-first"
     )
-    return keys.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    return keys.join(first, "digest").where("page_id is distinct from refers_to and refers_to is not null").select("page_id", "digest", "refers_to").distinct()
 
 
 def shard_cuts(pages: DataFrame, shards: int, n_rows: int) -> list[int]:
@@ -213,7 +214,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     is_again = F.col("refers_to").isNotNull() & (F.col("size") >= least_bytes)
     # An id may occur with several pages.
-    same = (F.col("page_id") == F.col("again_id")) & (F.unhex("digest") == F.col("again_digest"))
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.unhex("digest") == F.col("again_digest"))
     rows = rows.join(again, same, "left").select(
         shard_of("page_id").alias("shard"), "page_id", "url", "digest", "size", F.when(is_again, F.col("refers_to")).alias("refers_to"), F.when(~is_again, F.col("html")).alias("html")
     )

@@ -125,15 +125,16 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_tells_pages_of_one_id_apart(spark):
     a, b = "a" * 150, "b" * 150
-    rows = [(3, "u", a), (5, "u", a), (5, "v", b), (4, "w", b), (9, "x", b), (6, "y", a), (6, "z", "c" * 150), (None, "n", a)]
+    rows = [(3, "u", a), (5, "u", a), (5, "v", b), (4, "w", b), (9, "x", b), (6, "y", a), (6, "z", "c" * 150), (None, "n", a), (None, "o", "d" * 150), (None, "o", "d" * 150), (None, "p", "e")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = warc.read_warc(warc.write_warc(df, new_path(spark, "warc"))).collect()
     urls = {r.page_id: r.url for r in warc.read_warc(warc.write_warc(spark.createDataFrame([(1, None, "x"), (2, "a b\n", "x"), (2, "a b\n", "x"), (3, "", "x")], "page_id long, url string, html string"), new_path(spark, "warc"))).collect()}
     assert urls == {1: None, 2: "a%20b%0A", 3: ""}
-    want = {("u", a): 3, ("v", b): 4, ("x", b): 4, ("y", a): 3}
+    want = {("u", a): 3, ("v", b): 4, ("x", b): 4, ("y", a): 3, ("n", a): 3}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     refs = sorted(((i, u, sha(t), want.get((u, t)) if i != 3 else None) for i, u, t in rows), key=repr)
     assert sorted(((r.page_id, r.url, r.payload_digest, r.refers_to) for r in got), key=repr) == refs
+    assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in got)
 
 
 # Chat
