@@ -83,7 +83,7 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).collect() == []
 
 
-def test_url_classifier_on_held_out_words():
+def test_url_classifier_on_held_out_rows():
     import numpy as np
 
     rows = url_filter.labelled_urls()
