@@ -162,7 +162,7 @@ def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(rows.agg(F.max("ts")).first()[0])
     cache = feeds.ResponseCache(spark, storage.new_folder(spark, "cache"), 86_400)
     second = [cache.record(rows.where(F.col("event_id") % 3 == g)) for g in (0, 1)][-1]
-    cache.compact()
+    cache.compact(now)
     cache.record(rows.where("event_id % 3 = 2"))
     asked = rows.where("user_id % 2 = 1").select("method", "url", "body_match")
     status = F.when(F.col("url").cast("long") % 3 == 0, 503).when(F.col("url").cast("long") % 3 == 1, 404).otherwise(200)

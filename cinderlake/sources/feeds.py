@@ -175,11 +175,14 @@ class ResponseCache:
     def fresh(self, now: Column, version: int | None = None) -> DataFrame:
         return fresh(self.log.rows(version), now, self.ttl).drop("generation")
 
-    def compact(self) -> int:
-        """Of each request, the newest response stays."""
-        key = ["method", "url", "body_match"]
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("fetched_at").desc(), "status", "body", "generation"))
-        return self.log.compact(lambda rows: rows.withColumn("_p", place).where("_p = 1").drop("_p"))
+    def compact(self, now: Column | None = None) -> int:
+        """Of each request, the newest response that isn't from the future stays, and all that are.
+
+        At ``now`` (by default the time of the call) and later, the log serves what it served before; earlier times need an earlier version.
+        """
+        later = F.coalesce(F.unix_timestamp("fetched_at") > F.unix_timestamp(F.current_timestamp() if now is None else now), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("method", "url", "body_match").orderBy(F.col("fetched_at").desc(), "status", "body", "generation"))
+        return self.log.compact(lambda rows: rows.where(~later).withColumn("_p", place).where("_p = 1").drop("_p").unionByName(rows.where(later)))
 
     def fetch(self, requests: DataFrame, now: Column, fetcher: Callable[[DataFrame], DataFrame] = fetched) -> DataFrame:
         """``method, url, body_match, status, body, error`` of each distinct request (``method, url, body_match``).

@@ -91,6 +91,17 @@ def test_misses_are_fetched_once(spark, tmp_path):
     assert cache.fetch(requests.limit(0), later(0), fetcher).collect() == []
 
 
+def test_compaction_keeps_what_is_served_now(spark, tmp_path):
+    """A newer response that is still in the future replaces the older one only once its time has come."""
+    at = lambda s: F.timestamp_seconds(F.lit(1_000_000 + s))
+    cache = feeds.ResponseCache(spark, f"file://{tmp_path}/cache", ttl=100)
+    rows = spark.createDataFrame([("old", -20), ("served", -10), ("soon", 5), ("later", 9)], "body string, s int")
+    cache.record(rows.select(F.lit("GET").alias("method"), F.lit("u").alias("url"), F.lit("").alias("body_match"), F.lit(200).alias("status"), "body", F.timestamp_seconds(F.col("s") + 1_000_000).alias("fetched_at")))
+    cache.compact(at(0))
+    assert cache.log.rows().count() == 3
+    assert [cache.fresh(at(s)).first().body for s in (0, 4, 5, 8, 9)] == ["served", "served", "soon", "soon", "later"]
+
+
 def test_requests_are_fetched_in_tasks(spark):
     asked = spark.createDataFrame([("GET", "http://127.0.0.1:9/x", None), ("GET", "nonsense", None)], "method string, url string, body_match string")
     got = {r.url: (r.status, bool(r.error)) for r in feeds.fetched(asked, total=2).collect()}
