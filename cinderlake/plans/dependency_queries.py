@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import dependencies as D
-from .common import table
+from .common import dealt, table
 
 N = "replace(lower(p_name), ' ', '-')"
 NL = "chr(10)"
@@ -19,7 +19,7 @@ V = "CAST(p_size AS VARCHAR(9))"
 
 
 def _files(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("text"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(text).alias("text"))
 
 
 PACKAGE_JSON = f"""concat('{{"name":"x","dependencies":{{"', {N}, '":"^', {V}, '","local":"file:../x","gh":"owner/repo"}},"devDependencies":{{"al', {V}, '":"npm:@scope/target@^1","bare":"npm:plain"}},"peerDependencies":{{"', {N}, '":"*","g":"git+ssh://x"}}}}')"""

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 import time
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderlake.functions import hashing, jsontree, names
-from cinderlake.operators import allowlist, manifest, packages, surface
-from cinderlake.plans import package_queries
+from cinderlake.operators import allowlist, dependencies, manifest, packages, surface
+from cinderlake.plans import dependency_queries, package_queries
 from cinderlake.sources import feeds
 
 def now():
@@ -301,3 +302,36 @@ def test_http_feed_reports_transport_errors(spark):
     feeds.register(spark)
     rows = spark.read.format("http_feed").option("urls", "http://127.0.0.1:9/x\nnonsense").option("timeout", "2").load().collect()
     assert len(rows) == 2 and all(r.error and r.status is None for r in rows)
+
+
+def test_locks_cut_in_their_rows_equal_locks_scanned_by_line(spark, monkeypatch):
+    """Random lines, among them heads without a name, repeated sections and values, and files of no block."""
+    rng = random.Random(3)
+    yarn = ["a@^1:", '"@s/b@^1", "@s/b@^2":', ":", "x:", '  version "1"', "  version 2  ", '  resolved "https://r/x"', "  integrity sha512-x", "# note", "", "\t", "    deep:", "__metadata:", "  version:"]
+    pnpm = ["packages:", "other:", "  /a@1(p@2):", "  '@s/b@2':", "  c@3:", "    resolution: {integrity: x, tarball: https://t/x}", "    resolution: {integrity: }", "    tarball: https://u", "      integrity: y", "  z:", "", "# n", "lockfileVersion: 6", "  bad"]
+    for reader, kinds in ((dependencies.yarn_lock, yarn), (dependencies.pnpm_lock, pnpm)):
+        files = [(i, rng.choice(["\n", "\r\n"]).join(rng.choice(kinds) for _ in range(rng.randint(0, 25)))) for i in range(150)] + [(900, None), (901, "")]
+        df = spark.createDataFrame(files, "f int, text string")
+        rows = lambda: sorted(map(tuple, reader(df, "f").select("f", "ord", "name", "version", "resolved", "has_integrity").collect()), key=repr)
+        monkeypatch.setattr(dependencies, "SHORT", 1 << 20)
+        short = rows()
+        monkeypatch.setattr(dependencies, "SHORT", -1)
+        assert short == rows() and len(short) > 50
+
+
+def test_plans_of_readers_broadcast_nothing_that_grows(spark, tmp_path):
+    """Sizes that are guessed from a small Parquet file don't make a broadcast of what is read from its texts."""
+    spark.range(50).write.parquet(f"{tmp_path}/k")
+    keys = spark.read.parquet(f"{tmp_path}/k").select(F.col("id").cast("string").alias("f"))
+    files = keys.withColumn("text", F.lit("a@1:\n  version 1"))
+    bodies = keys.select(F.lit("npm").alias("ecosystem"), F.col("f").alias("name"), F.lit(200).alias("status"), F.lit('{"vulns":[{"id":"A"}]}').alias("body"))
+    asked = keys.select(F.lit("npm").alias("ecosystem"), F.col("f").alias("name"), F.lit("1").alias("version"), F.lit("1").alias("effective"))
+    for df in (dependencies.yarn_lock(files, "f"), dependencies.pnpm_lock(files, "f"), packages.with_advisories(asked, feeds.advisories(bodies))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_made_of_a_small_table_are_dealt_over_cores(spark, tmp_path):
+    spark.range(64).selectExpr("id p_partkey", "'x y' p_name", "1 p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = dependency_queries.QUERIES["poetry_lock"](spark, str(tmp_path))
+    tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 2 and found.count() == 128
