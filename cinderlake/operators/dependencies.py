@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -198,6 +199,35 @@ def _blocks(rows: DataFrame, key: str, head: Column) -> DataFrame:
     return lines.running(rows.withColumn("head", head), key, sums={"ord": F.col("head").cast("int")}).where("ord > 0")
 
 
+#: Bytes of a file whose blocks are cut in its row; the lines of a longer one are dealt over tasks.
+SHORT = 1 << 20
+
+
+def _by_length(files: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    size = F.octet_length(F.col(text))
+    return files.where(size <= SHORT), files.where(size > SHORT)
+
+
+def _line_array(text: str) -> Column:
+    """Of a short file, what ``_lines`` gives of any."""
+    every = F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.regexp_replace(x, r"[ \t]+$", ""))
+    return F.filter(every, lambda x: ~x.rlike(r"^[ \t]*(#|$)"))
+
+
+def _cut(df: DataFrame, array: str, head: Callable[[Column], Column]) -> tuple[DataFrame, Column]:
+    """An array of lines in pieces that begin at heads; what comes before the first is left out."""
+    df = T.once(df, _starts=F.array_compact(F.transform(array, lambda x, i: F.when(head(x), i))))
+    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size(array))
+    return df, F.transform("_starts", lambda s, j: F.slice(array, s + 1, end(j) - s))
+
+
+def _cut_blocks(df: DataFrame, key: str, array: str, head: Callable[[Column], Column]) -> DataFrame:
+    """``key, ord``, a block's ``line`` (its head) and ``body``, the trimmed lines below it."""
+    df, pieces = _cut(df, array, head)
+    rows = df.select(key, F.posexplode(pieces).alias("ord", "rows"))
+    return T.once(rows.withColumn("ord", (F.col("ord") + 1).cast("long")), line=F.get("rows", F.lit(0)), body=F.transform(F.slice("rows", F.lit(2), F.size("rows") - 1), lambda x: F.trim(x)))
+
+
 def _unquoted(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
 
@@ -206,38 +236,102 @@ def _last(value: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.col("pos")))
 
 
-def yarn_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    line = F.col("line")
-    rows = _blocks(_lines(files, key, text), key, ~F.startswith(line, F.lit(" ")) & F.endswith(line, F.lit(":")))
-    body = F.trim(line)
-    value = lambda k: F.when(~F.col("head") & body.rlike(f"^{k}[ \t]"), _unquoted(F.substr(body, F.lit(len(k) + 1))))
-    first = _unquoted(F.substring_index(F.regexp_replace(line, ":+$", ""), ",", 1))
-    out = rows.groupBy(key, "ord").agg(
-        F.first(F.when(F.col("head"), names.descriptor_name(first)), ignorenulls=True).alias("name"), _last(value("version")).alias("version"),
-        _last(value("resolved")).alias("resolved"), F.bool_or(~F.col("head") & body.rlike("^integrity[ \t]")).alias("has_integrity"),
+def _last_of(body: Column, value: Callable[[Column], Column]) -> Column:
+    return F.try_element_at(F.array_compact(F.transform(body, value)), F.lit(-1))
+
+
+def _yarn_head(line: Column) -> Column:
+    return ~F.startswith(line, F.lit(" ")) & F.endswith(line, F.lit(":"))
+
+
+def _yarn_name(line: Column) -> Column:
+    return names.descriptor_name(_unquoted(F.substring_index(F.regexp_replace(line, ":+$", ""), ",", 1)))
+
+
+def _yarn_value(body: Column, k: str) -> Column:
+    return F.when(body.rlike(f"^{k}[ \t]"), _unquoted(F.substr(body, F.lit(len(k) + 1))))
+
+
+def _yarn_integrity(body: Column) -> Column:
+    return body.rlike("^integrity[ \t]")
+
+
+def _short_yarn(files: DataFrame, key: str, text: str) -> DataFrame:
+    rows = _cut_blocks(T.once(files.select(key, text), _lines=_line_array(text)), key, "_lines", _yarn_head)
+    value = lambda k: _last_of(F.col("body"), lambda x: _yarn_value(x, k))
+    return rows.select(
+        key, "ord", _yarn_name(F.col("line")).alias("name"), value("version").alias("version"), value("resolved").alias("resolved"), F.exists("body", _yarn_integrity).alias("has_integrity")
     )
-    return out.where("name is not null")
 
 
-def pnpm_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The ``packages:`` section, keys at an indent of two."""
+def _long_yarn(files: DataFrame, key: str, text: str) -> DataFrame:
     line = F.col("line")
-    top = ~F.startswith(line, F.lit(" "))
-    inside = lines.running(_lines(files, key, text), key, lasts={"section": F.when(top, F.regexp_replace(line, ":+$", ""))})
-    rows = _blocks(inside.where((F.col("section") == "packages") & ~top).drop("section"), key, line.rlike("^  [^ ]") & F.endswith(line, F.lit(":")))
+    rows = _blocks(_lines(files, key, text), key, _yarn_head(line))
     body = F.trim(line)
-    head_key = F.regexp_replace(_unquoted(F.regexp_replace(F.regexp_replace(body, ":+$", ""), "^/+", "")), r"\(.*$", "")
+    value = lambda k: F.when(~F.col("head"), _yarn_value(body, k))
+    return rows.groupBy(key, "ord").agg(
+        F.first(F.when(F.col("head"), _yarn_name(line)), ignorenulls=True).alias("name"), _last(value("version")).alias("version"),
+        _last(value("resolved")).alias("resolved"), F.bool_or(~F.col("head") & _yarn_integrity(body)).alias("has_integrity"),
+    )
+
+
+def yarn_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    short, long_ = _by_length(files, text)
+    return _short_yarn(short, key, text).unionByName(_long_yarn(long_, key, text)).where("name is not null")
+
+
+def _pnpm_top(line: Column) -> Column:
+    return ~F.startswith(line, F.lit(" "))
+
+
+def _pnpm_head(line: Column) -> Column:
+    return line.rlike("^  [^ ]") & F.endswith(line, F.lit(":"))
+
+
+def _pnpm_key(line: Column) -> Column:
+    return F.regexp_replace(_unquoted(F.regexp_replace(F.regexp_replace(F.trim(line), ":+$", ""), "^/+", "")), r"\(.*$", "")
+
+
+def _pnpm_tarball(body: Column) -> Column:
     inline = F.when(body.rlike(r"^resolution:\s*\{"), body)
-    tarball = F.coalesce(
+    return F.coalesce(
         _blank_null(_unquoted(F.regexp_extract(inline, r"[{,]\s*tarball:([^,}]*)", 1))), _blank_null(_unquoted(F.regexp_extract(body, "^tarball:(.*)$", 1)))
     )
-    integrity = inline.rlike(r"[{,]\s*integrity:\s*[^,}\s]") | body.rlike(r"^integrity:\s*\S")
-    out = rows.groupBy(key, "ord").agg(
+
+
+def _pnpm_integrity(body: Column) -> Column:
+    inline = F.when(body.rlike(r"^resolution:\s*\{"), body)
+    return F.coalesce(inline.rlike(r"[{,]\s*integrity:\s*[^,}\s]") | body.rlike(r"^integrity:\s*\S"), F.lit(False))
+
+
+def _short_pnpm(files: DataFrame, key: str, text: str) -> DataFrame:
+    df, sections = _cut(T.once(files.select(key, text), _lines=_line_array(text)), "_lines", _pnpm_top)
+    inside = F.filter(sections, lambda x: F.regexp_replace(F.get(x, F.lit(0)), ":+$", "") == "packages")
+    df = T.once(df, _packages=F.flatten(F.transform(inside, lambda x: F.slice(x, F.lit(2), F.size(x) - 1)))).drop("_starts")
+    rows = T.once(_cut_blocks(df, key, "_packages", _pnpm_head), _key=_pnpm_key(F.col("line")))
+    return rows.select(
+        key, "ord", names.descriptor_name(F.col("_key")).alias("name"), names.descriptor_version(F.col("_key")).alias("version"),
+        _last_of(F.col("body"), _pnpm_tarball).alias("resolved"), F.exists("body", _pnpm_integrity).alias("has_integrity"),
+    )
+
+
+def _long_pnpm(files: DataFrame, key: str, text: str) -> DataFrame:
+    line = F.col("line")
+    top = _pnpm_top(line)
+    inside = lines.running(_lines(files, key, text), key, lasts={"section": F.when(top, F.regexp_replace(line, ":+$", ""))})
+    rows = _blocks(inside.where((F.col("section") == "packages") & ~top).drop("section"), key, _pnpm_head(line))
+    body, head_key = F.trim(line), _pnpm_key(line)
+    return rows.groupBy(key, "ord").agg(
         F.first(F.when(F.col("head"), names.descriptor_name(head_key)), ignorenulls=True).alias("name"),
         F.first(F.when(F.col("head"), names.descriptor_version(head_key)), ignorenulls=True).alias("version"),
-        _last(F.when(~F.col("head"), tarball)).alias("resolved"), F.bool_or(~F.col("head") & F.coalesce(integrity, F.lit(False))).alias("has_integrity"),
+        _last(F.when(~F.col("head"), _pnpm_tarball(body))).alias("resolved"), F.bool_or(~F.col("head") & _pnpm_integrity(body)).alias("has_integrity"),
     )
-    return out.where("name is not null")
+
+
+def pnpm_lock(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The ``packages:`` section, keys at an indent of two."""
+    short, long_ = _by_length(files, text)
+    return _short_pnpm(short, key, text).unionByName(_long_pnpm(long_, key, text)).where("name is not null")
 
 
 def hashed_requirements(files: DataFrame, key: str, text: str = "text") -> DataFrame:

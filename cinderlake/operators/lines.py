@@ -26,5 +26,6 @@ def running(lines: DataFrame, key: str, sums: dict[str, Column] | None = None, l
     )
     inside = Window.partitionBy(key, "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums} | {f"_{n}": F.last(f"_{n}", ignorenulls=True).over(inside) for n in lasts})
-    met = local.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at")))
+    # Both sides grow with the files, so their static estimates mustn't make one a broadcast.
+    met = local.join(carried.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_at")))
     return met.select(*lines.columns, *[(F.col(f"_before_{n}") + F.col(f"_{n}")).alias(n) for n in sums], *[F.coalesce(f"_{n}", f"_before_{n}").alias(n) for n in lasts])
