@@ -96,7 +96,8 @@ def with_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     inside = F.coalesce(F.exists("ranges", lambda r: (F.col("_key") >= r["low"]) & below(r)), F.lit(False))
     listed = F.coalesce(F.array_contains("affected", F.col("effective")), F.lit(False))
     everything = F.col("effective").isNull() | (F.col("affected").isNull() & F.col("ranges").isNull())
-    hit = asked.join(a, ["ecosystem", "name"]).where(everything | listed | inside)
+    # Feeds and packages both grow, and what is parsed from a feed is larger than its files let Spark guess: no broadcast.
+    hit = asked.join(a.hint("merge"), ["ecosystem", "name"]).where(everything | listed | inside)
     mal = F.startswith("id", F.lit("MAL-"))
     per = hit.groupBy("ecosystem", "name", "version").agg(
         F.array_sort(F.collect_set(F.when(mal, F.col("id")))).alias("malicious_ids"),
@@ -106,7 +107,7 @@ def with_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     key = ["ecosystem", "name"]
     p = per.select(*[F.col(k).alias(f"_{k}") for k in (*key, "version")], "malicious_ids", "malicious_summary", "vulnerabilities")
     on = (F.col("ecosystem") == F.col("_ecosystem")) & (F.col("name") == F.col("_name")) & F.col("version").eqNullSafe(F.col("_version"))
-    out = packages.join(p, on, "left").drop("_ecosystem", "_name", "_version")
+    out = packages.join(p.hint("merge"), on, "left").drop("_ecosystem", "_name", "_version")
     return out.withColumn("malicious_ids", F.coalesce("malicious_ids", F.array().cast("array<string>"))).withColumn(
         "vulnerabilities", F.coalesce("vulnerabilities", F.array().cast("array<struct<id:string,severity:string>>"))
     )

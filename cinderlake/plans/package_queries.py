@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import corpora, names
 from ..operators import allowlist, packages
 from ..sources import feeds as source_feeds
-from .common import quoted, table
+from .common import dealt, quoted, table
 
 NOW = "1998-12-01 00:00:00"
 ECO = "CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END"
@@ -219,7 +219,7 @@ def _advisory_body(kind: int) -> str:
 
 def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which advisories each part's version is affected by."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(ECO).alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.expr(VERSION).alias("version"))
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(ECO).alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.expr(VERSION).alias("version"))
     bodies = p.select("ecosystem", "name", F.lit(200).alias("status"), F.when(F.col("ecosystem") == "pypi", _advisory_body(1)).otherwise(_advisory_body(0)).alias("body"))
     found = packages.with_advisories(p.withColumn("effective", F.col("version")), source_feeds.advisories(bodies))
     return found.select("p_partkey", "version", F.array_join(F.transform("vulnerabilities", lambda v: v["id"]), ",").alias("ids"))

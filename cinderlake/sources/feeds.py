@@ -298,11 +298,9 @@ def version_ranges(ecosystem: Column, events: Column) -> Column:
     ends = F.filter(ends, lambda e: e["high"].isNotNull())
     starts = F.filter(F.transform(events, lambda e: key(e["introduced"])), lambda low: low.isNotNull())
 
-    def interval(low: Column) -> Column:
-        end = F.array_min(F.filter(ends, lambda e: e["high"] >= low))  # one that is fixed where it was introduced is empty
-        return F.struct(low.alias("low"), end["high"].alias("high"), F.coalesce(end["closed"], F.lit(False)).alias("closed"))
-
-    return F.transform(starts, interval).cast(RANGES)
+    # One that is fixed where it was introduced is empty.
+    met = F.transform(starts, lambda low: F.struct(low.alias("low"), F.array_min(F.filter(ends, lambda e: e["high"] >= low)).alias("end")))
+    return F.transform(met, lambda m: F.struct(m["low"].alias("low"), m["end"]["high"].alias("high"), F.coalesce(m["end"]["closed"], F.lit(False)).alias("closed"))).cast(RANGES)
 
 
 def advisories(bodies: DataFrame) -> DataFrame:
