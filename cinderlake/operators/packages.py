@@ -276,6 +276,8 @@ def provenance(reports: DataFrame, attested: DataFrame, keys: list[str]) -> Data
 
 #: Predicted names that are verified, by default.
 PREDICTED = 80
+#: Names of a project whose variants are worked out in one row.
+FEW_NAMES = 64
 
 
 def directory() -> Column:
@@ -329,6 +331,12 @@ def predicted_names(existing: DataFrame, limit: int | None = None, key: str = "e
         place = F.row_number().over(Window.partitionBy(key).orderBy("at", "predicted"))
         return variants.join(met, [*keys, "predicted"], "left_anti").withColumn("_rank", place)
 
+    few_names = None
+    if limit is not None and key != "ecosystem":
+        few_names, existing = _predicted_in_rows(existing, limit, keys, magnets)
+        own, known, taken = (x.join(existing.select(key).distinct(), key, "left_semi") for x in (own, known, taken))
+        if existing.isEmpty():
+            return few_names
     if limit is None:
         return fresh(own, known).select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
     seeds = max(limit, 16)
@@ -339,10 +347,39 @@ def predicted_names(existing: DataFrame, limit: int | None = None, key: str = "e
         found = fresh(first.where(F.col("_r") <= seeds).drop("_r"), known.join(more, key, "left_anti")).where(F.col("_rank") <= limit)
         few = more.join(found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= limit), key, "left_anti")
         if more.isEmpty() or few.isEmpty():
-            return found.select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
+            found = found.select(*keys, "predicted", (F.col("_rank") - 1).alias("ord"))
+            return found if few_names is None else few_names.unionByName(found)
         seeds *= 4
 
 
+def _predicted_in_rows(existing: DataFrame, limit: int, keys: list[str], magnets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``predicted_names`` of the keys with at most ``FEW_NAMES`` names, each worked out in one row, and the existing names of the other keys.
+
+    What is shuffled are the existing names, not their many variants.
+    """
+    place = F.row_number().over(Window.partitionBy(keys[0]).orderBy("ord", "name"))
+    # A few bytes of names become many rows, so tasks aren't joined by how little they read.
+    spark = existing.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = existing.select(*keys, "name", F.col("ord").cast("long").alias("ord")).repartition(tasks, keys[0]).withColumn("_r", place).where(F.col("_r") <= FEW_NAMES + 1)
+    seed = names.base_name(F.col("name"))
+    own = F.when(seed != "", F.struct(F.lit(0).alias("group"), F.col("ord").alias("place"), seed.alias("seed")))
+    per = rows.groupBy(keys[0], "ecosystem").agg(F.collect_list(own).alias("_own"), F.collect_list(F.lower("name")).alias("_taken"), F.max("_r").alias("_last"))
+    per = per.withColumn("_last", F.max("_last").over(Window.partitionBy(keys[0])))
+    # Three rows, one an ecosystem.
+    known = magnets.groupBy("ecosystem").agg(F.collect_list(F.struct(F.lit(1).alias("group"), "place", "seed")).alias("_known"))
+    affixes = _affixes(spark).groupBy("ecosystem").agg(F.collect_list(F.struct("affix_ord", "prefix", "suffix")).alias("_affixes"))
+    met = per.where(F.col("_last") <= FEW_NAMES).join(F.broadcast(known), "ecosystem", "left").join(F.broadcast(affixes), "ecosystem")
+    seeds = F.concat("_own", F.coalesce("_known", F.array().cast("array<struct<group:int,place:bigint,seed:string>>")))
+    variant = lambda s, a: F.struct(s["group"].alias("group"), s["place"].alias("place"), a["affix_ord"].alias("affix_ord"), F.lower(F.concat(a["prefix"], s["seed"], a["suffix"])).alias("predicted"))
+    variants = F.flatten(F.transform(seeds, lambda s: F.transform("_affixes", lambda a: variant(s, a))))
+    # In order of their places; a name that comes again counts once, at its first, and one that is taken not at all.
+    fresh = F.array_except(F.transform(F.sort_array(variants), lambda v: v["predicted"]), F.col("_taken"))
+    made = met.select(*keys, fresh.alias("_fresh")).select(*keys, F.posexplode(F.slice("_fresh", 1, limit)).alias("ord", "predicted"))
+    big = existing.groupBy(keys[0]).agg(F.count("*").alias("n")).where(F.col("n") > FEW_NAMES).select(keys[0])
+    return made.select(*keys, "predicted", "ord"), existing.join(big, keys[0], "left_semi")
+
+
 def fresh_squat(created: Column, downloads: Column, now: Column) -> Column:
     """At most a year old and hardly used; unknown use counts as little."""
     age = names.age_days(created, now)

@@ -335,3 +335,18 @@ def test_files_made_of_a_small_table_are_dealt_over_cores(spark, tmp_path):
     found = dependency_queries.QUERIES["poetry_lock"](spark, str(tmp_path))
     tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks > 2 and found.count() == 128
+
+
+def test_names_predicted_in_rows_equal_names_predicted_by_joins(spark, monkeypatch):
+    """Projects with few, many, scoped, empty and repeated names, and one without any; variants aren't shuffled for the first kind."""
+    rng = random.Random(4)
+    pool = ["react", "widget", "@acme/Widget", "react-cli", "@x/", "", "Flask", "lib", "py-lib", "lib-utils", None]
+    rows = [(f"d{d}", ("npm", "pypi", "crates")[d % 3], rng.choice(pool) if d % 4 else f"n{i}", i) for d in range(20) for i in range(rng.choice([1, 3, 8]))]
+    df = spark.createDataFrame(rows, "directory string, ecosystem string, name string, ord long")
+    got = lambda: sorted(map(tuple, packages.predicted_names(df, 30, "directory").collect()))
+    monkeypatch.setattr(packages, "FEW_NAMES", 64)
+    few, plan = got(), packages.predicted_names(df, 30, "directory")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(few) > 400 and "affix_ord" in plan and "min(struct" not in plan
+    for n in (0, 3):
+        monkeypatch.setattr(packages, "FEW_NAMES", n)
+        assert got() == few
