@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from ..functions import corpora, hashing, jsontree
 from ..functions import text as T
 from ..schemas import TOOL
+from ..sources import storage
 from . import allowlist, text_rules
 from .text_rules import finding
 
 
 def tools_array(text: Column) -> Column:
     """The tools of a manifest as a JSON array: an object with ``tools``, one wrapped in ``result`` (which goes first), a bare array, or a single tool."""
-    v = F.try_parse_json(text)
+    return _tools_of(F.try_parse_json(text))
+
+
+def _tools_of(v: Column) -> Column:
     at = lambda path: F.try_variant_get(v, path, "variant")
     is_array = lambda x: F.startswith(F.schema_of_variant(x), F.lit("ARRAY"))
     return (
@@ -34,8 +38,8 @@ def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text") -> Da
     for native expressions are read by ``jsontree.deep_tools``.
     """
     schema = f"ARRAY<STRUCT<{TOOL.replace(' STRING', ': STRING')}>>"
-    native = F.from_json(tools_array(F.col(text)), schema)
-    rows = manifests.select(*keys, native.alias("_native"), F.when(F.try_parse_json(F.col(text)).isNull(), F.col(text)).alias("_deep"))
+    rows = T.once(manifests, _v=F.try_parse_json(F.col(text)))
+    rows = T.once(rows, _native=F.from_json(_tools_of(F.col("_v")), schema)).select(*keys, "_native", F.when(F.col("_v").isNull(), F.col(text)).alias("_deep"))
     rows = rows.select(*keys, F.coalesce("_native", jsontree.deep_tools(F.col("_deep")).cast(schema)).alias("_tools"))
     out = rows.select(*keys, F.col("_tools").isNull().alias("error"), F.posexplode_outer("_tools").alias("ord", "tool"))
     return out.select(
@@ -156,6 +160,10 @@ def scan_manifests(manifests: DataFrame, manifest: str, text: str = "text", fing
         known, rest = allowlist.split_trusted(manifests.withColumn("fingerprint", hashing.manifest_fingerprint(tools_array(F.col(text)))), fingerprints, "manifest")
         marks = allowlist.trusted_marker(known.select(manifest, F.lit(None).cast("int").alias("ord")), [manifest, "ord"], F.col(manifest).cast("string"))
         return scan_manifests(rest, manifest, text).unionByName(marks)
-    tools = parse_tools(manifests, [manifest], text)
+    tools = parse_tools(manifests, [manifest], text).where("error or name is not null")
+    # Four scans read the tools, so manifests are parsed once, into a table.
+    path = storage.new_folder(manifests.sparkSession, "tools")
+    tools.write.parquet(path)
+    tools = manifests.sparkSession.read.schema(tools.schema).parquet(path)
     unread = [F.when(F.col("error"), finding("HIGH", "unreadable-manifest", "no tools can be read from it", None, -9))]
     return scan_tools(tools, manifest).unionByName(text_rules.scan_rules(tools.where("error"), [manifest, "ord"], unread, F.col(manifest).cast("string")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import corpora, hashing, jsontree
 from ..operators import manifest
-from .common import ALOW, any_sql, fnv_sql, table, text_findings_sql
+from .common import ALOW, any_sql, dealt, fnv_sql, table, text_findings_sql
 
 #: Parts as tools: a manifest per brand.
 NAME = "CASE p_partkey % 50 WHEN 0 THEN 'Read_File' WHEN 1 THEN 'bash' WHEN 2 THEN 'ab' WHEN 3 THEN 'system-prompt' ELSE p_name END"
@@ -53,7 +53,7 @@ DEEP = """CASE event_id % 50 WHEN 0 THEN concat('{"tools":[{"name":"t', CAST(eve
 
 
 def manifest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", F.expr(DEEP).alias("text"))
+    rows = dealt(table(spark, sf_dir, "events"), "event_id").select("event_id", F.expr(DEEP).alias("text"))
     return manifest.scan_manifests(rows, "event_id").select("event_id", "tool", "severity", "category")
 
 
