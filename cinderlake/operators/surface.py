@@ -120,6 +120,10 @@ def hook_commands(nodes: DataFrame) -> DataFrame:
     return hooks.select("source", F.col("value").alias("command"), is_network(F.col("value")).alias("network"))
 
 
+#: Keys that settings_findings looks at.
+SETTINGS_KEYS = list(dict.fromkeys([*corpora.AUTO_APPROVE_KEYS, *corpora.MODE_KEYS, "command", "args"]))
+
+
 def settings_findings(nodes: DataFrame) -> DataFrame:
     """Settings that widen what an agent does by itself: ``source, kind, detail, severity``."""
     key, kind, value = F.col("key"), F.col("kind"), F.col("value")
@@ -163,17 +167,18 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def audit(configs: DataFrame, instructions: DataFrame) -> dict[str, DataFrame]:
     """``configs``: ``ord, source, text``; ``instructions``: ``source, text``.  The relations of an audit."""
-    parsed = configs.select("ord", "source", F.posexplode(jsontree.tool_servers(F.col("text"))).alias("place", "server")).select("ord", "source", "place", "server.*")
+    own = configs.withColumn("text", jsontree.may_hold(["mcpServers"], F.col("text"))).where("text is not null")
+    parsed = own.select("ord", "source", F.posexplode(jsontree.tool_servers(F.col("text"))).alias("place", "server")).select("ord", "source", "place", "server.*")
     servers = first_seen(parsed.where("spec is not null"), ["spec"], ["ord", "place"]).select("source", "name", "spec")
     pairs = parsed.select("ord", "source", F.col("name").alias("server"), F.inline("pairs"))
     pairs = pairs.withColumn("kind", secret_kind(F.col("key"), F.col("value"))).where("kind is not null")
     secrets = first_seen(pairs, ["source", "server", "key"], ["ord", "value"]).select("source", "server", "key", "kind", redacted(F.col("value")).alias("redacted"))
-    nodes = config_nodes(configs)
+    read = lambda keys: configs.where(jsontree.may_hold(keys, F.col("text")).isNotNull()).select("source", F.inline(jsontree.nodes_of(keys, F.col("text"))))
     return {
         "servers": servers,
         "secrets": secrets,
-        "hooks": hook_commands(nodes).distinct(),
-        "settings": settings_findings(nodes),
+        "hooks": hook_commands(read(["command"])).distinct(),
+        "settings": settings_findings(read(SETTINGS_KEYS)),
         "texts": text_rules.scan_text(instructions.withColumn("label", F.col("source")), ["source"]),
     }
 
