@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def staged(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a few numbers that are worth a broadcast: some megabytes at most.
+FEW_ROWS = 1 << 16
+
+
+def hint_for(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The hint to broadcast what has as many rows of a few numbers as ``df``, a staged table, if these are few, else none.
+
+    Spark guesses sizes from files, and many small files look large to it.
+    """
+    return F.broadcast if df.count() <= FEW_ROWS else lambda x: x
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else.  ``lower`` does that for pure ASCII."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hint_for, staged
 
 
 def components(edges: DataFrame, tag: str = "components", max_rounds: int = 200) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 200)
     that is left.  The rounds end when no label changes.  Labels are staged after
     every round, so a lost executor costs one round.  Minima are pre-aggregated
     before each shuffle, and the staged tables leave plain exchanges under the
-    joins, whose hot keys (a hub's label) Spark broadcasts or splits.
+    joins, whose hot keys (a hub's label) Spark broadcasts or splits.  Labels of few
+    edges are broadcast, so that a round of a small graph shuffles minima only.
     """
     both = staged(
         edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
@@ -25,17 +26,18 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 200)
         .distinct(),
         f"{tag}-edges",
     )
+    hinted = hint_for(both)
     labels = staged(
         both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("comp")), f"{tag}-labels"
     )
     for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("comp").alias("heard"))
+        heard = both.join(hinted(labels.withColumnRenamed("node", "near")), "near").groupBy("node").agg(F.min("comp").alias("heard"))
         lower = staged(
-            labels.join(heard, "node", "left").select("node", "comp", F.least("comp", "heard").alias("low")), f"{tag}-round"
+            labels.join(hinted(heard), "node", "left").select("node", "comp", F.least("comp", "heard").alias("low")), f"{tag}-round"
         )
         up = lower.select(F.col("node").alias("low"), F.col("low").alias("top"))
         jumped = staged(
-            lower.join(up, "low", "left").select("node", F.coalesce("top", "low").alias("comp"), F.col("comp").alias("was")), f"{tag}-labels"
+            lower.join(hinted(up), "low", "left").select("node", F.coalesce("top", "low").alias("comp"), F.col("comp").alias("was")), f"{tag}-labels"
         )
         labels = jumped.select("node", "comp")
         if jumped.where("comp <> was").isEmpty():

@@ -29,7 +29,7 @@ The steps as Spark jobs:
 5. Lists that still hold several components are open.  While all pairs of their
    components would be many more than a few pairs a row, a round deals each open
    list in a seeded order, pairs every row with the next rows of other components
-   (twice as many each round), verifies these pairs once and contracts what they
+   (4, then 32, then twice as many each round), verifies these pairs once and contracts what they
    link.  Pairs within a component add no reachability, so they are never made: a
    group of near copies costs its size a round, not its square, even where the text
    that they were made from is absent.
@@ -64,7 +64,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, tasks_for
+from .common import hint_for, staged, table, tasks_for
 from .graph import components
 from .shingles import fingerprint, shingle_sets
 
@@ -76,8 +76,8 @@ SEEN = 1 << 18
 LIST_ROWS = 1 << 16
 #: Rows of an open list that a round deals to one task, about, or more where it pairs each with many.
 PART_ROWS = 1 << 10
-#: Rows that the first round pairs each row of an open list with.
-WIDTH = 4
+#: Rows that the first round pairs each row of an open list with, and those of the second round, which later ones double.
+WIDTH, WIDE = 4, 32
 FIRST = ["doc_id", "n", "cls", "sketch", "block", "counts"]
 
 
@@ -481,16 +481,17 @@ def verify(rows: DataFrame, first: DataFrame, classes: DataFrame, pairs: DataFra
     documents keep most other sketches and sets from being shuffled; they pass every
     document that is wanted, so the joins after them stay exact.
     """
-    pairs = pairs.join(classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a")
-    pairs = staged(pairs.join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select(*PAIR), f"{tag}-keyed")
+    hinted = hint_for(pairs)
+    pairs = hinted(pairs).join(classes.select(F.col("cls").alias("a"), F.col("key").alias("key_a")), "a")
+    pairs = staged(hinted(pairs).join(classes.select(F.col("cls").alias("b"), F.col("key").alias("key_b")), "b").select(*PAIR), f"{tag}-keyed")
     bitmaps, width = _bitmaps(pairs)
     held = first.where("sketch is not null").select(F.coalesce("doc_id", "cls").alias("key"), "cls", "sketch")
     sketches = staged(held.mapInArrow(_wanted_sketches(bitmaps, width), "cls long, as_a boolean, as_b boolean, sketch binary"), f"{tag}-sketches")
-    both = _with_both(pairs, sketches, "sketch").select(*PAIR, "sketch_a", "sketch_b")
+    both = _with_both(hinted(pairs), sketches, "sketch").select(*PAIR, "sketch_a", "sketch_b")
     near = staged(both.mapInArrow(_near(num, den), "a long, b long, key_a long, key_b long").distinct(), f"{tag}-near")
     bitmaps, width = _bitmaps(near)
     sets = staged(rows.mapInArrow(_wanted_sets(k, bitmaps, width), "cls long, as_a boolean, as_b boolean, set binary"), f"{tag}-sets")
-    both = _with_both(near, sets, "set").select("a", "b", "set_a", "set_b")
+    both = _with_both(hint_for(near)(near), sets, "set").select("a", "b", "set_a", "set_b")
     return staged(both.mapInArrow(_verified(num, den), "a long, b long"), f"{tag}-links")
 
 
@@ -618,7 +619,7 @@ def settle(
         if not more.isEmpty():
             comp = _contracted(comp, verify(rows, first, classes, more, k, num, den, step), f"{step}-comp")
             done = done.unionByName(more)
-        posts, width = open_posts.select("h", "cls", "np"), 2 * width
+        posts, width = open_posts.select("h", "cls", "np"), max(WIDE, 2 * width)
     return comp
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -177,3 +178,28 @@ def test_an_id_with_two_texts(spark):
     rows = [(1, one), (1, two), (2, two + " more"), (3, one + " more"), (4, " ".join(f"c{i}" for i in range(60)))]
     got = {(r.doc_id, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_lists_of_texts_that_do_not_link_take_two_steps(spark, monkeypatch):
+    """Texts that share one or two of their three passages leave lists open: one round, then the exact join."""
+    steps, exact = [], []
+    opened, joined = ngram_join_module._open_lists, ngram_join_module._all_pairs
+    monkeypatch.setattr(ngram_join_module, "_open_lists", lambda *a: steps.append(opened(*a)) or steps[-1])
+    monkeypatch.setattr(ngram_join_module, "_all_pairs", lambda *a: exact.append(1) or joined(*a))
+    passages = [[f"p{i}-{j}" for j in range(40)] for i in range(8)]
+    texts = [" ".join(w for p in three for w in p) for three in itertools.permutations(passages, 3)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain(rows)
+    assert steps[0][2] > 4 * 4 * steps[0][1]  # too many pairs for the exact join at once
+    assert len(steps) == 2 and exact == [1]
+
+
+def test_joins_of_few_rows_are_broadcast(spark):
+    """Rows in many small files look large to Spark, but their number is known."""
+    from cinderlake.llm import common
+
+    few = common.staged(spark.range(2_000).repartition(100), "few")
+    assert "hint" in common.hint_for(few)(few)._jdf.queryExecution().logical().toString().lower()
+    many = spark.range(common.FEW_ROWS + 1)
+    assert common.hint_for(many)(many) is many
