@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import cards as card_rules
 from ..operators import dependencies, drift, manifest, packages, surface, text_rules
-from ..sources import logs
+from ..sources import logs, storage
 from . import requests
 
 Handler = Callable[[DataFrame], DataFrame]
@@ -284,16 +284,22 @@ def inspect(feeds: dict[str, DataFrame], now: Column) -> Handler:
 # Locks
 
 def _asked(calls: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls whose ``paths`` all are manifests (``call, lock``), the others with a reason, and the tools of the good ones (``call, path`` and a tool, or nulls for a source without any)."""
+    """Calls whose ``paths`` all are manifests (``call, lock``), the others with a reason, and the tools of the good ones (``call, path`` and a tool, or nulls for a source without any).
+
+    Manifests are parsed once, dealt over all cores, and each of the three is made once: their readers are many.
+    """
     rows = calls.select("call", F.coalesce(argument("lock"), F.lit(DEFAULT_LOCK)).alias("lock"), arguments("paths").alias("paths")).where("paths is not null")
-    paths = rows.select("call", "lock", F.explode(F.array_distinct("paths")).alias("path"))
-    parsed = manifest.parse_tools(files.join(paths.select("path").distinct(), "path", "left_semi"), ["path"])
+    paths = storage.staged(rows.select("call", "lock", F.explode(F.array_distinct("paths")).alias("path")), "asked")
+    wanted = files.join(paths.select("path").distinct(), "path", "left_semi").select("path", "text")
+    wanted = wanted.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "path")
+    parsed = storage.staged(manifest.parse_tools(wanted, ["path"]), "tools")
     tools = drift.locked_tools(parsed.where("not error")).drop("error")
     known = parsed.groupBy("path").agg(F.bool_or("error").alias("error"))
     checked = paths.join(known, "path", "left").groupBy("call", "lock").agg(F.min(F.when(F.coalesce("error", F.lit(True)), F.col("path"))).alias("wrong"))
+    checked = storage.staged(checked, "checked")
     good = checked.where("wrong is null").select("call", "lock")
     bad = checked.where("wrong is not null").select("call", F.concat(F.lit("no manifest at "), F.col("wrong")).alias("result"), F.lit(True).alias("is_error"))
-    return good, bad, paths.join(good.select("call"), "call", "left_semi").join(tools, "path")
+    return good, bad, storage.staged(paths.join(good.select("call"), "call", "left_semi").join(tools, "path"), "met")
 
 
 def locks(files: DataFrame, log: logs.Log, writer: str = "locks") -> Callable[[int], dict[str, Handler]]:
@@ -322,8 +328,8 @@ def locks(files: DataFrame, log: logs.Log, writer: str = "locks") -> Callable[[i
             unknown = good.join(held.select("lock").distinct(), "lock", "left_anti").select("call", F.concat(F.lit("no lock at "), F.col("lock"), F.lit("; run lock first")).alias("result"), F.lit(True).alias("is_error"))
             source = F.struct("call", F.col("path").alias("source")).alias("path")
             fields = ["name", "description", "input_schema", "annotations"]
-            locked = known.join(held.where("path is not null"), "lock").select(source, *fields)
-            current = tools.join(known.select("call"), "call", "left_semi").select(source, *fields)
+            locked = storage.staged(known.join(held.where("path is not null"), "lock").select(source, *fields), "locked")
+            current = storage.staged(tools.join(known.select("call"), "call", "left_semi").select(source, *fields), "current")
             changes = drift.drift(locked, current).select("path.call", "path.source", "severity_rank", "tool", "kind", "severity", "message", "evidence")
             per = changes.groupBy("call").agg(F.array_sort(F.collect_list(F.struct("severity_rank", "source", "tool", "kind", "severity", "message", "evidence"))).alias("_c"))
             kept = F.transform("_c", lambda c: F.struct(*[c[x].alias(x) for x in ("severity", "kind", "tool", "source", "message", "evidence")]))

@@ -354,3 +354,16 @@ def test_manifests_are_parsed_once(spark):
     found = manifest.scan_manifests(df, "path")
     assert {(r.path, r.category) for r in found.collect()} == {("m", "prompt-injection"), ("n", "unreadable-manifest")}
     assert "deep_tools" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lock_handlers_parse_manifests_once(spark):
+    """What the handlers read many times is staged, so no plan of theirs holds the parsing."""
+    from cinderlake.streaming import handlers
+
+    files = spark.createDataFrame([("a", '{"tools":[{"name":"x"},{"name":"y"}]}'), ("b", "no")], "path string, text string")
+    lines = [("1", '{"params":{"arguments":{"paths":["a"]}}}'), ("2", '{"params":{"arguments":{"paths":["a","b"]}}}')]
+    good, bad, tools = handlers._asked(spark.createDataFrame(lines, "call string, line string"), files)
+    assert [r["call"] for r in good.collect()] == ["1"] and [(r["call"], r["result"]) for r in bad.collect()] == [("2", "no manifest at b")]
+    assert {(r["call"], r["path"], r["name"]) for r in tools.collect()} == {("1", "a", "x"), ("1", "a", "y")}
+    for part in (good, bad, tools):
+        assert "parse_json" not in part._jdf.queryExecution().optimizedPlan().toString().lower()
