@@ -19,29 +19,28 @@ def locked_tools(tools: DataFrame) -> DataFrame:
     return tools.withColumn("_p", place).where("_p = 1").drop("_p", "ord")
 
 
-def signals(text: Column, label: str, df: DataFrame) -> DataFrame:
-    """Adds ``_signals``, the distinct (rank, category) of a text's findings."""
-    marked = text_rules.with_signals(df.withColumns({"_t": text, "_l": F.lit(label)}), "_t", "_l")
-    return marked.withColumnRenamed("signals", "_signals").drop("_t", "_l")
-
-
-def with_escalation(df: DataFrame, old: Column, new: Column) -> DataFrame:
-    """Adds ``escalation``: the worst signal of the new text that the old one hasn't, else LOW.
+def with_escalation(df: DataFrame, old: Column, new: Column, beside: dict[str, Column]) -> DataFrame:
+    """Adds ``escalation``: the worst signal of the new text that the old one hasn't, else LOW.  ``beside``: more columns, made in the same projection.
 
     Signals are compared by category and severity, so one phrase for another isn't
     an escalation.
     """
-    df = signals(old, "old", df).withColumnRenamed("_signals", "_old")
-    df = signals(new, "new", df)
-    fresh = F.array_min(F.transform(F.array_except("_signals", "_old"), lambda s: s["rank"]))
+    df = df.withColumns({"_old": old, "_new": new, "_old_label": F.lit("old"), "_new_label": F.lit("new")})
+    df = text_rules.with_all_signals(df, {"_was": ("_old", "_old_label"), "_is": ("_new", "_new_label")}, beside)
+    fresh = F.array_min(F.transform(F.array_except("_is", "_was"), lambda s: s["rank"]))
     severity = F.when(fresh == 0, "HIGH").when(fresh == 1, "MEDIUM").otherwise("LOW")
-    return df.withColumn("escalation", severity).drop("_old", "_signals")
+    return df.withColumn("escalation", severity).drop("_old", "_new", "_old_label", "_new_label", "_was", "_is")
+
+
+def hints(annotations: Column, side: str) -> dict[str, Column]:
+    return {f"{h}_{side}": jsontree.strict_bool(annotations, h) for h in ("readOnlyHint", "destructiveHint")}
 
 
-def annotation_severity(old: Column, new: Column) -> Column:
-    hint = jsontree.strict_bool
-    dropped = hint(old, "readOnlyHint").eqNullSafe(True) & hint(new, "readOnlyHint").eqNullSafe(False)
-    destructive = ~hint(old, "destructiveHint").eqNullSafe(True) & hint(new, "destructiveHint").eqNullSafe(True)
+def annotation_severity() -> Column:
+    """By the ``hints`` of annotations that are JSON."""
+    hint = lambda h, side: F.when(F.col(f"annotations_json_{side}").isNotNull(), F.col(f"{h}_{side}"))
+    dropped = hint("readOnlyHint", "a").eqNullSafe(True) & hint("readOnlyHint", "b").eqNullSafe(False)
+    destructive = ~hint("destructiveHint", "a").eqNullSafe(True) & hint("destructiveHint", "b").eqNullSafe(True)
     return F.when(dropped | destructive, "HIGH").otherwise("LOW")
 
 
@@ -63,20 +62,20 @@ def diff_tools(locked: DataFrame, current: DataFrame) -> DataFrame:
     paths = locked.select("path").distinct().join(current.select("path").distinct(), "path")
     side = lambda df, s: df.join(paths, "path", "left_semi").select(*[F.col(c).alias(f"{c}_{s}") for c in ("path", "name", "description", "input_schema", "annotations")])
     both = side(locked, "a").join(side(current, "b"), (F.col("path_a") == F.col("path_b")) & (F.col("name_a") == F.col("name_b")), "full")
-    canon = lambda c: jsontree.canonical_json(F.col(c))
-    both = both.withColumns({x: canon(x) for x in ("input_schema_a", "input_schema_b", "annotations_a", "annotations_b")})
-    both = with_escalation(both, F.col("description_a"), F.col("description_b"))
     same = F.col("name_a").isNotNull() & F.col("name_b").isNotNull()
     differ = lambda x: same & ~F.col(f"{x}_a").eqNullSafe(F.col(f"{x}_b"))
+    # Tools that are equal as written end here, and only texts that differ are read.
+    both = both.where(~same | differ("description") | differ("input_schema") | differ("annotations"))
+    seen = lambda x, s: F.when(differ(x), F.col(f"{x}_{s}"))
+    read = {f"{x}_json_{s}": jsontree.canonical_json(seen(x, s)) for x in ("input_schema", "annotations") for s in "ab"}
+    read |= hints(seen("annotations", "a"), "a") | hints(seen("annotations", "b"), "b")
+    both = with_escalation(both, seen("description", "a"), seen("description", "b"), read)
     changes = [
         F.when(F.col("name_b").isNull(), _change("tool-removed", "MEDIUM", "tool is gone")),
         F.when(F.col("name_a").isNull(), _change("tool-added", "MEDIUM", "tool isn't in the lock")),
         F.when(differ("description"), _change("description-changed", F.col("escalation"), "description changed", T.truncated(F.col("description_b"), 120, "..."))),
-        F.when(
-            differ("annotations"),
-            _change("annotation-changed", annotation_severity(F.col("annotations_a"), F.col("annotations_b")), "annotations changed", T.truncated(F.col("annotations_b"), 120, "...")),
-        ),
-        F.when(differ("input_schema"), _change("schema-changed", "MEDIUM", "a parameter came, went or changed its type")),
+        F.when(differ("annotations_json"), _change("annotation-changed", annotation_severity(), "annotations changed", T.truncated(F.col("annotations_json_b"), 120, "..."))),
+        F.when(differ("input_schema_json"), _change("schema-changed", "MEDIUM", "a parameter came, went or changed its type")),
     ]
     rows = both.select(F.coalesce("path_a", "path_b").alias("path"), F.coalesce("name_a", "name_b").alias("tool"), F.inline(F.array_compact(F.array(*changes))))
     return rows.select(*CHANGE)

@@ -85,14 +85,24 @@ def finding(severity: str | Column, category: str, message: str | Column, eviden
 
 def with_mask(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Adds ``_desc, _name`` (without nulls), ``_basis`` (the text, then the words of the label) and its ``_mask``."""
-    df = T.once(df, _desc=F.coalesce(F.col(text), F.lit("")), _name=F.coalesce(F.col(label), F.lit("")))
-    df = T.once(df, _words=F.translate("_name", "_-.", "   "), _low=F.lower("_desc"))
-    mask = scanned(F.concat_ws(" ", "_low", F.lower("_words")), F.length("_low"))
-    return df.withColumns({"_basis": F.concat_ws(" ", "_desc", "_words"), "_mask": mask}).drop("_words", "_low")
+    return with_masks(df, {"": (text, label)})
 
 
-def _has(first: int, n: int = 1) -> Column:
-    return F.col("_mask").bitwiseAND(F.lit(_bits(first, n))) != 0
+def with_masks(df: DataFrame, pairs: dict[str, tuple[str, str]], beside: dict[str, Column] | None = None) -> DataFrame:
+    """``with_mask`` of several texts and labels; what is added for a pair ends in its key.
+
+    ``beside``: more columns.  A task holds a Python worker for each projection with Python
+    functions of one kind, so all of these are in one.
+    """
+    df = T.once(df, **{f"{c}{k}": F.coalesce(F.col(x), F.lit("")) for k, pair in pairs.items() for c, x in zip(("_desc", "_name"), pair)})
+    df = T.once(df, **{f"_words{k}": F.translate(f"_name{k}", "_-.", "   ") for k in pairs}, **{f"_low{k}": F.lower(f"_desc{k}") for k in pairs})
+    masks = {f"_mask{k}": scanned(F.concat_ws(" ", f"_low{k}", F.lower(f"_words{k}")), F.length(f"_low{k}")) for k in pairs}
+    bases = {f"_basis{k}": F.concat_ws(" ", f"_desc{k}", f"_words{k}") for k in pairs}
+    return df.withColumns(bases | masks | (beside or {})).drop(*[f"{c}{k}" for c in ("_words", "_low") for k in pairs])
+
+
+def _has(first: int, n: int = 1, mask: str = "_mask") -> Column:
+    return F.col(mask).bitwiseAND(F.lit(_bits(first, n))) != 0
 
 
 def _held(first: int, words: list[str]) -> Column:
@@ -151,14 +161,24 @@ def with_counts(df: DataFrame, text: str = "text", label: str = "label") -> Data
 
 def with_signals(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Adds ``signals``: the distinct (rank, category) of a text's findings, without making them."""
-    columns = df.columns
-    df = with_mask(df, text, label)
+    return with_all_signals(df, {"signals": (text, label)})
+
+
+def with_all_signals(df: DataFrame, pairs: dict[str, tuple[str, str]], beside: dict[str, Column] | None = None) -> DataFrame:
+    """``with_signals`` of several texts and labels, in columns named by the keys.  ``beside``: more columns, made in the same projection."""
+    columns = [*df.columns, *(beside or {})]
+    df = with_masks(df, pairs, {f"_run{k}": T.encoded_run(F.col(f"_desc{k}")) for k in pairs} | (beside or {}))
+    return df.select(*columns, *[_signals(k).alias(k) for k in pairs])
+
+
+def _signals(key: str) -> Column:
+    has = lambda first, n=1: _has(first, n, f"_mask{key}")
     signal = lambda severity, category: F.struct(F.lit(corpora.SEVERITIES.index(severity)).alias("rank"), F.lit(category).alias("category"))
-    found = [F.when(_has(first, len(p[4])), signal(p[0], p[1])) for p, first in zip(PHRASES, (_INJECTION, _COERCION))]
-    found += [F.when(_has(_HIDDEN), signal("HIGH", "hidden-unicode")), F.when(_has(_TERMINAL), signal("HIGH", "ansi-escape")), F.when(_has(_PUNYCODE), signal("HIGH", "exfil-sink"))]
-    found += [F.when(T.has_image_url(F.col("_desc")), signal("MEDIUM", "exfil-sink")), F.when(T.encoded_run(F.col("_desc")).isNotNull(), signal("LOW", "encoded-blob"))]
-    found += [F.when(_has(_CAPABILITY, len(corpora.CAPABILITY)), signal("LOW", "capability"))]
-    return df.select(*columns, F.array_compact(F.array(*found)).alias("signals"))
+    found = [F.when(has(first, len(p[4])), signal(p[0], p[1])) for p, first in zip(PHRASES, (_INJECTION, _COERCION))]
+    found += [F.when(has(_HIDDEN), signal("HIGH", "hidden-unicode")), F.when(has(_TERMINAL), signal("HIGH", "ansi-escape")), F.when(has(_PUNYCODE), signal("HIGH", "exfil-sink"))]
+    found += [F.when(T.has_image_url(F.col(f"_desc{key}")), signal("MEDIUM", "exfil-sink")), F.when(F.col(f"_run{key}").isNotNull(), signal("LOW", "encoded-blob"))]
+    found += [F.when(has(_CAPABILITY, len(corpora.CAPABILITY)), signal("LOW", "capability"))]
+    return F.array_compact(F.array(*found))
 
 
 def rows_of(df: DataFrame, keys: list[str], tool: Column) -> DataFrame:

@@ -53,6 +53,14 @@ def test_drift(spark):
     }
 
 
+def test_a_task_of_drift_holds_one_python_worker(spark):
+    tools = lambda text, annotations: spark.createDataFrame([("p", "a", text, "nope", annotations), ("p", "same", "x", "{", "[")], TOOLS.replace(" ord int,", ""))
+    deep = '{"destructiveHint":true,"x":' + "[" * 1_500 + "]" * 1_500 + "}"
+    changes = drift.diff_tools(tools("x", "{}"), tools("ignore previous", deep))
+    assert changes._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert {(r.tool, r.kind, r.severity) for r in changes.collect()} == {("a", "description-changed", "HIGH"), ("a", "annotation-changed", "HIGH")}
+
+
 def test_lock_round_trip(spark, tmp_path):
     t = drift.locked_tools(spark.createDataFrame([("p", 0, "a", "x", "{}", None)], TOOLS))
     sinks.write_lock(t, f"{tmp_path}/lock")
