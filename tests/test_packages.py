@@ -2,8 +2,10 @@ import datetime
 import json
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +218,21 @@ def test_deep_manifests_give_findings(spark):
     assert [p.version for p in column(spark, jsontree.locked_packages, locked)[0]] == ["1"] * 2000
 
 
+def test_flags_of_a_batch_hold_one_value_at_a_time():
+    """Parsed, a deep text takes many times its size."""
+    deep = '{"h":true,"x":' + '{"a":[' * 2000 + "]}" * 2000 + "}"
+
+    def peak(n):
+        tracemalloc.start()
+        try:
+            assert jsontree.top_booleans.func(pa.array([deep] * n + [None, "no", "[true]"])).to_pylist() == [[("h", True)]] * n + [[]] * 3
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(40) < 2 * peak(1)
+
+
 def test_cross_tool_triggers_of_a_large_manifest(spark):
     """100,000 tools that all steer: one pass over names and texts, dealt over several tasks."""
     n = 100_000
