@@ -31,16 +31,16 @@ def _tools_of(v: Column) -> Column:
     )
 
 
-def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def parse_tools(manifests: DataFrame, keys: list[str], text: str = "text", deep=jsontree.deep_tools) -> DataFrame:
     """One row per tool: ``ord, name, description, input_schema, annotations`` (the last two as JSON).
 
     A text without tools gives one row with ``error``.  Texts that are nested too deeply
-    for native expressions are read by ``jsontree.deep_tools``.
+    for native expressions are read by ``deep``, a function of ``jsontree``.
     """
     schema = f"ARRAY<STRUCT<{TOOL.replace(' STRING', ': STRING')}>>"
     rows = T.once(manifests, _v=F.try_parse_json(F.col(text)))
     rows = T.once(rows, _native=F.from_json(_tools_of(F.col("_v")), schema)).select(*keys, "_native", F.when(F.col("_v").isNull(), F.col(text)).alias("_deep"))
-    rows = rows.select(*keys, F.coalesce("_native", jsontree.deep_tools(F.col("_deep")).cast(schema)).alias("_tools"))
+    rows = rows.select(*keys, F.coalesce("_native", deep(F.col("_deep")).cast(schema)).alias("_tools"))
     out = rows.select(*keys, F.col("_tools").isNull().alias("error"), F.posexplode_outer("_tools").alias("ord", "tool"))
     return out.select(
         *keys, "error", "ord", F.col("tool.name").alias("name"), F.col("tool.description").alias("description"),
@@ -160,7 +160,7 @@ def scan_manifests(manifests: DataFrame, manifest: str, text: str = "text", fing
         known, rest = allowlist.split_trusted(manifests.withColumn("fingerprint", hashing.manifest_fingerprint(tools_array(F.col(text)))), fingerprints, "manifest")
         marks = allowlist.trusted_marker(known.select(manifest, F.lit(None).cast("int").alias("ord")), [manifest, "ord"], F.col(manifest).cast("string"))
         return scan_manifests(rest, manifest, text).unionByName(marks)
-    tools = parse_tools(manifests, [manifest], text).where("error or name is not null")
+    tools = parse_tools(manifests, [manifest], text, jsontree.deep_flagged_tools).where("error or name is not null")
     # Four scans read the tools, so manifests are parsed once, into a table.
     path = storage.new_folder(manifests.sparkSession, "tools")
     tools.write.parquet(path)

@@ -233,6 +233,22 @@ def test_flags_of_a_batch_hold_one_value_at_a_time():
     assert peak(40) < 2 * peak(1)
 
 
+def test_scans_of_deep_manifests_take_only_flags_of_annotations(spark):
+    """Also where annotations are a text, a list or a number."""
+    deep = '{"a":[' * 1500 + "]}" * 1500
+    notes = ['{"x":%s,"openWorldHint":true,"destructiveHint":"true","b":false}' % deep, json.dumps('{"destructiveHint":true}'), '[true,"destructiveHint"]', "1", "null"]
+    rows = spark.createDataFrame([(i, '[{"name":"t","inputSchema":%s,"annotations":%s},0]' % (deep, n)) for i, n in enumerate(notes)], "m int, text string")
+    kept = {r.m: r.annotations for r in manifest.parse_tools(rows, ["m"], deep=jsontree.deep_flagged_tools).where("name is not null").collect()}
+    assert kept == {0: '{"b":false,"openWorldHint":true}', 1: '{"destructiveHint":true}', 2: '[true,"destructiveHint"]', 3: "1", 4: None}
+    whole = {r.m: r.annotations for r in manifest.parse_tools(rows, ["m"]).where("name is not null").collect()}
+    assert len(whole[0]) > len(deep) and [whole[i] for i in range(1, 5)] == [kept[i] for i in range(1, 5)]
+    flags = [(0, "INFO"), (1, "MEDIUM")]
+    scanned = manifest.scan_manifests(rows, "m")
+    assert sorted((r.m, r.severity) for r in scanned.where("category = 'annotation'").collect()) == flags
+    staged = spark.read.parquet(*{f.rpartition("/")[0] for f in scanned.inputFiles()})
+    assert staged.agg(F.max(F.length("annotations"))).first()[0] < 100
+
+
 def test_cross_tool_triggers_of_a_large_manifest(spark):
     """100,000 tools that all steer: one pass over names and texts, dealt over several tasks."""
     n = 100_000
